@@ -1,0 +1 @@
+"""Intentionally empty: the operator inventory has no streaming operator."""
