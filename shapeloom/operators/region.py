@@ -41,24 +41,30 @@ def _clip(boxes: DataFrame, size) -> DataFrame:
             .withColumn("t", F.least("t", (F.col("cy") + 1) * size)))
 
 
+def _merge(pieces: DataFrame, cols) -> DataFrame:
+    """One row per distinct box with its summed weight; copies combine on the map side."""
+    return (pieces.groupBy(*cols).agg(F.sum("w").alias("w"))
+            .filter(F.col("w") != 0))
+
+
 def cell_pieces(boxes: DataFrame, keys, cell: int = CELL,
-                max_pieces: int | None = MAX_PIECES) -> DataFrame:
+                max_pieces: int | None = MAX_PIECES, plain: bool = True) -> DataFrame:
     """Distinct clipped boxes per cell; crowded cells are replaced by smaller ones.
 
-    Copies of a box are removed before anything is exploded, with partial aggregation on
-    the map side. `max_pieces=None` skips the check for crowded cells.
+    Copies of a box are merged before anything is exploded. `plain` says that all weights
+    are positive. `max_pieces=None` skips the check for crowded cells.
     """
-    cols = [*keys, "side", "l", "b", "r", "t"]
-    pieces = _clip(boxes.select(*cols).distinct(), cell).withColumn("size", F.lit(cell))
+    box = [*keys, "side", "l", "b", "r", "t"]
+    cells = [*keys, "size", "cx", "cy"]
+    merged = _merge(boxes, box)
+    pieces = _clip(merged, cell).withColumn("size", F.lit(cell))
     if max_pieces is None:
         return pieces
-    cells = [*keys, "size", "cx", "cy"]
 
     def crowded(df):
         return df.groupBy(*cells).count().filter(F.col("count") > max_pieces).drop("count")
 
-    raw = _clip(boxes.select(*cols), cell).withColumn("size", F.lit(cell))
-    if crowded(raw).isEmpty():
+    if crowded(_clip(boxes.select(*box), cell).withColumn("size", F.lit(cell))).isEmpty():
         return pieces
     done, size = [], cell
     while size > 1:
@@ -68,12 +74,14 @@ def cell_pieces(boxes: DataFrame, keys, cell: int = CELL,
             break
         done.append(pieces.join(hot, cells, "left_anti"))
         size = max(1, size // 4)
-        pieces = (_clip(pieces.join(hot, cells, "left_semi").drop("cx", "cy"), size)
-                  .withColumn("size", F.lit(size)).distinct())
-        # A shape filling its cell makes all other shapes of the same side there redundant.
-        full = pieces.filter((F.col("r") - F.col("l") == size) & (F.col("t") - F.col("b") == size))
-        rest = pieces.join(full.select(*cells, "side").distinct(), [*cells, "side"], "left_anti")
-        pieces = rest.unionByName(full.select(*rest.columns))
+        split = _clip(pieces.join(hot, cells, "left_semi").drop("cx", "cy", "size"), size)
+        pieces = _merge(split, [*box, "cx", "cy"]).withColumn("size", F.lit(size))
+        if plain:
+            # A shape filling its cell makes the other shapes of its side there redundant.
+            full = pieces.filter((F.col("r") - F.col("l") == size) &
+                                 (F.col("t") - F.col("b") == size))
+            rest = pieces.join(full.select(*cells, "side"), [*cells, "side"], "left_anti")
+            pieces = rest.unionByName(full)
     return reduce(DataFrame.unionByName, [*done, pieces])
 
 
@@ -109,16 +117,20 @@ def sweep(a: DataFrame, b: DataFrame | None = None, op: str = "union", *,
           partitions: int | None = None) -> DataFrame:
     """Disjoint rectangles (keys, size, cx, cy, l, b, r, t) where the set predicate holds.
 
-    Inputs need the key columns and l, b, r, t. The result keeps its cell columns, so that
+    Inputs need the key columns and l, b, r, t; an integer column `w` gives signed boxes,
+    whose sum of weights must be positive exactly where the shape is. The result keeps its cell columns, so that
     later per-cell steps reuse the partitioning.
     """
     keys = list(keys)
-    box = ["l", "b", "r", "t"]
-    both = a.select(*keys, *box, F.lit(0).alias("side"))
-    if b is not None:
-        both = both.unionByName(b.select(*keys, *box, F.lit(1).alias("side")))
+    plain = all(d is None or "w" not in d.columns for d in (a, b))
+
+    def rows(df, side):
+        weight = F.col("w") if "w" in df.columns else F.lit(1).cast("long")
+        return df.select(*keys, "l", "b", "r", "t", F.lit(side).alias("side"), weight.alias("w"))
+
+    both = rows(a, 0) if b is None else rows(a, 0).unionByName(rows(b, 1))
     both = both.filter((F.col("l") < F.col("r")) & (F.col("b") < F.col("t")))
-    pieces = cell_pieces(both, keys, cell, max_pieces)
+    pieces = cell_pieces(both, keys, cell, max_pieces, plain)
     cells = [*keys, "size", "cx", "cy"]
     # Slabs multiply the rows after this shuffle, so its tasks must not be merged by size.
     pieces = pieces.repartition(partitions or shuffle_partitions(a), *cells)
@@ -127,10 +139,10 @@ def sweep(a: DataFrame, b: DataFrame | None = None, op: str = "union", *,
     pieces = pieces.withColumn("cuts", cuts)
     inner = F.sort_array(F.filter(
         "cuts", lambda x: (x >= F.col("l")) & (x <= F.col("r"))))
-    slabs = pieces.select(*cells, "side", "b", "t", inner.alias("c")).select(
+    slabs = pieces.select(*cells, "side", "w", "b", "t", inner.alias("c")).select(
         *cells, F.col("b").alias("lo"), F.col("t").alias("hi"),
-        F.when(F.col("side") == 0, 1).otherwise(0).alias("wa"),
-        F.when(F.col("side") == 1, 1).otherwise(0).alias("wb"),
+        F.when(F.col("side") == 0, F.col("w")).otherwise(0).alias("wa"),
+        F.when(F.col("side") == 1, F.col("w")).otherwise(0).alias("wb"),
         F.explode(F.arrays_zip(
             F.expr("slice(c, 1, size(c) - 1)").alias("x0"),
             F.expr("slice(c, 2, size(c) - 1)").alias("x1"))).alias("z"))
@@ -240,3 +252,46 @@ def directed_edges(edges: DataFrame, keys=("layer",)) -> DataFrame:
         F.when(h, F.col("coord")).otherwise(stop).alias("y1"),
         F.when(h, 0.0).otherwise(out).alias("nx"),
         F.when(h, out).otherwise(0.0).alias("ny"))
+
+
+def ring_boxes(edges: DataFrame, keys=("layer",)) -> DataFrame:
+    """Signed boxes whose sum is the area enclosed by Manhattan rings, holes left out.
+
+    Each horizontal edge becomes a box between it and the ring's lowest line: positive under
+    an upper edge of the material, negative under a lower one. `edges` must have the
+    material on its right and carry `base`, a line at or below the whole ring.
+    """
+    return edges.filter(F.col("y0") == F.col("y1")).select(
+        *keys, F.least("x0", "x1").alias("l"), F.col("base").alias("b"),
+        F.greatest("x0", "x1").alias("r"), F.col("y0").alias("t"),
+        F.when(F.col("x1") > F.col("x0"), 1).otherwise(-1).cast("long").alias("w"))
+
+
+def touching_pairs(left: DataFrame, right: DataFrame, keys=("layer",), cell: int = 4096):
+    """Rows of `left` that share area with some row of `right` (semi-join by cells).
+
+    Both sides are spread over cells and compared inside a cell; `right` is expected to be
+    disjoint rectangles, so a cell holds a bounded number of them.
+    """
+    cols = [*keys, "l", "b", "r", "t"]
+    def cut(df):
+        return (df.withColumn("_cx", F.explode(F.sequence(
+                    floor_div("l", cell), floor_div(F.col("r") - 1, cell))))
+                .withColumn("_cy", F.explode(F.sequence(
+                    floor_div("b", cell), floor_div(F.col("t") - 1, cell)))))
+    other = cut(right.select(*cols)).toDF(*keys, "l2", "b2", "r2", "t2", "_cx", "_cy")
+    pairs = cut(left).join(other, [*keys, "_cx", "_cy"])
+    return pairs.filter((F.col("l") < F.col("r2")) & (F.col("r") > F.col("l2")) &
+                        (F.col("b") < F.col("t2")) & (F.col("t") > F.col("b2"))
+                        ).select(*left.columns).distinct()
+
+
+def tile_coverage(tiles: DataFrame, bounds) -> DataFrame:
+    """One row: summed tile area, union area, overlap and gap against the bounds."""
+    l, b, r, t = bounds
+    one = tiles.select(F.lit(0).alias("k"), "l", "b", "r", "t")
+    total = one.agg(F.sum((F.col("r") - F.col("l")) * (F.col("t") - F.col("b"))).alias("area_sum"))
+    merged = area(union(one, keys=("k",), cell=4096), ("k",)).select(F.col("area").alias("union_area"))
+    return total.crossJoin(merged).select(   # one row by one row
+        "area_sum", "union_area", (F.col("area_sum") - F.col("union_area")).alias("overlap"),
+        (F.lit((r - l) * (t - b)) - F.col("union_area")).alias("gap"))

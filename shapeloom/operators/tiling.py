@@ -51,14 +51,14 @@ class Axis:
             return len(self.cuts) - 1
         return -(-(self.end - self.start) // self.step)
 
-    def _position(self, value, test) -> Column:
+    def _position(self, test) -> Column:
         return F.size(F.filter(F.array(*[F.lit(c) for c in self.cuts]), test)) - 1
 
     def locate(self, value) -> Column:
         """Index of the half-open interval holding `value`, the outer end closed, else -1."""
         v = col(value)
         if self.cuts:
-            index = self._position(v, lambda c: c <= v)
+            index = self._position(lambda c: c <= v)
         else:
             index = F.floor((v - self.start) / self.step)
         return (F.when((v < self.start) | (v > self.end), F.lit(-1))
@@ -68,7 +68,7 @@ class Axis:
         """Smallest index whose upper border is >= low (may be `count`)."""
         v = col(low)
         if self.cuts:
-            return self._position(v, lambda c: c < v).cast("long")
+            return F.greatest(self._position(lambda c: c < v), F.lit(0)).cast("long")
         index = (F.ceil((v - self.start) / self.step) - 1).cast("long")
         return F.when(v > self.end, F.lit(self.count)).otherwise(F.greatest(index, F.lit(0)))
 
@@ -76,7 +76,7 @@ class Axis:
         """Largest index whose lower border is <= high (may be -1)."""
         v = col(high)
         if self.cuts:
-            index = self._position(v, lambda c: c <= v)
+            index = self._position(lambda c: c <= v)
         else:
             index = F.floor((v - self.start) / self.step)
         return F.least(index.cast("long"), F.lit(self.count - 1))
