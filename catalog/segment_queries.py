@@ -290,7 +290,7 @@ def ordered_memberships(spark, sf_dir):
     m = tiling.ordered_members(members(spark, sf_dir), SEGMENT_KEY)
     per = m.groupBy("core_id", *SEGMENT_KEY).agg(F.count("*").alias("n"))
     return per.groupBy("core_id").agg(F.sum("n").alias("rows"), F.count("*").alias("segments"),
-                                      F.count_if("n > 1").alias("repeated"))
+                                      F.count_if(F.col("n") > 1).alias("repeated"))
 
 
 MACRO = """, mrows AS (SELECT *, CASE WHEN core_id < 0 THEN -1 ELSE 0 END AS neg FROM membership)"""

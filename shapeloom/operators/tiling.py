@@ -189,10 +189,13 @@ def membership(df: DataFrame, grid: Grid, *, clamp=True, limit: int | None = Non
         total = membership_count(df, grid, clamp=clamp, **box).first()[0]
         if total > limit:
             raise CapacityError(f"{total} memberships exceed the limit of {limit}")
-    spans = df.select("*", *halo_span(grid, clamp=clamp, **box)).filter(
-        (F.col("ix0") <= F.col("ix1")) & (F.col("iy0") <= F.col("iy1")))
-    cells = (spans.withColumn("_row", F.explode(F.sequence("iy0", "iy1")))
-             .withColumn("_col", F.explode(F.sequence("ix0", "ix1"))))
+    # An empty span explodes to nothing; a filter here would be pushed down through, and
+    # so repeat, the whole chain of expressions behind the endpoints.
+    def span(lo, hi):
+        return F.explode(F.when(F.col(lo) <= F.col(hi), F.sequence(lo, hi)))
+
+    cells = (df.select("*", *halo_span(grid, clamp=clamp, **box))
+             .withColumn("_row", span("iy0", "iy1")).withColumn("_col", span("ix0", "ix1")))
     return (cells.withColumn("core_id", grid.core_id(F.col("_row"), F.col("_col")))
             .drop("ix0", "ix1", "iy0", "iy1", "_row", "_col"))
 
