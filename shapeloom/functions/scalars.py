@@ -179,3 +179,14 @@ def path_boxes(points, width: int) -> Column:
             F.when(flat, across + half).otherwise(until).alias("t"))
 
     return F.transform(F.sequence(F.lit(1), last), leg)
+
+
+def pin(df, **columns):
+    """Add columns through a one-row generator, so that later filters stop there.
+
+    The optimizer rewrites a filter on a computed column in terms of its inputs and moves
+    it down; on a chain of computed columns that repeats the whole chain many times over.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    others = [c for c in df.columns if c not in columns]
+    return df.select(*others, F.explode(F.array(row)).alias("_row")).select(*others, "_row.*")

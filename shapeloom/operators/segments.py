@@ -1,7 +1,7 @@
 """Edge segments: cutting, endpoints, probes, owners, and contour reconstruction."""
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from shapeloom.functions.scalars import col
+from shapeloom.functions.scalars import col, pin
 from shapeloom.operators import tiling
 from shapeloom.operators.contours import outward_normal, with_length
 from shapeloom.schemas import SEGMENT_KEY
@@ -33,7 +33,7 @@ def fragment(edges: DataFrame, corner: float, maximum: float) -> DataFrame:
           .otherwise(start + step))
     return (edges.withColumn("pieces", fragment_count("len", corner, maximum))
             .withColumn("seg_ord", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-            .withColumn("t0", t0).withColumn("t1", t1))
+            .transform(pin, t0=t0, t1=t1))
 
 
 def endpoints(segments: DataFrame, shift=None) -> DataFrame:
@@ -75,8 +75,9 @@ def segment_box(segments: DataFrame) -> DataFrame:
 
 def owners(segments: DataFrame, grid: tiling.Grid, name="core_id") -> DataFrame:
     """Add the tile owning the middle of each segment; -1 outside the grid."""
-    return tiling.owner(segments, grid, (F.col("sx") + F.col("ex")) * 0.5,
-                        (F.col("sy") + F.col("ey")) * 0.5, name)
+    middle = pin(segments, _mx=(F.col("sx") + F.col("ex")) * 0.5,
+                 _my=(F.col("sy") + F.col("ey")) * 0.5)
+    return tiling.owner(middle, grid, "_mx", "_my", name).drop("_mx", "_my")
 
 
 def memberships(segments: DataFrame, grid: tiling.Grid, *, clamp=True, limit=None) -> DataFrame:
