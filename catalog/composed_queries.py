@@ -195,7 +195,7 @@ def junction_kinds(spark, sf_dir):
     """How many junctions emit no point, one intersection, or two points."""
     s = segments(spark, sf_dir).withColumn("d", shift())
     p = seg.junction_points(s, T.CORNER, T.MAXIMUM, MITER)
-    return p.groupBy(F.size("pts").alias("points")).agg(F.count("*").alias("junctions"))
+    return p.groupBy(F.coalesce(F.size("pts"), F.lit(0)).alias("points")).agg(F.count("*").alias("junctions"))
 
 
 @query(EDGES + """ SELECT polygon_id, CAST(sum(CASE WHEN ring_id = 0 THEN 1 ELSE -1 END * abs(a)) // 2 AS BIGINT) AS area,

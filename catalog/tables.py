@@ -8,8 +8,20 @@ TILE, HALO = 4096, 256
 CORNER, MAXIMUM = 16, 32
 
 
+# Tables whose rows are expanded many times over, with the column they are spread by.
+SPREAD = {"lineitem": "l_orderkey", "orders": "o_orderkey", "embeddings": "vec_id"}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; one that comes in fewer pieces than there are cores is spread out.
+
+    Large inputs arrive in many splits already and are left as they are.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in SPREAD and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, SPREAD[name])
+    return df
 
 
 def boxes(spark, sf_dir) -> DataFrame:

@@ -116,72 +116,99 @@ def rank_in_group(df: DataFrame, group: str, order, block: int = 4096) -> DataFr
             .withColumn("rank", F.col("_rn") + F.col("_off")).drop("_rn", "_off", "_blk"))
 
 
-def junction_points(segments: DataFrame, corner: float, maximum: float,
-                    miter: float = 4.0) -> DataFrame:
-    """Rounded contour points (0, 1 or 2 per segment start) after shifting by `d`.
+# Rings of up to this many edges are handled ring by ring; longer ones edge by edge.
+RING_EDGES = 4096
+
+
+def previous_shift(segments: DataFrame, corner: float, maximum: float,
+                   ring_edges: int = RING_EDGES) -> DataFrame:
+    """Add dp, the shift of the segment before on the closed ring.
 
-    Needs ring_edges columns, normals, t0 and d. The shift of the preceding segment is
-    found by an equi-join on its key, which is known in closed form: the piece before on
-    the same edge, or the last piece of the previous edge of the ring.
+    Rings of ordinary size use one window per ring. In longer rings the segment before is
+    known in closed form (the piece before on the edge, or the last piece of the previous
+    edge) and found by an equi-join, so that no task holds a whole ring.
+    """
+    w = W.partitionBy("polygon_id", "ring_id").orderBy("ord", "seg_ord")
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    near = segments.filter(F.col("n") <= ring_edges).withColumn(
+        "dp", F.coalesce(F.lag("d").over(w), F.last("d").over(whole)))
+    far = segments.filter(F.col("n") > ring_edges)
+    before = far.select("polygon_id", "ring_id", F.col("ord").alias("_o"),
+                        F.col("seg_ord").alias("_s"), F.col("d").alias("dp"))
+    first = F.col("seg_ord") == 0
+    back = F.hypot((F.col("x0") - F.col("px")).cast("double"), (F.col("y0") - F.col("py")).cast("double"))
+    far = far.withColumn("_o", F.when(first, F.pmod(F.col("ord") - 1, F.col("n"))).otherwise(F.col("ord")))
+    far = far.withColumn("_s", F.when(first, fragment_count(back, corner, maximum) - 1)
+                         .otherwise(F.col("seg_ord") - 1))
+    far = far.join(before, ["polygon_id", "ring_id", "_o", "_s"]).drop("_o", "_s")
+    return near.unionByName(far)
+
+
+def junctions(segments: DataFrame, miter: float = 4.0) -> DataFrame:
+    """Add pts: the rounded contour points (0, 1 or 2) at the start of each segment.
+
+    Needs ring_edges columns, normals, t0, d and dp. Pieces of one edge give no point when
+    they move alike and two otherwise; corners give the intersection of the moved lines,
+    or two points when the lines are parallel or meet too far away.
     """
     vx, vy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     ux, uy = F.col("x0") - F.col("px"), F.col("y0") - F.col("py")
-    ulen = F.hypot(ux.cast("double"), uy.cast("double"))
     first = F.col("seg_ord") == 0
     # Normals keep their side of the ring, so the previous one follows from its direction.
-    side = F.signum(F.col("nx") * -vy + F.col("ny") * vx)
-    before = segments.select(
-        "polygon_id", "ring_id", F.col("ord").alias("_o"), F.col("seg_ord").alias("_s"),
-        F.col("d").alias("dp"))
-    cur = segments.withColumn("_o", F.when(first, F.pmod(F.col("ord") - 1, F.col("n")))
-                              .otherwise(F.col("ord")))
-    cur = cur.withColumn("_s", F.when(first, fragment_count(ulen, corner, maximum) - 1)
-                         .otherwise(F.col("seg_ord") - 1))
-    cur = cur.join(before, ["polygon_id", "ring_id", "_o", "_s"]).drop("_o", "_s")
-    bx = F.when(first, F.col("x0") + F.col("dp") * (-uy * side / ulen)).otherwise(
-        F.col("x0") + vx * F.col("t0") + F.col("dp") * F.col("nx"))
-    by = F.when(first, F.col("y0") + F.col("dp") * (ux * side / ulen)).otherwise(
-        F.col("y0") + vy * F.col("t0") + F.col("dp") * F.col("ny"))
-    cur = (cur.withColumn("bx", bx).withColumn("by", by)
-           .withColumn("hx", F.col("x0") + vx * F.col("t0") + F.col("d") * F.col("nx"))
-           .withColumn("hy", F.col("y0") + vy * F.col("t0") + F.col("d") * F.col("ny")))
+    turn = F.signum(F.col("nx") * -vy + F.col("ny") * vx) / F.hypot(ux.cast("double"), uy.cast("double"))
+    d, dp, t0 = F.col("d"), F.col("dp"), F.col("t0")
+    ends = {"bx": F.when(first, F.col("x0") - dp * uy * turn).otherwise(F.col("x0") + vx * t0 + dp * F.col("nx")),
+            "by": F.when(first, F.col("y0") + dp * ux * turn).otherwise(F.col("y0") + vy * t0 + dp * F.col("ny")),
+            "hx": F.col("x0") + vx * t0 + d * F.col("nx"), "hy": F.col("y0") + vy * t0 + d * F.col("ny")}
+    cur = pin(segments, **ends)
     cross = (ux * vy - uy * vx).cast("double")
     parallel = F.abs(cross) <= 1e-12
-    factor = (((F.col("hx") - F.col("bx")) * vy - (F.col("hy") - F.col("by")) * vx)
-              / F.when(parallel, 1.0).otherwise(cross))
-    ix, iy = F.col("bx") + factor * ux, F.col("by") + factor * uy
-    away = F.hypot(ix - F.col("x0"), iy - F.col("y0"))
-    reach = miter * F.greatest(F.abs("d"), F.abs("dp"), F.lit(1.0))
-    still = ~first & (F.abs(F.col("d") - F.col("dp")) <= 1e-12)
-    two = (~first & ~still) | (first & (parallel | (away > reach)))
+    cur = cur.withColumn("factor", F.when(first & ~parallel, (
+        (F.col("hx") - F.col("bx")) * vy - (F.col("hy") - F.col("by")) * vx) / cross))
+    cur = cur.withColumns({"ix": F.col("bx") + F.col("factor") * ux, "iy": F.col("by") + F.col("factor") * uy})
+    away = F.hypot(F.col("ix") - F.col("x0"), F.col("iy") - F.col("y0"))
+    reach = miter * F.greatest(F.abs(d), F.abs(dp), F.lit(1.0))
+    still = ~first & (F.abs(d - dp) <= 1e-12)
+    meets = first & F.col("factor").isNotNull() & (away <= reach)
 
     def pt(x, y):
         return F.struct(F.rint(x).cast("long").alias("x"), F.rint(y).cast("long").alias("y"))
 
-    ends = F.array(pt(F.col("bx"), F.col("by")), pt(F.col("hx"), F.col("hy")))
-    none = F.slice(ends, 1, 0)
-    pts = F.when(still, none).when(two, ends).otherwise(F.array(pt(ix, iy)))
-    return cur.withColumn("pts", pts)
+    two = F.array(pt("bx", "by"), pt("hx", "hy"))
+    return pin(cur, pts=F.when(meets, F.array(pt("ix", "iy"))).when(~still, two))
+
+
+def junction_points(segments: DataFrame, corner: float, maximum: float,
+                    miter: float = 4.0) -> DataFrame:
+    """Segments with the points of their starting junction; null where there is none."""
+    return junctions(previous_shift(segments, corner, maximum), miter)
 
 
 def reconstruct(segments: DataFrame, corner: float, maximum: float, miter: float = 4.0,
-                keep=()) -> DataFrame:
+                keep=(), ring_edges: int = RING_EDGES) -> DataFrame:
     """Edges of the moved contours (x0, y0) -> (x1, y1), repeated points left out.
 
-    Every edge starts with a corner and so emits a point; a point's predecessor is found
-    inside its edge, or as the last point of the previous edge by an equi-join. No step
-    needs a whole ring in one task.
+    The predecessor of a point comes from a window over its ring. In rings of more than
+    `ring_edges` edges it is found inside the edge, which always begins with a corner and
+    so with a point, or as the last point of the previous edge by an equi-join.
     """
-    edge = ["polygon_id", "ring_id", "ord"]
-    pts = junction_points(segments, corner, maximum, miter).select(
-        *keep, *edge, "n", "seg_ord", F.posexplode("pts").alias("k", "p"))
-    w = W.partitionBy(*edge).orderBy("seg_ord", "k")
-    pts = pts.withColumn("q", F.lag("p").over(w))
-    last = pts.groupBy(*edge).agg(
+    ring, edge = ["polygon_id", "ring_id"], ["polygon_id", "ring_id", "ord"]
+    moved = previous_shift(segments.select(
+        *dict.fromkeys([*keep, *edge, "n", "seg_ord", "x0", "y0", "x1", "y1", "px", "py", "nx", "ny", "t0", "d"])),
+        corner, maximum, ring_edges)
+    pts = junctions(moved, miter).select(*keep, *edge, "n", "seg_ord", F.posexplode("pts").alias("k", "p"))
+    w = W.partitionBy(*ring).orderBy("ord", "seg_ord", "k")
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    near = pts.filter(F.col("n") <= ring_edges).withColumn(
+        "q", F.coalesce(F.lag("p").over(w), F.last("p").over(whole)))
+    far = pts.filter(F.col("n") > ring_edges)
+    inside = W.partitionBy(*edge).orderBy("seg_ord", "k")
+    last = far.groupBy(*edge).agg(
         F.max_by("p", F.struct("seg_ord", "k")).alias("z"), F.first("n").alias("n"))
-    last = last.select("polygon_id", "ring_id", F.pmod(F.col("ord") + 1, F.col("n")).alias("ord"), "z")
-    pts = pts.join(last, edge).withColumn("q", F.coalesce("q", "z"))
-    return pts.filter(F.col("p") != F.col("q")).select(
+    last = last.select(*ring, F.pmod(F.col("ord") + 1, F.col("n")).alias("ord"), "z")
+    far = far.withColumn("q", F.lag("p").over(inside)).join(last, edge)
+    far = far.withColumn("q", F.coalesce("q", "z")).drop("z")
+    return near.unionByName(far).filter(F.col("p") != F.col("q")).select(
         *keep, *edge, "seg_ord", "k", F.col("q.x").alias("x0"), F.col("q.y").alias("y0"),
         F.col("p.x").alias("x1"), F.col("p.y").alias("y1"))
 
