@@ -203,10 +203,12 @@ def junction_kinds(spark, sf_dir):
 def zero_shift_reconstruction(spark, sf_dir):
     """Without displacement the rebuilt region equals the source: area, and XOR area 0."""
     keys = ("polygon_id",)
-    back = prepare.rebuilt_region(rebuilt(spark, sf_dir, F.lit(0.0)), keys)
-    source = prepare.rebuilt_region(edges(spark, sf_dir), keys)
+    # One polygon per key, so no cell can be crowded.
+    back = prepare.rebuilt_region(rebuilt(spark, sf_dir, F.lit(0.0), ("low",)), keys, max_pieces=None)
+    source = prepare.rebuilt_region(edges(spark, sf_dir), keys, max_pieces=None)
     cols = ["polygon_id", "l", "b", "r", "t"]
-    xor = region.area(region.symmetric_difference(back.select(*cols), source.select(*cols), keys=keys), keys)
+    xor = region.area(region.symmetric_difference(back.select(*cols), source.select(*cols), keys=keys,
+                                                  max_pieces=None), keys)
     return region.area(source, keys).join(xor.withColumnRenamed("area", "xor_area"), "polygon_id", "left").select(
         "polygon_id", "area", F.coalesce("xor_area", F.lit(0)).alias("xor_area"))
 
@@ -230,7 +232,7 @@ def escaped_holes(spark, sf_dir):
     e = edges(spark, sf_dir)
     by = F.when(F.col("is_hole") & (F.col("polygon_id") % 3 == 0), 16).otherwise(0)
     moved = e.withColumn("x0", F.col("x0") + by).withColumn("x1", F.col("x1") + by)
-    return prepare.escaped_holes(moved)
+    return prepare.escaped_holes(moved, max_pieces=None)
 
 
 # --- patches, tiles, archives ------------------------------------------------------------------------------
@@ -379,3 +381,76 @@ def reference_and_rebuilt(spark, sf_dir):
     source = T.rings(spark, sf_dir).withColumn("kind_of", F.lit("reference"))
     back = contours.assemble_polygons(edges(spark, sf_dir), ("layer", "polygon_id")).withColumn("kind_of", F.lit("rebuilt"))
     return source.unionByName(back).groupBy("kind_of", "layer").agg(F.count("*").alias("shapes"))
+
+
+# --- moved masks and rounds -----------------------------------------------------------------------------------
+
+SOFT = SEGS + T.MEMBERS + f""", q AS (SELECT core_id, sx, sy, ex, ey, nx, ny, {SHIFT} / 4 AS d FROM membership WHERE {SHIFT} <> 0),
+ctx AS (SELECT row * ncols + col AS core_id, col * 4096 - 256 AS cl, row * 4096 - 256 AS cb,
+ CAST((least((col + 1) * 4096, xe) - col * 4096 + 512 + 255) // 256 AS BIGINT) AS w,
+ CAST((least((row + 1) * 4096, ye) - row * 4096 + 512 + 255) // 256 AS BIGINT) AS h
+ FROM (SELECT *, unnest(range(0, ncols)) AS col FROM (SELECT *, unnest(range(0, nrows)) AS row FROM grid))),
+near AS (SELECT q.*, cl, cb, w, h, unnest(range(greatest(CAST(floor((least(sy, ey) - 64 - cb) / 256) AS BIGINT), 0),
+ least(CAST(floor((greatest(sy, ey) + 64 - cb) / 256) AS BIGINT), h - 1) + 1)) AS y FROM q JOIN ctx USING (core_id)),
+pair AS (SELECT *, cl + (x + 0.5) * 256 AS gx, cb + (y + 0.5) * 256 AS gy, sqrt((ex-sx)**2 + (ey-sy)**2) AS len FROM (
+ SELECT *, unnest(range(greatest(CAST(ceil((least(sx, ex) - 64 - cl) / 256 - 0.5) AS BIGINT), 0),
+ least(CAST(floor((greatest(sx, ex) + 64 - cl) / 256 - 0.5) AS BIGINT), w - 1) + 1)) AS x FROM near)),
+proj AS (SELECT *, ((gx-sx)*(ex-sx) + (gy-sy)*(ey-sy)) / len AS a, (gx-sx)*nx + (gy-sy)*ny AS o FROM pair),
+chg AS (SELECT core_id, y, x, sum(1/(1+exp(-a/8)) * 1/(1+exp(-(len-a)/8)) * (1/(1+exp(-(d-o)/8)) - 1/(1+exp(o/8)))) AS c FROM proj GROUP BY 1, 2, 3)
+ SELECT core_id, count(*) AS changed, round(sum(least(greatest(0.5 + c, 0.0), 1.0)), 4) AS total FROM chg
+ WHERE abs(c) > 1e-9 GROUP BY 1"""
+
+
+@query(SOFT)
+def soft_edge_masks(spark, sf_dir):
+    """Half-covered tile canvases changed smoothly by moved segments within 64 units."""
+    g = T.grid(spark, sf_dir)
+    s = seg.memberships(segments(spark, sf_dir).withColumn("d", shift() / 4), g)
+    none = spark.range(0).select(F.col("id").alias("core_id"), F.lit(0).alias("y"), F.lit(0).alias("x"), F.lit(0.0).alias("value"))
+    corner = g.tiles(spark).select("core_id", "cl", "cb")
+    base = rounds.dense(none, g, PIXEL).withColumn("value", F.lit(0.5)).join(corner, "core_id")
+    out = pixels.soft_edge_raster(base, s, PIXEL, 8.0, 64.0)
+    return out.filter(F.abs(F.col("value") - 0.5) > 1e-9).groupBy("core_id").agg(
+        F.count("*").alias("changed"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(SEGS + f""" SELECT polygon_id, round(sum(greatest(least({SHIFT} / 2 + 3.0 * ((polygon_id + ord) % 3 - 1), 5.0), -5.0)), 6) AS d
+ FROM segments GROUP BY 1""")
+def proposed_shifts(spark, sf_dir):
+    """Next state of a round: direction times step, clipped, one writer per segment."""
+    s = segments(spark, sf_dir)
+    state = s.select(*SEGMENT_KEY, (shift() / 2).alias("d"))
+    scored = s.select(F.struct(*SEGMENT_KEY).alias("probe_id"),
+                      (F.pmod(F.col("polygon_id") + F.col("ord"), F.lit(3)) - 1).alias("direction"))
+    return rounds.propose(state, scored, 3.0, 5.0).groupBy("polygon_id").agg(F.round(F.sum("d"), 6).alias("d"))
+
+
+@query(SEGS + T.MEMBERS + """ SELECT core_id % ncols // 4 AS macro_id, count(*) AS members,
+ count(*) FILTER (WHERE owner_id = core_id) AS owned, count(DISTINCT core_id) AS tiles FROM membership GROUP BY 1""")
+def macro_totals(spark, sf_dir):
+    """Members, owned segments and active tiles per macro of four tile columns."""
+    g = T.grid(spark, sf_dir)
+    m = seg.memberships(segments(spark, sf_dir), g)
+    macro = tiling.floor_div(F.pmod(F.col("core_id"), F.lit(g.columns)), 4)
+    return m.groupBy(macro.alias("macro_id")).agg(
+        F.count("*").alias("members"), F.count_if(F.col("owner_id") == F.col("core_id")).alias("owned"),
+        F.count_distinct("core_id").alias("tiles"))
+
+
+@query()
+def update_rounds(spark, sf_dir):
+    """Two synchronised rounds over all polygons with an evaluator that prints the mask somewhat fainter."""
+    e = edges(spark, sf_dir).checkpoint()
+    g = T.grid(spark, sf_dir)
+    s = seg.owners(seg.prepare(e, T.CORNER, T.MAXIMUM), g).checkpoint()
+    conditions = F.explode(F.array(*[F.struct(F.lit(n).alias("condition"), F.lit(v).alias("shift")) for n, v in (
+        ("nominal", 0.0), ("dose_max", 0.04), ("defocus_min", -0.04))]))
+
+    def evaluate(mask):
+        return mask.withColumn("c", conditions).select(
+            "core_id", "c.condition", "y", "x", (F.col("value") * 0.7 + F.col("c.shift")).alias("value"))
+
+    # Polygons of all layers are one mask here.
+    e, s = (d.withColumn("layer", F.lit(0)) for d in (e, s))
+    settings = rounds.Settings(1, 8.0, 4, 200.0, PIXEL, T.CORNER, T.MAXIMUM, 12.0)
+    return rounds.run(e, s, g, settings, evaluate).rounds

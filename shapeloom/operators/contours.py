@@ -20,7 +20,7 @@ def ring_edges(shapes: DataFrame, keep=()) -> DataFrame:
     """One row per edge, with the previous vertex and the ring's area; no shuffle.
 
     Needs polygon_id and rings. Adds ring_id, is_hole, ord, n (edges in the ring), x0, y0,
-    x1, y1, px, py (start of the previous edge) and area2.
+    x1, y1, px, py (start of the previous edge), area2 and low (lowest y of the ring).
     """
     ring = F.col("ring")
 
@@ -34,8 +34,9 @@ def ring_edges(shapes: DataFrame, keep=()) -> DataFrame:
     rings = shapes.select(*keep, "polygon_id", F.posexplode("rings").alias("ring_id", "ring"))
     return (rings.select(*keep, "polygon_id", "ring_id", (F.col("ring_id") > 0).alias("is_hole"),
                          ring_area2(ring).alias("area2"),
+                         F.array_min(F.transform(ring, lambda p: p["y"])).alias("low"),
                          F.explode(F.transform(ring, edge)).alias("e"))
-            .select(*keep, "polygon_id", "ring_id", "is_hole", "area2", "e.*"))
+            .select(*keep, "polygon_id", "ring_id", "is_hole", "area2", "low", "e.*"))
 
 
 def edge_length() -> Column:

@@ -2,7 +2,7 @@
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shapeloom.errors import CapacityError
-from shapeloom.functions.scalars import floor_div
+from shapeloom.functions.scalars import floor_div, pin
 
 IMAGE = ("image_id",)
 
@@ -27,8 +27,7 @@ def nearest_resize(pixels: DataFrame, source, target, keys=IMAGE) -> DataFrame:
         after = -floor_div(-(F.col(index) + 1) * new, size)
         return F.when(first < after, F.sequence(first, after - 1))
 
-    out = pixels.select(*keys, "value", readers("y", h, th).alias("ys"), readers("x", w, tw).alias("xs"))
-    out = out.filter(F.col("ys").isNotNull() & F.col("xs").isNotNull())
+    out = pin(pixels, ys=readers("y", h, th), xs=readers("x", w, tw)).select(*keys, "value", "ys", "xs")
     return (out.withColumn("y", F.explode("ys")).withColumn("x", F.explode("xs"))
             .select(*keys, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "value"))
 
@@ -204,7 +203,8 @@ def soft_edge_raster(base: DataFrame, segments: DataFrame, pixel: int, temperatu
         q = q.join(corner, keys)
         lo = F.greatest(F.floor((F.least("sy", "ey") - reach - F.col("cb")) / pixel), F.lit(0))
         hi = F.least(F.floor((F.greatest("sy", "ey") + reach - F.col("cb")) / pixel), F.col("my"))
-        q = q.filter(lo <= hi).withColumn("y", F.explode(F.sequence(lo, hi)).cast("int")).drop("cb", "my")
+        rows = F.when(lo <= hi, F.sequence(lo.cast("int"), hi.cast("int")))
+        q = q.withColumn("y", F.explode(rows)).drop("cb", "my")
     both = p.select(*keys, "y", "x", "gx", "gy").join(q, [*keys, "y"])
     if reach is not None:
         both = both.filter((F.col("gx") >= F.least("sx", "ex") - reach) &

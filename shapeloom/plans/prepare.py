@@ -97,20 +97,26 @@ def still_tiles(tiles: DataFrame, members: DataFrame, state: DataFrame) -> DataF
     return tiles.join(moved_tiles(members, state), "core_id", "left_anti")
 
 
-def ring_base(edges: DataFrame) -> DataFrame:
-    """Add `base`, the lowest y of the edge's ring, for `region.ring_boxes`."""
+def ring_base(edges: DataFrame, margin: int = 0) -> DataFrame:
+    """Add `base`, a line at or below the edge's ring, for `region.ring_boxes`.
+
+    Edges that carry `low` (the lowest y of the source ring) need no shuffle; `margin` is
+    how far the ring may have moved since.
+    """
+    if "low" in edges.columns:
+        return edges.withColumn("base", F.col("low") - margin)
     low = edges.groupBy("polygon_id", "ring_id").agg(F.min(F.least("y0", "y1")).alias("base"))
     return edges.join(low, ["polygon_id", "ring_id"])
 
 
-def rebuilt_region(edges: DataFrame, keys=("layer",), **kw) -> DataFrame:
+def rebuilt_region(edges: DataFrame, keys=("layer",), margin: int = 0, **kw) -> DataFrame:
     """Disjoint rectangles of Manhattan contours given as edges with clockwise hulls."""
-    return region.union(region.ring_boxes(ring_base(edges), keys), keys=keys, **kw)
+    return region.union(region.ring_boxes(ring_base(edges, margin), keys), keys=keys, **kw)
 
 
-def escaped_holes(edges: DataFrame, **kw) -> DataFrame:
+def escaped_holes(edges: DataFrame, margin: int = 0, **kw) -> DataFrame:
     """Polygons with hole area outside their hull; edges carry is_hole."""
-    boxes = region.ring_boxes(ring_base(edges), ("polygon_id", "is_hole"))
+    boxes = region.ring_boxes(ring_base(edges, margin), ("polygon_id", "is_hole"))
     # Holes run the other way round, so their boxes count negative; turn them positive.
     hole = boxes.filter("is_hole").withColumn("w", -F.col("w"))
     hull = boxes.filter(~F.col("is_hole"))

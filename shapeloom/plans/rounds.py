@@ -70,7 +70,10 @@ def illegal(segments: DataFrame, edges: DataFrame, rebuilt: DataFrame, state: Da
         return True
     if not seg.ring_issues(edges, rebuilt).isEmpty():
         return True
-    return not prepare.escaped_holes(rebuilt, cell=settings.sweep_cell).isEmpty()
+    margin = -int(-settings.max_displacement * settings.miter // 1) + 1
+    holes = rebuilt.filter("is_hole").select("polygon_id").distinct()
+    affected = rebuilt.join(holes, "polygon_id", "left_semi")
+    return not prepare.escaped_holes(affected, margin, cell=settings.sweep_cell).isEmpty()
 
 
 def propose(current: DataFrame, scored: DataFrame, step: float, limit: float) -> DataFrame:
@@ -92,10 +95,11 @@ def run(edges: DataFrame, segments: DataFrame, grid: tiling.Grid, settings: Sett
     spark = segments.sparkSession
     owned = segments.filter("core_id >= 0")
     tiles = grid.tiles(spark)
-    cell = settings.sweep_cell
+    cell, margin = settings.sweep_cell, -int(-settings.max_displacement * settings.miter // 1) + 1
+    carried = [c for c in (*keys, "is_hole", "low") if c in segments.columns]
 
     def masks(e):
-        return dense(tile_masks(prepare.rebuilt_region(e, keys, cell=cell), grid,
+        return dense(tile_masks(prepare.rebuilt_region(e, keys, margin, cell=cell), grid,
                                 settings.pixel, keys), grid, settings.pixel).checkpoint()
 
     reference = masks(edges)
@@ -131,7 +135,7 @@ def run(edges: DataFrame, segments: DataFrame, grid: tiling.Grid, settings: Sett
         if moved:
             candidate = seg.reconstruct(
                 segments.join(following, SEGMENT_KEY), settings.corner, settings.maximum,
-                settings.miter, (*keys, "is_hole")).checkpoint()
+                settings.miter, carried).checkpoint()
             if illegal(segments, edges, candidate, following, settings):
                 rejected, following, candidate = moved, current, rebuilt
         records.append((iteration, float(step), totals["epe"], l2, band, totals["valid"],
