@@ -129,47 +129,76 @@ def topology_issues(edges: DataFrame) -> DataFrame:
 # --- ring assembly --------------------------------------------------------------------------
 
 def edge_successors(edges: DataFrame, keys=("layer",)) -> DataFrame:
-    """Directed Manhattan boundary edges with id, next_id and the previous vertex px, py.
+    """Directed Manhattan boundary edges with their neighbours on the ring.
 
-    Where two regions touch at a corner, two edges leave the vertex; turning right (towards
-    the covered side) keeps the regions apart. Edge ends are therefore matched on the
-    vertex and on the direction the right turn leaves in.
+    Adds px, py (start of the edge before), qx, qy (end of the edge after) and the outward
+    normal. Each vertex gathers its one or two arriving and leaving edges by sign of their
+    direction in a plain aggregate. Where two regions touch at a corner, turning right
+    (towards the covered side) keeps them apart.
     """
     keys = list(keys)
-    dx = F.signum((F.col("x1") - F.col("x0")).cast("double")).cast("int")
-    dy = F.signum((F.col("y1") - F.col("y0")).cast("double")).cast("int")
-    e = edges.withColumn("dx", dx).withColumn("dy", dy)
-    ident = F.struct(*keys, "x0", "y0", "x1", "y1")
-    e = e.withColumn("id", ident)
-    leave = (e.groupBy(*keys, "x0", "y0").agg(F.collect_list(F.struct("dx", "dy", "id")).alias("out"))
-             .withColumnsRenamed({"x0": "x1", "y0": "y1"}))   # one or two edges
-    turned = F.filter("out", lambda o: (o["dx"] == F.col("dy")) & (o["dy"] == -F.col("dx")))
-    arrive = e.join(leave, [*keys, "x1", "y1"])
-    arrive = arrive.select(
-        "id", F.when(F.size("out") == 1, F.col("out")[0]["id"])
-        .otherwise(F.get(turned, F.lit(0))["id"]).alias("next_id"))
-    before = arrive.select(F.col("next_id").alias("id"),
-                           F.col("id.x0").alias("px"), F.col("id.y0").alias("py"))
-    return e.drop("dx", "dy").join(arrive, "id").join(before, "id")
+    up = (F.col("x1") - F.col("x0") + F.col("y1") - F.col("y0")) > 0
+    ends = edges.select(*keys, F.explode(F.array(
+        F.struct(F.col("x0").alias("vx"), F.col("y0").alias("vy"), F.lit(True).alias("leaves"),
+                 up.alias("up"), F.col("x1").alias("x"), F.col("y1").alias("y")),
+        F.struct(F.col("x1").alias("vx"), F.col("y1").alias("vy"), F.lit(False).alias("leaves"),
+                 up.alias("up"), F.col("x0").alias("x"), F.col("y0").alias("y")))).alias("e"))
+    ends = ends.select(*keys, "e.*")
+
+    def end(name, leaves, rising):
+        hit = (F.col("leaves") == leaves) & (F.col("up") == rising)
+        return [F.max(F.when(hit, F.col(c))).alias(name + c) for c in ("x", "y")]
+
+    vertex = ends.groupBy(*keys, "vx", "vy").agg(
+        F.count_if(F.col("leaves")).alias("n"), *end("iu", False, True), *end("id", False, False),
+        *end("ou", True, True), *end("od", True, False))
+
+    def pair(a, c):
+        return F.struct(*[F.coalesce(*[F.col(n + x) for n in names]).alias(to + x)
+                          for names, to in ((a, "p"), (c, "q")) for x in ("x", "y")])
+
+    flat = F.col("iuy") == F.col("vy")
+    pairs = (F.when(F.col("n") == 1, F.array(pair(("iu", "id"), ("ou", "od"))))
+             .when(flat, F.array(pair(("iu",), ("od",)), pair(("id",), ("ou",))))
+             .otherwise(F.array(pair(("iu",), ("ou",)), pair(("id",), ("od",)))))
+    turns = vertex.select(*keys, "vx", "vy", F.explode(pairs).alias("t")).select(*keys, "vx", "vy", "t.*")
+    none = F.lit(None).cast("long")
+
+    def fact(x0, y0, x1, y1, px, py, qx, qy):
+        names = ("x0", "y0", "x1", "y1", "px", "py", "qx", "qy")
+        return F.struct(*[(F.col(c) if c else none).alias(n)
+                          for n, c in zip(names, (x0, y0, x1, y1, px, py, qx, qy))])
+
+    facts = turns.select(*keys, F.explode(F.array(
+        fact("px", "py", "vx", "vy", None, None, "qx", "qy"),
+        fact("vx", "vy", "qx", "qy", "px", "py", None, None))).alias("f")).select(*keys, "f.*")
+    out = facts.groupBy(*keys, "x0", "y0", "x1", "y1").agg(
+        *[F.max(c).alias(c) for c in ("px", "py", "qx", "qy")])
+    return (out.withColumn("nx", -F.signum((F.col("y1") - F.col("y0")).cast("double")) + 0.0)
+            .withColumn("ny", F.signum((F.col("x1") - F.col("x0")).cast("double"))))
 
 
 def assemble_rings(edges: DataFrame, keys=("layer",)) -> DataFrame:
-    """Add ring (a struct naming the smallest edge), ord and n to directed edges.
+    """Add ring (a BIGINT), ord and n to directed edges.
 
-    Pointer doubling: after k steps each edge knows the smallest edge among its next 2**k
-    and how far away it is; the number of joins is the logarithm of the longest ring.
+    Edges are numbered once they are written to the checkpoint folder. Pointer doubling:
+    after k steps each edge knows the smallest number among its next 2**k edges and how far
+    away it is, so the number of joins is the logarithm of the longest ring.
     """
-    linked = edge_successors(edges, keys).checkpoint()
-    state = linked.select("id", F.col("next_id").alias("jump"), F.col("id").alias("low"),
-                          F.lit(0).cast("long").alias("dist"))
+    keys = list(keys)
+    linked = edge_successors(edges, keys).withColumn("id", F.monotonically_increasing_id()).checkpoint()
+    after = linked.select(*keys, F.col("x0").alias("x1"), F.col("y0").alias("y1"),
+                          F.col("x1").alias("qx"), F.col("y1").alias("qy"), F.col("id").alias("jump"))
+    state = linked.select(*keys, "x1", "y1", "qx", "qy", "id").join(
+        after, [*keys, "x1", "y1", "qx", "qy"]).select(
+        "id", "jump", F.col("id").alias("low"), F.lit(0).cast("long").alias("dist"))
     hops = 1
     while True:
         far = state.select(F.col("id").alias("jump"), F.col("jump").alias("_j"),
                            F.col("low").alias("_l"), F.col("dist").alias("_d"))
         less = F.col("_l") < F.col("low")
         state = state.join(far, "jump").select(
-            "id", F.col("_j").alias("jump"),
-            F.when(less, F.col("_l")).otherwise(F.col("low")).alias("low"),
+            "id", F.col("_j").alias("jump"), F.least("_l", "low").alias("low"),
             F.when(less, F.col("_d") + hops).otherwise(F.col("dist")).alias("dist"),
             less.alias("moved")).checkpoint()
         hops *= 2
@@ -180,7 +209,7 @@ def assemble_rings(edges: DataFrame, keys=("layer",)) -> DataFrame:
     size = state.groupBy("ring").agg(F.count("*").alias("n"))
     return (linked.join(state, "id").join(size, "ring")
             .withColumn("ord", F.pmod(F.col("n") - F.col("dist"), F.col("n")))
-            .drop("id", "next_id", "dist"))
+            .drop("id", "dist", "qx", "qy"))
 
 
 def ring_summary(ringed: DataFrame, keys=("layer",)) -> DataFrame:
@@ -188,7 +217,8 @@ def ring_summary(ringed: DataFrame, keys=("layer",)) -> DataFrame:
     return ringed.groupBy(*keys, "ring").agg(
         F.sum(F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")).alias("area2"),
         F.min("x0").alias("l"), F.min("y0").alias("b"), F.max("x0").alias("r"),
-        F.max("y0").alias("t"), F.count("*").alias("n"), F.first("ring").alias("anchor"))
+        F.max("y0").alias("t"), F.count("*").alias("n"),
+        F.min(F.struct("x0", "y0")).alias("anchor"))
 
 
 def enclosing_hulls(ringed: DataFrame, keys=("layer",), cell: int = 4096) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from shapeloom.functions.scalars import floor_div
 
-CELL = 512
+CELL = 1024
 MAX_PIECES = 2048
 # Spans are joined in blocks of this many cells before they are joined over the layout.
 BLOCK = 256
@@ -134,7 +134,8 @@ def sweep(a: DataFrame, b: DataFrame | None = None, op: str = "union", *,
     cells = [*keys, "size", "cx", "cy"]
     # Slabs multiply the rows after this shuffle, so its tasks must not be merged by size.
     pieces = pieces.repartition(partitions or shuffle_partitions(a), *cells)
-    w = W.partitionBy(*cells)
+    # Sorts compare the first column fastest, so the most selective one leads everywhere.
+    w = W.partitionBy("cx", "cy", *keys, "size")
     cuts = F.array_union(F.collect_set("l").over(w), F.collect_set("r").over(w))
     pieces = pieces.withColumn("cuts", cuts)
     inner = F.sort_array(F.filter(
@@ -149,7 +150,7 @@ def sweep(a: DataFrame, b: DataFrame | None = None, op: str = "union", *,
     slabs = slabs.select(*cells, "lo", "hi", "wa", "wb",
                          F.col("z.x0").alias("l"), F.col("z.x1").alias("r"))
     hit = PREDICATES[op]
-    out = line_sweep(slabs, [*cells, "l"], [*cells, "l", "r"], ("wa", "wb"),
+    out = line_sweep(slabs, ["l", "cy", *keys, "size", "cx"], [*cells, "l", "r"], ("wa", "wb"),
                      lambda x, y: hit(x > 0, y > 0))
     return out.select(*cells, "l", F.col("lo").alias("b"), "r", F.col("hi").alias("t"))
 
@@ -209,7 +210,7 @@ def boundary_edges(rects: DataFrame, *, keys=("layer",), cell: int = CELL) -> Da
     only spans that reach a block border meet over the whole line.
     """
     keys = list(keys)
-    cells = [c for c in ("size", "cx", "cy") if c in rects.columns]
+    cells = [c for c in ("cx", "cy", "size") if c in rects.columns]
     sides = F.explode(F.array(*[
         F.struct(F.lit(h).alias("horizontal"), F.col(coord).alias("coord"), F.col(lo).alias("lo"),
                  F.col(hi).alias("hi"), F.lit(s).alias("s"))
@@ -218,7 +219,7 @@ def boundary_edges(rects: DataFrame, *, keys=("layer",), cell: int = CELL) -> Da
     spans = rects.select(*keys, *cells, sides.alias("e")).select(*keys, *cells, "e.*")
     line = [*keys, "horizontal", "coord"]
     if cells:
-        spans = line_sweep(spans, [*keys, *cells, "horizontal", "coord"], line)
+        spans = line_sweep(spans, ["coord", *cells, *keys, "horizontal"], line)
     width = cell * BLOCK
     spans = (spans.withColumn("_blk", floor_div("lo", width))
              .withColumn("_end", floor_div(F.col("hi") - 1, width)))
@@ -228,10 +229,10 @@ def boundary_edges(rects: DataFrame, *, keys=("layer",), cell: int = CELL) -> Da
                  .withColumn("lo", F.greatest("lo", F.col("_blk") * width))
                  .withColumn("hi", F.least("hi", (F.col("_blk") + 1) * width)))
     spans = spans.drop("_end").repartition(*line, "_blk")
-    spans = line_sweep(spans, [*line, "_blk"], line)
+    spans = line_sweep(spans, ["coord", "_blk", *keys, "horizontal"], line)
     at_border = (F.pmod("lo", F.lit(width)) == 0) | (F.pmod("hi", F.lit(width)) == 0)
     spans = spans.withColumn("_own", F.when(~at_border, F.col("lo")))
-    return line_sweep(spans, [*line, "_own"], line)
+    return line_sweep(spans, ["coord", "_own", *keys, "horizontal"], line)
 
 
 def directed_edges(edges: DataFrame, keys=("layer",)) -> DataFrame:

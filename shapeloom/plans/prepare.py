@@ -8,8 +8,7 @@ from shapeloom.schemas import SEGMENT_KEY
 def merged_edges(boxes: DataFrame, keys=("layer",), rings: bool = True, **kw) -> DataFrame:
     """Directed boundary edges of the merged shapes with outward normals.
 
-    With `rings`, adds polygon_id, ring_id (structs naming the smallest edge of the hull
-    and of the ring), is_hole, ord, n and the previous vertex; without, only the outline,
+    With `rings`, adds polygon_id and ring_id (numbers of the hull and of the ring), is_hole, ord, n and the previous vertex; without, only the outline,
     which needs no ring assembly.
     """
     rects = region.union(boxes, keys=keys, **kw)
