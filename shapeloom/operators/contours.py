@@ -1,4 +1,6 @@
 """Polygons as nested arrays of rings, their edges, checks, and ring assembly."""
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shapeloom.functions.scalars import floor_div
@@ -183,7 +185,9 @@ def assemble_rings(edges: DataFrame, keys=("layer",)) -> DataFrame:
 
     Edges are numbered once they are written to the checkpoint folder. Pointer doubling:
     after k steps each edge knows the smallest number among its next 2**k edges and how far
-    away it is, so the number of joins is the logarithm of the longest ring.
+    away it is. An edge that is the smallest of its window and meets itself again names a
+    complete ring, whose edges then leave the loop; so the later, rarer steps only carry
+    the long rings. Steps number the logarithm of the longest ring.
     """
     keys = list(keys)
     linked = edge_successors(edges, keys).withColumn("id", F.monotonically_increasing_id()).checkpoint()
@@ -191,27 +195,45 @@ def assemble_rings(edges: DataFrame, keys=("layer",)) -> DataFrame:
                           F.col("x1").alias("qx"), F.col("y1").alias("qy"), F.col("id").alias("jump"))
     state = linked.select(*keys, "x1", "y1", "qx", "qy", "id").join(
         after, [*keys, "x1", "y1", "qx", "qy"]).select(
-        "id", "jump", F.col("id").alias("low"), F.lit(0).cast("long").alias("dist"))
-    hops = 1
+        "id", "jump", F.col("id").alias("low"), F.lit(0).cast("long").alias("dist"),
+        F.lit(None).cast("long").alias("n"))
+    done, hops = [], 1
     while True:
-        far = state.select(F.col("id").alias("jump"), F.col("jump").alias("_j"),
-                           F.col("low").alias("_l"), F.col("dist").alias("_d"))
-        less = F.col("_l") < F.col("low")
-        state = state.join(far, "jump").select(
-            "id", F.col("_j").alias("jump"), F.least("_l", "low").alias("low"),
-            F.when(less, F.col("_d") + hops).otherwise(F.col("dist")).alias("dist"),
-            less.alias("moved")).checkpoint()
-        hops *= 2
-        if state.filter("moved").isEmpty():
+        for _ in range(3 if hops == 1 else 2):
+            state = _double(state, hops)
+            hops *= 2
+        state = state.checkpoint()
+        rings = state.filter("n is not null").select(F.col("id").alias("ring"), "n")
+        if not rings.isEmpty():
+            named = state.drop("n").join(rings, state["low"] == rings["ring"], "left")
+            named = named.checkpoint()
+            done.append(named.filter("ring is not null").select("id", "ring", "dist", "n"))
+            state = named.filter("ring is null").select(
+                "id", "jump", "low", "dist", F.lit(None).cast("long").alias("n"))
+            if state.isEmpty():
+                break
+        elif state.isEmpty():
             break
-        state = state.drop("moved")
-    state = state.select("id", F.col("low").alias("ring"), "dist")
-    size = state.groupBy("ring").agg(F.count("*").alias("n"))
-    return (linked.join(state, "id").join(size, "ring")
+    if not done:
+        done = [state.select("id", F.col("low").alias("ring"), "dist", "n")]
+    known = reduce(DataFrame.unionByName, done)
+    return (linked.join(known, "id")
             .withColumn("ord", F.pmod(F.col("n") - F.col("dist"), F.col("n")))
             .drop("id", "dist", "qx", "qy"))
 
 
+def _double(state: DataFrame, hops: int) -> DataFrame:
+    """One doubling step; n is set on the smallest edge of a ring when it meets itself."""
+    far = state.select(F.col("id").alias("jump"), F.col("jump").alias("_j"),
+                       F.col("low").alias("_l"), F.col("dist").alias("_d"))
+    less = F.col("_l") < F.col("low")
+    closed = (F.col("id") == F.col("low")) & (F.col("_l") == F.col("id"))
+    return state.join(far, "jump").select(
+        "id", F.col("_j").alias("jump"), F.least("_l", "low").alias("low"),
+        F.when(less, F.col("_d") + hops).otherwise(F.col("dist")).alias("dist"),
+        F.coalesce("n", F.when(closed, F.col("_d") + hops)).alias("n"))
+
+
 def ring_summary(ringed: DataFrame, keys=("layer",)) -> DataFrame:
     """Per ring: area2 (negative for hulls), bounding box, size and an anchor vertex."""
     return ringed.groupBy(*keys, "ring").agg(
