@@ -32,29 +32,35 @@ def grid_of(l, b, r, t):
     return Grid.from_cuts([l, l + (r - l) // 2, r], [b, b + (t - b) // 2, t], HALO)
 
 
-@pytest.mark.parametrize("name", CASES)
-def test_boolean_cases(spark, boxes, name):
-    plus, minus, want = CASES[name]
-    shape = boxes(*plus)
-    if minus:
-        first = region.difference(boxes(plus[0]), boxes(*minus)).select("layer", "l", "b", "r", "t")
-        shape = first.unionByName(boxes(*plus[1:]))
-    edges = prepare.merged_edges(shape).checkpoint()
-    cut = seg.owners(prepare.cut_edges(edges, CORNER, MAXIMUM), grid_of(
-        min(p[0] for p in plus), min(p[1] for p in plus),
-        max(p[2] for p in plus), max(p[3] for p in plus))).checkpoint()
-    grid = grid_of(min(p[0] for p in plus), min(p[1] for p in plus),
+def case_grid(name):
+    plus = CASES[name][0]
+    return grid_of(min(p[0] for p in plus), min(p[1] for p in plus),
                    max(p[2] for p in plus), max(p[3] for p in plus))
-    members = seg.memberships(cut.drop("core_id"), grid)
-    longest = cut.agg(F.max(F.hypot(F.col("ex") - F.col("sx"), F.col("ey") - F.col("sy")))).first()[0]
-    got = (edges.select("polygon_id").distinct().count(), edges.select("ring_id").distinct().count(),
-           edges.count(), cut.count(), members.count())
-    assert got == want[:5]
-    assert longest == pytest.approx(want[5], abs=1e-12)
-    assert cut.filter("core_id < 0").isEmpty()
+
+
+def test_boolean_cases(spark):
+    """All box cases at once, one layer each."""
+    names, schema = list(CASES), "layer int, l long, b long, r long, t long"
+    plus = [(i, *b) for i, n in enumerate(names) for b in CASES[n][0]]
+    first = [(i, *CASES[n][0][0]) for i, n in enumerate(names) if CASES[n][1]]
+    holes = [(i, *b) for i, n in enumerate(names) for b in CASES[n][1]]
+    cut_out = region.difference(spark.createDataFrame(first, schema), spark.createDataFrame(holes, schema))
+    rest = spark.createDataFrame([p for p in plus if p not in first], schema)
+    shape = cut_out.select("layer", "l", "b", "r", "t").unionByName(rest).checkpoint()
+    edges = prepare.merged_edges(shape).checkpoint()
+    cut = prepare.cut_edges(edges, CORNER, MAXIMUM).checkpoint()
+    counts = {r["layer"]: tuple(r)[1:] for r in edges.groupBy("layer").agg(
+        F.count_distinct("polygon_id"), F.count_distinct("ring_id"), F.count("*")).collect()}
+    sizes = {r["layer"]: (r["n"], r["longest"]) for r in cut.groupBy("layer").agg(
+        F.count("*").alias("n"), F.max(F.hypot(F.col("ex") - F.col("sx"), F.col("ey") - F.col("sy"))).alias("longest")).collect()}
+    for i, name in enumerate(names):
+        want, one = CASES[name][2], cut.filter(F.col("layer") == i)
+        assert (*counts[i], sizes[i][0], seg.memberships(one, case_grid(name)).count()) == want[:5]
+        assert sizes[i][1] == pytest.approx(want[5], abs=1e-12)
+        assert seg.owners(one, case_grid(name)).filter("core_id < 0").isEmpty()
     assert quality.parameter_issues(cut).isEmpty() and quality.normal_issues(cut).isEmpty()
-    rebuilt = seg.reconstruct(cut.withColumn("d", F.lit(0.0)), CORNER, MAXIMUM, keep=("layer", "is_hole"))
-    again = prepare.rebuilt_region(rebuilt)
+    rebuilt = seg.reconstruct(cut.withColumn("d", F.lit(0.0)), CORNER, MAXIMUM, keep=("layer", "is_hole")).checkpoint()
+    again = prepare.rebuilt_region(rebuilt).checkpoint()
     assert region.is_empty(region.symmetric_difference(again, shape))
     assert seg.ring_issues(edges, rebuilt).isEmpty()
     assert prepare.escaped_holes(rebuilt).isEmpty()

@@ -234,4 +234,13 @@ def test_rounds_reach_a_fixed_point_and_roll_back(spark, polygons):
     more = rounds.run(e, s, grid, rounds.Settings(iterations=1, max_displacement=8.0, **base), model(0.1))
     rows = more.rounds.orderBy("iteration").collect()
     assert more.stop_reason == "iteration_limit" and more.best_iteration == 0 and len(rows) == 2
+    # A thin bar asked to shrink past itself: the whole round is rolled back.
+    thin = contours.ring_edges(polygons([[(20, 20), (20, 80), (40, 80), (40, 20)]]), ("layer",)).checkpoint()
+    t = seg.owners(seg.prepare(thin, 10, 40), grid).checkpoint()
+    wide = dict(base, initial_step=15.0)
+    bad = rounds.run(thin, t, grid, rounds.Settings(iterations=2, max_displacement=15.0, **wide),
+                     lambda m: model(1.0)(m.withColumn("value", F.lit(1.0))))
+    last = bad.rounds.collect()
+    assert bad.stop_reason == "no_legal_update" and last[0]["rejected"] > 0 and last[0]["moved"] == 0
+    assert bad.best.filter("d <> 0").isEmpty()
     assert rows[0]["epe"] == rows[0]["valid"] and rows[0]["moved"] == rows[0]["epe"] and rows[0]["step"] == 4.0
