@@ -290,9 +290,12 @@ def touching_pairs(left: DataFrame, right: DataFrame, keys=("layer",), cell: int
 def tile_coverage(tiles: DataFrame, bounds) -> DataFrame:
     """One row: summed tile area, union area, overlap and gap against the bounds."""
     l, b, r, t = bounds
+    size = (F.col("r") - F.col("l")) * (F.col("t") - F.col("b"))
+    none = F.lit(0).cast("long")
     one = tiles.select(F.lit(0).alias("k"), "l", "b", "r", "t")
-    total = one.agg(F.sum((F.col("r") - F.col("l")) * (F.col("t") - F.col("b"))).alias("area_sum"))
-    merged = area(union(one, keys=("k",), cell=4096), ("k",)).select(F.col("area").alias("union_area"))
-    return total.crossJoin(merged).select(   # one row by one row
+    merged = union(one, keys=("k",), cell=4096)
+    return one.select(size.alias("s"), none.alias("u")).unionByName(
+        merged.select(none.alias("s"), size.alias("u"))).agg(
+        F.sum("s").alias("area_sum"), F.sum("u").alias("union_area")).select(
         "area_sum", "union_area", (F.col("area_sum") - F.col("union_area")).alias("overlap"),
         (F.lit((r - l) * (t - b)) - F.col("union_area")).alias("gap"))
