@@ -6,7 +6,7 @@ from catalog.region_queries import EDGE_SQL, ONE, area_sql, sweep_sql
 from catalog.registry import query
 from catalog.segment_queries import EDGES, SEGS, SHIFT, edges, segments, shift
 from catalog.shape_queries import ROI, roi
-from shapeloom.operators import contours, filters, metrics, pixels, raster, region, segments as seg, tiling
+from shapeloom.operators import contours, filters, pixels, raster, region, segments as seg, tiling
 from shapeloom.plans import prepare, rounds
 from shapeloom.schemas import SEGMENT_KEY
 

@@ -1,5 +1,4 @@
 """Set algebra on the driver tables."""
-from pyspark.sql import functions as F
 
 from catalog import tables as T
 from catalog.registry import query

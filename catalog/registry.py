@@ -1,14 +1,36 @@
 """A query function and its SQL are declared side by side."""
+import functools
+import tempfile
+
 QUERIES, ORACLES = {}, {}
 
 
+def ready(spark):
+    """Make sure checkpoints have a folder: the session's own, or in local mode a new one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    context.setCheckpointDir(folder)
+
+
 def query(sql=None):
     """Register a `(spark, sf_dir) -> DataFrame` function under its own name."""
     def register(fn):
         if fn.__name__ in QUERIES:
             raise ValueError(f"query {fn.__name__} is registered twice")
-        QUERIES[fn.__name__] = fn
+
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            ready(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[fn.__name__] = run
         if sql is not None:
             ORACLES[fn.__name__] = sql
-        return fn
+        return run
     return register

@@ -3,9 +3,8 @@ from pyspark.sql import functions as F
 
 from catalog import tables as T
 from catalog.registry import query
-from catalog.shape_queries import ROI, roi
 from shapeloom.functions.scalars import floor_div
-from shapeloom.operators import (capacity, contours, filters, quality, raster, region,
+from shapeloom.operators import (capacity, contours, quality, region,
                                  segments as seg, tiling)
 from shapeloom.plans import prepare
 from shapeloom.schemas import SEGMENT_KEY

@@ -4,7 +4,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shapeloom.functions.scalars import floor_div
-from shapeloom.schemas import EDGE_KEY
 
 
 def ring_area2(ring) -> Column:

@@ -2,7 +2,7 @@
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shapeloom.errors import CapacityError
-from shapeloom.functions.scalars import ceil_div, col, floor_div, quantise
+from shapeloom.functions.scalars import ceil_div, floor_div, quantise
 
 
 def check_size(box, pixel: int, limit: int) -> tuple[int, int]:
