@@ -2,8 +2,8 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, urlfilter, warc
-from .common import table
+from . import bpe, chat, fingerprints, nearest, neardup, packing, toxicity, urlfilter, warc
+from .common import held_out, table
 
 QUERIES, ORACLES = {}, {}
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -63,6 +63,19 @@ def op3_distinct_word_bpe(spark, sf_dir):
                                          F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def toxicity_model(spark, sf_dir):
+    """The model of op4 and of the pipeline: labels of documents outside the held-out fifth only."""
+    return toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=~held_out("doc_id"))
+
+
+@query()
+def op4_factorization_machine(spark, sf_dir):
+    """Every text scored for toxicity."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.scored(docs, toxicity_model(spark, sf_dir)).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
  h AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS d FROM p),
  b AS (SELECT *, list_aggregate(list_transform(range(0, 8), lambda g: list_aggregate(list_transform(range(0, 4), lambda k: substr(
@@ -78,6 +91,27 @@ def op5_warc(spark, sf_dir):
     return warc.read(spark, manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query()
+def op6_multiset_hash(spark, sf_dir):
+    """Every text and its edited text fingerprinted and compared."""
+    found = fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", fingerprints.readable(F.col("fingerprint")).alias("fingerprint"),
+                        fingerprints.readable(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query()
+def op7_cross_polytope(spark, sf_dir):
+    """The 20 nearest found of every vector whose id is divisible by 20."""
+    return nearest.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
+
+
+@query()
+def op8_hamming_join(spark, sf_dir):
+    """Near-duplicate groups of all documents at similarity 0.85 of five-word shingles."""
+    return neardup.groups(table(spark, sf_dir, "documents"), percent=85, size=5).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
 @query(r"""WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),

@@ -9,6 +9,8 @@ import pyarrow.compute as pc
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+# All ASCII characters but letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 CHUNK = 2 << 20
@@ -73,12 +75,12 @@ def pieces(batch, name, limit=CHUNK):
 class Words:
     """Words of a batch of texts: `start`, `end` (bytes), `doc` (row) and a 64-bit `hash` each."""
 
-    def __init__(self, data, offs, lower=True):
+    def __init__(self, data, offs, lower=True, blank=SEPARATOR):
         data = LOWER[data] if lower else data
         n = len(data)
         solid = np.empty(n + 2, bool)
         solid[0] = solid[-1] = False
-        solid[1:-1] = ~SEPARATOR[data]
+        solid[1:-1] = ~blank[data]
         cut = np.zeros(n + 1, bool)
         cut[offs] = True
         inside = solid[1:-1]
@@ -127,5 +129,5 @@ class Words:
         return np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=self.rows))]).astype(np.int64), h
 
 
-def of(batch, name, lower=True):
-    return Words(*buffer(batch.column(name)), lower=lower)
+def of(batch, name, lower=True, blank=SEPARATOR):
+    return Words(*buffer(batch.column(name)), lower=lower, blank=blank)
