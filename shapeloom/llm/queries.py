@@ -2,7 +2,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, nearest, neardup, packing, toxicity, urlfilter, warc
+from . import bpe, chat, fingerprints, nearest, neardup, packing, suffixes, toxicity, urlfilter, warc
 from .common import held_out, table
 
 QUERIES, ORACLES = {}, {}
@@ -22,7 +22,8 @@ def query(sql=None):
 @query()
 def op1_best_two_fit(spark, sf_dir):
     """Every document packed into sequences of at most 2048 tokens."""
-    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=2048, end=0)
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=2048,
+                          end=0, pattern=public_tokenizers.PATTERN)
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
@@ -112,6 +113,14 @@ def op8_hamming_join(spark, sf_dir):
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+@query()
+def op9_induced_suffix_sort(spark, sf_dir):
+    """Every text without the bytes of 200-byte strings that start elsewhere too."""
+    out = suffixes.cleaned(table(spark, sf_dir, "documents").select("doc_id", "text"), width=200)
+    return out.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"),
+                      F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
 @query(r"""WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
