@@ -204,11 +204,10 @@ def zero_shift_reconstruction(spark, sf_dir):
     """Without displacement the rebuilt region equals the source: area, and XOR area 0."""
     keys = ("polygon_id",)
     # One polygon per key, so no cell can be crowded.
-    back = prepare.rebuilt_region(rebuilt(spark, sf_dir, F.lit(0.0), ("low",)), keys, max_pieces=None)
-    source = prepare.rebuilt_region(edges(spark, sf_dir), keys, max_pieces=None)
+    back = prepare.rebuilt_region(rebuilt(spark, sf_dir, F.lit(0.0), ("low",)), keys)
+    source = prepare.rebuilt_region(edges(spark, sf_dir), keys)
     cols = ["polygon_id", "l", "b", "r", "t"]
-    xor = region.area(region.symmetric_difference(back.select(*cols), source.select(*cols), keys=keys,
-                                                  max_pieces=None), keys)
+    xor = region.area(region.symmetric_difference(back.select(*cols), source.select(*cols), keys=keys), keys)
     return region.area(source, keys).join(xor.withColumnRenamed("area", "xor_area"), "polygon_id", "left").select(
         "polygon_id", "area", F.coalesce("xor_area", F.lit(0)).alias("xor_area"))
 
@@ -232,7 +231,7 @@ def escaped_holes(spark, sf_dir):
     e = edges(spark, sf_dir)
     by = F.when(F.col("is_hole") & (F.col("polygon_id") % 3 == 0), 16).otherwise(0)
     moved = e.withColumn("x0", F.col("x0") + by).withColumn("x1", F.col("x1") + by)
-    return prepare.escaped_holes(moved, max_pieces=None)
+    return prepare.escaped_holes(moved)
 
 
 # --- patches, tiles, archives ------------------------------------------------------------------------------

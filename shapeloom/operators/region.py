@@ -1,19 +1,17 @@
 """Exact set algebra on boxes: union, intersection, difference, symmetric difference.
 
-Shapes are clipped to square sweep cells, so that the work of one task is bounded by a
-cell and not by the layout. Inside a cell the distinct x coordinates form slabs; each
-shape emits +1/-1 events on y for the slabs it spans, and a running sum per side tells
-where the requested predicate holds. Cells holding too many distinct shapes are split in
-sixteen until they are small, so a crowded spot is spread over many tasks.
+Shapes are clipped to sweep cells, so that the work of one task is bounded by a cell and not by
+the layout. Cells are narrow (an eighth of their height): inside a cell the distinct x coordinates,
+few by its width, form slabs; each shape emits +1/-1 events on y for the slabs it spans, and a
+running sum per side tells where the requested predicate holds. There is one plan for every
+input: copies of a box are merged on the map side, and one shuffle by cell serves all that follows.
 """
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from shapeloom.functions.scalars import floor_div
 
 CELL = 1024
-MAX_PIECES = 2048
+STRIPS = 8
 # Spans are joined in blocks of this many cells before they are joined over the layout.
 BLOCK = 256
 
@@ -29,16 +27,17 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _clip(boxes: DataFrame, size) -> DataFrame:
+def _clip(boxes: DataFrame, cell: int) -> DataFrame:
     """One row per (box, cell) with the box clipped to the cell."""
+    wide = max(1, cell // STRIPS)
     hi = F.col("r") - 1, F.col("t") - 1
     return (boxes
-            .withColumn("cx", F.explode(F.sequence(floor_div("l", size), floor_div(hi[0], size))))
-            .withColumn("cy", F.explode(F.sequence(floor_div("b", size), floor_div(hi[1], size))))
-            .withColumn("l", F.greatest("l", F.col("cx") * size))
-            .withColumn("r", F.least("r", (F.col("cx") + 1) * size))
-            .withColumn("b", F.greatest("b", F.col("cy") * size))
-            .withColumn("t", F.least("t", (F.col("cy") + 1) * size)))
+            .withColumn("cx", F.explode(F.sequence(floor_div("l", wide), floor_div(hi[0], wide))))
+            .withColumn("cy", F.explode(F.sequence(floor_div("b", cell), floor_div(hi[1], cell))))
+            .withColumn("l", F.greatest("l", F.col("cx") * wide))
+            .withColumn("r", F.least("r", (F.col("cx") + 1) * wide))
+            .withColumn("b", F.greatest("b", F.col("cy") * cell))
+            .withColumn("t", F.least("t", (F.col("cy") + 1) * cell)))
 
 
 def _merge(pieces: DataFrame, cols) -> DataFrame:
@@ -47,42 +46,9 @@ def _merge(pieces: DataFrame, cols) -> DataFrame:
             .filter(F.col("w") != 0))
 
 
-def cell_pieces(boxes: DataFrame, keys, cell: int = CELL,
-                max_pieces: int | None = MAX_PIECES, plain: bool = True) -> DataFrame:
-    """Distinct clipped boxes per cell; crowded cells are replaced by smaller ones.
-
-    Copies of a box are merged before anything is exploded. `plain` says that all weights
-    are positive. `max_pieces=None` skips the check for crowded cells.
-    """
-    box = [*keys, "side", "l", "b", "r", "t"]
-    cells = [*keys, "size", "cx", "cy"]
-    merged = _merge(boxes, box)
-    pieces = _clip(merged, cell).withColumn("size", F.lit(cell))
-    if max_pieces is None:
-        return pieces
-
-    def crowded(df):
-        return df.groupBy(*cells).count().filter(F.col("count") > max_pieces).drop("count")
-
-    if crowded(_clip(boxes.select(*box), cell).withColumn("size", F.lit(cell))).isEmpty():
-        return pieces
-    done, size = [], cell
-    while size > 1:
-        pieces = pieces.checkpoint()
-        hot = crowded(pieces).checkpoint()
-        if hot.isEmpty():
-            break
-        done.append(pieces.join(hot, cells, "left_anti"))
-        size = max(1, size // 4)
-        split = _clip(pieces.join(hot, cells, "left_semi").drop("cx", "cy", "size"), size)
-        pieces = _merge(split, [*box, "cx", "cy"]).withColumn("size", F.lit(size))
-        if plain:
-            # A shape filling its cell makes the other shapes of its side there redundant.
-            full = pieces.filter((F.col("r") - F.col("l") == size) &
-                                 (F.col("t") - F.col("b") == size))
-            rest = pieces.join(full.select(*cells, "side"), [*cells, "side"], "left_anti")
-            pieces = rest.unionByName(full)
-    return reduce(DataFrame.unionByName, [*done, pieces])
+def cell_pieces(boxes: DataFrame, keys, cell: int = CELL) -> DataFrame:
+    """Distinct boxes, clipped to their cells; copies are merged before anything is exploded."""
+    return _clip(_merge(boxes, [*keys, "side", "l", "b", "r", "t"]), cell)
 
 
 def line_sweep(spans: DataFrame, part, keep, weights=("s",), predicate=None) -> DataFrame:
@@ -113,16 +79,14 @@ def line_sweep(spans: DataFrame, part, keep, weights=("s",), predicate=None) ->
 
 
 def sweep(a: DataFrame, b: DataFrame | None = None, op: str = "union", *,
-          keys=("layer",), cell: int = CELL, max_pieces: int | None = MAX_PIECES,
-          partitions: int | None = None) -> DataFrame:
-    """Disjoint rectangles (keys, size, cx, cy, l, b, r, t) where the set predicate holds.
+          keys=("layer",), cell: int = CELL, partitions: int | None = None) -> DataFrame:
+    """Disjoint rectangles (keys, cx, cy, l, b, r, t) where the set predicate holds.
 
     Inputs need the key columns and l, b, r, t; an integer column `w` gives signed boxes,
     whose sum of weights must be positive exactly where the shape is. The result keeps its cell columns, so that
     later per-cell steps reuse the partitioning.
     """
     keys = list(keys)
-    plain = all(d is None or "w" not in d.columns for d in (a, b))
 
     def rows(df, side):
         weight = F.col("w") if "w" in df.columns else F.lit(1).cast("long")
@@ -130,12 +94,12 @@ def sweep(a: DataFrame, b: DataFrame | None = None, op: str = "union", *,
 
     both = rows(a, 0) if b is None else rows(a, 0).unionByName(rows(b, 1))
     both = both.filter((F.col("l") < F.col("r")) & (F.col("b") < F.col("t")))
-    pieces = cell_pieces(both, keys, cell, max_pieces, plain)
-    cells = [*keys, "size", "cx", "cy"]
-    # Slabs multiply the rows after this shuffle, so its tasks must not be merged by size.
-    pieces = pieces.repartition(partitions or shuffle_partitions(a), *cells)
+    # Exactly the keys of the windows below, so none of them shuffles again; slabs multiply the rows
+    # after this shuffle, so its tasks must not be merged by size.
+    cells = ["cx", "cy", *keys]
+    pieces = cell_pieces(both, keys, cell).repartition(partitions or shuffle_partitions(a), *cells)
     # Sorts compare the first column fastest, so the most selective one leads everywhere.
-    w = W.partitionBy("cx", "cy", *keys, "size")
+    w = W.partitionBy(*cells)
     cuts = F.array_union(F.collect_set("l").over(w), F.collect_set("r").over(w))
     pieces = pieces.withColumn("cuts", cuts)
     inner = F.sort_array(F.filter(
@@ -150,9 +114,9 @@ def sweep(a: DataFrame, b: DataFrame | None = None, op: str = "union", *,
     slabs = slabs.select(*cells, "lo", "hi", "wa", "wb",
                          F.col("z.x0").alias("l"), F.col("z.x1").alias("r"))
     hit = PREDICATES[op]
-    out = line_sweep(slabs, ["l", "cy", *keys, "size", "cx"], [*cells, "l", "r"], ("wa", "wb"),
+    out = line_sweep(slabs, ["l", *cells], [*cells, "l", "r"], ("wa", "wb"),
                      lambda x, y: hit(x > 0, y > 0))
-    return out.select(*cells, "l", F.col("lo").alias("b"), "r", F.col("hi").alias("t"))
+    return out.select(*keys, "cx", "cy", "l", F.col("lo").alias("b"), "r", F.col("hi").alias("t"))
 
 
 def union(boxes, **kw):
@@ -210,7 +174,7 @@ def boundary_edges(rects: DataFrame, *, keys=("layer",), cell: int = CELL) -> Da
     only spans that reach a block border meet over the whole line.
     """
     keys = list(keys)
-    cells = [c for c in ("cx", "cy", "size") if c in rects.columns]
+    cells = [c for c in ("cx", "cy") if c in rects.columns]
     sides = F.explode(F.array(*[
         F.struct(F.lit(h).alias("horizontal"), F.col(coord).alias("coord"), F.col(lo).alias("lo"),
                  F.col(hi).alias("hi"), F.lit(s).alias("s"))
@@ -255,16 +219,30 @@ def directed_edges(edges: DataFrame, keys=("layer",)) -> DataFrame:
         F.when(h, out).otherwise(0.0).alias("ny"))
 
 
+def slanted(edges: DataFrame) -> DataFrame:
+    """Edges that are neither horizontal nor vertical, which set operations do not take, as issues."""
+    name = [c for c in ("polygon_id", "ring_id", "ord") if c in edges.columns]
+    where = F.concat(F.lit("edge from "), F.format_string("(%s, %s)", F.col("x0"), F.col("y0")))
+    return edges.filter((F.col("x0") != F.col("x1")) & (F.col("y0") != F.col("y1"))).select(
+        F.lit("non_manhattan_edge").alias("code"), where.alias("message"), *name)
+
+
 def ring_boxes(edges: DataFrame, keys=("layer",)) -> DataFrame:
     """Signed boxes whose sum is the area enclosed by Manhattan rings, holes left out.
 
     Each horizontal edge becomes a box between it and the ring's lowest line: positive under
     an upper edge of the material, negative under a lower one. `edges` must have the
-    material on its right and carry `base`, a line at or below the whole ring.
+    material on its right and carry `base`, a line at or below the whole ring. A slanted edge is
+    refused while the boxes are computed; `slanted` lists them.
     """
-    return edges.filter(F.col("y0") == F.col("y1")).select(
+    straight = (F.col("x0") == F.col("x1")) | (F.col("y0") == F.col("y1"))
+    refused = F.raise_error(F.format_string("slanted edge from (%s, %s) in a set operation", F.col("x0"), F.col("y0")))
+    # The check is part of a column in use, so it is not optimised away.
+    top = F.when(straight, F.col("y0")).otherwise(refused.cast("long"))
+    edges = edges.filter(~straight | (F.col("y0") == F.col("y1")))
+    return edges.select(
         *keys, F.least("x0", "x1").alias("l"), F.col("base").alias("b"),
-        F.greatest("x0", "x1").alias("r"), F.col("y0").alias("t"),
+        F.greatest("x0", "x1").alias("r"), top.alias("t"),
         F.when(F.col("x1") > F.col("x0"), 1).otherwise(-1).cast("long").alias("w"))
 
 

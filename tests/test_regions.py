@@ -1,6 +1,7 @@
 """Set algebra, outlines and rings on hand fixtures; crowded cells; rasters."""
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from shapeloom.operators import contours, filters, raster, region
@@ -33,7 +34,7 @@ def test_keyhole_ring_becomes_a_hole(spark, polygons):
 
 
 def test_operations_against_unit_cells_with_crowded_cells(spark):
-    """A tiny piece limit forces cells to split again and again; copies are plentiful."""
+    """Narrow and wide cells give the same points; copies are plentiful."""
     rng = random.Random(3)
 
     def some(n):
@@ -51,19 +52,42 @@ def test_operations_against_unit_cells_with_crowded_cells(spark):
     da, db = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
     ca, cb = cells(a), cells(b)
     want = {"union": ca | cb, "intersection": ca & cb, "difference": ca - cb, "xor": ca ^ cb}
-    for op, limit in (("difference", 6), ("xor", None)):
-        got = region.sweep(da, db, op, cell=32, max_pieces=limit).collect()
+    for op in ("difference", "xor"):
+        got = region.sweep(da, db, op, cell=32).collect()
         points = [(x, y) for r in got for x in range(r["l"], r["r"]) for y in range(r["b"], r["t"])]
         assert len(points) == len(set(points)) and set(points) == want[op]
-    split = region.union(da.unionByName(db), cell=32, max_pieces=4).checkpoint()
+    split = region.union(da.unionByName(db), cell=32).checkpoint()
     assert areas(split) == {1: len(want["union"])}
     # The outline does not depend on how cells were split.
-    whole = region.union(da.unionByName(db), cell=512, max_pieces=None)
+    whole = region.union(da.unionByName(db), cell=512)
     one = region.boundary_edges(split, cell=32).collect()
-    two = region.boundary_edges(whole.drop("size", "cx", "cy")).collect()
+    two = region.boundary_edges(whole.drop("cx", "cy")).collect()
     assert {tuple(r) for r in one} == {tuple(r) for r in two} and len(one) == len(two)
 
 
+def test_crowded_cell_and_its_plan(spark):
+    """A hundred thousand distinct boxes in one cell; one shuffle between merging copies and the sweep."""
+    n = F.col("id")
+    b = spark.range(100_000).select(F.lit(1).alias("layer"), (n % 100).alias("l"), (F.floor(n / 100) % 900).alias("b"),
+                                    (n % 100 + 1 + F.floor(n / 90_000)).alias("r"), (F.floor(n / 100) % 900 + 1 + F.floor(n / 300)).alias("t"))
+    got = region.union(b)
+    import numpy as np
+    on = np.zeros((1300, 110), bool)
+    for r in b.distinct().toLocalIterator():
+        on[r["b"]:r["t"], r["l"]:r["r"]] = True
+    assert areas(got) == {1: int(on.sum())}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    after_merge = plan[:plan.index("HashAggregate")]
+    assert after_merge.count("Exchange hashpartitioning") == 1
+
+
+def test_slanted_edges_are_refused(spark, polygons):
+    e = contours.ring_edges(polygons([[(0, 5), (5, 10), (10, 5), (5, 0)]]), ("layer",)).withColumn("base", F.lit(0).cast("long"))
+    assert region.slanted(e).count() == 4
+    with pytest.raises(Exception, match="slanted edge"):
+        region.union(region.ring_boxes(e)).collect()
+
+
 def test_long_edges_cross_blocks(spark, boxes):
     long = boxes((-5, 0, 600, 3))
     edges = region.boundary_edges(region.union(long, cell=2), cell=2).collect()
