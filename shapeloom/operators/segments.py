@@ -116,32 +116,24 @@ def rank_in_group(df: DataFrame, group: str, order, block: int = 4096) -> DataFr
             .withColumn("rank", F.col("_rn") + F.col("_off")).drop("_rn", "_off", "_blk"))
 
 
-# Rings of up to this many edges are handled ring by ring; longer ones edge by edge.
-RING_EDGES = 4096
+def with_carriers(rows: DataFrame, is_last) -> DataFrame:
+    """Rows, and a copy of the last one of each edge addressed to the next edge of its ring.
 
+    The copy has seg_ord -1 and so precedes the rows of that edge: a window per edge sees what came
+    before on the closed ring, and no task holds a ring.
+    """
+    here = F.struct(F.col("ord").alias("o"), F.col("seg_ord").alias("s"))
+    onward = F.struct(F.pmod(F.col("ord") + 1, F.col("n")).cast("int").alias("o"), F.lit(-1).alias("s"))
+    both = rows.withColumn("_at", F.explode(F.when(is_last, F.array(here, onward)).otherwise(F.array(here))))
+    return both.withColumn("ord", F.col("_at.o")).withColumn("seg_ord", F.col("_at.s")).drop("_at")
 
-def previous_shift(segments: DataFrame, corner: float, maximum: float,
-                   ring_edges: int = RING_EDGES) -> DataFrame:
-    """Add dp, the shift of the segment before on the closed ring.
 
-    Rings of ordinary size use one window per ring. In longer rings the segment before is
-    known in closed form (the piece before on the edge, or the last piece of the previous
-    edge) and found by an equi-join, so that no task holds a whole ring.
-    """
-    w = W.partitionBy("polygon_id", "ring_id").orderBy("ord", "seg_ord")
-    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    near = segments.filter(F.col("n") <= ring_edges).withColumn(
-        "dp", F.coalesce(F.lag("d").over(w), F.last("d").over(whole)))
-    far = segments.filter(F.col("n") > ring_edges)
-    before = far.select("polygon_id", "ring_id", F.col("ord").alias("_o"),
-                        F.col("seg_ord").alias("_s"), F.col("d").alias("dp"))
-    first = F.col("seg_ord") == 0
-    back = F.hypot((F.col("x0") - F.col("px")).cast("double"), (F.col("y0") - F.col("py")).cast("double"))
-    far = far.withColumn("_o", F.when(first, F.pmod(F.col("ord") - 1, F.col("n"))).otherwise(F.col("ord")))
-    far = far.withColumn("_s", F.when(first, fragment_count(back, corner, maximum) - 1)
-                         .otherwise(F.col("seg_ord") - 1))
-    far = far.join(before, ["polygon_id", "ring_id", "_o", "_s"]).drop("_o", "_s")
-    return near.unionByName(far)
+def previous_shift(segments: DataFrame, corner: float, maximum: float) -> DataFrame:
+    """Add dp, the shift of the segment before on the closed ring: one shuffle, by edge."""
+    length = F.hypot((F.col("x1") - F.col("x0")).cast("double"), (F.col("y1") - F.col("y0")).cast("double"))
+    last = F.col("seg_ord") == fragment_count(length, corner, maximum) - 1
+    w = W.partitionBy("ord", "polygon_id", "ring_id").orderBy("seg_ord")
+    return with_carriers(segments, last).withColumn("dp", F.lag("d").over(w)).filter("seg_ord >= 0")
 
 
 def junctions(segments: DataFrame, miter: float = 4.0) -> DataFrame:
@@ -185,30 +177,22 @@ def junction_points(segments: DataFrame, corner: float, maximum: float,
 
 
 def reconstruct(segments: DataFrame, corner: float, maximum: float, miter: float = 4.0,
-                keep=(), ring_edges: int = RING_EDGES) -> DataFrame:
+                keep=()) -> DataFrame:
     """Edges of the moved contours (x0, y0) -> (x1, y1), repeated points left out.
 
-    The predecessor of a point comes from a window over its ring. In rings of more than
-    `ring_edges` edges it is found inside the edge, which always begins with a corner and
-    so with a point, or as the last point of the previous edge by an equi-join.
+    An edge always begins with a corner and so with a point. The predecessor of a point lies on the
+    same edge, or is the last point of the edge before, which is carried on to this one.
     """
-    ring, edge = ["polygon_id", "ring_id"], ["polygon_id", "ring_id", "ord"]
+    edge = ["polygon_id", "ring_id", "ord"]
     moved = previous_shift(segments.select(
         *dict.fromkeys([*keep, *edge, "n", "seg_ord", "x0", "y0", "x1", "y1", "px", "py", "nx", "ny", "t0", "d"])),
-        corner, maximum, ring_edges)
+        corner, maximum)
     pts = junctions(moved, miter).select(*keep, *edge, "n", "seg_ord", F.posexplode("pts").alias("k", "p"))
-    w = W.partitionBy(*ring).orderBy("ord", "seg_ord", "k")
-    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    near = pts.filter(F.col("n") <= ring_edges).withColumn(
-        "q", F.coalesce(F.lag("p").over(w), F.last("p").over(whole)))
-    far = pts.filter(F.col("n") > ring_edges)
-    inside = W.partitionBy(*edge).orderBy("seg_ord", "k")
-    last = far.groupBy(*edge).agg(
-        F.max_by("p", F.struct("seg_ord", "k")).alias("z"), F.first("n").alias("n"))
-    last = last.select(*ring, F.pmod(F.col("ord") + 1, F.col("n")).alias("ord"), "z")
-    far = far.withColumn("q", F.lag("p").over(inside)).join(last, edge)
-    far = far.withColumn("q", F.coalesce("q", "z")).drop("z")
-    return near.unionByName(far).filter(F.col("p") != F.col("q")).select(
+    w = W.partitionBy("ord", "polygon_id", "ring_id").orderBy("seg_ord", "k")
+    # Points are dealt by edge already; only the carried ones move.
+    pts = pts.withColumn("_last", F.lead("k").over(w).isNull())
+    pts = with_carriers(pts, F.col("_last")).withColumn("q", F.lag("p").over(w)).filter("seg_ord >= 0")
+    return pts.filter(F.col("p") != F.col("q")).select(
         *keep, *edge, "seg_ord", "k", F.col("q.x").alias("x0"), F.col("q.y").alias("y0"),
         F.col("p.x").alias("x1"), F.col("p.y").alias("y1"))
 

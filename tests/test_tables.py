@@ -204,14 +204,28 @@ def test_preflight_bounds_the_real_counts(spark, polygons):
     assert capacity.preflight(e, grid, 8, 25, 10).first()["reason"] == "too_many_bytes"
 
 
-def test_long_rings_use_the_join_path(spark, polygons):
+def test_long_rings_are_dealt_by_edge(spark, polygons):
     ring = [(230, 130), (140, 140), (150, 220), (210, 210)]
     hull = [(0, 0), (0, 90), (120, 90), (120, 40), (60, 40), (60, 0)]
     s = seg.prepare(contours.ring_edges(polygons([ring], [hull]), ("layer",)), 5, 20)
     s = s.withColumn("d", ((F.col("seg_ord") * 3 + F.col("ord")) % 4).cast("double"))
-    one = {tuple(r) for r in seg.reconstruct(s, 5, 20).collect()}
-    two = {tuple(r) for r in seg.reconstruct(s, 5, 20, ring_edges=1).collect()}
-    assert one == two and one
+    rows = sorted(seg.previous_shift(s, 5, 20).collect(), key=lambda r: (r["polygon_id"], r["ord"], r["seg_ord"]))
+    for p in (0, 1):
+        mine = [r for r in rows if r["polygon_id"] == p]
+        assert [r["dp"] for r in mine] == [mine[-1]["d"], *[r["d"] for r in mine[:-1]]]
+    out = seg.reconstruct(s, 5, 20).collect()
+    ends = {(r["polygon_id"], r["x1"], r["y1"]) for r in out}
+    assert ends == {(r["polygon_id"], r["x0"], r["y0"]) for r in out} and len(out) > 10
+    # A comb of a hundred thousand edges is one ring.
+    n = 25_000
+    k = F.col("id")
+    comb = spark.range(4 * n).select(
+        F.lit(0).cast("long").alias("polygon_id"), F.lit(0).alias("ring_id"), k.cast("int").alias("ord"), F.lit(4 * n).alias("n"),
+        (k * 10).alias("x0"), (F.pmod(k, F.lit(2)) * 10).alias("y0"), (k * 10 + 10).alias("x1"), (F.pmod(k + 1, F.lit(2)) * 10).alias("y1"),
+        (k * 10 - 10).alias("px"), (F.pmod(k + 1, F.lit(2)) * 10).alias("py"), F.lit(0.0).alias("nx"), F.lit(1.0).alias("ny"),
+        F.lit(0).alias("seg_ord"), F.lit(0.0).alias("t0"), F.lit(1.0).alias("t1"), (k % 7).cast("double").alias("d"))
+    got = seg.previous_shift(comb, 5, 20)
+    assert got.count() == 4 * n and got.filter("ord > 0 and dp <> pmod(ord - 1, 7)").isEmpty()
 
 
 def test_rounds_reach_a_fixed_point_and_roll_back(spark, polygons):
