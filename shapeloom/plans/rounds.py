@@ -1,19 +1,22 @@
 """Synchronised update rounds over owned segments.
 
-Every tile of a round reads the same state. New shifts become visible only after the whole
-round is scored and the moved contours are legal; otherwise the round is rolled back. The
-loop on the driver only plans jobs and keeps one record per round; states are written to
-the checkpoint folder, so a lost executor never loses a round.
+All tiles of a round see the same contours. A round is scored, then a change of all shifts is
+proposed and checked as a whole; only a legal change is published. Rounds are rows of the `rounds`
+table, from which the best round and the reason to stop are read with the functions that users
+have for such tables. The driver keeps one row per round; states lie in the checkpoint folder.
 """
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
-from shapeloom.operators import metrics, quality, raster, segments as seg, tiling
+from shapeloom.errors import LayoutError
+from shapeloom.operators import metrics, quality, raster, region, segments as seg, tiling
 from shapeloom.plans import prepare
 from shapeloom.schemas import ROUNDS, SEGMENT_KEY
 
+TILE = ("core_id",)
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -28,6 +31,18 @@ class Settings:
     miter: float = 4.0
     threshold: float = 0.5
     sweep_cell: int = 512
+    nominal: str = "nominal"
+    high: str = "dose_max"
+    low: str = "defocus_min"
+
+    def step(self, iteration: int) -> float:
+        """Step of a round; the last one only scores."""
+        return self.initial_step * 0.5 ** (iteration // self.decay_every) if iteration < self.iterations else 0.0
+
+    @property
+    def margin(self) -> int:
+        """How far a contour may reach beyond its reference, in whole units."""
+        return -int(-self.max_displacement * self.miter // 1) + 1
 
 
 @dataclass(frozen=True)
@@ -38,6 +53,28 @@ class Result:
     stop_reason: str
 
 
+@dataclass(frozen=True)
+class State:
+    """What a round sees: the shift of every segment, the contours they make, and their mask."""
+    shifts: DataFrame
+    contours: DataFrame
+    mask: DataFrame
+
+
+@dataclass(frozen=True)
+class Problem:
+    """The reference contours and all that stays the same from round to round."""
+    edges: DataFrame
+    segments: DataFrame
+    grid: tiling.Grid
+    settings: Settings
+    evaluate: Callable[[DataFrame], DataFrame]
+    keys: tuple
+    field: DataFrame | None
+    target: DataFrame
+    probes: DataFrame
+
+
 def local_probes(owned: DataFrame, grid: tiling.Grid, distance: float, pixel: int) -> DataFrame:
     """Probes of owned segments in the pixel coordinates of their tile's context."""
     tiles = grid.describe(owned.select("core_id").distinct()).select("core_id", "cl", "cb")
@@ -70,10 +107,9 @@ def illegal(segments: DataFrame, edges: DataFrame, rebuilt: DataFrame, state: Da
         return True
     if not seg.ring_issues(edges, rebuilt).isEmpty():
         return True
-    margin = -int(-settings.max_displacement * settings.miter // 1) + 1
     holes = rebuilt.filter("is_hole").select("polygon_id").distinct()
     affected = rebuilt.join(holes, "polygon_id", "left_semi")
-    return not prepare.escaped_holes(affected, margin, cell=settings.sweep_cell).isEmpty()
+    return not prepare.escaped_holes(affected, settings.margin, cell=settings.sweep_cell).isEmpty()
 
 
 def propose(current: DataFrame, scored: DataFrame, step: float, limit: float) -> DataFrame:
@@ -84,70 +120,70 @@ def propose(current: DataFrame, scored: DataFrame, step: float, limit: float) ->
         *SEGMENT_KEY, F.greatest(F.least(d, F.lit(limit)), F.lit(-limit)).alias("d"))
 
 
+def mask_of(contours: DataFrame, grid: tiling.Grid, settings: Settings, keys, field: DataFrame | None) -> DataFrame:
+    """Mask pixels of the region inside the contours; with a field, of the field outside them (opaque)."""
+    rects = prepare.rebuilt_region(contours, keys, settings.margin, cell=settings.sweep_cell)
+    if field is not None:
+        rects = region.polarity_complement(rects, field, keys=keys, cell=settings.sweep_cell)
+    return dense(tile_masks(rects, grid, settings.pixel, keys), grid, settings.pixel).checkpoint()
+
+
+def score_round(problem: Problem, state: State) -> tuple[Row, DataFrame]:
+    """Totals of a state over owned pixels and probes, and its scored probes."""
+    s, tiles = problem.settings, problem.grid.tiles(state.mask.sparkSession)
+    printed = problem.evaluate(state.mask).checkpoint()
+    if not metrics.check_conditions(printed, (*TILE, "y", "x")).isEmpty():
+        raise LayoutError("a condition is given twice for a pixel")
+    shown = raster.owned_pixels(printed, tiles, s.pixel)
+    nominal = F.col("condition") == s.nominal
+    probes = metrics.edge_probes(problem.probes, problem.target, printed.filter(nominal), s.threshold, TILE).checkpoint()
+    l2 = metrics.binary_mismatch(raster.owned_pixels(problem.target, tiles, s.pixel), shown.filter(nominal), s.threshold, TILE, ())
+    band = metrics.process_band(shown, s.high, s.low, s.threshold, TILE, ())
+    return metrics.probe_totals(probes).crossJoin(l2).crossJoin(band).first(), probes
+
+
+def advance(problem: Problem, state: State, probes: DataFrame, step: float) -> tuple[State | None, int]:
+    """The state after a change of `step`, None unless legal, and the number of shifts that change."""
+    s = problem.settings
+    if not quality.double_writes(probes.select("probe_id.*")).isEmpty():
+        raise LayoutError("two tiles own one segment")
+    shifts = propose(state.shifts, probes, step, s.max_displacement).checkpoint()
+    before = state.shifts.withColumnRenamed("d", "was")
+    changed = shifts.join(before, SEGMENT_KEY).filter(F.abs(F.col("d") - F.col("was")) > 1e-12).count()
+    if not changed:
+        return None, 0
+    keep = [c for c in (*problem.keys, "is_hole", "low") if c in problem.segments.columns]
+    contours = seg.reconstruct(problem.segments.join(shifts, SEGMENT_KEY), s.corner, s.maximum, s.miter, keep).checkpoint()
+    if illegal(problem.segments, problem.edges, contours, shifts, s):
+        return None, changed
+    return State(shifts, contours, mask_of(contours, problem.grid, s, problem.keys, problem.field)), changed
+
+
 def run(edges: DataFrame, segments: DataFrame, grid: tiling.Grid, settings: Settings,
-        evaluate: Callable[[DataFrame], DataFrame], keys=("layer",)) -> Result:
+        evaluate: Callable[[DataFrame], DataFrame], keys=("layer",), field: DataFrame | None = None) -> Result:
     """Score, move, check and publish until nothing is left to do.
 
-    `edges` and `segments` are the reference contours (segments with normals, endpoints
-    and core_id). `evaluate` maps mask pixels (core_id, y, x, value) to printed pixels
-    (core_id, condition, y, x, value) with the conditions nominal, dose_max, defocus_min.
+    `edges` and `segments` are the reference contours (segments with normals, endpoints and
+    core_id). `evaluate` maps mask pixels (core_id, y, x, value) to printed pixels (core_id,
+    condition, y, x, value); Settings names the conditions. With `field` (boxes), the shapes are
+    opaque: the mask is the field without them, and segments carry inward normals.
     """
     spark = segments.sparkSession
-    owned = segments.filter("core_id >= 0")
-    tiles = grid.tiles(spark)
-    cell, margin = settings.sweep_cell, -int(-settings.max_displacement * settings.miter // 1) + 1
-    carried = [c for c in (*keys, "is_hole", "low") if c in segments.columns]
-
-    def masks(e):
-        return dense(tile_masks(prepare.rebuilt_region(e, keys, margin, cell=cell), grid,
-                                settings.pixel, keys), grid, settings.pixel).checkpoint()
-
-    reference = masks(edges)
-    target = raster.quantised(reference).withColumn("value", F.col("value") / 255.0)
-    target_owned = raster.owned_pixels(target, tiles, settings.pixel).checkpoint()
-    probes = local_probes(owned, grid, settings.probe_distance, settings.pixel).checkpoint()
-    current = segments.select(*SEGMENT_KEY, F.lit(0.0).alias("d")).checkpoint()
-    mask, rebuilt = reference, edges
-    best, best_epe, best_iteration, reason, records = current, None, 0, "iteration_limit", []
-    core = ("core_id",)
-    for iteration in range(settings.iterations + 1):
-        more = iteration < settings.iterations
-        step = settings.initial_step * 0.5 ** (iteration // settings.decay_every) if more else 0.0
-        printed = evaluate(mask).checkpoint()
-        shown = raster.owned_pixels(printed, tiles, settings.pixel)
-        nominal = printed.filter("condition = 'nominal'")
-        l2 = metrics.binary_mismatch(target_owned, shown.filter("condition = 'nominal'"),
-                                     settings.threshold, core, ()).first()[0]
-        band = metrics.process_band(shown, "dose_max", "defocus_min", settings.threshold,
-                                    core, ()).first()[0]
-        scored = metrics.edge_probes(probes, target, nominal, settings.threshold, core).checkpoint()
-        totals = metrics.probe_totals(scored).first()
-        if best_epe is None or totals["epe"] < best_epe:
-            best, best_epe, best_iteration = current, totals["epe"], iteration
-        moved = rejected = 0
-        following, candidate = current, rebuilt
-        if more:
-            following = propose(current, scored, step, settings.max_displacement).checkpoint()
-            if not quality.double_writes(scored.select("probe_id.*")).isEmpty():
-                raise RuntimeError("a segment was written by two tiles in one round")
-            old = current.withColumnRenamed("d", "was")
-            moved = following.join(old, SEGMENT_KEY).filter(F.abs(F.col("d") - F.col("was")) > 1e-12).count()
-        if moved:
-            candidate = seg.reconstruct(
-                segments.join(following, SEGMENT_KEY), settings.corner, settings.maximum,
-                settings.miter, carried).checkpoint()
-            if illegal(segments, edges, candidate, following, settings):
-                rejected, following, candidate = moved, current, rebuilt
-        records.append((iteration, float(step), totals["epe"], l2, band, totals["valid"],
-                        totals["ambiguous"], moved - rejected, rejected))
-        if totals["epe"] == 0:
-            reason = "zero_epe"
-            break
-        if not more:
-            break
-        if moved == rejected:
-            reason = "no_legal_update"
-            break
-        current, rebuilt = following, candidate
-        mask = masks(rebuilt)
-    return Result(best, spark.createDataFrame(records, ROUNDS), best_iteration, reason)
+    mask = mask_of(edges, grid, settings, keys, field)
+    problem = Problem(
+        edges, segments, grid, settings, evaluate, tuple(keys), field,
+        raster.quantised(mask).withColumn("value", F.col("value") / 255.0).checkpoint(),
+        local_probes(segments.filter("core_id >= 0"), grid, settings.probe_distance, settings.pixel).checkpoint())
+    state = State(segments.select(*SEGMENT_KEY, F.lit(0.0).alias("d")).checkpoint(), edges, mask)
+    history, seen = [], []
+    while state is not None:
+        totals, probes = score_round(problem, state)
+        step = settings.step(len(history))
+        after, changed = advance(problem, state, probes, step) if step and totals["epe"] else (None, 0)
+        seen.append(state.shifts)
+        history.append((len(history), step, totals["epe"], totals["l2"], totals["pvband"], totals["valid"],
+                        totals["ambiguous"], changed if after else 0, 0 if after else changed))
+        state = after
+    rounds = spark.createDataFrame(history, ROUNDS)
+    best = metrics.best_round(rounds).first()["iteration"]
+    return Result(seen[best], rounds, best, metrics.stop_reason(rounds, settings.iterations).first()["reason"])
