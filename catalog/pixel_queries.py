@@ -16,8 +16,8 @@ def nominal(spark, sf_dir):
 NOMINAL = ", nominal AS (SELECT * FROM printed WHERE condition = 'nominal')"
 
 
-@query(PRI + NOMINAL + """ SELECT p.image_id, count(*) FILTER (WHERE (n.value >= 0.0) <> (p.value >= 0.0)) AS l2
- FROM pixels p JOIN nominal n USING (image_id, y, x) GROUP BY 1""")
+@query(PRI + NOMINAL + """ SELECT image_id, count(*) FILTER (WHERE (coalesce(n.value, 0.0) >= 0.0) <> (coalesce(p.value, 0.0) >= 0.0)) AS l2
+ FROM pixels p FULL JOIN nominal n USING (image_id, y, x) GROUP BY 1""")
 def binary_mismatch(spark, sf_dir):
     return metrics.binary_mismatch(T.pixels(spark, sf_dir), nominal(spark, sf_dir), 0.0)
 
@@ -29,13 +29,12 @@ def process_band(spark, sf_dir):
     return metrics.process_band(T.printed(spark, sf_dir), "dose_max", "defocus_min", 0.0)
 
 
-SCORED = PRI + NOMINAL + T.PROBES + """, looked AS (SELECT q.*, ti.value AS ti, t_o.value AS t_o, pi.value AS pi, po.value AS po
- FROM probes q
- LEFT JOIN pixels ti ON ti.image_id = q.image_id AND ti.x = inner_x AND ti.y = inner_y
- LEFT JOIN pixels t_o ON t_o.image_id = q.image_id AND t_o.x = outer_x AND t_o.y = outer_y
- LEFT JOIN nominal pi ON pi.image_id = q.image_id AND pi.x = inner_x AND pi.y = inner_y
- LEFT JOIN nominal po ON po.image_id = q.image_id AND po.x = outer_x AND po.y = outer_y),
-judged AS (SELECT *, coalesce(pi IS NOT NULL AND po IS NOT NULL AND ti >= 0.0 AND t_o < 0.0, FALSE) AS valid FROM looked),
+SCORED = PRI + NOMINAL + T.PROBES + """, either AS (SELECT image_id, y, x, coalesce(p.value, 0.0) AS a, coalesce(n.value, 0.0) AS c
+ FROM pixels p FULL JOIN nominal n USING (image_id, y, x)),
+looked AS (SELECT q.*, i.a AS ti, o.a AS t_o, i.c AS pi, o.c AS po FROM probes q
+ LEFT JOIN either i ON i.image_id = q.image_id AND i.x = inner_x AND i.y = inner_y
+ LEFT JOIN either o ON o.image_id = q.image_id AND o.x = outer_x AND o.y = outer_y),
+judged AS (SELECT *, coalesce(ti >= 0.0 AND t_o < 0.0, FALSE) AS valid FROM looked),
 scored AS (SELECT probe_id, image_id, valid, valid AND pi < 0.0 AS i, valid AND po >= 0.0 AS o FROM judged)"""
 
 
@@ -91,12 +90,14 @@ def rectangle_shots_resized(spark, sf_dir):
 
 @query(PRI + NOMINAL + """, m AS (SELECT image_id, y, x, max(value) AS hi, min(value) AS lo FROM printed
  WHERE condition <> 'nominal' GROUP BY 1, 2, 3),
- a AS (SELECT image_id, sum((n.value - p.value) ** 2) AS nominal_l2 FROM pixels p JOIN nominal n USING (image_id, y, x) GROUP BY 1),
- b AS (SELECT image_id, sum((c.value - p.value) ** 2) AS process_l2 FROM pixels p JOIN printed c USING (image_id, y, x)
+ a AS (SELECT image_id, sum((coalesce(n.value, 0.0) - coalesce(p.value, 0.0)) ** 2) AS nominal_l2
+ FROM pixels p FULL JOIN nominal n USING (image_id, y, x) GROUP BY 1),
+ b AS (SELECT image_id, sum((c.value - coalesce(p.value, 0.0)) ** 2) AS process_l2 FROM printed c LEFT JOIN pixels p USING (image_id, y, x)
  WHERE condition <> 'nominal' GROUP BY 1),
- c AS (SELECT image_id, sum((hi - lo) ** 2) AS pvband FROM m JOIN pixels USING (image_id, y, x) GROUP BY 1)
- SELECT image_id, round(nominal_l2, 6) AS nominal_l2, round(process_l2, 6) AS process_l2, round(pvband, 6) AS pvband,
- round(nominal_l2 + 0.5 * process_l2 + 2.0 * pvband, 6) AS total FROM a JOIN b USING (image_id) JOIN c USING (image_id)""")
+ c AS (SELECT image_id, sum((hi - lo) ** 2) AS pvband FROM m GROUP BY 1)
+ SELECT image_id, round(nominal_l2, 6) AS nominal_l2, round(coalesce(process_l2, 0.0), 6) AS process_l2, round(coalesce(pvband, 0.0), 6) AS pvband,
+ round(nominal_l2 + 0.5 * coalesce(process_l2, 0.0) + 2.0 * coalesce(pvband, 0.0), 6) AS total
+ FROM a LEFT JOIN b USING (image_id) LEFT JOIN c USING (image_id)""")
 def continuous_losses(spark, sf_dir):
     out = metrics.loss_terms(T.pixels(spark, sf_dir), T.printed(spark, sf_dir), "nominal", (0.5, 2.0))
     return out.select("image_id", *[F.round(c, 6).alias(c) for c in ("nominal_l2", "process_l2", "pvband", "total")])
@@ -105,8 +106,9 @@ def continuous_losses(spark, sf_dir):
 @query(PRI + """, v AS (SELECT image_id, y, x, max(value) FILTER (WHERE condition = 'nominal') AS n,
  max(value) FILTER (WHERE condition = 'dose_max') AS h, max(value) FILTER (WHERE condition = 'defocus_min') AS w
  FROM printed GROUP BY 1, 2, 3)
- SELECT round(sum((n - p.value) ** 2) / count(*), 9) AS l2, round(sum((h - w) ** 2) / count(*), 9) AS pvband
- FROM v JOIN pixels p USING (image_id, y, x)""")
+ SELECT round(sum((coalesce(n, 0.0) - coalesce(p.value, 0.0)) ** 2) / count(*), 9) AS l2,
+ round(sum((coalesce(h, 0.0) - coalesce(w, 0.0)) ** 2) / count(*), 9) AS pvband
+ FROM v FULL JOIN pixels p USING (image_id, y, x)""")
 def pixel_normalised_losses(spark, sf_dir):
     out = metrics.owned_loss(T.pixels(spark, sf_dir), T.printed(spark, sf_dir), "dose_max", "defocus_min", "nominal")
     return out.select(F.round("l2", 9).alias("l2"), F.round("pvband", 9).alias("pvband"))
@@ -203,8 +205,9 @@ def signed_distances(spark, sf_dir):
     return out.withColumn("value", F.round("value", 9))
 
 
-@query(PRI + NOMINAL + """ SELECT image_id, p.y, p.x, round(p.value * w + n.value * (1.0 - w), 9) AS value FROM
- (SELECT *, (x + y) % 5 / 4.0 AS w FROM pixels) p JOIN nominal n USING (image_id, y, x)""")
+@query(PRI + NOMINAL + """ SELECT image_id, y, x, round(coalesce(p.value, 0.0) * coalesce(w, 0.0)
+ + coalesce(n.value, 0.0) * (1.0 - coalesce(w, 0.0)), 9) AS value FROM
+ (SELECT *, (x + y) % 5 / 4.0 AS w FROM pixels) p FULL JOIN nominal n USING (image_id, y, x)""")
 def blended_images(spark, sf_dir):
     """Movable pixels and fixed pixels mixed by a mask in [0, 1]."""
     p = T.pixels(spark, sf_dir)

@@ -42,10 +42,10 @@ def preflight(edges: DataFrame, grid: tiling.Grid, corner: float, maximum: float
 
 
 def verdict(total: DataFrame, budget: int) -> DataFrame:
-    """Add accepted and reason; also used on the real counts after preparing."""
-    ids_ok = (F.col("segments") <= INT32_MAX) & (F.col("memberships") <= INT32_MAX)
+    """Add accepted and reason, judged by bytes; ids are 64-bit, and whether 32 bits would do is told
+    beside. Also used on the real counts after preparing."""
+    small = (F.col("segments") <= INT32_MAX) & (F.col("memberships") <= INT32_MAX)
     memory_ok = F.greatest("prepare_bytes", "solver_bytes") <= budget
-    return total.select("*", (ids_ok & memory_ok).alias("accepted"),
-                        F.when(~ids_ok, "too_many_ids").when(~memory_ok, "too_many_bytes")
-                        .otherwise("ok").alias("reason"),
-                        F.lit(min(INT32_MAX, budget // 32)).cast("long").alias("membership_limit"))
+    return total.select("*", memory_ok.alias("accepted"),
+                        F.when(~memory_ok, "too_many_bytes").otherwise("ok").alias("reason"),
+                        F.lit(budget // 32).cast("long").alias("membership_limit"), small.alias("fits_32_bit_ids"))

@@ -31,14 +31,21 @@ def top_cell(cells: DataFrame, instances: DataFrame, name: str | None = None) ->
     return found[0]
 
 
-def expand_arrays(instances: DataFrame) -> DataFrame:
-    """One row per array element with its own shift (dx, dy)."""
-    return (instances
-            .withColumn("_i", F.explode(F.sequence(F.lit(0), F.greatest(F.col("na"), F.lit(1)) - 1)))
-            .withColumn("_j", F.explode(F.sequence(F.lit(0), F.greatest(F.col("nb"), F.lit(1)) - 1)))
+def expand_arrays(instances: DataFrame, block: int = 4096) -> DataFrame:
+    """One row per array element with its own shift (dx, dy).
+
+    An array becomes ranges of `block` elements, which are dealt over tasks before they expand.
+    """
+    na, nb = (F.greatest(F.col(c).cast("long"), F.lit(1)) for c in ("na", "nb"))
+    ranges = instances.withColumn("_lo", F.explode(F.sequence(F.lit(0).cast("long"), na * nb - 1, F.lit(block).cast("long"))))
+    ranges = ranges.withColumn("_hi", F.least(F.col("_lo") + block, na * nb) - 1)
+    n = int(instances.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (ranges.repartition(n)
+            .withColumn("_k", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
+            .withColumn("_i", F.expr("_k div greatest(cast(nb as bigint), 1)")).withColumn("_j", F.pmod("_k", nb))
             .withColumn("dx", F.col("dx") + F.col("_i") * F.col("ax") + F.col("_j") * F.col("bx"))
             .withColumn("dy", F.col("dy") + F.col("_i") * F.col("ay") + F.col("_j") * F.col("by"))
-            .drop("_i", "_j", "ax", "ay", "bx", "by", "na", "nb"))
+            .drop("_k", "_i", "_j", "ax", "ay", "bx", "by", "na", "nb"))
 
 
 def cell_extents(shapes: DataFrame, instances: DataFrame) -> DataFrame:
@@ -48,8 +55,12 @@ def cell_extents(shapes: DataFrame, instances: DataFrame) -> DataFrame:
     """
     own = shapes.groupBy("cell").agg(F.min("l").alias("l"), F.min("b").alias("b"),
                                      F.max("r").alias("r"), F.max("t").alias("t"))
-    total, level = own, own
+    total, level, depth = own, own, 0
+    deepest = _deepest(instances)
     while not level.isEmpty():
+        depth += 1
+        if depth > deepest + 1:
+            raise LayoutError("the cell hierarchy is cyclic")
         placed = instances.join(level.withColumnRenamed("cell", "child"), "child")
         level = _placed_box(placed).groupBy(F.col("parent").alias("cell")).agg(
             F.min("l").alias("l"), F.min("b").alias("b"),
@@ -59,6 +70,11 @@ def cell_extents(shapes: DataFrame, instances: DataFrame) -> DataFrame:
                                      F.max("r").alias("r"), F.max("t").alias("t"))
 
 
+def _deepest(instances: DataFrame) -> int:
+    """As many levels as there are placing cells: a hierarchy that goes on is cyclic."""
+    return instances.select("parent").distinct().count()
+
+
 def _turn_box(df: DataFrame) -> DataFrame:
     """Transform l, b, r, t by rot, mirror, dx, dy."""
     x = [transform_x(c, d, "rot", "mirror", "dx") for c, d in (("l", "b"), ("r", "t"))]
@@ -96,7 +112,11 @@ def placements(instances: DataFrame, top: str, box=None, extents: DataFrame | No
     inst = instances
     if box is not None:
         inst = inst.join(extents.toDF("child", "el", "eb", "er", "et"), "child")
+    depth, deepest = 0, _deepest(instances)
     while True:
+        depth += 1
+        if depth > deepest + 1:
+            raise LayoutError("the cell hierarchy is cyclic")
         up = level.toDF("parent", "pdx", "pdy", "prot", "pmirror")
         step = inst.join(up, "parent")
         if box is not None:

@@ -5,9 +5,14 @@ IMAGE = ("image_id",)
 
 
 def _both(first, second, keys):
+    """Values a and c of two images per pixel of either; a pixel that one of them lacks is 0 there.
+
+    One shuffle: both sides go into one aggregate per pixel.
+    """
     on = [*keys, "y", "x"]
-    return first.select(*on, F.col("value").alias("a")).join(
-        second.select(*on, F.col("value").alias("c")), on)
+    tagged = first.select(*on, F.col("value").alias("a"), F.lit(None).cast("double").alias("c")).unionByName(
+        second.select(*on, F.lit(None).cast("double").alias("a"), F.col("value").alias("c")))
+    return tagged.groupBy(*on).agg(*[F.coalesce(F.max(v), F.lit(0.0)).alias(v) for v in ("a", "c")])
 
 
 def binary_mismatch(target: DataFrame, nominal: DataFrame, threshold: float = 0.5, keys=IMAGE,
@@ -22,8 +27,8 @@ def process_band(printed: DataFrame, high: str, low: str, threshold: float = 0.5
     """Pixels on which two conditions disagree after the threshold; one aggregate per pixel."""
     on = F.col("value") >= threshold
     both = printed.filter(F.col("condition").isin(high, low)).groupBy(*keys, "y", "x").agg(
-        F.max(F.when(F.col("condition") == high, on)).alias("h"),
-        F.max(F.when(F.col("condition") == low, on)).alias("w"))
+        *[F.coalesce(F.max(F.when(F.col("condition") == c, on)), F.lit(0.0 >= threshold)).alias(n)
+          for c, n in ((high, "h"), (low, "w"))])
     return both.groupBy(*by).agg(F.count_if(F.col("h") != F.col("w")).alias("pvband"))
 
 
@@ -95,6 +100,12 @@ def shot_count(pixels: DataFrame, threshold: float = 0.5, keys=IMAGE) -> DataFra
     return fresh.groupBy(*keys).agg(F.count("*").alias("shots"))
 
 
+def _with_target(per, target, on):
+    """Per-pixel aggregates with the target value t; pixels that either side lacks are 0 there."""
+    both = per.join(target.select(*on, F.col("value").alias("t")), on, "full_outer")
+    return both.fillna(0.0, [c for c in both.columns if c not in on and c != "n"]).fillna(0, ["n"] if "n" in both.columns else [])
+
+
 def loss_terms(target: DataFrame, printed: DataFrame, nominal: str, weights=(1.0, 1.0),
                keys=IMAGE) -> DataFrame:
     """Nominal and process squared errors, squared process spread, and the weighted total.
@@ -109,7 +120,7 @@ def loss_terms(target: DataFrame, printed: DataFrame, nominal: str, weights=(1.0
         F.max(F.when(is_nominal, F.col("value"))).alias("v"), F.sum(other * other).alias("q"),
         F.sum(other).alias("s"), F.count(other).alias("n"),
         (F.max(other) - F.min(other)).alias("spread"))
-    both = per.join(target.select(*on, F.col("value").alias("t")), on)
+    both = _with_target(per, target, on)
     error = (F.col("v") - F.col("t")) * (F.col("v") - F.col("t"))
     # sum (p - t)^2 over conditions, from the sums over p.
     zero = F.lit(0.0)
@@ -163,9 +174,9 @@ def stage_of_round(rounds: DataFrame, stages) -> DataFrame:
         "stage_iteration", it - F.get(starts, F.col("stage_index")))
 
 
-def check_conditions(conditions: DataFrame) -> DataFrame:
-    """Names used more than once."""
-    return conditions.groupBy("condition").count().filter("count > 1").select("condition")
+def check_conditions(conditions: DataFrame, keys=()) -> DataFrame:
+    """Names used more than once (with keys: for one key)."""
+    return conditions.groupBy(*keys, "condition").count().filter("count > 1").select("condition").distinct()
 
 
 def owned_loss(target: DataFrame, printed: DataFrame, high: str, low: str, nominal: str,
@@ -177,7 +188,7 @@ def owned_loss(target: DataFrame, printed: DataFrame, high: str, low: str, nomin
         return F.max(F.when(F.col("condition") == c, F.col("value")))
 
     per = printed.groupBy(*on).agg(pick(nominal).alias("v"), pick(high).alias("h"), pick(low).alias("w"))
-    both = per.join(target.select(*on, F.col("value").alias("t")), on)
+    both = _with_target(per, target, on)
 
     def sq(d):
         return F.sum(d * d)

@@ -1,7 +1,6 @@
 """Operators on pixel tables (image_id, y, x, value): resize, smooth, stencil, distance."""
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from shapeloom.errors import CapacityError
 from shapeloom.functions.scalars import floor_div, pin
 
 IMAGE = ("image_id",)
@@ -88,14 +87,11 @@ def _column_distance(pixels, feature, height, width, keys):
     return out.withColumn("d2", F.when(F.col("d2") < far * far, F.col("d2")))
 
 
-def signed_distance(pixels: DataFrame, threshold: float, height: int, width: int, keys=IMAGE,
-                    limit: int = 16384) -> DataFrame:
+def signed_distance(pixels: DataFrame, threshold: float, height: int, width: int, keys=IMAGE) -> DataFrame:
     """Exact distance to the nearest foreground pixel centre, negative inside.
 
     All-foreground images get -max(height, width), all-background ones +max(height, width).
     """
-    if height > limit or width > limit:
-        raise CapacityError(f"images over {limit} pixels a side must be tiled")
     on = F.col("value") >= threshold
     outside = _column_distance(pixels, on, height, width, keys).withColumnRenamed("d2", "fg")
     inside = _column_distance(pixels, ~on, height, width, keys).withColumnRenamed("d2", "bg")
@@ -137,11 +133,14 @@ def image_issues(pixels: DataFrame, keys=IMAGE, by: str = "condition") -> DataFr
 
 
 def blend_images(movable: DataFrame, fixed: DataFrame, mask: DataFrame, keys=IMAGE) -> DataFrame:
-    """Movable pixels where the mask is 1 and fixed ones where it is 0."""
+    """Movable pixels where the mask is 1 and fixed ones where it is 0; absent pixels are 0."""
     from shapeloom.functions.scalars import blend
     on = [*keys, "y", "x"]
-    both = (movable.withColumnRenamed("value", "m").join(fixed.withColumnRenamed("value", "f"), on)
-            .join(mask.withColumnRenamed("value", "w"), on))
+    none = F.lit(None).cast("double")
+    parts = [df.select(*on, *[(F.col("value") if c == name else none).alias(c) for c in "mfw"])
+             for name, df in (("m", movable), ("f", fixed), ("w", mask))]
+    tagged = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    both = tagged.groupBy(*on).agg(*[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in "mfw"])
     return both.select(*on, blend("m", "f", "w").alias("value"))
 
 

@@ -37,11 +37,12 @@ def coverage(area: DataFrame, pixel: int) -> DataFrame:
     return area.withColumn("value", F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))).drop("area")
 
 
-def region_raster(boxes: DataFrame, box, pixel: int, keys=("layer",), limit: int = 64_000_000,
+def region_raster(boxes: DataFrame, box, pixel: int, keys=("layer",), limit: int | None = None,
                   **kw) -> DataFrame:
     """Coverage of merged boxes inside a region; pixel (0, 0) is at its lower left."""
     from shapeloom.operators import filters, region
-    check_size(box, pixel, limit)
+    if limit is not None:
+        check_size(box, pixel, limit)
     rects = region.union(filters.clip(boxes, box), keys=keys, **kw)
     return coverage(coverage_area(rects, pixel, box[:2], keys), pixel)
 
