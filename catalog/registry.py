@@ -1,20 +1,17 @@
 """A query function and its SQL are declared side by side."""
 import functools
-import tempfile
 
 QUERIES, ORACLES = {}, {}
 
 
 def ready(spark):
-    """Make sure checkpoints have a folder: the session's own, or in local mode a new one."""
+    """Make sure checkpoints have a folder: the session's own, or one below its warehouse."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     context.setCheckpointDir(folder)
 
 

@@ -385,7 +385,8 @@ BUDGET = 1 << 30
  shapes * 128 + vertices * 128 + segments * 128 + memberships * 8 AS solver_bytes FROM s)
  SELECT *, greatest(prepare_bytes, solver_bytes) <= {BUDGET} AS accepted,
  CASE WHEN greatest(prepare_bytes, solver_bytes) <= {BUDGET} THEN 'ok' ELSE 'too_many_bytes' END AS reason,
- CAST({BUDGET // 32} AS BIGINT) AS membership_limit FROM b""")
+ CAST({BUDGET // 32} AS BIGINT) AS membership_limit,
+ segments <= 2147483647 AND memberships <= 2147483647 AS fits_32_bit_ids FROM b""")
 def capacity_preflight(spark, sf_dir):
     return capacity.preflight(edges(spark, sf_dir), T.grid(spark, sf_dir), T.CORNER, T.MAXIMUM, BUDGET)
 

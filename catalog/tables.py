@@ -13,15 +13,11 @@ SPREAD = {"lineitem": "l_orderkey", "orders": "o_orderkey", "embeddings": "vec_i
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; one that comes in fewer pieces than there are cores is spread out.
-
-    Large inputs arrive in many splits already and are left as they are.
-    """
+    """A driver table; those whose rows expand are dealt by key first."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, SPREAD[name])
-    return df
+    if name not in SPREAD:
+        return df
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), SPREAD[name])
 
 
 def boxes(spark, sf_dir) -> DataFrame:

@@ -154,7 +154,8 @@ def transform_y(x, y, rot, mirror, dy) -> Column:
 def path_boxes(points, width: int) -> Column:
     """One box per leg of a Manhattan centre line; ends are cut square at the points.
 
-    Inner corners are filled by lengthening each leg by half the width at shared points.
+    Inner corners are filled by lengthening each leg by half the width at shared points. Null
+    where the result would be off the grid: for an odd width, or with a slanted leg (`path_issue`).
     """
     points = col(points)
     half = width // 2
@@ -178,7 +179,15 @@ def path_boxes(points, width: int) -> Column:
             F.when(flat, until).otherwise(across + half).alias("r"),
             F.when(flat, across + half).otherwise(until).alias("t"))
 
-    return F.transform(F.sequence(F.lit(1), last), leg)
+    return F.when(path_issue(points, width).isNull() & (last > 0), F.transform(F.sequence(F.lit(1), last), leg))
+
+
+def path_issue(points, width: int) -> Column:
+    """Why a path has no exact Manhattan outline; null if it has one."""
+    points = col(points)
+    legs = F.zip_with(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), points, lambda q, p: F.struct(p.alias("p"), q.alias("q")))
+    slanted = F.exists(legs, lambda g: (g["q"]["x"] != g["p"]["x"]) & (g["q"]["y"] != g["p"]["y"]))
+    return F.when(F.lit(width % 2 != 0), "odd_path_width").when(slanted, "slanted_path_leg")
 
 
 def pin(df, **columns):
