@@ -2,8 +2,9 @@
 from pyspark.sql import functions as F
 
 from catalog import tables as T
+from catalog.region_queries import area_sql
 from catalog.registry import query
-from shapeloom.operators import filters, hierarchy
+from shapeloom.operators import filters, hierarchy, region
 from shapeloom.sources import glp
 
 # TOP -> regions -> nations -> suppliers; every third nation places its suppliers as 2 x 3 arrays.
@@ -178,3 +179,39 @@ def text_layout_units(spark, sf_dir):
 @query("WITH " + T.SOLID + """ SELECT 'RECT N L' || layer || ' ' || l || ' ' || b || ' ' || (r - l) || ' ' || (t - b) AS value FROM solid""")
 def text_layout_lines(spark, sf_dir):
     return glp.shape_text(T.solid(spark, sf_dir))
+
+
+# --- true outlines --------------------------------------------------------------------------------
+
+def cell_polygons(spark, sf_dir):
+    """The cell shapes; the polygons of the nations have a hole, and all shapes a property."""
+    hull, hole = T.ring_of(*[F.lit(v).cast("long") for v in (-100, -50, 100, 50)], False), T.ring_of(
+        *[F.lit(v).cast("long") for v in (-50, -20, 50, 20)], True)
+    return cell_shapes(spark, sf_dir).withColumn("rings", F.when(F.col("kind") == "polygon", F.array(hull, hole))).withColumn(
+        "props", F.create_map(F.lit(1), F.col("cell")))
+
+
+# In SQL the ring is four boxes.
+PIECES = FLAT.replace("UNION ALL SELECT n_name, 2, 'polygon', -100, -50, 100, 50 FROM nation", "".join(
+    f" UNION ALL SELECT n_name, 2, 'polygon', {v} FROM nation" for v in (
+        "-100, -50, -50, 50", "50, -50, 100, 50", "-50, -50, 50, -20", "-50, 20, 50, 50")))
+WINDOW = (-3000, -3000, 6000, 5000)
+
+
+@query(area_sql(PIECES.replace("WITH RECURSIVE ", "", 1) + ", sides AS (SELECT layer, 0 AS side, l, b, r, t FROM flat WHERE kind <> 'text')",
+                "ca > 0").replace("WITH ", "WITH RECURSIVE ", 1).replace("l // 512", "CAST(floor(l / 512.0) AS BIGINT)").replace(
+    "(r - 1) // 512 + 1", "CAST(floor((r - 1) / 512.0) AS BIGINT) + 1"))
+def flattened_merged_area(spark, sf_dir):
+    """Area per layer of all placed shapes, holes left out."""
+    flat = hierarchy.flatten(cell_polygons(spark, sf_dir), instances(spark, sf_dir), "TOP").filter("kind <> 'text'")
+    return region.area(region.union(filters.shape_boxes(flat, ("layer",))))
+
+
+@query(PIECES + """ SELECT cell, CAST(sum((least(r, 6000) - greatest(l, -3000)) * (least(t, 5000) - greatest(b, -3000))) AS BIGINT) AS area,
+ cell AS property FROM flat WHERE kind <> 'text' AND l < 6000 AND r > -3000 AND b < 5000 AND t > -3000 GROUP BY cell""")
+def clipped_polygons(spark, sf_dir):
+    """Placed shapes cut to a region along their outlines; their properties stay."""
+    flat = hierarchy.flatten(cell_polygons(spark, sf_dir), instances(spark, sf_dir), "TOP", WINDOW)
+    cut = filters.clip_polygons(filters.candidates(flat, WINDOW), WINDOW)
+    return cut.groupBy("cell", F.col("props")[1].alias("property")).agg(
+        F.sum((F.col("r") - F.col("l")) * (F.col("t") - F.col("b"))).alias("area")).select("cell", "area", "property")

@@ -38,6 +38,30 @@ def clip(shapes: DataFrame, box) -> DataFrame:
             .withColumn("r", F.least("r", F.lit(r))).withColumn("t", F.least("t", F.lit(t))))
 
 
+def outlines(shapes: DataFrame) -> DataFrame:
+    """Shapes whose `rings` are filled in: where null, the clockwise box."""
+    corners = [("l", "b"), ("l", "t"), ("r", "t"), ("r", "b")]
+    box = F.array(F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in corners]))
+    return shapes.withColumn("rings", F.coalesce("rings", box))
+
+
+def shape_boxes(shapes: DataFrame, keys) -> DataFrame:
+    """Signed boxes per key whose sum is what the outlines enclose, for `region.union`."""
+    from shapeloom.operators import contours, region
+    from shapeloom.plans.prepare import ring_base
+    polygons = outlines(shapes).select(*keys, F.monotonically_increasing_id().alias("polygon_id"), "rings").checkpoint()
+    return region.ring_boxes(ring_base(contours.ring_edges(polygons, keys)), keys)
+
+
+def clip_polygons(shapes: DataFrame, box, cell: int = 4096) -> DataFrame:
+    """Exact cut of shapes with outlines to the region: disjoint rectangles, each with all columns of
+    its shape but `rings`. Signed boxes are cut one by one, which cuts their sum."""
+    from shapeloom.operators import region
+    numbered = shapes.filter(overlaps(box)).withColumn("_shape", F.monotonically_increasing_id()).checkpoint()
+    rects = region.union(clip(shape_boxes(numbered, ("_shape",)), box), keys=("_shape",), cell=cell)
+    return numbered.drop("rings", "l", "b", "r", "t").join(rects.select("_shape", "l", "b", "r", "t"), "_shape").drop("_shape")
+
+
 def intersecting(shapes: DataFrame, box) -> DataFrame:
     """Whole shapes that share area with the region; nothing is cut."""
     return candidates(shapes, box)

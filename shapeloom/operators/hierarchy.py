@@ -84,6 +84,16 @@ def _turn_box(df: DataFrame) -> DataFrame:
         "l", "b", "r", "t").withColumnsRenamed({"_x0": "l", "_y0": "b", "_x1": "r", "_y1": "t"})
 
 
+def _turn_rings(df: DataFrame) -> DataFrame:
+    """Transform outlines likewise; a flip reverses them, so that hulls keep their direction."""
+    def point(p):
+        return F.struct(transform_x(p["x"], p["y"], "rot", "mirror", "dx").alias("x"),
+                        transform_y(p["x"], p["y"], "rot", "mirror", "dy").alias("y"))
+
+    turned = F.transform("rings", lambda ring: F.transform(ring, point))
+    return df.withColumn("rings", F.when(F.col("mirror") == 1, F.transform(turned, F.reverse)).otherwise(turned))
+
+
 def _placed_box(placed: DataFrame) -> DataFrame:
     far_a, far_b = F.col("na") - 1, F.col("nb") - 1
     zero = F.lit(0)
@@ -193,12 +203,17 @@ def prune_arrays(step: DataFrame, box) -> DataFrame:
 def flatten(shapes: DataFrame, instances: DataFrame, top: str, box=None) -> DataFrame:
     """Shapes of `top` and of all cells below it, in the coordinates of `top`.
 
+    Outlines (`rings`) are placed too, and all other columns, such as properties, ride along.
+
     With a region only placements that touch it are expanded, and shapes that miss it are
     left out; both use closed intervals, so callers filter further as they need.
     """
     extents = cell_extents(shapes, instances) if box is not None else None
     placed = placements(instances, top, box, extents)
-    out = _turn_box(shapes.join(placed, "cell")).drop("dx", "dy", "rot", "mirror")
+    out = shapes.join(placed, "cell")
+    if "rings" in shapes.columns:
+        out = _turn_rings(out)
+    out = _turn_box(out).drop("dx", "dy", "rot", "mirror")
     if box is not None:
         l, b, r, t = box
         out = out.filter((F.col("l") <= r) & (F.col("r") >= l) & (F.col("b") <= t)

@@ -21,6 +21,8 @@ EDGES = _struct(polygon_id=L, ring_id=I, is_hole=T.BooleanType(), ord=I,
 PIXELS = _struct(image_id=L, y=I, x=I, value=D)
 CELLS = _struct(cell=S)
 CELL_SHAPES = _struct(cell=S, layer=I, datatype=I, shape_id=L, kind=S, l=L, b=L, r=L, t=L)
+# With true outlines (hull first, then holes; null: the box itself) and properties.
+CELL_POLYGONS = T.StructType([*CELL_SHAPES.fields, T.StructField("rings", RINGS), T.StructField("props", T.MapType(I, S))])
 CELL_INSTANCES = _struct(parent=S, child=S, dx=L, dy=L, rot=I, mirror=I,
                          ax=L, ay=L, bx=L, by=L, na=I, nb=I)
 ISSUES = _struct(code=S, message=S, layer=I, datatype=I, indices=T.ArrayType(I))

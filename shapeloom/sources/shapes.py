@@ -31,7 +31,7 @@ class Layout:
     def read(spark, path: str, top: str | None = None) -> "Layout":
         def table(name, schema):
             return spark.read.schema(schema).parquet(f"{path}/{name}")
-        return Layout(table("cells", schemas.CELLS), table("cell_shapes", schemas.CELL_SHAPES),
+        return Layout(table("cells", schemas.CELLS), table("cell_shapes", schemas.CELL_POLYGONS),
                       table("cell_instances", schemas.CELL_INSTANCES), top)
 
     def layers(self) -> DataFrame:
@@ -46,13 +46,19 @@ class Layout:
         return ext.filter(F.col("cell") == self.top)
 
     def query(self, layers=None, box=None, clip: bool = True) -> DataFrame:
-        """Flattened shapes of the layers that share area with the region, cut or whole."""
+        """Flattened shapes of the layers that share area with the region, cut or whole.
+
+        Shapes with `rings` are cut along their true outline, into disjoint rectangles; properties and
+        all other columns stay.
+        """
         shapes = self.shapes if layers is None else filters.select_layers(self.shapes, layers)
         flat = hierarchy.flatten(shapes, self.instances, self.top, box)
         if box is None:
             return flat.filter(F.col("kind").isin(*filters.POLYGON_KINDS))
         flat = filters.candidates(flat, box)
-        return filters.clip(flat, box) if clip else flat
+        if not clip:
+            return flat
+        return filters.clip_polygons(flat, box) if "rings" in flat.columns else filters.clip(flat, box)
 
     def stats(self, box=None) -> DataFrame:
         flat = hierarchy.flatten(self.shapes, self.instances, self.top, box)

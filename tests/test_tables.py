@@ -258,3 +258,46 @@ def test_rounds_reach_a_fixed_point_and_roll_back(spark, polygons):
     assert bad.stop_reason == "no_legal_update" and last[0]["rejected"] > 0 and last[0]["moved"] == 0
     assert bad.best.filter("d <> 0").isEmpty()
     assert rows[0]["epe"] == rows[0]["valid"] and rows[0]["moved"] == rows[0]["epe"] and rows[0]["step"] == 4.0
+
+
+def test_outlines_and_properties_survive_the_hierarchy(spark):
+    ring = [[(0, 0), (0, 100), (60, 100), (60, 0)], [(20, 20), (40, 20), (40, 80), (20, 80)]]
+    s = spark.createDataFrame([("LEAF", 1, 0, 1, "polygon", 0, 0, 60, 100, ring, {1: "net"}), ("LEAF", 1, 0, 2, "box", 70, 0, 80, 10, None, None)],
+                              schemas.CELL_POLYGONS)
+    i = spark.createDataFrame([("TOP", "LEAF", 1000, 0, 1, 1, 0, 0, 0, 0, 1, 1), ("TOP", "LEAF", 0, 0, 0, 0, 0, 0, 0, 0, 1, 1)], schemas.CELL_INSTANCES)
+    flat = hierarchy.flatten(s, i, "TOP")
+    from shapeloom.operators import region
+    assert region.area(region.union(filters.shape_boxes(flat, ("shape_id",)), keys=("shape_id",)), ("shape_id",)).filter(
+        "shape_id = 1").first()["area"] == 2 * (6000 - 1200)
+    cut = filters.clip_polygons(flat, (10, 10, 30, 50))
+    rows = cut.collect()
+    assert sum((r["r"] - r["l"]) * (r["t"] - r["b"]) for r in rows) == 20 * 40 - 10 * 30
+    assert {r["props"][1] for r in rows} == {"net"} and {r["shape_id"] for r in rows} == {1}
+
+
+def test_cyclic_hierarchy_is_refused(spark):
+    s = spark.createDataFrame([("A", 1, 0, 1, "box", 0, 0, 1, 1)], schemas.CELL_SHAPES)
+    one = (0, 0, 0, 0, 0, 0, 0, 0, 1, 1)
+    i = spark.createDataFrame([("TOP", "A", *one), ("A", "B", *one), ("B", "A", *one)], schemas.CELL_INSTANCES)
+    with pytest.raises(LayoutError):
+        hierarchy.flatten(s, i, "TOP")
+    with pytest.raises(LayoutError):
+        hierarchy.cell_extents(s, i)
+
+
+def test_paths_off_the_grid_are_refused(spark):
+    from shapeloom.functions import scalars
+    pts = spark.createDataFrame([([(0, 0), (0, 50), (30, 50)],), ([(0, 0), (100, 100)],)], "p array<struct<x:long,y:long>>")
+    got = pts.select(scalars.path_issue("p", 20).alias("a"), scalars.path_issue("p", 21).alias("o"), scalars.path_boxes("p", 20).alias("b")).collect()
+    assert [(r["a"], r["o"], r["b"] is None) for r in got] == [(None, "odd_path_width", False), ("slanted_path_leg", "odd_path_width", True)]
+
+
+def test_absent_pixels_are_zero(spark):
+    from shapeloom.operators import metrics, pixels
+    px = "image_id long, y int, x int, value double"
+    target, shown = spark.createDataFrame([(0, 0, 0, 1.0)], px), spark.createDataFrame([(0, 0, 0, 1.0), (0, 3, 3, 1.0), (1, 0, 0, 1.0)], px)
+    assert {r["image_id"]: r["l2"] for r in metrics.binary_mismatch(target, shown).collect()} == {0: 1, 1: 1}
+    printed = shown.withColumn("condition", F.lit("nominal"))
+    assert {r["image_id"]: r["total"] for r in metrics.loss_terms(target, printed, "nominal").collect()} == {0: 1.0, 1: 1.0}
+    mix = {(r["image_id"], r["y"]): r["value"] for r in pixels.blend_images(target, shown, target.limit(0)).collect()}
+    assert mix == {(0, 0): 1.0, (0, 3): 1.0, (1, 0): 1.0}
