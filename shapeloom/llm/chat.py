@@ -88,6 +88,12 @@ def _turn(i, role, text):
     return F.struct(F.lit(i).cast("long").alias("turn"), role.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
+def _item(layout):
+    """An element of a layout's array as a turn."""
+    return lambda x, i: F.struct(i.cast("long").alias("turn"), _role(x[layout["role"]]).alias("role"),
+                                 F.coalesce(x[layout["text"]], F.lit("")).alias("text"))
+
+
 def _joined(fields):
     """Prompt and optional input; an empty or null part is left out."""
     return F.concat_ws("\n\n", *[F.nullif(c, F.lit("")) for c in fields])
@@ -101,9 +107,7 @@ def canonical(df: DataFrame, registry=None) -> DataFrame:
         return df.select(key, F.col(layout["turn"]).cast("long").alias("turn"),
                          _role(F.col(layout["role"])).alias("role"), F.coalesce(layout["text"], F.lit("")).alias("text"))
     if "array" in layout:
-        said = F.transform(F.coalesce(F.col(layout["array"]), F.array()), lambda m, i: F.struct(
-            i.cast("long").alias("turn"), _role(m[layout["role"]]).alias("role"),
-            F.coalesce(m[layout["text"]], F.lit("")).alias("text")))
+        said = F.transform(F.col(layout["array"]), _item(layout))
     else:
         said = F.array(*[_turn(i, F.lit(role), _joined([F.col(c) for c in fields]))
                          for i, (role, fields) in enumerate(layout["turns"])])
@@ -113,7 +117,7 @@ def canonical(df: DataFrame, registry=None) -> DataFrame:
 def record_fingerprint(record):
     """Hash of the nested field paths of a JSON record; the first element stands for an array."""
     def under(c):
-        head = F.get_json_object(record, F.concat(F.lit("$['"), c, F.lit("'][0]")))
+        head = F.call_function("get_json_object", record, F.concat(F.lit("$['"), c, F.lit("'][0]")))
         inner = F.coalesce(F.json_object_keys(head), F.array().cast("array<string>"))
         return F.when(F.size(inner) > 0, F.transform(inner, lambda k: F.concat(c, F.lit("[]."), k))).otherwise(F.array(c))
 
@@ -134,9 +138,7 @@ def canonical_json(df: DataFrame, record: str = "record") -> tuple[DataFrame, Da
                                      F.coalesce(text("text"), F.lit("")).alias("text")))
         elif "array" in m:
             items = F.from_json(text(m["array"]), f"array<struct<{m['role']}:string,{m['text']}:string>>".replace("from:", "`from`:"))
-            turns = F.transform(items, lambda x, i, m=m: F.struct(
-                i.cast("long").alias("turn"), _role(x[m["role"]]).alias("role"),
-                F.coalesce(x[m["text"]], F.lit("")).alias("text")))
+            turns = F.transform(items, _item(m))
         else:
             turns = F.array(*[_turn(i, F.lit(r), _joined([text(c) for c in f])) for i, (r, f) in enumerate(m["turns"])])
         said = F.when(F.col("fingerprint") == mark, turns.cast(SAID)).otherwise(said)

@@ -31,13 +31,15 @@ FOUND = "q long, v long, score double"
 class Hashing:
     """Cross-polytope hash functions for n vectors of a dimension."""
 
-    def __init__(self, dim, n, tables=TABLES, seed=17):
+    def __init__(self, dim, n, k=20, tables=TABLES, seed=17):
         self.width = 1 << max(1, int(dim).bit_length())  # one coordinate more, rounded up
         if self.width // 2 > dim:
             self.width //= 2
         self.axes = 0 if n < SECOND else min(self.width, 1 << max(0, int(np.log2(n / 2500))))
         self.buckets = 2 * self.width * max(1, 2 * self.axes)
-        self.probes = min(self.buckets, int(np.ceil(24 * (max(1, 2 * self.axes)) ** 0.45 * self.width / 64)))
+        # Enough for recall, and for 8 (k + 1) entries on average: of few vectors all are looked at.
+        self.probes = min(self.buckets, max(int(np.ceil(24 * (max(1, 2 * self.axes)) ** 0.45 * self.width / 64)),
+                                            int(np.ceil(8 * (k + 1) * self.buckets / n))))
         rng = np.random.default_rng(seed)
         self.signs = rng.choice([-1.0, 1.0], (tables, 2, 3, self.width))
 
@@ -117,7 +119,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n, top = shape[0]["d"], shape[0]["n"], float(np.sqrt(shape[0]["top"]))
     all_ = all_.filter(F.size("e") == dim)
-    hashing = Hashing(dim, n, tables)
+    hashing = Hashing(dim, n, k, tables)
     # Ranking with a limit is cut per task before the shuffle, so a frequent vector sends k + 1 ids per task.
     least = W.partitionBy("e").orderBy("id")
     entries = (all_.withColumn("rn", F.dense_rank().over(least)).filter(F.col("rn") <= k + 1)

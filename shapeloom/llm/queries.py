@@ -22,8 +22,7 @@ def query(sql=None):
 @query()
 def op1_best_two_fit(spark, sf_dir):
     """Every document packed into sequences of at most 2048 tokens."""
-    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=2048,
-                          end=0, pattern=public_tokenizers.PATTERN)
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=2048, end=0)
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
@@ -117,8 +116,7 @@ def op8_hamming_join(spark, sf_dir):
 def op9_induced_suffix_sort(spark, sf_dir):
     """Every text without the bytes of 200-byte strings that start elsewhere too."""
     out = suffixes.cleaned(table(spark, sf_dir, "documents").select("doc_id", "text"), width=200)
-    return out.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"),
-                      F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 @query(r"""WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),

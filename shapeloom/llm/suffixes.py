@@ -184,13 +184,12 @@ def spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, memory: int = M
 
 def cleaned(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, memory: int = MEMORY, doc_id: str = "doc_id",
             text: str = "text") -> DataFrame:
-    """docs with `_kept` (remaining bytes), `_n_bytes`, `_n_removed` and `_n_spans`."""
+    """Each row of docs as a struct `row`, with `kept` (remaining bytes), n_bytes, n_removed, n_spans."""
     all_ = spans(docs, width, gram, memory, doc_id, text)
-    by = saved(all_.groupBy(F.col("did").alias("_d"), F.col("h").alias("_h")).agg(
-        F.collect_list(F.struct("lo", "hi")).alias("_spans")), "spans")
+    by = saved(all_.groupBy("did", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.withColumn("_t", t).join(by, (F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)) == F.col("_d"))
-                                         & (F.xxhash64(t) == F.col("_h")), "left").drop("_d", "_h")
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("did"),
+                       F.xxhash64(t).alias("h"), t.alias("t")).join(by, ["did", "h"], "left")
 
     def cut(texts: pa.Array, spans_: pa.Array) -> pa.Array:
         kept, sizes, gone, runs = [], [], [], []
@@ -218,16 +217,14 @@ def cleaned(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, memory: int =
                                            pa.array(runs, pa.int64())], names=["kept", "n_bytes", "n_removed", "n_spans"])
 
     made = F.arrow_udf(cut, "struct<kept:binary,n_bytes:bigint,n_removed:bigint,n_spans:bigint>")
-    return rows.withColumn("_c", made("_t", "_spans")).select(
-        *docs.columns, *[F.col(f"_c.{k}").alias(f"_{k}") for k in ("kept", "n_bytes", "n_removed", "n_spans")])
+    return rows.withColumn("c", made("t", "spans")).select("row", "c.*")
 
 
 def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with their texts cut; where a cut leaves broken characters, those bytes go too."""
-    out = cleaned(docs, doc_id=doc_id, text=text, **options)
-
     def whole(kept: pa.Array) -> pa.Array:
         return pa.array([b.decode("utf-8", "ignore") for b in kept.to_pylist()], pa.string())
 
-    return out.withColumn(text, F.when(F.col("_n_removed") > 0, F.arrow_udf(whole, "string")("_kept")).otherwise(F.col(text))).select(
-        *docs.columns)
+    out = cleaned(docs, doc_id=doc_id, text=text, **options)
+    new = F.when(F.col("n_removed") > 0, F.arrow_udf(whole, "string")("kept")).otherwise(F.col("row").getField(text))
+    return out.select(*[new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -6,7 +6,8 @@ pattern of every URL of the batch at once. SEP is a symbol of its own that no UR
 pattern can never match inside a path.
 
 Defined cases: a null URL or one without `://` has an empty host and path and fits no host rule;
-copies are judged alike; an empty table gives an empty result; other columns pass through.
+copies are judged alike; an empty table gives an empty result; other columns pass through, but host,
+path, rule and verdict are replaced.
 """
 import numpy as np
 import pandas as pd
@@ -118,9 +119,9 @@ def judge(urls: DataFrame, rules: list[tuple[str, str]], url: str = "url", defau
     choose = F.pandas_udf(fit, "int")
     known = F.array(*[F.lit(t) for t in texts]) if texts else F.array(F.lit(None).cast("string"))
     said = F.array(*[F.lit(v) for v in verdicts]) if verdicts else F.array(F.lit(default))
-    out = urls.drop("host", "path", "rule", "verdict", "_fit") if url not in ("host", "path", "rule", "verdict", "_fit") else urls
-    out = out.withColumn("host", host(F.col(url))).withColumn("path", path(F.col(url)))
-    out = out.withColumn("_fit", choose("host", "path"))
-    return (out.withColumn("rule", F.when(F.col("_fit") >= 0, F.get(known, F.col("_fit"))))
-            .withColumn("verdict", F.when(F.col("_fit") >= 0, F.get(said, F.col("_fit"))).otherwise(default))
-            .drop("_fit"))
+    # Columns of these names are replaced.
+    others = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
+    out = urls.select(F.struct(*others).alias("row"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
+    out = out.withColumn("fit", choose("host", "path"))
+    return out.select("row.*", "host", "path", F.when(F.col("fit") >= 0, F.get(known, F.col("fit"))).alias("rule"),
+                      F.when(F.col("fit") >= 0, F.get(said, F.col("fit"))).otherwise(default).alias("verdict"))
