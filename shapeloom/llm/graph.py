@@ -1,25 +1,23 @@
-"""Connected components of an edge table by alternating star contractions."""
+"""Connected components of an edge table by alternating star contractions.
+
+Minima are pre-aggregated per task; nothing but a count and a checksum comes to the driver.
+"""
 from pyspark.sql import DataFrame, functions as F
 
 from .common import saved
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the edges (a, b); the root is the component's smallest node.
-
-    Minima are pre-aggregated and stored, so that a node with very many neighbours is met in a
-    plain join only, which adaptive execution splits.
-    """
+    """(node, root) of every node of the edges (a, b); the root is the component's smallest node."""
     e = saved(_down(edges.filter("a <> b")), "edges")
     state = _mark(e)
     while state[0]:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "least")
-        large = both.filter("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = _with_least(both.filter("v > u"), both).select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
         e = saved(_down(large.filter("a <> b")), "edges")
-        least = saved(e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k"), "least")
-        small = e.join(least, F.col("u") == F.col("k")).select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        e = saved(_down(small.unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b")))), "edges")
+        ends = e.groupBy("u").agg(F.min("v").alias("m"))
+        small = _with_least(e, e).select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        e = saved(_down(small.unionByName(ends.select(F.col("u").alias("a"), F.col("m").alias("b")))), "edges")
         now = _mark(e)
         if now == state:
             break
@@ -28,6 +26,13 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def _with_least(rows, edges):
+    """rows with m, the least v of their u. The join key differs from the grouping key, so both sides
+    are shuffled for the join, and adaptive execution can split a node with very many neighbours."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").bitwiseXOR(F.lit(1)).alias("k"), "m")
+    return rows.join(least, F.col("u").bitwiseXOR(F.lit(1)) == F.col("k")).drop("k")
+
+
 def _down(edges):
     return edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 

@@ -9,8 +9,9 @@ places differ in less than one of 1,000 pairs, and most of those share a key all
 
 Candidates within a key are not paired with each other: each round links members to one of them
 (the smallest first, then one chosen by hash), confirms on full sets, and joins components; keys
-that lie within one component are done. What is left is compared member by member, only across
-components, so no link between different texts that share a key is lost.
+that lie within one component are done. What is left is compared member by member across components, but for
+pairs whose similarity is bounded too low by the shingles that no other of them has; so no link
+between different texts that share a key is lost.
 
 Defined cases: a text without words (null, empty, blanks) and a null doc_id are linked with nothing;
 rows that repeat a doc_id are documents of their own; equal texts are always linked; very long texts are whole; an
@@ -111,6 +112,23 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, doc_id: str, text: str)
             .dropDuplicates(["node"]))
 
 
+def _matchable(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of the sets of some nodes: their size, and how many of their shingles another of them has too.
+
+    An intersection cannot be larger, which bounds the similarity of a pair without looking at it.
+    """
+    def listed(column: pa.Array) -> pa.Array:
+        return pa.array([np.frombuffer(x.as_buffer(), np.int64) for x in column], pa.list_(pa.int64()))
+
+    some = sets.join(nodes, "node", "left_semi")
+    each = some.select("node", F.explode(F.arrow_udf(listed, "array<bigint>")("set")).alias("s"))
+    alone = each.groupBy("s").agg(F.count("*").alias("c"), F.max("node").alias("n")).filter("c = 1").groupBy("n").agg(
+        F.count("*").alias("alone"))
+    size = (F.octet_length("set") / 8).cast("long")
+    return some.join(alone, F.col("node") == F.col("n"), "left").select(
+        "node", size.alias("size"), (size - F.coalesce("alone", F.lit(0))).alias("match"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union."""
     def linked(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -144,8 +162,9 @@ def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     rooted = members.select("key", "node").join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
     rooted = saved(rooted.select("key", "node", F.coalesce("root", "node").alias("root")), "members")
     open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
-    open_ = saved(open_.select(F.col("key").alias("k")), "open-keys")
-    return saved(rooted.join(open_, F.col("key") == F.col("k"), "left_semi"), "members")
+    # Not the grouping key, so that a frequent key can be split in the join.
+    open_ = open_.select(F.col("key").bitwiseXOR(F.lit(1)).alias("k"))
+    return saved(rooted.join(open_, F.col("key").bitwiseXOR(F.lit(1)) == F.col("k"), "left_semi"), "members")
 
 
 def groups(docs: DataFrame, percent: int = 85, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -175,12 +194,19 @@ def groups(docs: DataFrame, percent: int = 85, size: int = 5, doc_id: str = "doc
     tried = tried.unionByName(more)
     links = links.unionByName(saved(_confirmed(more, sets, percent), "links"))
     roots = saved(components(links), "roots")
-    # The rest exactly: members of different components that share a key and have close signatures.
-    members = saved(_mixed(members, roots).join(classes.select(F.col("node").alias("n"), "sig"), F.col("node") == F.col("n"))
-                    .select("key", "node", "root", "sig"), "members")
-    left = members.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("sig").alias("sa"))
-    right = members.select(F.col("key").alias("k"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("sig").alias("sb"))
+    # The rest exactly: members of different components that share a key, have close signatures and
+    # could be similar enough, as far as the shingles tell that only one of the rest has.
+    members = _mixed(members, roots)
+    left_over = members.select("node").distinct()
+    bound = saved(_matchable(sets, left_over), "matchable")
+    members = (members.join(classes.select(F.col("node").alias("n"), "sig"), F.col("node") == F.col("n")).drop("n")
+               .join(bound.withColumnRenamed("node", "n"), F.col("node") == F.col("n")))
+    members = saved(members.select("key", "node", "root", "sig", "size", "match"), "members")
+    left = members.toDF("key", "a", "ra", "sa", "za", "ma")
+    right = members.toDF("k", "b", "rb", "sb", "zb", "mb")
+    common = F.least("ma", "mb")
     cross = left.join(right, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
+                      & (100 * common >= percent * (F.col("za") + F.col("zb") - common))
                       & (distance(F.col("sa"), F.col("sb")) <= SLACK)).select("a", "b").distinct()
     rest = saved(cross.join(tried, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(saved(_confirmed(rest, sets, percent), "links"))
@@ -202,8 +228,9 @@ def representatives(docs: DataFrame, percent: int = 85, size: int = 5, doc_id: s
     Rows with a null id or without words are all kept.
     """
     found = groups(docs, percent, size, doc_id, text)
-    chosen = found.filter("kept and digest is not null and doc_id is not null").select(
-        F.col("doc_id").alias("_id")).distinct()
-    free = F.col(doc_id).isNull() | ~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    linked = docs.filter(~free).join(chosen, F.col(doc_id).cast("long") == F.col("_id"), "left_semi")
-    return linked.dropDuplicates([doc_id, text]).unionByName(docs.filter(free))
+    chosen = found.filter("kept and digest is not null and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
+    # Rows travel as one struct, so no column of theirs clashes with ours.
+    words_ = F.coalesce(F.col(text).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), words_.alias("words"))
+    linked = rows.filter("words and id is not null").join(chosen, "id", "left_semi").dropDuplicates(["id", "text"])
+    return linked.unionByName(rows.filter("not words or id is null")).select("row.*")
