@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words
-from .common import saved
 
 LANES, DIMS, GRAM = 4, 256, 12
 STRIDE = words.mix(np.arange(101, 101 + LANES, dtype=np.uint64))
 SIZE = LANES * 8 + DIMS * 2
+NO_ID = -(1 << 63) + 1
+COMPARED = ("doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, "
+            "near_edited double, near_next double")
 
 
 def vectors(data, offs):
@@ -107,73 +109,99 @@ def fingerprinted(docs: DataFrame, text: str = "text", column: str = "fingerprin
     return docs.withColumn(column, F.arrow_udf(one, "binary")(F.col(text).cast("string")))
 
 
-def _revised(old: pa.Array, tail_old: pa.Array, tail_new: pa.Array) -> pa.Array:
-    """Fingerprint of the old text, and of the new one from it by deleting and inserting paragraphs."""
-    fields = {"fingerprint": [], "edited_fingerprint": [], "near_edited": []}
-    for some in words.pieces(pa.RecordBatch.from_arrays([old, tail_old, tail_new], names=["old", "a", "b"]), "old"):
-        was = vectors(*words.buffer(some.column("old")))
-        now = insert(delete(was, vectors(*words.buffer(some.column("a")))), vectors(*words.buffer(some.column("b"))))
-        fields["fingerprint"] += pack(*was)
-        fields["edited_fingerprint"] += pack(*now)
-        fields["near_edited"] += likeness(was, now).tolist()
-    return pa.StructArray.from_arrays(
-        [pa.array(fields["fingerprint"], pa.binary()), pa.array(fields["edited_fingerprint"], pa.binary()),
-         pa.array(fields["near_edited"], pa.float64())], names=list(fields))
-
-
-def revised(df: DataFrame, old: str, new: str, cut: str) -> DataFrame:
-    """Add fingerprint, edited_fingerprint and near_edited, where `old` and `new` share their first
-    `cut` code points: only paragraphs from the one that holds the cut on are deleted and inserted."""
-    kept = F.substring(old, F.lit(1), F.col(cut).cast("int"))
-    last = F.char_length(F.substring_index(kept, "\n", -1))
-    begin = (F.col(cut) - last + 1).cast("int")
-    tail = lambda c: F.substring(F.col(c), begin, F.char_length(c))
-    made = F.arrow_udf(lambda a, b, c: _revised(a, b, c),
-                       "struct<fingerprint:binary,edited_fingerprint:binary,near_edited:double>")
-    return df.withColumn("_f", made(F.col(old), tail(old), tail(new))).select(
-        *df.columns, "_f.fingerprint", "_f.edited_fingerprint", "_f.near_edited")
-
-
-def next_in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every document with its place and key, and those of the next one by descending id.
-
-    Only ids, hashes and lengths are sorted. A null id comes last; documents of one id follow each
-    other by the hash of their texts; repeated rows are one document.
+def revised(old, new):
+    """Fingerprints of old texts and of new ones, given as (text, code points it shares with the old).
+
+    The new fingerprints come from the old ones by deleting and inserting the paragraphs from the one
+    of the first difference on.
     """
-    from shapeloom.operators.filters import with_position
-    keys = docs.select("did", "h", "n").distinct()
-    placed = with_position(keys, [F.desc("did"), F.asc("h")]).checkpoint()
-    total = placed.count()
-    after = placed.select(F.col("did").alias("next_did"), F.col("h").alias("next_h"),
-                          F.pmod(F.col("position") - 1, F.lit(max(total, 1))).alias("position"))
-    return placed.join(after, "position")
+    tails = [(a[(at := a.rfind("\n", 0, same) + 1):], b[at:]) for a, (b, same) in zip(old, new)]
+    was = _of(old)
+    now = insert(delete(was, _of([t for t, _ in tails])), _of([t for _, t in tails]))
+    return was, now
+
+
+def _of(texts):
+    return vectors(*words.buffer(pa.array(texts, pa.string())))
 
 
 def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: int = 3) -> DataFrame:
-    """doc_id, n_chars, `edited` (the last 1/share replaced by the head of the next document),
-    fingerprints of text and edited text, and the likeness to the edited and to the next text."""
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    base = (base.withColumn("did", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("h", F.xxhash64("text"))
-            .withColumn("n", F.char_length("text")))
-    order = next_in_order(base)
-    cut = (F.col("n") - F.floor(F.col("n") / share)).cast("int")
-    asked = order.select(F.col("next_did").alias("did"), F.col("next_h").alias("h"), F.col("did").alias("odid"),
-                         F.col("h").alias("oh"), (F.col("n") - cut).alias("need"))
-    source = base.select("did", "h", "doc_id", "text", "n")
-    heads = (source.dropDuplicates(["did", "h"]).join(asked, ["did", "h"])
-             .select(F.col("odid").alias("did"), F.col("oh").alias("h"), F.substring("text", F.lit(1), F.col("need")).alias("head")))
-    rows = (source.join(heads, ["did", "h"]).withColumn("cut", cut)
-            .withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("cut")), "head")))
-    made = revised(rows, "text", "edited", "cut").select(
-        "did", "h", "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        "fingerprint", "edited_fingerprint", "near_edited")
-    made = saved(made, "fingerprints")
-    later = (made.select(F.col("did").alias("next_did"), F.col("h").alias("next_h"), F.col("fingerprint").alias("next_fingerprint"))
-             .dropDuplicates(["next_did", "next_h"]))
-    near = F.arrow_udf(lambda a, b: pa.array(likeness(unpack(a), unpack(b))), "double")
-    return (made.join(order.select("did", "h", "next_did", "next_h"), ["did", "h"]).join(later, ["next_did", "next_h"])
-            .withColumn("near_next", near("fingerprint", "next_fingerprint"))
-            .drop("did", "h", "next_did", "next_h", "next_fingerprint"))
+    """doc_id, n_chars, `edited_sha256` (of the text whose last 1/share is replaced by the head of the
+    next document by descending id; after the last comes the first), fingerprints of text and edited
+    text, and the likeness to the edited and to the next text.
+
+    A null id comes last; documents of one id follow each other by the hash of their texts; repeated
+    rows are one document and get a row each. Texts are shuffled once, compressed, into ranges of ids
+    whose bounds are quantiles; the first document of each range goes to the range before too.
+    """
+    spark = docs.sparkSession
+    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("text"))
+    base = base.withColumn("neg", -F.coalesce("doc_id", F.lit(NO_ID))).withColumn("h", F.xxhash64("text"))
+    # At most n numbers, and below one row per range.
+    bounds = base.select("neg").agg(F.percentile_approx("neg", [i / n for i in range(1, n)], 1000 * n)).first()[0] or []
+    cuts = np.unique(np.array(bounds, np.int64))
+
+    def ranged(neg: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(cuts, neg.to_numpy(zero_copy_only=False), "left").astype(np.int32))
+
+    def squeezed(texts: pa.Array) -> pa.Array:
+        import zstandard
+        z = zstandard.ZstdCompressor(level=5)
+        return pa.array([z.compress(x.encode()) for x in texts.to_pylist()], pa.binary())
+
+    base = base.withColumn("range", F.arrow_udf(ranged, "int")("neg"))
+    tops = base.groupBy("range").agg(F.min(F.struct("neg", "h")).alias("top")).select("range", "top.*").collect()
+    tops.sort()
+    before = {r["range"]: tops[i - 1]["range"] for i, r in enumerate(tops)}
+    first = spark.createDataFrame([(r["range"], r["neg"], r["h"], before[r["range"]]) for r in tops],
+                                  "range int, neg long, h long, before int")
+    own = F.struct(F.col("range"), F.lit(False).alias("guest"))
+    both = F.when(F.col("before").isNotNull(), F.array(own, F.struct(F.col("before").alias("range"), F.lit(True).alias("guest")))).otherwise(F.array(own))
+    rows = base.join(F.broadcast(first), ["range", "neg", "h"], "left").select(
+        F.explode(both).alias("to"), "neg", "h", "doc_id", F.arrow_udf(squeezed, "binary")("text").alias("packed"))
+    rows = rows.select("to.range", "to.guest", "neg", "h", "doc_id", "packed").repartition(n // 4, "range")
+    return rows.sortWithinPartitions("range", "guest", "neg", "h").mapInArrow(lambda b: _compared(b, share), COMPARED)
+
+
+def _compared(batches, share, limit=words.CHUNK):
+    """Rows sorted by range: each distinct document with the one after it."""
+    import hashlib
+    import zstandard
+    unpacked = zstandard.ZstdDecompressor().decompress
+    held, pairs, size = None, [], 0  # held: range, key, ids, text
+
+    def flush():
+        nonlocal pairs, size
+        old, nexts = [p[1] for p in pairs], [p[2] for p in pairs]
+        cut = [len(t) - len(t) // share for t in old]
+        edited = [t[:c] + x[:len(t) - c] for t, x, c in zip(old, nexts, cut)]
+        was, now = revised(old, list(zip(edited, cut)))
+        after = _of(nexts)
+        near, beside = likeness(was, now), likeness(was, after)
+        packed, packed_now = pack(*was), pack(*now)
+        out = [(i, len(old[k]), hashlib.sha256(edited[k].encode()).hexdigest(), packed[k], packed_now[k], float(near[k]), float(beside[k]))
+               for k, (ids, _, _) in enumerate(pairs) for i in ids]
+        pairs, size = [], 0
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
+                                          names=[x.split()[0] for x in COMPARED.split(", ")])
+
+    for batch in batches:
+        for place, guest, neg, h, key, packed in zip(*(batch.column(c).to_pylist() for c in ("range", "guest", "neg", "h", "doc_id", "packed"))):
+            if held and held[0] == place and held[1] == (neg, h) and not guest:
+                held[2].append(key)
+                continue
+            text = unpacked(packed).decode()
+            if held and held[0] == place:
+                pairs.append((held[2], held[3], text))
+                size += 3 * len(held[3]) + len(text) + 2000
+                if size >= limit:
+                    yield flush()
+            held = None if guest else (place, (neg, h), [key], text)
+    if pairs:
+        yield flush()
 
 
 def readable(column):
