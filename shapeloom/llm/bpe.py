@@ -1,19 +1,21 @@
 """Byte-level BPE over distinct words, shuffled globally.
 
 Each task splits its texts into pre-tokens. Texts of about `block` bytes form a block: its distinct
-words are numbered, and the pre-tokens of a text become the numbers of their words in order of
-position. Distinct words of all blocks are encoded once each; ids return to the blocks by an
-equi-join on the word, and a block's texts are put together by position. Decoding gathers from the
-token-byte table, which the vocabulary bounds.
+words are numbered, and the pre-tokens of all its texts become the numbers of their words in order
+of position. The words are dealt over buckets by hash; a bucket gathers the words of all blocks and
+encodes each distinct one once. The ids return to the blocks, and a block's texts are put together
+by position. Words, positions and ids travel packed, a row per block and bucket, as one row for
+each word and block took more than twice the disk. Decoding gathers from the token-byte table, which the
+vocabulary bounds.
 
-A frequent word costs one short row per block, however often it stands there, and the plain join
-lets adaptive execution split it. Blocks are numbered by task, so the input must read the same
-again when a task is repeated, as a table does.
+A word costs a block one entry, however often it stands there, so a frequent one is no hot key.
+Blocks are numbered by task and stored, and later steps read the stored rows.
 
 Defined cases: a null text is empty and has no ids; repeated rows and null ids stay as they are;
 texts may be of any length; an empty table gives an empty result; other columns are ignored.
 """
 import base64
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import words
 from .common import saved
 
-BLOCK = 4 << 20
+BLOCK = 16 << 20
+KINDS = "block long, bucket int, packed binary, doc_ids array<long>, counts array<int>, buckets binary"
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -79,77 +82,132 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _split(docs: DataFrame, pattern: str, block: int, doc_id: str, text: str) -> DataFrame:
-    """Rows of two kinds: a document (doc, numbers of its words) and a word (number, bytes) of a block."""
+def _squeezed(a) -> bytes:
+    """Numbers, most of them small: one byte each, and the rest of those from 255 on in byte planes."""
+    import zstandard
+    a = np.asarray(a, np.int64)
+    rest = (a[a >= 255] - 255).astype("<u4")
+    planes = np.ascontiguousarray(rest.view(np.uint8).reshape(-1, 4).T)
+    low = zstandard.compress(np.minimum(a, 255).astype(np.uint8).tobytes(), 9)
+    return len(low).to_bytes(4, "little") + low + zstandard.compress(planes.tobytes(), 9)
+
+
+def _expanded(b: bytes):
+    import zstandard
+    n = 4 + int.from_bytes(b[:4], "little")
+    a = np.frombuffer(zstandard.decompress(b[4:n]), np.uint8).astype(np.int64)
+    planes = np.frombuffer(zstandard.decompress(b[n:]), np.uint8).reshape(4, -1)
+    a[a == 255] += np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
+    return a
+
+
+def _runs(parts: list[bytes]) -> bytes:
+    """Byte strings as one: their lengths and their bytes."""
+    import zstandard
+    return (len(parts).to_bytes(4, "little") + zstandard.compress(
+        np.array([len(p) for p in parts], "<u4").tobytes() + b"".join(parts), 12))
+
+
+def _unrun(packed: bytes):
+    import zstandard
+    n, data = int.from_bytes(packed[:4], "little"), zstandard.decompress(packed[4:])
+    ends = np.cumsum(np.frombuffer(data[:4 * n], "<u4"))
+    return data[4 * n:], ends
+
+
+def _split(docs: DataFrame, pattern: str, block: int, buckets: int, doc_id: str, text: str) -> DataFrame:
+    """A row per block (ids and lengths of its texts, numbers of their words, bucket of each word) and
+    one per block and bucket (the words)."""
     def task(batches):
         from pyspark import TaskContext
         import regex
         find, part, serial = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
+
+        def flush(ids, texts, numbers):
+            nonlocal serial
+            name = (part << 32) + serial
+            serial += 1
+            spelled = [w.encode() for w in numbers]
+            all_ = np.concatenate(texts) if texts else np.zeros(0, np.int64)
+            # Frequent words get the small numbers.
+            order = np.argsort(-np.bincount(all_, minlength=len(spelled)), kind="stable")
+            rank = np.empty(len(spelled), np.int64)
+            rank[order] = np.arange(len(spelled))
+            spelled = [spelled[i] for i in order]
+            home = np.array([zlib.crc32(w) % buckets for w in spelled], np.int64)
+            by = np.argsort(home, kind="stable")
+            cuts = np.searchsorted(home[by], np.arange(buckets + 1))
+            used = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
+            n = len(used)
+            return pa.RecordBatch.from_arrays([
+                pa.array([name] * (n + 1), pa.int64()), pa.array([None, *used], pa.int32()),
+                pa.array([_squeezed(rank[all_]), *(_runs([spelled[i] for i in by[cuts[k]:cuts[k + 1]]]) for k in used)], pa.binary()),
+                pa.array([ids, *[None] * n], pa.list_(pa.int64())),
+                pa.array([[len(t) for t in texts], *[None] * n], pa.list_(pa.int32())),
+                pa.array([_squeezed(home), *[None] * n], pa.binary())], names=[x.split()[0] for x in KINDS.split(", ")])
+
+        ids, texts, numbers, size = [], [], {}, 0
         for batch in batches:
-            for some in words.pieces(batch, "text", block):
-                name, numbers, docs_ = (part << 32) + serial, {}, []
-                serial += 1
-                number = numbers.setdefault
-                for t in some.column("text").to_pylist():
-                    docs_.append(np.array([number(w, len(numbers)) for w in find(t)] if t else [], "<i4"))
-                found = list(numbers)
-                # Frequent words get the small numbers, which pack into fewer bytes.
-                count = np.bincount(np.concatenate(docs_), minlength=len(found)) if found else np.zeros(0, int)
-                rank = np.empty(len(found), "<i4")
-                rank[np.argsort(-count, kind="stable")] = np.arange(len(found))
-                n, m = len(docs_), len(found)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([name] * (n + m), pa.int64()),
-                    pa.array([None] * n + rank.tolist(), pa.int32()),
-                    pa.array([None] * n + [w.encode() for w in found], pa.binary()),
-                    pa.array(some.column("doc_id").to_pylist() + [None] * m, pa.int64()),
-                    pa.array([_shrink(rank[d]) for d in docs_] + [None] * m, pa.binary())],
-                    names=["block", "number", "word", "doc_id", "numbers"])
+            for some in words.pieces(batch, "text"):
+                for key, t in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist()):
+                    ids.append(key)
+                    texts.append(np.array([numbers.setdefault(w, len(numbers)) for w in find(t)] if t else [], np.int32))
+                    size += 16 + len(t or "")
+                    if size >= block:
+                        yield flush(ids, texts, numbers)
+                        ids, texts, numbers, size = [], [], {}, 0
+        if ids:
+            yield flush(ids, texts, numbers)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(task, "block long, number int, word binary, doc_id long, numbers binary")
-
-
-def _shrink(a) -> bytes:
-    """Numbers as their low bytes, then their next ones, …: planes that compress well."""
-    import zlib
-    return zlib.compress(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
-
-
-def _grow(b: bytes):
-    import zlib
-    planes = np.frombuffer(zlib.decompress(b), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4").astype(np.int64)
+    return rows.mapInArrow(task, KINDS)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, block: int = BLOCK, doc_id: str = "doc_id",
            text: str = "text") -> DataFrame:
     """doc_id and `ids`, little-endian unsigned 32-bit, of every text."""
-    rows = saved(_split(docs, pattern, block, doc_id, text), "pretokens")
-    spelled = rows.filter("word is not null").select("block", "number", "word")
-
-    def once(batches):
-        ranks = ranks_of(ranks_path)
-        for b in batches:
-            found = [np.array(merge(w, ranks), "<u4").tobytes() for w in b.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(found, pa.binary())], names=["spelling", "ids"])
-
-    known = spelled.select("word").distinct().mapInArrow(once, "spelling binary, ids binary")
-    back = spelled.join(known, F.col("word") == F.col("spelling")).select("block", "number", "ids")
-    texts = rows.filter("word is null").select(F.col("block").alias("home"), "doc_id", "numbers")
-
-    def together(key, texts, ids):
-        n = ids.num_rows
-        number = ids.column("number").to_numpy()
-        data, offs = words.buffer(ids.column("ids"))
-        flat = np.ascontiguousarray(data).view("<u4")
-        first, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        first[number], size[number] = offs[:-1] // 4, np.diff(offs) // 4
-        out = [gathered(flat, first, size, _grow(x)).tobytes() for x in texts.column("numbers").to_pylist()]
-        return pa.table({"doc_id": texts.column("doc_id").cast(pa.int64()), "ids": pa.array(out, pa.binary())})
-
-    return (texts.groupBy("home").cogroup(back.groupBy("block"))
-            .applyInArrow(together, "doc_id long, ids binary"))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = saved(_split(docs, pattern, block, buckets, doc_id, text), "pretokens")
+
+    def once(key, table):
+        ranks, known, counts, out = ranks_of(ranks_path), {}, [], []
+        for packed in table.column("packed").to_pylist():
+            data, ends = _unrun(packed)
+            found, at = [], 0
+            for end in ends.tolist():
+                w = data[at:end]
+                at = end
+                if (ids := known.get(w)) is None:
+                    ids = known[w] = np.array(merge(w, ranks), "<u4").tobytes()
+                found.append(ids)
+            size = np.array([len(i) // 4 for i in found])
+            counts.append(len(found))
+            out.append(_squeezed(np.concatenate([size, np.frombuffer(b"".join(found), "<u4")])))
+        return pa.table({"block": table.column("block").cast(pa.int64()), "bucket": table.column("bucket").cast(pa.int32()),
+                         "n": pa.array(counts, pa.int32()),
+                         "ids": pa.array(out, pa.binary())})
+
+    spelled = rows.filter("bucket is not null").select("block", "bucket", "packed")
+    back = spelled.groupBy("bucket").applyInArrow(once, "block long, bucket int, n int, ids binary")
+    texts = rows.filter("bucket is null").select(F.col("block").alias("home"), "packed", "doc_ids", "counts", "buckets")
+
+    def together(key, texts, back):
+        names, out = [], []
+        for t in texts.to_pylist():
+            parts = [(_expanded(i), n) for _, n, i in sorted(zip(*(back.column(c).to_pylist() for c in ("bucket", "n", "ids"))))]
+            home = _expanded(t["buckets"])
+            size, first = np.zeros(len(home), np.int64), np.zeros(len(home), np.int64)
+            order = np.argsort(home, kind="stable")  # words by bucket, as they were dealt
+            got = np.concatenate([p[:n] for p, n in parts]) if parts else np.zeros(0, np.int64)
+            flat = np.concatenate([p[n:] for p, n in parts]).astype("<u4") if parts else np.zeros(0, "<u4")
+            size[order], first[order] = got, np.cumsum(got) - got
+            numbers, ends = _expanded(t["packed"]), np.cumsum([0, *t["counts"]])
+            for k, d in enumerate(t["doc_ids"]):
+                names.append(d)
+                out.append(gathered(flat, first, size, numbers[ends[k]:ends[k + 1]]).tobytes())
+        return pa.table({"doc_id": pa.array(names, pa.int64()), "ids": pa.array(out, pa.binary())})
+
+    return texts.groupBy("home").cogroup(back.groupBy("block")).applyInArrow(together, "doc_id long, ids binary")
 
 
 def gathered(flat, first, size, numbers):
