@@ -1,19 +1,16 @@
-"""Registered queries next to their SQL; all of them with FULL_ORACLE=1, some otherwise."""
+"""All queries of the layout catalog next to their SQL."""
 import os
 
 import pytest
 
 import __spark_entry__ as entry
+import catalog
 
 DATA = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
-FEW = ["merged_area_by_layer", "symmetric_difference_area", "boundary_edges", "halo_memberships",
-       "edge_probe_scores", "rectangle_shots", "signed_distances", "reconstructed_contours",
-       "text_layout_issues", "flattened_layout"]
-NAMES = list(entry.queries()) if os.environ.get("FULL_ORACLE") else FEW
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query_matches_sql(spark, name):
     from catalog.compare import compare, duck
     text, _, _, ok = compare(spark, duck(DATA), DATA, name, entry.queries()[name], entry.oracle_sql().get(name))
