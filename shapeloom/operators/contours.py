@@ -216,9 +216,31 @@ def assemble_rings(edges: DataFrame, keys=("layer",)) -> DataFrame:
     if not done:
         done = [state.select("id", F.col("low").alias("ring"), "dist", "n")]
     known = reduce(DataFrame.unionByName, done)
-    return (linked.join(known, "id")
-            .withColumn("ord", F.pmod(F.col("n") - F.col("dist"), F.col("n")))
-            .drop("id", "dist", "qx", "qy"))
+    return _numbered_rings(linked.join(known, "id"), keys)
+
+
+def _numbered_rings(found: DataFrame, keys) -> DataFrame:
+    """Number rings by the order of their smallest edges and start each there, so that numbers depend
+    on the geometry alone."""
+    from shapeloom.operators.filters import with_position
+    edge = [*keys, "x0", "y0", "x1", "y1"]
+    least = found.groupBy("ring").agg(F.min(F.struct(*edge, "dist")).alias("m")).select("ring", "m.*")
+    numbers = with_position(least, edge).select(F.col("ring").alias("_ring"), "position", F.col("dist").alias("_from"))
+    return (found.join(numbers, F.col("ring") == F.col("_ring"))
+            .withColumn("ring", F.col("position"))
+            .withColumn("ord", F.pmod(F.col("_from") - F.col("dist"), F.col("n")))
+            .drop("id", "dist", "qx", "qy", "_ring", "position", "_from"))
+
+
+def unclosed(edges: DataFrame, keys=("layer",)) -> DataFrame:
+    """Vertices at which not as many edges end as begin, as issues: such edges form no ring, and
+    `assemble_rings` leaves out those whose chain ends there."""
+    keys = list(keys)
+    ends = edges.select(*keys, F.explode(F.array(
+        F.struct(F.col("x0").alias("x"), F.col("y0").alias("y"), F.lit(1).alias("s")),
+        F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"), F.lit(-1).alias("s")))).alias("e")).select(*keys, "e.*")
+    return (ends.groupBy(*keys, "x", "y").agg(F.sum("s").alias("surplus")).filter("surplus <> 0")
+            .select(F.lit("unclosed_ring").alias("code"), *keys, "x", "y", "surplus"))
 
 
 def _double(state: DataFrame, hops: int) -> DataFrame:

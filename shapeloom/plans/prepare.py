@@ -42,14 +42,14 @@ def prepare_macro(shapes: DataFrame, context, ownership, grid: tiling.Grid, corn
                   limit: int | None = None, **kw):
     """Active segments and memberships of one macro, from whole intersecting shapes.
 
-    The macro's own borders never become edges. Segments outside the grid keep owner -1
+    Rows carry polygon, ring and edge numbers. The macro's own borders never become edges. Segments outside the grid keep owner -1
     as read-only context. Memberships cover the macro's tiles only and are not clamped.
     """
     l, b, r, t = filters.check_box(ownership)
     if not (context[0] <= l and context[1] <= b and context[2] >= r and context[3] >= t):
         raise ValueError("context must contain the ownership box")
     whole = shapes.filter(filters.overlaps(context))
-    cut = cut_edges(merged_edges(whole, keys, False, **kw), corner, maximum, polarity)
+    cut = cut_edges(merged_edges(whole, keys, True, **kw), corner, maximum, polarity)
     active = seg.segment_box(cut).filter(filters.touches(context))
     owned = seg.owners(active, grid)
     inside = _tiles_inside(grid, ownership)

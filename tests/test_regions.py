@@ -68,7 +68,7 @@ def test_operations_against_unit_cells_with_crowded_cells(spark):
 def test_crowded_cell_and_its_plan(spark):
     """A hundred thousand distinct boxes in one cell; one shuffle between merging copies and the sweep."""
     n = F.col("id")
-    b = spark.range(100_000).select(F.lit(1).alias("layer"), (n % 100).alias("l"), (F.floor(n / 100) % 900).alias("b"),
+    b = spark.range(100_000).select((F.col("id") % 1 + 1).cast("int").alias("layer"), (n % 100).alias("l"), (F.floor(n / 100) % 900).alias("b"),
                                     (n % 100 + 1 + F.floor(n / 90_000)).alias("r"), (F.floor(n / 100) % 900 + 1 + F.floor(n / 300)).alias("t"))
     got = region.union(b)
     import numpy as np
@@ -77,8 +77,17 @@ def test_crowded_cell_and_its_plan(spark):
         on[r["b"]:r["t"], r["l"]:r["r"]] = True
     assert areas(got) == {1: int(on.sum())}
     plan = got._jdf.queryExecution().executedPlan().toString()
-    after_merge = plan[:plan.index("HashAggregate")]
-    assert after_merge.count("Exchange hashpartitioning") == 1
+    after_merge = plan[:plan.index("HashAggregate")]  # printed from the result down
+    assert after_merge.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_ring_numbers_depend_on_geometry_alone(spark, boxes):
+    b = boxes((0, 0, 10, 10), (20, 0, 30, 10), (5, 5, 25, 30), (40, 40, 60, 60), (100, 0, 101, 1))
+    e = region.directed_edges(region.boundary_edges(region.difference(b, boxes((45, 45, 50, 50)))))
+    one = {tuple(r) for r in contours.assemble_rings(e.repartition(1)).select("ring", "ord", "n", "x0", "y0").collect()}
+    two = {tuple(r) for r in contours.assemble_rings(e.repartition(5, "x1")).select("ring", "ord", "n", "x0", "y0").collect()}
+    assert one == two and {r[0] for r in one} == {0, 1, 2, 3} and all(min(r for r in one if r[0] == k)[1] == 0 for k in range(4))
+    assert contours.unclosed(e).isEmpty() and contours.unclosed(e.filter("x0 <> 100")).count() > 0
 
 
 def test_slanted_edges_are_refused(spark, polygons):
