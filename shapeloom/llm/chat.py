@@ -37,6 +37,7 @@ LAYOUTS = [
     {"name": "system_prompt", "paths": ["conv_id", "prompt", "response", "system"],
      "turns": [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["response"])]},
 ]
+# Role names of arrays; rows that are turns already keep theirs.
 NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
 SAID = "array<struct<turn:bigint,role:string,text:string>>"
 
@@ -105,7 +106,7 @@ def canonical(df: DataFrame, registry=None) -> DataFrame:
     key = F.col("conv_id").cast("long").alias("conv_id")
     if "turn" in layout:
         return df.select(key, F.col(layout["turn"]).cast("long").alias("turn"),
-                         _role(F.col(layout["role"])).alias("role"), F.coalesce(layout["text"], F.lit("")).alias("text"))
+                         F.coalesce(layout["role"], F.lit("")).alias("role"), F.coalesce(layout["text"], F.lit("")).alias("text"))
     if "array" in layout:
         said = F.transform(F.col(layout["array"]), _item(layout))
     else:
@@ -134,7 +135,7 @@ def canonical_json(df: DataFrame, record: str = "record") -> tuple[DataFrame, Da
     said = F.lit(None).cast(SAID)
     for mark, m in REGISTRY.items():
         if "turn" in m:
-            turns = F.array(F.struct(text("turn").cast("long").alias("turn"), _role(text("role")).alias("role"),
+            turns = F.array(F.struct(text("turn").cast("long").alias("turn"), F.coalesce(text("role"), F.lit("")).alias("role"),
                                      F.coalesce(text("text"), F.lit("")).alias("text")))
         elif "array" in m:
             items = F.from_json(text(m["array"]), f"array<struct<{m['role']}:string,{m['text']}:string>>".replace("from:", "`from`:"))
