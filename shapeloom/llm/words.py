@@ -13,7 +13,7 @@ SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
-CHUNK = 2 << 20
+CHUNK = 1 << 19  # bytes of text at a time; the work arrays take about a hundred times as much
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -70,6 +70,8 @@ def pieces(batch, name, limit=CHUNK):
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
         yield batch.slice(lo, min(hi, batch.num_rows) - lo)
         lo = min(hi, batch.num_rows)
+    # Workers live on between tasks and share an executor's memory, so they give back what is free.
+    pa.default_memory_pool().release_unused()
 
 
 class Words:
