@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import induced, words
-from .common import saved
+from .common import expanded, saved, squeezed
 
 WIDTH, GRAM, MEMORY = 200, 16, 128 << 20
 PLACE = np.uint64((1 << 30) - 1)
@@ -88,9 +88,9 @@ def _strings(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """The bytes of wanted pieces (did, h, start, windows, key), read from their texts."""
     def task(batches):
         for batch in batches:
-            for some in words.pieces(batch, "text"):
+            for some in words.pieces(batch, "packed"):
                 out = [[] for _ in range(5)]
-                data, offs = words.buffer(some.column("text"))
+                data, offs = words.buffer(expanded(some.column("packed")))
                 for i, (did, h, ps) in enumerate(zip(*(some.column(c).to_pylist() for c in ("did", "h", "ps")))):
                     for p in ps:
                         a = offs[i] + p["start"]
@@ -102,8 +102,9 @@ def _strings(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     by = wanted.groupBy(F.col("did").alias("d"), F.col("h").alias("hh")).agg(
         F.collect_list(F.struct("start", "windows", "key")).alias("ps"))
-    one = rows.dropDuplicates(["did", "h"])
-    return (one.join(by, (F.col("did") == F.col("d")) & (F.col("h") == F.col("hh"))).select("did", "h", "ps", "text")
+    # A repeated row gives its pieces again; they are repeated as it is.
+    rows = rows.select("did", "h", squeezed(F.col("text")).alias("packed"))
+    return (rows.join(by, (F.col("did") == F.col("d")) & (F.col("h") == F.col("hh"))).select("did", "h", "ps", "packed")
             .mapInArrow(task, "key long, did long, h long, start long, piece binary"))
 
 
@@ -184,16 +185,19 @@ def spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, memory: int = M
 
 def cleaned(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, memory: int = MEMORY, doc_id: str = "doc_id",
             text: str = "text") -> DataFrame:
-    """Each row of docs as a struct `row`, with `kept` (remaining bytes), n_bytes, n_removed, n_spans."""
+    """Each row of docs: its other columns as a struct `row`, whether the text `was_null`, the remaining
+    bytes `kept`, n_bytes, n_removed, n_spans. Texts are shuffled once here, compressed."""
     all_ = spans(docs, width, gram, memory, doc_id, text)
     by = saved(all_.groupBy("did", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("did"),
-                       F.xxhash64(t).alias("h"), t.alias("t")).join(by, ["did", "h"], "left")
+    others = [c for c in docs.columns if c != text]
+    rows = docs.select(F.struct(*others).alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("did"),
+                       F.xxhash64(t).alias("h"), squeezed(F.col(text)).alias("packed")).join(by, ["did", "h"], "left")
 
-    def cut(texts: pa.Array, spans_: pa.Array) -> pa.Array:
+    def cut(packed: pa.Array, spans_: pa.Array) -> pa.Array:
         kept, sizes, gone, runs = [], [], [], []
-        data, offs = words.buffer(texts)
+        data, offs = words.buffer(expanded(packed))
+        texts = packed
         flat = spans_.flatten()
         lo, hi = (flat.field(k).to_numpy() for k in ("lo", "hi"))
         ends = np.concatenate([[0], np.cumsum(spans_.fill_null([]).value_lengths().to_numpy())])
@@ -217,7 +221,7 @@ def cleaned(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, memory: int =
                                            pa.array(runs, pa.int64())], names=["kept", "n_bytes", "n_removed", "n_spans"])
 
     made = F.arrow_udf(cut, "struct<kept:binary,n_bytes:bigint,n_removed:bigint,n_spans:bigint>")
-    return rows.withColumn("c", made("t", "spans")).select("row", "c.*")
+    return rows.withColumn("c", made("packed", "spans")).select("row", F.col("packed").isNull().alias("was_null"), "c.*")
 
 
 def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -226,5 +230,5 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **optio
         return pa.array([b.decode("utf-8", "ignore") for b in kept.to_pylist()], pa.string())
 
     out = cleaned(docs, doc_id=doc_id, text=text, **options)
-    new = F.when(F.col("n_removed") > 0, F.arrow_udf(whole, "string")("kept")).otherwise(F.col("row").getField(text))
+    new = F.when(~F.col("was_null"), F.arrow_udf(whole, "string")("kept"))
     return out.select(*[new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
