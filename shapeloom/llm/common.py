@@ -1,4 +1,5 @@
 """Places for intermediate tables and helpers shared by the corpus operators."""
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,11 +16,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write once, read back: cuts lineage, and later steps prune columns of the file."""
+def saved(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """Write once, read back: cuts lineage, and later steps prune columns of the file.
+
+    Shuffle files of a finished step go when the driver collects its plan; `tidy` asks for that at
+    once, for steps that shuffle much.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    if tidy:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -173,11 +173,11 @@ def spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, memory: int = M
     found = saved(_pieces(rows, width, gram), "pieces")
     # A struct's maximum names one occurrence of each piece.
     per = saved(found.groupBy("key", "content").agg(F.count("*").alias("n"), F.max(
-        F.struct("did", "h", "start", "windows")).alias("one")), "distinct-pieces")
+        F.struct("did", "h", "start", "windows")).alias("one")), "distinct-pieces", tidy=True)
     several = saved(per.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("key").alias("k")), "open-keys")
     wanted = per.join(several, F.col("key") == F.col("k"), "left_semi").select("key", "one.*")
     single = _sorted_spans(_strings(rows, wanted, width), width, memory)
-    often = saved(per.filter("n > 1").select(F.col("key").alias("k"), F.col("content").alias("c")), "repeated-pieces")
+    often = saved(per.filter("n > 1").select(F.col("key").alias("k"), F.col("content").alias("c")), "repeated-pieces", tidy=True)
     whole = (found.join(often, (F.col("key") == F.col("k")) & (F.col("content") == F.col("c")), "left_semi")
              .select("did", "h", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + (width - 1)).alias("hi")))
     return whole.unionByName(single)
@@ -188,7 +188,7 @@ def cleaned(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, memory: int =
     """Each row of docs: its other columns as a struct `row`, whether the text `was_null`, the remaining
     bytes `kept`, n_bytes, n_removed, n_spans. Texts are shuffled once here, compressed."""
     all_ = spans(docs, width, gram, memory, doc_id, text)
-    by = saved(all_.groupBy("did", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    by = saved(all_.groupBy("did", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans", tidy=True)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     others = [c for c in docs.columns if c != text]
     rows = docs.select(F.struct(*others).alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("did"),
