@@ -4,8 +4,9 @@ A document is the multiset of its paragraphs (lines). Each paragraph is hashed t
 and a fingerprint is the sum of these vectors modulo powers of two, so paragraphs can be inserted
 and deleted by adding and subtracting, in any order. The vector has two parts:
 * `LANES` words modulo 2^64, expanded from the paragraph's hash: equal sums, equal multisets;
-* `DIMS` words modulo 2^16, each run of GRAM bytes of the paragraph adding or taking one in a hashed
-  place: the cosine of two sums estimates the likeness of the documents (error about 1/sqrt(DIMS)).
+* `DIMS` words modulo 2^32, read as signed, each run of GRAM bytes of the paragraph adding or taking one
+  in a hashed place: the cosine of two sums estimates the likeness of the documents (error about
+  1/sqrt(DIMS)). A string has less than 2^31 bytes, so no count of one document wraps.
 
 Defined cases: a null text is empty, and empty texts are alike (likeness 1); a paragraph shorter
 than GRAM bytes is one run; texts may be of any length.
@@ -20,14 +21,15 @@ from . import words
 
 LANES, DIMS, GRAM = 4, 256, 12
 STRIDE = words.mix(np.arange(101, 101 + LANES, dtype=np.uint64))
-SIZE = LANES * 8 + DIMS * 2
+WIDTH = 4  # bytes of a likeness word
+SIZE = LANES * 8 + DIMS * WIDTH
 NO_ID = -(1 << 63) + 1
 COMPARED = ("doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, "
             "near_edited double, near_next double")
 
 
 def vectors(data, offs):
-    """Fingerprint vectors (uint64 [n, LANES], uint16 [n, DIMS]) of a buffer of texts."""
+    """Fingerprint vectors (uint64 [n, LANES], uint32 [n, DIMS]) of a buffer of texts."""
     n, rows = len(data), len(offs) - 1
     up, down = words.powers(n)
     sums = np.zeros(n + 1, np.uint64)
@@ -56,13 +58,13 @@ def vectors(data, offs):
     g = words.mix((sums[stop] - sums[at]) * down[at])
     place = doc[which] * DIMS + (g >> np.uint64(40)).astype(np.int64) % DIMS
     sign = 1.0 - 2.0 * (g & np.uint64(1)).astype(np.float64)
-    weak = np.bincount(place, sign, rows * DIMS).reshape(rows, DIMS).astype(np.int64).astype(np.uint16)
+    weak = np.bincount(place, sign, rows * DIMS).reshape(rows, DIMS).astype(np.int64).astype(np.uint32)
     return strong, weak
 
 
 def pack(strong, weak):
-    """Vectors as binary; the low bytes of all places stand before the high ones."""
-    planes = weak.view(np.uint8).reshape(len(weak), DIMS, 2).transpose(0, 2, 1).reshape(len(weak), DIMS * 2)
+    """Vectors as binary; the lowest bytes of all places stand before the next ones."""
+    planes = weak.view(np.uint8).reshape(len(weak), DIMS, WIDTH).transpose(0, 2, 1).reshape(len(weak), DIMS * WIDTH)
     both = np.concatenate([strong.view(np.uint8).reshape(len(strong), LANES * 8), planes], axis=1)
     return [r.tobytes() for r in both]
 
@@ -71,8 +73,8 @@ def unpack(column):
     data, _ = words.buffer(column)
     both = data.reshape(-1, SIZE)
     strong = np.ascontiguousarray(both[:, :LANES * 8]).view(np.uint64)
-    planes = both[:, LANES * 8:].reshape(-1, 2, DIMS).transpose(0, 2, 1)
-    return strong, np.ascontiguousarray(planes).reshape(-1, DIMS * 2).view(np.uint16)
+    planes = both[:, LANES * 8:].reshape(-1, WIDTH, DIMS).transpose(0, 2, 1)
+    return strong, np.ascontiguousarray(planes).reshape(-1, DIMS * WIDTH).view(np.uint32)
 
 
 def insert(fingerprint, paragraphs):
@@ -86,16 +88,20 @@ def delete(fingerprint, paragraphs):
 
 def likeness(a, b):
     """0 to 1; 1 for equal fingerprints."""
-    x, y = a[1].view(np.int16).astype(np.float64), b[1].view(np.int16).astype(np.float64)
+    x, y = a[1].view(np.int32).astype(np.float64), b[1].view(np.int32).astype(np.float64)
     norm = np.sqrt((x * x).sum(1) * (y * y).sum(1))
     cosine = np.clip((x * y).sum(1) / np.where(norm > 0, norm, 1), 0, 1)
     return np.where((a[0] == b[0]).all(1), 1.0, cosine)
 
 
-def text_of(column):
-    """Fingerprints as text, `hex:base64`."""
-    strong, weak = unpack(column)
-    return pa.array([f"{s.tobytes().hex()}:{base64.b64encode(w.tobytes()).decode()}" for s, w in zip(strong, weak)], pa.string())
+def text_of(column, rows=500):
+    """Fingerprints as text, `hex:base64`; so many rows at a time, as workers share an executor's memory."""
+    out = []
+    for lo in range(0, len(column), rows):
+        strong, weak = unpack(column.slice(lo, rows))
+        out.append(pa.array([f"{s.tobytes().hex()}:{base64.b64encode(w.tobytes()).decode()}" for s, w in zip(strong, weak)], pa.string()))
+    pa.default_memory_pool().release_unused()
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
 
 def fingerprinted(docs: DataFrame, text: str = "text", column: str = "fingerprint") -> DataFrame:
@@ -165,7 +171,7 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return rows.sortWithinPartitions("range", "guest", "neg", "h").mapInArrow(lambda b: _compared(b, share), COMPARED)
 
 
-def _compared(batches, share, limit=words.CHUNK):
+def _compared(batches, share, limit=words.CHUNK // 2):
     """Rows sorted by range: each distinct document with the one after it."""
     import hashlib
     import zstandard
@@ -196,9 +202,10 @@ def _compared(batches, share, limit=words.CHUNK):
             text = unpacked(packed).decode()
             if held and held[0] == place:
                 pairs.append((held[2], held[3], text))
-                size += 3 * len(held[3]) + len(text) + 2000
+                size += 3 * len(held[3]) + len(text) + 2000 + 2 * SIZE
                 if size >= limit:
                     yield flush()
+                    pa.default_memory_pool().release_unused()
             held = None if guest else (place, (neg, h), [key], text)
     if pairs:
         yield flush()

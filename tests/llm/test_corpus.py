@@ -289,6 +289,17 @@ def test_fingerprints_of_neighbours(spark):
     assert fingerprints.compare_with_next(docs_of(spark, [(1, "alone in the table")])).first().near_next == 1.0
 
 
+def test_counts_of_long_texts_do_not_wrap(spark):
+    # One run repeated over 40,000 times: its counts pass 2^15, and for the last pair 2^16.
+    rows = [(4, "word " * 40_000), (3, "other " * 5), (2, "word " * 41_000), (1, "word " * 70_000)]
+    got = {r.doc_id: r for r in fingerprints.compare_with_next(docs_of(spark, rows)).collect()}
+    assert np.abs(vector(rows[0][1])[1].view(np.int32)).max() > 39_990
+    assert got[4].near_edited > 0.99 and got[4].near_next < 0.3
+    assert got[2].near_edited > 0.99 and got[2].near_next > 0.99
+    longer = pa.array(fingerprints.pack(*vector(rows[3][1])), pa.binary())
+    assert (fingerprints.unpack(longer)[1] == vector(rows[3][1])[1]).all()
+
+
 # --- nearest neighbours --------------------------------------------------------------------------
 
 def test_nearest(spark):
