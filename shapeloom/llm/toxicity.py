@@ -6,8 +6,9 @@ and their first 4, 5 and 6 bytes, hashed into `buckets`; a term counts once per
 learns linear weights and k factors per term, so pairs of terms that are toxic only together count.
 
 It is fitted on a bounded sample: at most `sample` labelled rows, those of the smallest hashes of
-their ids, equal texts once; and at most `terms` buckets, those whose odds differ most clearly between both
-labels. Scoring reads whole texts of all documents; labels, lang, source and doc_id are no input.
+their ids, equal texts once. Terms are those that separate the labels on their own (at most `terms`, the
+clearest), and of the `frequent` terms in most texts those that do in a pair: texts with both terms are toxic
+clearly more, or clearly less, often than texts with either. Scoring reads whole texts of all documents; labels, lang, source and doc_id are no input.
 
 Defined cases: a null or empty text has no terms and scores sigmoid(w0); without labels of both
 kinds the score is the smoothed share of toxic rows; null labels are ignored, of repeated ones the
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words
+from .common import saved
 
 PREFIXES = (4, 5, 6)
 KIND = words.mix(np.arange(11, 15, dtype=np.uint64))
@@ -79,11 +81,50 @@ def sampled(docs: DataFrame, labels: DataFrame, learn, sample: int, doc_id="doc_
     return rows.groupBy(F.md5("text").alias("m")).agg(F.first("text").alias("text"), F.max("y").alias("y")).select("text", "y")
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn=None, sample: int = 20_000, terms: int = 4096, buckets: int = 1 << 20,
+def paired(sets, y, m: int, evidence: float = 20.0, block: int = 512):
+    """Which of m terms are in a pair that separates the labels, from the terms of each text.
+
+    A pair counts if its share of toxic texts differs from those of both terms to the same side, each
+    time with a probability below exp(-evidence) by Chernoff's bound, which holds for small counts too.
+    """
+    n, toxic = len(sets), y > 0
+    size = np.array([len(s) for s in sets])
+    rows, at = np.repeat(np.arange(n, dtype=np.int32), size), np.concatenate(sets)
+    order = np.argsort(at, kind="stable")
+    rows, at = rows[order], at[order]
+    cuts = np.searchsorted(at, np.arange(m + 1))
+    share = (np.bincount(at, toxic[rows], m) + 0.5) / (np.diff(cuts) + 1)
+    found = np.zeros(m, bool)
+
+    def marked(lo):
+        hi = min(lo + block, m)
+        x = np.zeros((n, hi - lo), np.float32)
+        x[rows[cuts[lo]:cuts[hi]], at[cuts[lo]:cuts[hi]] - lo] = 1
+        return x
+
+    def differs(both, bad, p):
+        q = bad / np.maximum(both, 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            far = np.where(q > 0, q * np.log(q / p), 0) + np.where(q < 1, (1 - q) * np.log((1 - q) / (1 - p)), 0)
+        return np.where(both * far >= evidence, np.sign(q - p), 0)
+
+    for i in range(0, m, block):
+        x = marked(i)
+        for j in range(i, m, block):
+            z = x if i == j else marked(j)
+            both, bad = (x.T @ z).astype(float), (x[toxic].T @ z[toxic]).astype(float)
+            a = differs(both, bad, share[i:i + block, None])
+            hit = (a != 0) & (a == differs(both, bad, share[None, j:j + block]))
+            found[i:i + block] |= hit.any(axis=1)
+            found[j:j + block] |= hit.any(axis=0)
+    return found
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn=None, sample: int = 20_000, terms: int = 4096, frequent: int = 8192, buckets: int = 1 << 20,
         factors: int = 4, epochs: int = 20, rate: float = 0.2, decay: float = 1e-3, seed: int = 7, doc_id="doc_id",
         text="text", label="toxic") -> Model:
-    """Fit on the sample; two passes over it on executors, the machine itself on at most
-    sample x terms marks (in fact a few per text) on the driver."""
+    """Fit on the sample; two passes over it on executors, pairs and the machine itself on the driver, on
+    at most sample x (terms + frequent) marks (in fact a few hundred per text)."""
     learn = F.lit(True) if learn is None else learn
     rows = sampled(docs, labels, learn, sample, doc_id, text, label)
 
@@ -109,9 +150,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, sample: int = 20_000, te
     c, d = F.lit(pos) - F.col("p") + 0.5, F.lit(n - pos) - F.col("q") + 0.5
     odds = F.log(a * d / (b * c))
     clear = F.abs(odds) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    top = (counts.withColumn("clear", clear).filter((F.abs(odds) >= float(np.log(3))) & (F.col("clear") >= 2.5))
+    counts = saved(counts.select("bucket", (F.col("p") + F.col("q")).alias("n"), odds.alias("odds"), clear.alias("clear")), "terms")
+    top = (counts.filter((F.abs("odds") >= float(np.log(3))) & (F.col("clear") >= 2.5))
            .orderBy(F.desc("clear"), "bucket").limit(terms).select("bucket").collect())
-    ids = np.array(sorted(r["bucket"] for r in top), np.int64)
+    most = counts.orderBy(F.desc("n"), "bucket").limit(frequent).select("bucket").collect()
+    alone = np.array(sorted(r["bucket"] for r in top), np.int64)
+    ids = np.union1d(alone, np.array([r["bucket"] for r in most], np.int64))
     if not len(ids):
         return nothing
 
@@ -128,6 +172,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, sample: int = 20_000, te
     got.sort(key=lambda r: (r["y"], r["at"]))
     y = np.array([r["y"] > 0 for r in got], float)
     sets = [np.frombuffer(r["at"], "<i4") for r in got]
+    keep = np.isin(ids, alone) | paired(sets, y, len(ids))
+    if not keep.any():
+        return nothing
+    place = np.cumsum(keep) - 1
+    sets, ids = [place[s[keep[s]]] for s in sets], ids[keep]
     return train(sets, y, ids, buckets, factors, epochs, rate, decay, seed, bias)
 
 

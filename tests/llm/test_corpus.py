@@ -201,6 +201,22 @@ def test_toxicity_learns_pairs_and_holds_out(spark):
     assert toxicity.scored(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_learns_pairs_of_words_that_tell_nothing_alone(spark):
+    rng, rows, labels = random.Random(8), [], []
+    plain = [f"w{i}" for i in range(200)]
+    for i in range(3000):
+        mild, group = rng.random() < 0.5, rng.random() < 0.5  # half of the texts with either word are toxic
+        t = [rng.choice(plain) for _ in range(rng.randint(5, 30))] + ["silly"] * mild + ["walruses"] * group
+        rng.shuffle(t)
+        rows.append((i, " ".join(t)))
+        labels.append((i, 1, int(mild == group)))
+    from shapeloom.llm.common import held_out
+    docs = docs_of(spark, rows)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), learn=~held_out("doc_id"), epochs=40)
+    held = [(r.score, labels[r.doc_id][2]) for r in toxicity.scored(docs, model).filter(held_out("doc_id")).collect()]
+    assert np.mean([(s >= 0.5) == bool(y) for s, y in held]) > 0.95 and len(held) > 400
+
+
 # --- WARC ----------------------------------------------------------------------------------------
 
 def test_warc_round_trip(spark, tmp_path):
