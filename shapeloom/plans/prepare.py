@@ -58,6 +58,32 @@ def prepare_macro(shapes: DataFrame, context, ownership, grid: tiling.Grid, corn
     return owned, members
 
 
+def macro_of(df: DataFrame, macros: tiling.Grid, grid: tiling.Grid, name="macro_id") -> DataFrame:
+    """Add the macro of each row's tile; -1 outside the grid."""
+    n = F.lit(grid.columns)
+    low = df.withColumn("_x", grid.x.low(F.pmod("core_id", n))).withColumn("_y", grid.y.low(tiling.floor_div("core_id", grid.columns)))
+    found = tiling.owner(low, macros, "_x", "_y", name).drop("_x", "_y")
+    return found.withColumn(name, F.when(F.col("core_id") >= 0, F.col(name)).otherwise(F.lit(-1).cast("long")))
+
+
+def prepare_macros(shapes: DataFrame, macros: tiling.Grid, grid: tiling.Grid, corner: float, maximum: float,
+                   keys=("layer",), polarity: str = "clear", rings: bool = True, **kw) -> DataFrame:
+    """Owned segments of every macro, each prepared from the whole shapes that touch its context.
+
+    `macros` is a grid of whole tiles; its halo is the context. A segment is as in the whole if its edge
+    lies inside the context; `open` marks those whose edge reaches the context's border, where shapes that
+    the macro does not see may change the edge, so that a wider halo is needed.
+    """
+    near = tiling.membership(shapes, macros, clamp=False).withColumnRenamed("core_id", "macro_id")
+    cut = cut_edges(merged_edges(near, ("macro_id", *keys), rings, **kw), corner, maximum, polarity)
+    owned = macro_of(seg.owners(cut, grid), macros, grid, "_macro").filter("_macro = macro_id").drop("_macro")
+    n, h = F.lit(macros.columns), macros.halo
+    row, column = tiling.floor_div("macro_id", macros.columns), F.pmod("macro_id", n)
+    inside = ((F.least("x0", "x1") > macros.x.low(column) - h) & (F.greatest("x0", "x1") < macros.x.high(column) + h) &
+              (F.least("y0", "y1") > macros.y.low(row) - h) & (F.greatest("y0", "y1") < macros.y.high(row) + h))
+    return owned.withColumn("open", ~inside)
+
+
 def _tiles_inside(grid: tiling.Grid, box):
     """Predicate on core_id: the tile lies in the box, whose borders must be tile cuts."""
     n = grid.columns

@@ -152,3 +152,20 @@ def test_patch_rules(spark):
     got = {tuple(r) for r in filters.patch_issues(p).collect()}
     assert got == {("duplicate_id", "a"), ("ownership_overlap", "a"), ("ownership_overlap", "b"), ("ownership_overlap", "d")}
     assert filters.patch_issues(p.limit(3)).isEmpty()
+
+
+def test_all_macros_own_what_the_whole_owns(spark, boxes):
+    from shapeloom.operators import tiling
+    from shapeloom.plans import prepare
+    # Shapes in every macro, across macro borders, and one whose lower edge ends at a shape far from it.
+    df = boxes((-20, 20, 220, 60), (40, 60, 90, 180), (95, 70, 105, 130), (150, 110, 220, 190), (5, 150, 30, 199), (120, 90, 190, 95))
+    grid = tiling.Grid.even((0, 0, 200, 200), 50, 20)
+    cols = ["core_id", "sx", "sy", "ex", "ey", "nx", "ny"]
+    whole, _ = prepare.prepare_problem(df, grid, 5, 20)
+    want = sorted(map(tuple, whole.filter("core_id >= 0").select(*cols).collect()))
+    wide = prepare.prepare_macros(df, tiling.Grid.even((0, 0, 200, 200), 100, 250), grid, 5, 20)
+    assert sorted(map(tuple, wide.select(*cols).collect())) == want and wide.filter("open").count() == 0
+    assert {r.macro_id for r in wide.select("macro_id").distinct().collect()} == {0, 1, 2, 3}
+    # A narrow context keeps whole shapes, and marks the edges that leave it.
+    narrow = prepare.prepare_macros(df, tiling.Grid.even((0, 0, 200, 200), 100, 24), grid, 5, 20).collect()
+    assert {tuple(r[c] for c in cols) for r in narrow if not r.open} <= set(want) and any(r.open for r in narrow)
