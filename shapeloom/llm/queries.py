@@ -2,7 +2,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, nearest, neardup, packing, suffixes, toxicity, urlfilter, warc
+from . import bpe, chat, fingerprints, merkle, nearest, neardup, packing, suffixes, toxicity, urlfilter, warc
 from .common import held_out, table
 
 QUERIES, ORACLES = {}, {}
@@ -132,3 +132,64 @@ def op10_url_automaton(spark, sf_dir):
     """Every page URL judged by the host and path rules; allowed where none fits."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.judge(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+# CRC-32 of a string of ASCII characters, by the byte table that its polynomial gives.
+CRC_TABLE = ("list_transform(range(256), lambda b: list_reduce([b] || range(8), lambda c, k: "
+             "CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END))")
+
+
+def crc_sql(text):
+    codes = f"list_transform(range(1, length({text}) + 1), lambda k: CAST(ascii(substr({text}, CAST(k AS INTEGER), 1)) AS BIGINT))"
+    return (f"xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || {codes}, "
+            "lambda c, x: xor(crc[CAST((xor(c, x) & 255) + 1 AS INTEGER)], c >> 8)))")
+
+
+def merkle_sql(levels=8):
+    """Trees of up to 16 ** levels leaves, level by level, and each leaf's way through them."""
+    def field(v):
+        return f"coalesce(octet_length(encode(CAST({v} AS VARCHAR))) || ':' || CAST({v} AS VARCHAR), '-')"
+
+    fields = " || ".join(field(v) for v in ("doc_id", "source", "lang", "n_chars"))
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [f"t AS (SELECT {CRC_TABLE} AS crc)",
+             f"d AS (SELECT doc_id, source, sha256({fields} || {field('text')}) AS hash, sha256({fields} || {field(low)}) AS low, "
+             f"{crc_sql('CAST(doc_id AS VARCHAR)')} % 5 = 0 AS hit FROM documents, t)",
+             "w0 AS (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, hash AS leaf, hash, "
+             "CASE WHEN hit THEN low ELSE hash END AS now, '' AS proof, "
+             "row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, hash) - 1 AS place, "
+             "count(*) OVER (PARTITION BY source) AS n FROM d)",
+             "l0 AS (SELECT tree, place, n, hash FROM w0)"]
+    for k in range(2 * levels):
+        if k == levels:  # the roots become the leaves of one tree
+            parts += [f"s AS (SELECT tree, hash AS subroot FROM l{k})",
+                      f"m{k} AS (SELECT 0 AS tree, tree AS place, count(*) OVER () AS n, hash FROM l{k})",
+                      f"v{k} AS (SELECT w{k}.* REPLACE (0 AS tree, tree AS place, (SELECT count(*) FROM l{k}) AS n), tree AS grp FROM w{k})"]
+            down, way = f"m{k}", f"v{k}"
+        else:
+            down, way = f"l{k}", f"w{k}"
+        run = "PARTITION BY tree, place // 16 ORDER BY place ROWS BETWEEN"
+        parts += [f"b{k} AS (SELECT tree AS bt, place AS bp, coalesce(string_agg(hash, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS le, "
+                  f"coalesce(string_agg(hash, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS ri FROM {down})",
+                  f"w{k + 1} AS (SELECT {way}.* REPLACE (place // 16 AS place, (n + 15) // 16 AS n, "
+                  f"CASE WHEN n > 1 THEN sha256(le || now || ri) ELSE now END AS now, proof || le || ri AS proof) "
+                  f"FROM {way} JOIN b{k} ON tree = bt AND place = bp)",
+                  f"l{k + 1} AS (SELECT tree, place // 16 AS place, (n + 15) // 16 AS n, CASE WHEN n > 1 THEN "
+                  f"sha256(string_agg(hash, '' ORDER BY place)) ELSE min(hash) END AS hash FROM {down} GROUP BY tree, place // 16, n)"]
+    end = 2 * levels
+    return (f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, l{end}.hash AS root, sha256(proof) AS proof_sha256, "
+            f"now AS folded_root, now = l{end}.hash AS verified FROM w{end}, l{end}, s WHERE s.tree = w{end}.grp")
+
+
+@query(merkle_sql())
+def op11_recursive_climb(spark, sf_dir):
+    """A Merkle tree over all documents, and every leaf checked against its root, a fifth of them tampered with."""
+    d = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    leaves = d.select(F.col("doc_id").alias("id"), F.col("source").alias("group"), merkle.leaf_hash(*fields, F.col("text")).alias("leaf"),
+                      F.when(hit, merkle.leaf_hash(*fields, low)).alias("now"))
+    return merkle.climb(merkle.build(leaves)).select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
