@@ -2,7 +2,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, merkle, nearest, neardup, packing, suffixes, toxicity, urlfilter, warc
+from . import bpe, chat, fingerprints, merkle, nearest, neardup, packing, runs, suffixes, toxicity, urlfilter, warc
 from .common import held_out, table
 
 QUERIES, ORACLES = {}, {}
@@ -193,3 +193,34 @@ def op11_recursive_climb(spark, sf_dir):
     return merkle.climb(merkle.build(leaves)).select(
         F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+BLANKS = r"[\x20\x09-\x0D]+"
+
+
+def with_periods(docs):
+    """doc_id, text: in a tenth of the documents, chosen by id, the words from one on repeat periodically."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = F.when(h % 10 == 0, F.filter(F.split(F.col("text"), BLANKS), lambda x: x != ""))
+    # Behind a generator the words are split once; projected, they would be split again for each use.
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.explode(F.array(split)).alias("w"))
+    n = F.size("w")
+    rows = rows.withColumn("a", F.when(n > 0, F.col("g") % n).cast("int"))
+    rows = rows.withColumn("p", F.when(n > 0, 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = n - F.col("a")
+    cycle = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    words_ = F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(cycle, F.lit(1), rest))
+    return rows.select("doc_id", F.when(n > 0, F.array_join(words_, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query()
+def op12_block_convolution(spark, sf_dir):
+    """Periodic runs of words of every text, and its words without what repeats in them."""
+    found = runs.described(with_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = runs.strongest(F.col("runs"))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    out = found.select("row.doc_id", F.size("runs").cast("long").alias("n_runs"), F.explode(F.array(best)).alias("best"),
+                       F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period",
+                      F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+                      "runs_sha256", "collapsed_sha256")

@@ -133,3 +133,16 @@ class Words:
 
 def of(batch, name, lower=True, blank=SEPARATOR):
     return Words(*buffer(batch.column(name)), lower=lower, blank=blank)
+
+
+def joined(data, start, end, doc, rows):
+    """Strings of the words [start, end) of each row, in order, joined by one space."""
+    last = np.ones(len(start), bool)
+    last[:-1] = doc[1:] != doc[:-1]
+    size = end - start + ~last
+    cuts = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    at = np.arange(int(cuts[-1])) + np.repeat(start - cuts[:-1], size)
+    at[(cuts[1:] - 1)[~last]] = len(data)
+    out = np.append(data, np.uint8(0x20))[at]
+    offs = np.concatenate([[0], np.cumsum(np.bincount(doc, size, rows))]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), rows, [None, pa.py_buffer(offs), pa.py_buffer(out)]).cast(pa.string())
