@@ -31,6 +31,27 @@ def saved(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete a table of `saved` that no later step reads.
+
+    Only for tables whose readers have all been written themselves: what is lost with an executor is
+    computed again from the tables of the step after, never from a deleted one.
+    """
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+NO_ID = -(1 << 63)
+
+
+def identified(docs: DataFrame, doc_id: str, text: str, *more) -> DataFrame:
+    """Rows with their identity `did`, `h`: the id (the lowest number for null) and a hash of the text; and the text."""
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(t).alias("h"), t.alias("text"), *more)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,7 +3,7 @@
 A document is the multiset of its paragraphs (lines). Each paragraph is hashed to a wide vector,
 and a fingerprint is the sum of these vectors modulo powers of two, so paragraphs can be inserted
 and deleted by adding and subtracting, in any order. The vector has two parts:
-* `LANES` words modulo 2^64, expanded from the paragraph's hash: equal sums, equal multisets;
+* `LANES` words modulo 2^64, the paragraph's 256-bit digest: equal sums, equal multisets;
 * `DIMS` words modulo 2^32, read as signed, each run of GRAM bytes of the paragraph adding or taking one
   in a hashed place: the cosine of two sums estimates the likeness of the documents (error about
   1/sqrt(DIMS)). A string has less than 2^31 bytes, so no count of one document wraps.
@@ -12,6 +12,7 @@ Defined cases: a null text is empty, and empty texts are alike (likeness 1); a p
 than GRAM bytes is one run; texts may be of any length.
 """
 import base64
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,6 @@ from pyspark.sql import DataFrame, functions as F
 from . import words
 
 LANES, DIMS, GRAM = 4, 256, 12
-STRIDE = words.mix(np.arange(101, 101 + LANES, dtype=np.uint64))
 WIDTH = 4  # bytes of a likeness word
 SIZE = LANES * 8 + DIMS * WIDTH
 NO_ID = -(1 << 63) + 1
@@ -43,11 +43,10 @@ def vectors(data, offs):
     order = np.lexsort((start, doc))
     start, doc = start[order], doc[order]
     end = end_of[np.lexsort((end_of, np.concatenate([owner, np.arange(rows)])))]
-    h = words.mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-    strong = np.zeros((rows, LANES), np.uint64)
+    view = memoryview(np.ascontiguousarray(data))
+    digests = b"".join(hashlib.blake2b(view[a:b], digest_size=8 * LANES).digest() for a, b in zip(start.tolist(), end.tolist()))
     first = np.searchsorted(doc, np.arange(rows))
-    for k in range(LANES):
-        strong[:, k] = np.add.reduceat(words.mix(h + STRIDE[k]), first) if rows else 0
+    strong = np.add.reduceat(np.frombuffer(digests, "<u8").reshape(-1, LANES), first, axis=0) if rows else np.zeros((0, LANES), np.uint64)
     # Runs of GRAM bytes inside a paragraph, or the whole of a shorter one.
     size = end - start
     runs = np.where(size >= GRAM, size - GRAM + 1, size > 0)

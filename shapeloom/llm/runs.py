@@ -219,13 +219,8 @@ def _stretches(label, seeds, size, doc, first):
 
 def labels(w: words.Words, data):
     """Numbers of the words of a batch, the same within a text for equal words only."""
-    size = w.end - w.start
-    offs = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-    bytes_ = data[np.arange(int(offs[-1])) + np.repeat(w.start - offs[:-1], size)]
-    column = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offs), pa.py_buffer(bytes_)])
-    coded = column.dictionary_encode()
-    ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.unique(w.doc * (len(coded.dictionary) + 1) + ids, return_inverse=True)[1]
+    ids = words.numbered(w, data)
+    return np.unique(w.doc * (len(ids) + 1) + ids, return_inverse=True)[1]
 
 
 RESULT = "struct<n_words:bigint,runs:array<struct<start:bigint,length:bigint,period:bigint>>,collapsed:string>"

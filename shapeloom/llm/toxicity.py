@@ -48,7 +48,7 @@ class Model:
 def terms_of(array, buckets):
     """Pairs (row, bucket) of a string array, each once."""
     w = words.Words(*words.buffer(array), blank=words.PUNCTUATION)
-    rows, found = [w.doc], [w.hash + KIND[3]]
+    rows, found = [w.doc], [w.span(w.start, w.end) + KIND[3]]
     size = w.end - w.start
     for k, n in enumerate(PREFIXES):
         long = size > n

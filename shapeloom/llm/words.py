@@ -42,6 +42,30 @@ def powers(n):
     return _powers
 
 
+def eights(data):
+    """The eight bytes from each place on as an integer; beyond the end they are 0."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def hashed(data, start, end, seed=0):
+    """64-bit hashes of the bytes in [start, end), eight at a time, each mixed in turn."""
+    v, size = eights(data), (end - start).astype(np.int64)
+    h = mix(size.astype(np.uint64) * STEP[0] + STEP[1] + np.uint64(seed) * STEP[2])
+    live, at = np.flatnonzero(size > 0), start
+    k = 0
+    while len(live):
+        left = size[live] - k
+        some = v[at[live] + k]
+        short = left < 8
+        some[short] &= (np.uint64(1) << (np.uint64(8) * left[short].astype(np.uint64))) - np.uint64(1)
+        h[live] = mix((h[live] ^ some) * STEP[3] + STEP[4])
+        live = live[~short & (left > 8)]
+        k += 8
+    return h
+
+
 def buffer(col):
     """Bytes and int64 offsets of a string or binary array; null is empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -89,16 +113,19 @@ class Words:
         self.start = np.flatnonzero(inside & (~solid[:-2] | cut[:-1]))
         self.end = np.flatnonzero(inside & (~solid[2:] | cut[1:])) + 1
         self.doc = np.searchsorted(offs, self.start, "right") - 1
-        self.up, self.down = powers(n)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE[data] * self.up[:n], out=self.sums[1:])
-        self.hash = self.span(self.start, self.end)
+        self.data, self.sums = data, None
+        self.hash = hashed(data, self.start, self.end)
         self.rows = len(offs) - 1
         self.counts = np.bincount(self.doc, minlength=self.rows)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
 
     def span(self, start, end):
-        """Hash of the bytes in [start, end), wherever they stand."""
+        """Sum hash of the bytes in [start, end), wherever they stand; for buckets of a model, where
+        collisions do no harm: some different strings have equal sums, so it cannot tell strings apart."""
+        if self.sums is None:
+            self.up, self.down = powers(len(self.data))
+            self.sums = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum(BYTE[self.data] * self.up[:len(self.data)], out=self.sums[1:])
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
     def shingles(self, size=5):
@@ -146,3 +173,12 @@ def joined(data, start, end, doc, rows):
     out = np.append(data, np.uint8(0x20))[at]
     offs = np.concatenate([[0], np.cumsum(np.bincount(doc, size, rows))]).astype(np.int64)
     return pa.Array.from_buffers(pa.large_string(), rows, [None, pa.py_buffer(offs), pa.py_buffer(out)]).cast(pa.string())
+
+
+def numbered(w, data):
+    """A number for each word, the same for equal words only."""
+    size = w.end - w.start
+    offs = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    bytes_ = data[np.arange(int(offs[-1])) + np.repeat(w.start - offs[:-1], size)]
+    column = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offs), pa.py_buffer(bytes_)])
+    return column.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
