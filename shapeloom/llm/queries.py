@@ -2,7 +2,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, merkle, nearest, neardup, packing, runs, suffixes, toxicity, urlfilter, warc
+from . import bpe, chat, factors, fingerprints, merkle, nearest, neardup, packing, runs, suffixes, toxicity, urlfilter, warc
 from .common import held_out, table
 
 QUERIES, ORACLES = {}, {}
@@ -224,3 +224,10 @@ def op12_block_convolution(spark, sf_dir):
     return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period",
                       F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
                       "runs_sha256", "collapsed_sha256")
+
+
+@query()
+def op13_relative_lempel_ziv(spark, sf_dir):
+    """Every text without the words of 35-word windows that start elsewhere too."""
+    out = factors.cleaned(table(spark, sf_dir, "documents").select("doc_id", "text"), width=35)
+    return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
