@@ -8,10 +8,10 @@ each place of each chunk in turn, so both sides share a key. At similarity 0.85
 places differ in less than one of 1,000 pairs, and most of those share a key all the same.
 
 Candidates within a key are not paired with each other: each round links members to one of them
-(the smallest first, then one chosen by hash), confirms on full sets, and joins components; keys
-that lie within one component are done. What is left is compared member by member across components, but for
-pairs whose similarity is bounded too low by the shingles that no other of them has; so no link
-between different texts that share a key is lost.
+(the smallest, one chosen by hash, then those with the fewest shingles of their own), confirms on full sets, and joins
+components; keys that lie within one component are done. In what is left, sets that are similar enough share one of
+their rarest shingles, so members are paired under a key and such a shingle only, where sizes and
+places leave enough in common; so no link between different texts that share a key is lost.
 
 Defined cases: a text without words (null, empty, blanks) and a null doc_id are linked with nothing;
 rows that repeat a doc_id are documents of their own; equal texts are always linked; very long texts are whole; an
@@ -112,21 +112,29 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, doc_id: str, text: str)
             .dropDuplicates(["node"]))
 
 
-def _matchable(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of the sets of some nodes: their size, and how many of their shingles another of them has too.
+def _ranked(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """For some nodes: size of their set, how many of its shingles another of them has too (`match`), and
+    the shingles (`rare`) of which two sets that are similar enough must share one.
 
-    An intersection cannot be larger, which bounds the similarity of a pair without looking at it.
+    In one order of all shingles, rarest first, sets of similarity p have a common one among the first
+    size - ceil(p size) + 1 of each. Nodes with too many shingles of their own are left out: an
+    intersection is never larger than `match`, so they are linked with nothing.
     """
     def listed(column: pa.Array) -> pa.Array:
         return pa.array([np.frombuffer(x.as_buffer(), np.int64) for x in column], pa.list_(pa.int64()))
 
     some = sets.join(nodes, "node", "left_semi")
-    each = some.select("node", F.explode(F.arrow_udf(listed, "array<bigint>")("set")).alias("s"))
-    alone = each.groupBy("s").agg(F.count("*").alias("c"), F.max("node").alias("n")).filter("c = 1").groupBy("n").agg(
-        F.count("*").alias("alone"))
+    each = saved(some.select("node", F.explode(F.arrow_udf(listed, "array<bigint>")("set")).alias("s")), "shingles")
+    often = each.groupBy(F.col("s").alias("t")).agg(F.count("*").alias("c")).filter("c > 1")
+    shared = each.join(often, F.col("s") == F.col("t")).groupBy(F.col("node").alias("n")).agg(
+        F.count("*").alias("match"), F.sort_array(F.collect_list(F.struct("c", "s"))).alias("order"))
     size = (F.octet_length("set") / 8).cast("long")
-    return some.join(alone, F.col("node") == F.col("n"), "left").select(
-        "node", size.alias("size"), (size - F.coalesce("alone", F.lit(0))).alias("match"))
+    rows = some.select("node", size.alias("size")).join(shared, F.col("node") == F.col("n")).filter(F.col("match") * 100 >= F.col("size") * percent)
+    # Shingles that only one set has come first in the order and take up places of the prefix.
+    alone, prefix = F.col("size") - F.col("match"), F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    rare = F.transform(F.slice("order", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int")),
+                       lambda x, i: F.struct(x["s"].alias("s"), (i + alone).alias("place")))
+    return rows.select("node", "size", "match", rare.alias("rare"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -181,32 +189,47 @@ def groups(docs: DataFrame, percent: int = 85, size: int = 5, doc_id: str = "doc
     wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "digest")
     sets = saved(_sets(docs, wanted, size, doc_id, text), "sets")
 
-    pairs = _close(members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")), classes)
-    tried = saved(pairs, "pairs")
-    links = saved(_confirmed(tried, sets, percent), "links")
-    roots = saved(components(links), "roots")
+    def starred(members, tried, links, of):
+        """Link the members of each key to its centre, if that is of another component."""
+        more = _close(members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")), classes)
+        more = saved(more if tried is None else more.join(tried, ["a", "b"], "left_anti"), "pairs")
+        good = saved(_confirmed(more, sets, percent), "links")
+        tried, links = (more, good) if tried is None else (tried.unionByName(more), links.unionByName(good))
+        roots = saved(components(links), "roots")
+        return _mixed(of, roots), tried, links, roots
+
+    def centred(members, chosen):
+        chosen = chosen.select(F.col("key").alias("k"), F.col("c.node").alias("centre"), F.col("c.root").alias("of"))
+        return members.join(saved(chosen, "centres"), F.col("key") == F.col("k")).filter("root <> of").drop("k", "of")
+
+    members, tried, links, roots = starred(members, None, None, members)
     # Another member as centre, chosen by hash, for each key that is still mixed.
-    members = _mixed(members, roots)
     chosen = members.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", "key")).alias("c"))
-    chosen = saved(chosen.select(F.col("key").alias("k"), F.col("c.node").alias("centre"), F.col("c.root").alias("of")), "centres")
-    pairs = members.join(chosen, F.col("key") == F.col("k")).filter("root <> of").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    more = saved(_close(pairs, classes).join(tried, ["a", "b"], "left_anti"), "pairs")
-    tried = tried.unionByName(more)
-    links = links.unionByName(saved(_confirmed(more, sets, percent), "links"))
-    roots = saved(components(links), "roots")
-    # The rest exactly: members of different components that share a key, have close signatures and
-    # could be similar enough, as far as the shingles tell that only one of the rest has.
-    members = _mixed(members, roots)
-    left_over = members.select("node").distinct()
-    bound = saved(_matchable(sets, left_over), "matchable")
-    members = (members.join(classes.select(F.col("node").alias("n"), "sig"), F.col("node") == F.col("n")).drop("n")
-               .join(bound.withColumnRenamed("node", "n"), F.col("node") == F.col("n")))
-    members = saved(members.select("key", "node", "root", "sig", "size", "match"), "members")
-    left = members.toDF("key", "a", "ra", "sa", "za", "ma")
-    right = members.toDF("k", "b", "rb", "sb", "zb", "mb")
-    common = F.least("ma", "mb")
-    cross = left.join(right, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
-                      & (100 * common >= percent * (F.col("za") + F.col("zb") - common))
+    members, tried, links, roots = starred(centred(members, chosen), tried, links, members)
+    # Members that could still be linked; as centre the one with the fewest shingles of its own, which
+    # is the text that the others were edited from, then the next such one of another component.
+    ranked = saved(_ranked(sets, members.select("node").distinct(), percent), "ranked").withColumnRenamed("node", "n")
+    common = ranked.select("n", (F.col("match") / F.col("size")).alias("common"))
+    members = saved(members.join(common, F.col("node") == F.col("n")).drop("n"), "members")
+    best = F.max_by(F.struct("node", "root"), F.struct("common", F.xxhash64("node"))).alias("c")
+    chosen = saved(members.groupBy("key").agg(best), "centres")
+    members, tried, links, roots = starred(centred(members, chosen), tried, links, members)
+    first = chosen.select(F.col("key").alias("k"), F.col("c.node").alias("centre"))
+    first = first.join(roots, F.col("centre") == F.col("node"), "left").select("k", F.coalesce("root", "centre").alias("of"))
+    others = members.join(saved(first, "centres"), F.col("key") == F.col("k")).filter("root <> of")
+    chosen = others.join(common, F.col("node") == F.col("n")).groupBy("key").agg(best)
+    members, tried, links, roots = starred(centred(members, chosen), tried, links, members)
+    # The rest exactly: members of different components that share a key and a rare shingle, which may
+    # be the first they share, have close signatures and are not tried yet.
+    members = (members.join(ranked, F.col("node") == F.col("n")).drop("n")
+               .join(classes.select(F.col("node").alias("n"), "sig"), F.col("node") == F.col("n")).drop("n"))
+    members = saved(members.select("key", "node", "root", "sig", "size", "match", F.explode("rare").alias("rare"))
+                    .select("key", "node", "root", "sig", "size", "match", "rare.*"), "members")
+    left = members.toDF("key", "a", "ra", "sa", "za", "ma", "s", "ia")
+    right = members.toDF("k", "b", "rb", "sb", "zb", "mb", "t", "ib")
+    most = F.least("ma", "mb", F.col("za") - F.col("ia"), F.col("zb") - F.col("ib"))
+    cross = left.join(right, (F.col("key") == F.col("k")) & (F.col("s") == F.col("t")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
+                      & (100 * most >= percent * (F.col("za") + F.col("zb") - most))
                       & (distance(F.col("sa"), F.col("sb")) <= SLACK)).select("a", "b").distinct()
     rest = saved(cross.join(tried, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(saved(_confirmed(rest, sets, percent), "links"))
