@@ -31,7 +31,7 @@ from .suffixes import sliding_least
 
 WIDTH, GRAM = 35, 4
 PLACE = np.uint64((1 << 30) - 1)
-BLOCK = 100_000  # different pieces of a reference block, about
+BLOCK = 8_000  # different pieces of a reference block, about
 
 
 def pieces_of(w: words.Words, width=WIDTH, gram=GRAM):
