@@ -81,52 +81,98 @@ def sampled(docs: DataFrame, labels: DataFrame, learn, sample: int, doc_id="doc_
     return rows.groupBy(F.md5("text").alias("m")).agg(F.first("text").alias("text"), F.max("y").alias("y")).select("text", "y")
 
 
-def paired(sets, y, m: int, evidence: float = 20.0, block: int = 512):
-    """Which of m terms are in a pair that separates the labels, from the terms of each text.
+SIDE = 4096  # terms of one side of a grouped pair count
 
-    A pair counts if its share of toxic texts differs from those of both terms to the same side, each
-    time with a probability below exp(-evidence) by Chernoff's bound, which holds for small counts too.
+
+def _counts(y, a, b, m, step=1 << 21):
+    """Texts with term i on the left and j on the right, and toxic ones among them: yields i from, i to, both [., m], bad.
+
+    `y` says which texts are toxic; `a` and `b` are (text, term) pairs in ascending order of texts.
     """
-    n, toxic = len(sets), y > 0
-    size = np.array([len(s) for s in sets])
-    rows, at = np.repeat(np.arange(n, dtype=np.int32), size), np.concatenate(sets)
-    order = np.argsort(at, kind="stable")
-    rows, at = rows[order], at[order]
-    cuts = np.searchsorted(at, np.arange(m + 1))
-    share = (np.bincount(at, toxic[rows], m) + 0.5) / (np.diff(cuts) + 1)
-    found = np.zeros(m, bool)
-
-    def marked(lo):
-        hi = min(lo + block, m)
-        x = np.zeros((n, hi - lo), np.float32)
-        x[rows[cuts[lo]:cuts[hi]], at[cuts[lo]:cuts[hi]] - lo] = 1
-        return x
-
-    def differs(both, bad, p):
-        q = bad / np.maximum(both, 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            far = np.where(q > 0, q * np.log(q / p), 0) + np.where(q < 1, (1 - q) * np.log((1 - q) / (1 - p)), 0)
-        return np.where(both * far >= evidence, np.sign(q - p), 0)
-
-    for i in range(0, m, block):
-        x = marked(i)
-        for j in range(i, m, block):
-            z = x if i == j else marked(j)
-            both, bad = (x.T @ z).astype(float), (x[toxic].T @ z[toxic]).astype(float)
-            a = differs(both, bad, share[i:i + block, None])
-            hit = (a != 0) & (a == differs(both, bad, share[None, j:j + block]))
-            found[i:i + block] |= hit.any(axis=1)
-            found[j:j + block] |= hit.any(axis=0)
-    return found
+    first = np.searchsorted(b[0], np.arange(len(y) + 1))
+    for lo in range(0, m, 512):
+        rows, left = a[0][chosen := (a[1] >= lo) & (a[1] < lo + 512)], a[1][chosen] - lo
+        count = first[rows + 1] - first[rows]
+        both, bad = np.zeros(512 * m, np.int64), np.zeros(512 * m, np.int64)
+        ends = np.concatenate([[0], np.cumsum(count)])
+        at = 0
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + step, "right")) - 1)
+            n = count[at:to]
+            right = np.arange(n.sum()) + np.repeat(first[rows[at:to]] - (np.cumsum(n) - n), n)
+            code = np.repeat(left[at:to] * m, n) + b[1][right]
+            both += np.bincount(code, minlength=len(both))
+            bad += np.bincount(code[np.repeat(y[rows[at:to]], n)], minlength=len(both))
+            at = to
+        yield lo, min(lo + 512, m), both.reshape(512, m)[:min(512, m - lo)], bad.reshape(512, m)[:min(512, m - lo)]
+
+
+def differs(both, bad, p, evidence):
+    """1 or -1 where the share of toxic texts is above or below p, by chance only with a probability below
+    exp(-evidence) by Chernoff's bound, which holds for small counts too."""
+    q = bad / np.maximum(both, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        far = np.where(q > 0, q * np.log(q / p), 0) + np.where(q < 1, (1 - q) * np.log((1 - q) / (1 - p)), 0)
+    return np.where(both * far >= evidence, np.sign(q - p), 0)
+
+
+def paired(marks: DataFrame, share, evidence: float = 20.0) -> DataFrame:
+    """Places `at` of the terms that are in a pair that separates the labels, from texts (y, at: the
+    places of its terms, ascending 32-bit integers in binary); `share` is each term's share of toxic texts.
+
+    A pair counts if its share of toxic texts differs clearly from those of both terms to the same side. Pairs
+    are counted in groups of two ranges of SIDE terms; a group holds the sample's terms of these ranges.
+    """
+    m = len(share)
+    sides = range(-(-m // SIDE))
+
+    def dealt(batches):
+        for batch in batches:
+            out = [[] for _ in range(4)]
+            for y, at in zip(batch.column("y").to_pylist(), batch.column("at").to_pylist()):
+                t = np.frombuffer(at, "<i4")
+                cut = np.searchsorted(t, [SIDE * k for k in range(len(sides) + 1)])
+                part = [t[x:z].tobytes() for x, z in zip(cut, cut[1:])]
+                for i in sides:
+                    for j in sides[i:]:
+                        if part[i] and part[j]:
+                            for c, v in zip(out, (i * len(sides) + j, y, part[i], part[j])):
+                                c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
+                                             names=["pair", "y", "a", "b"])
+
+    def verdicts(key, group):
+        i, j = divmod(key[0].as_py(), len(sides))
+        y = group.column("y").to_numpy() > 0
+
+        def flat(name, side):
+            parts = [np.frombuffer(x.as_buffer(), "<i4") for x in group.column(name)]
+            rows = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+            return rows, np.concatenate(parts).astype(np.int64) - SIDE * side
+
+        left, right = share[SIDE * i:SIDE * (i + 1)], share[SIDE * j:SIDE * (j + 1)]
+        found = np.zeros((2, SIDE), bool)
+        for lo, hi, both, bad in _counts(y, flat("a", i), flat("b", j), max(len(left), len(right))):
+            hi, both, bad = min(hi, len(left)), both[:len(left) - lo, :len(right)], bad[:len(left) - lo, :len(right)]
+            if hi <= lo:
+                break
+            one = differs(both, bad, left[lo:hi, None], evidence)
+            hit = (one != 0) & (one == differs(both, bad, right[None, :], evidence))
+            found[0, lo:hi] |= hit.any(axis=1)
+            found[1, :len(right)] |= hit.any(axis=0)
+        at = np.union1d(np.flatnonzero(found[0]) + SIDE * i, np.flatnonzero(found[1]) + SIDE * j)
+        return pa.table({"at": pa.array(at.astype(np.int64))})
+
+    return marks.mapInArrow(dealt, "pair int, y int, a binary, b binary").groupBy("pair").applyInArrow(verdicts, "at long").distinct()
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn=None, sample: int = 20_000, terms: int = 4096, frequent: int = 8192, buckets: int = 1 << 20,
         factors: int = 4, epochs: int = 20, rate: float = 0.2, decay: float = 1e-3, seed: int = 7, doc_id="doc_id",
         text="text", label="toxic") -> Model:
-    """Fit on the sample; two passes over it on executors, pairs and the machine itself on the driver, on
-    at most sample x (terms + frequent) marks (in fact a few hundred per text)."""
+    """Fit on the sample, which is saved once. Terms and pairs are counted on executors; the machine itself is
+    fitted on the driver, from the kept terms of at most `sample` texts (a few hundred each)."""
     learn = F.lit(True) if learn is None else learn
-    rows = sampled(docs, labels, learn, sample, doc_id, text, label)
+    rows = saved(sampled(docs, labels, learn, sample, doc_id, text, label), "sample")
 
     def tally(batches):
         for batch in batches:
@@ -150,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, sample: int = 20_000, te
     c, d = F.lit(pos) - F.col("p") + 0.5, F.lit(n - pos) - F.col("q") + 0.5
     odds = F.log(a * d / (b * c))
     clear = F.abs(odds) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    counts = saved(counts.select("bucket", (F.col("p") + F.col("q")).alias("n"), odds.alias("odds"), clear.alias("clear")), "terms")
+    counts = saved(counts.select("bucket", "p", (F.col("p") + F.col("q")).alias("n"), odds.alias("odds"), clear.alias("clear")), "terms")
     top = (counts.filter((F.abs("odds") >= float(np.log(3))) & (F.col("clear") >= 2.5))
            .orderBy(F.desc("clear"), "bucket").limit(terms).select("bucket").collect())
     most = counts.orderBy(F.desc("n"), "bucket").limit(frequent).select("bucket").collect()
@@ -168,16 +214,26 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, sample: int = 20_000, te
                     "y": some.column("y").cast(pa.int32()),
                     "at": pa.array([at[x:z].astype("<i4").tobytes() for x, z in zip(cuts, cuts[1:])], pa.binary())})
 
-    got = rows.mapInArrow(marks, "y int, at binary").collect()
-    got.sort(key=lambda r: (r["y"], r["at"]))
-    y = np.array([r["y"] > 0 for r in got], float)
-    sets = [np.frombuffer(r["at"], "<i4") for r in got]
-    keep = np.isin(ids, alone) | paired(sets, y, len(ids))
+    marked = saved(rows.mapInArrow(marks, "y int, at binary"), "marks")
+    # Shares of the terms in use: at most terms + frequent numbers.
+    shares = {r["bucket"]: (r["p"] + 0.5) / (r["n"] + 1) for r in counts.join(
+        F.broadcast(docs.sparkSession.createDataFrame([(int(i),) for i in ids], "b long")), F.col("bucket") == F.col("b")).select("bucket", "p", "n").collect()}
+    share = np.array([shares[i] for i in ids.tolist()])
+    keep = np.isin(ids, alone)
+    keep[[r["at"] for r in paired(marked, share).collect()]] = True
     if not keep.any():
         return nothing
-    place = np.cumsum(keep) - 1
-    sets, ids = [place[s[keep[s]]] for s in sets], ids[keep]
-    return train(sets, y, ids, buckets, factors, epochs, rate, decay, seed, bias)
+    place = (np.cumsum(keep) - 1).astype(np.int32)
+
+    def chosen_only(batches):
+        for batch in batches:
+            t = [np.frombuffer(x.as_buffer(), "<i4") for x in batch.column("at")]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([place[x[keep[x]]].tobytes() for x in t], pa.binary())], names=["y", "at"])
+
+    got = marked.mapInArrow(chosen_only, "y int, at binary").toArrow()
+    got = sorted(zip(got.column("y").to_pylist(), got.column("at").to_pylist()))
+    y = np.array([r[0] > 0 for r in got], float)
+    return train([np.frombuffer(r[1], "<i4") for r in got], y, ids[keep], buckets, factors, epochs, rate, decay, seed, bias)
 
 
 def train(sets, y, ids, buckets, factors, epochs, rate, decay, seed, bias) -> Model:
@@ -225,4 +281,5 @@ def scores(model: Model, text):
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
+    """docs with a column of scores, which takes the place of one of the same name."""
     return docs.withColumn(column, scores(model, F.col(text).cast("string")))
