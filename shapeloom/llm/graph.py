@@ -7,11 +7,16 @@ from pyspark.sql import DataFrame, functions as F
 from .common import saved
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the edges (a, b); the root is the component's smallest node."""
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, root) of every node of the edges (a, b); the root is the component's smallest node.
+
+    After so many `rounds`, if given, roots are what is known by then: nodes of one root are connected, but
+    a component may still have several roots.
+    """
     e = saved(_down(edges.filter("a <> b")), "edges")
     state = _mark(e)
-    while state[0]:
+    while state[0] and rounds != 0:
+        rounds = rounds and rounds - 1
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both.filter("v > u"), both).select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
         e = saved(_down(large.filter("a <> b")), "edges")
@@ -22,8 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state:
             break
         state = now
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    known = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")))
+    return known.groupBy("node").agg(F.min("root").alias("root"))
 
 
 def _with_least(rows, edges):

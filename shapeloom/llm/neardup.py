@@ -7,11 +7,11 @@ places have a chunk with at most one error (pigeonhole); the errors are enumerat
 each place of each chunk in turn, so both sides share a key. At similarity 0.85 more than 11 of 30
 places differ in less than one of 1,000 pairs, and most of those share a key all the same.
 
-Candidates within a key are not paired with each other: each round links members to one of them
-(the smallest, one chosen by hash, then those with the fewest shingles of their own), confirms on full sets, and joins
-components; keys that lie within one component are done. In what is left, sets that are similar enough share one of
-their rarest shingles, so members are paired under a key and such a shingle only, where sizes and
-places leave enough in common; so no link between different texts that share a key is lost.
+Candidates within a key are not paired with each other: members are linked to two of them (the
+smallest and one chosen by hash), then to the one with the fewest shingles of its own, links are confirmed on full sets and
+joined to components; keys that lie within one component are done. In what is left, sets that are similar enough share
+one of their rarest shingles, so members of such keys are paired under such a shingle only, where sizes
+and places leave enough in common; so no link between different texts that share a key is lost.
 
 Defined cases: a text without words (null, empty, blanks) and a null doc_id are linked with nothing;
 rows that repeat a doc_id are documents of their own; equal texts are always linked; very long texts are whole; an
@@ -183,55 +183,40 @@ def groups(docs: DataFrame, percent: int = 85, size: int = 5, doc_id: str = "doc
     classes = saved(part.groupBy("digest").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"))
                     .withColumn("node", F.monotonically_increasing_id()), "classes")
     keyed = _keyed(classes)
-    shared = keyed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y")
-    shared = saved(shared.select(F.col("key").alias("k"), F.col("x").alias("centre")), "shared-keys")
-    members = saved(keyed.join(shared, F.col("key") == F.col("k")).select("key", "node", "centre"), "members")
+    # Two centres for each key: the smallest member and one chosen by hash.
+    shared = keyed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.min_by("node", F.xxhash64("node", "key")).alias("z"))
+    shared = saved(shared.filter("x <> y").select(F.col("key").alias("k"), F.array("x", "z").alias("centres")), "shared-keys")
+    members = saved(keyed.join(shared, F.col("key") == F.col("k")).select("key", "node", "centres"), "members")
     wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "digest")
     sets = saved(_sets(docs, wanted, size, doc_id, text), "sets")
 
-    def starred(members, tried, links, of):
-        """Link the members of each key to its centre, if that is of another component."""
-        more = _close(members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")), classes)
-        more = saved(more if tried is None else more.join(tried, ["a", "b"], "left_anti"), "pairs")
-        good = saved(_confirmed(more, sets, percent), "links")
-        tried, links = (more, good) if tried is None else (tried.unionByName(more), links.unionByName(good))
-        roots = saved(components(links), "roots")
-        return _mixed(of, roots), tried, links, roots
-
-    def centred(members, chosen):
-        chosen = chosen.select(F.col("key").alias("k"), F.col("c.node").alias("centre"), F.col("c.root").alias("of"))
-        return members.join(saved(chosen, "centres"), F.col("key") == F.col("k")).filter("root <> of").drop("k", "of")
-
-    members, tried, links, roots = starred(members, None, None, members)
-    # Another member as centre, chosen by hash, for each key that is still mixed.
-    chosen = members.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", "key")).alias("c"))
-    members, tried, links, roots = starred(centred(members, chosen), tried, links, members)
+    pairs = members.select("node", F.explode("centres").alias("centre")).filter("node <> centre")
+    tried = saved(_close(pairs.select(F.col("centre").alias("a"), F.col("node").alias("b")), classes), "pairs")
+    links = saved(_confirmed(tried, sets, percent), "links")
+    members = _mixed(members, components(links, rounds=1))
     # Members that could still be linked; as centre the one with the fewest shingles of its own, which
-    # is the text that the others were edited from, then the next such one of another component.
+    # is the text that the others were edited from.
     ranked = saved(_ranked(sets, members.select("node").distinct(), percent), "ranked").withColumnRenamed("node", "n")
     common = ranked.select("n", (F.col("match") / F.col("size")).alias("common"))
     members = saved(members.join(common, F.col("node") == F.col("n")).drop("n"), "members")
-    best = F.max_by(F.struct("node", "root"), F.struct("common", F.xxhash64("node"))).alias("c")
-    chosen = saved(members.groupBy("key").agg(best), "centres")
-    members, tried, links, roots = starred(centred(members, chosen), tried, links, members)
-    first = chosen.select(F.col("key").alias("k"), F.col("c.node").alias("centre"))
-    first = first.join(roots, F.col("centre") == F.col("node"), "left").select("k", F.coalesce("root", "centre").alias("of"))
-    others = members.join(saved(first, "centres"), F.col("key") == F.col("k")).filter("root <> of")
-    chosen = others.join(common, F.col("node") == F.col("n")).groupBy("key").agg(best)
-    members, tried, links, roots = starred(centred(members, chosen), tried, links, members)
-    # The rest exactly: members of different components that share a key and a rare shingle, which may
-    # be the first they share, have close signatures and are not tried yet.
-    members = (members.join(ranked, F.col("node") == F.col("n")).drop("n")
-               .join(classes.select(F.col("node").alias("n"), "sig"), F.col("node") == F.col("n")).drop("n"))
-    members = saved(members.select("key", "node", "root", "sig", "size", "match", F.explode("rare").alias("rare"))
-                    .select("key", "node", "root", "sig", "size", "match", "rare.*"), "members")
-    left = members.toDF("key", "a", "ra", "sa", "za", "ma", "s", "ia")
-    right = members.toDF("k", "b", "rb", "sb", "zb", "mb", "t", "ib")
+    chosen = members.groupBy("key").agg(F.max_by(F.struct("node", "root"), F.struct("common", F.xxhash64("node"))).alias("c"))
+    chosen = saved(chosen.select(F.col("key").alias("k"), F.col("c.node").alias("centre"), F.col("c.root").alias("of")), "centres")
+    pairs = members.join(chosen, F.col("key") == F.col("k")).filter("root <> of").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    more = saved(_close(pairs, classes).join(tried, ["a", "b"], "left_anti"), "pairs")
+    tried = tried.unionByName(more)
+    links = links.unionByName(saved(_confirmed(more, sets, percent), "links"))
+    members = _mixed(members, components(links, rounds=1))
+    # The rest exactly: members of mixed keys in different components that share a rare shingle,
+    # which may be the first they share, have close signatures and are not tried yet.
+    left_over = members.select("node", "root").distinct().join(ranked, F.col("node") == F.col("n"))
+    left_over = saved(left_over.select("node", "root", "size", "match", F.explode("rare").alias("rare"))
+                      .select("node", "root", "size", "match", "rare.*"), "rare")
+    left = left_over.toDF("a", "ra", "za", "ma", "s", "ia")
+    right = left_over.toDF("b", "rb", "zb", "mb", "t", "ib")
     most = F.least("ma", "mb", F.col("za") - F.col("ia"), F.col("zb") - F.col("ib"))
-    cross = left.join(right, (F.col("key") == F.col("k")) & (F.col("s") == F.col("t")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
-                      & (100 * most >= percent * (F.col("za") + F.col("zb") - most))
-                      & (distance(F.col("sa"), F.col("sb")) <= SLACK)).select("a", "b").distinct()
-    rest = saved(cross.join(tried, ["a", "b"], "left_anti"), "pairs")
+    pairs = left.join(right, (F.col("s") == F.col("t")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
+                      & (100 * most >= percent * (F.col("za") + F.col("zb") - most))).select("a", "b")
+    rest = saved(_close(pairs, classes).join(tried, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(saved(_confirmed(rest, sets, percent), "links"))
     roots = saved(components(links), "roots")
 
