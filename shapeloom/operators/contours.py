@@ -4,6 +4,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shapeloom.functions.scalars import floor_div
+from shapeloom.operators.chains import contracted
 
 
 def ring_area2(ring) -> Column:
@@ -179,57 +180,54 @@ def edge_successors(edges: DataFrame, keys=("layer",)) -> DataFrame:
             .withColumn("ny", F.signum((F.col("x1") - F.col("x0")).cast("double"))))
 
 
-def assemble_rings(edges: DataFrame, keys=("layer",)) -> DataFrame:
+def assemble_rings(edges: DataFrame, keys=("layer",), block: int = 8192) -> DataFrame:
     """Add ring (a BIGINT), ord and n to directed edges.
 
-    Edges are numbered once they are written to the checkpoint folder. Pointer doubling:
-    after k steps each edge knows the smallest number among its next 2**k edges and how far
-    away it is. An edge that is the smallest of its window and meets itself again names a
-    complete ring, whose edges then leave the loop; so the later, rarer steps only carry
-    the long rings. Steps number the logarithm of the longest ring.
+    Edges are joined to chains inside blocks of the plane first (`chains`), where most rings close. What
+    is left are chains that cross a block's border, one row each. On these, pointer doubling: after k
+    steps each knows the smallest edge among its next 2**k chains and how many edges away it is. A chain that
+    holds the smallest edge of its window and meets itself again names a complete ring, whose chains then leave
+    the loop. Steps number the logarithm of the blocks that the longest ring crosses.
+
+    Rings are numbered by the order of their smallest edges and start there, so numbers depend on the geometry alone.
     """
     keys = list(keys)
-    linked = edge_successors(edges, keys).withColumn("id", F.monotonically_increasing_id()).checkpoint()
-    after = linked.select(*keys, F.col("x0").alias("x1"), F.col("y0").alias("y1"),
-                          F.col("x1").alias("qx"), F.col("y1").alias("qy"), F.col("id").alias("jump"))
-    state = linked.select(*keys, "x1", "y1", "qx", "qy", "id").join(
-        after, [*keys, "x1", "y1", "qx", "qy"]).select(
-        "id", "jump", F.col("id").alias("low"), F.lit(0).cast("long").alias("dist"),
-        F.lit(None).cast("long").alias("n"))
-    done, hops = [], 1
+    linked = edge_successors(edges, keys).filter("x0 is not null and x1 is not null")  # where a chain ends, one is missing
+    found = contracted(linked, keys, block).checkpoint()
+    head, least, after = (["hx0", "hy0", "hx1", "hy1"], ["lx0", "ly0", "lx1", "ly1"], ["ax0", "ay0", "ax1", "ay1"])
+    chains = found.filter("n is null and len is not null").select(*keys, *head, *least, *after, "len", "low").withColumn(
+        "id", F.monotonically_increasing_id()).checkpoint()
+    ringed = _closed_chains(chains, keys, head, least, after)
+    base = [*keys, "x0", "y0", "x1", "y1", "px", "py", "nx", "ny"]
+    local = found.filter("n is not null").select(*base, *[F.col(h).alias(c) for h, c in zip(head, least)], F.col("pos").alias("ord"), "n")
+    far = found.filter("n is null").drop("n", "low", *least).join(ringed, [*keys, *head]).select(
+        *base, *least, F.pmod(F.col("pos") - F.col("dist"), F.col("n")).alias("ord"), "n")
+    whole = local.unionByName(far)
+    from shapeloom.operators.filters import with_position
+    numbers = with_position(whole.filter("ord = 0").select(*keys, *least), [*keys, *least])
+    return whole.join(numbers.withColumnRenamed("position", "ring"), [*keys, *least]).select(*base, "ring", "ord", "n")
+
+
+def _closed_chains(chains: DataFrame, keys, head, least, after) -> DataFrame:
+    """(keys, head, least edge of the ring, dist to it, n) of chains that form rings; the others are left out."""
+    nexts = chains.select(*keys, *[F.col(h).alias(a) for h, a in zip(head, after)], F.col("id").alias("jump"))
+    state = chains.select(*keys, *after, "id", "len", "low", F.struct(*least).alias("edge")).join(nexts, [*keys, *after]).select(
+        "id", "jump", "edge", F.col("id").alias("of"), F.col("low").alias("dist"), F.col("len").alias("span"), F.lit(None).cast("long").alias("n"))
+    done = []
     while True:
-        for _ in range(3 if hops == 1 else 2):
-            state = _double(state, hops)
-            hops *= 2
+        for _ in range(3):
+            state = _double(state)
         state = state.checkpoint()
-        rings = state.filter("n is not null").select(F.col("id").alias("ring"), "n")
-        if not rings.isEmpty():
-            named = state.drop("n").join(rings, state["low"] == rings["ring"], "left")
-            named = named.checkpoint()
-            done.append(named.filter("ring is not null").select("id", "ring", "dist", "n"))
-            state = named.filter("ring is null").select(
-                "id", "jump", "low", "dist", F.lit(None).cast("long").alias("n"))
-            if state.isEmpty():
-                break
-        elif state.isEmpty():
+        rings = state.filter("n is not null").select(F.col("id").alias("ring"), F.col("n").alias("size"))
+        named = state.join(rings, state["of"] == rings["ring"], "left").checkpoint()
+        done.append(named.filter("ring is not null").select("id", "edge", "dist", F.col("size").alias("n")))
+        left = named.filter("ring is null").drop("ring", "size")
+        if left.isEmpty():
             break
-    if not done:
-        done = [state.select("id", F.col("low").alias("ring"), "dist", "n")]
+        state = left
     known = reduce(DataFrame.unionByName, done)
-    return _numbered_rings(linked.join(known, "id"), keys)
-
-
-def _numbered_rings(found: DataFrame, keys) -> DataFrame:
-    """Number rings by the order of their smallest edges and start each there, so that numbers depend
-    on the geometry alone."""
-    from shapeloom.operators.filters import with_position
-    edge = [*keys, "x0", "y0", "x1", "y1"]
-    least = found.groupBy("ring").agg(F.min(F.struct(*edge, "dist")).alias("m")).select("ring", "m.*")
-    numbers = with_position(least, edge).select(F.col("ring").alias("_ring"), "position", F.col("dist").alias("_from"))
-    return (found.join(numbers, F.col("ring") == F.col("_ring"))
-            .withColumn("ring", F.col("position"))
-            .withColumn("ord", F.pmod(F.col("_from") - F.col("dist"), F.col("n")))
-            .drop("id", "dist", "qx", "qy", "_ring", "position", "_from"))
+    return chains.select(*keys, *head, "id").join(known, "id").select(
+        *keys, *head, *[F.col("edge")[c].alias(c) for c in least], "dist", "n")
 
 
 def unclosed(edges: DataFrame, keys=("layer",)) -> DataFrame:
@@ -243,16 +241,16 @@ def unclosed(edges: DataFrame, keys=("layer",)) -> DataFrame:
             .select(F.lit("unclosed_ring").alias("code"), *keys, "x", "y", "surplus"))
 
 
-def _double(state: DataFrame, hops: int) -> DataFrame:
-    """One doubling step; n is set on the smallest edge of a ring when it meets itself."""
-    far = state.select(F.col("id").alias("jump"), F.col("jump").alias("_j"),
-                       F.col("low").alias("_l"), F.col("dist").alias("_d"))
-    less = F.col("_l") < F.col("low")
-    closed = (F.col("id") == F.col("low")) & (F.col("_l") == F.col("id"))
+def _double(state: DataFrame) -> DataFrame:
+    """One doubling step; n is set on the chain with a ring's smallest edge when it meets itself."""
+    far = state.select(F.col("id").alias("jump"), F.col("jump").alias("_j"), F.col("edge").alias("_e"),
+                       F.col("of").alias("_o"), F.col("dist").alias("_d"), F.col("span").alias("_s"))
+    less = F.col("_e") < F.col("edge")
+    closed = (F.col("of") == F.col("id")) & (F.col("_o") == F.col("id"))
     return state.join(far, "jump").select(
-        "id", F.col("_j").alias("jump"), F.least("_l", "low").alias("low"),
-        F.when(less, F.col("_d") + hops).otherwise(F.col("dist")).alias("dist"),
-        F.coalesce("n", F.when(closed, F.col("_d") + hops)).alias("n"))
+        "id", F.col("_j").alias("jump"), F.least("_e", "edge").alias("edge"), F.when(less, F.col("_o")).otherwise(F.col("of")).alias("of"),
+        F.when(less, F.col("_d") + F.col("span")).otherwise(F.col("dist")).alias("dist"), (F.col("span") + F.col("_s")).alias("span"),
+        F.coalesce("n", F.when(closed, F.col("span") + F.col("_d") - F.col("dist"))).alias("n"))
 
 
 def ring_summary(ringed: DataFrame, keys=("layer",)) -> DataFrame:
@@ -264,35 +262,36 @@ def ring_summary(ringed: DataFrame, keys=("layer",)) -> DataFrame:
         F.min(F.struct("x0", "y0")).alias("anchor"))
 
 
-def enclosing_hulls(ringed: DataFrame, keys=("layer",), cell: int = 4096) -> DataFrame:
+def enclosing_hulls(ringed: DataFrame, keys=("layer",), column: int = 128) -> DataFrame:
     """For every hole ring the hull around it (keys, hole, hull).
 
-    Hull boxes are spread over cells and a hole looks only into the cell of one of its
-    vertices; candidates are settled by counting hull edges above the vertex, matched on
-    ring and column. Among nested hulls the smallest wins.
+    A ray runs down from the material left of each hole's leftmost edge to the first edge below. That is an edge of
+    the hull, or of another hole of the same polygon further to the left, whose own ray is followed then.
+    Rays and the horizontal edges they may meet are brought together along their x, and the last edge below is
+    a running value; no hole is paired with a hull.
     """
     keys = list(keys)
     rings = ring_summary(ringed, keys)
-    holes = rings.filter("area2 > 0").select(
-        *keys, F.col("ring").alias("hole"), F.col("anchor.x0").alias("hx"),
-        F.col("anchor.y0").alias("hy"))
-    holes = holes.withColumn("cx", floor_div("hx", cell)).withColumn("cy", floor_div("hy", cell))
-    hulls = rings.filter("area2 < 0").select(
-        *keys, F.col("ring").alias("hull"), "l", "b", "r", "t", (-F.col("area2")).alias("size"))
-    hulls = (hulls.withColumn("cx", F.explode(F.sequence(floor_div("l", cell), floor_div("r", cell))))
-             .withColumn("cy", F.explode(F.sequence(floor_div("b", cell), floor_div("t", cell)))))
-    pairs = holes.join(hulls, [*keys, "cx", "cy"]).filter(
-        (F.col("hx") > F.col("l")) & (F.col("hx") < F.col("r")) &
-        (F.col("hy") > F.col("b")) & (F.col("hy") < F.col("t")))
-    flat = ringed.filter("y0 = y1").select(
-        F.col("ring").alias("hull"), F.least("x0", "x1").alias("xa"),
-        F.greatest("x0", "x1").alias("xb"), "y0")
-    flat = flat.withColumn("cx", F.explode(F.sequence(floor_div("xa", cell),
-                                                      floor_div(F.col("xb") - 1, cell))))
-    above = pairs.join(flat, ["hull", "cx"]).filter(
-        (F.col("hx") >= F.col("xa")) & (F.col("hx") < F.col("xb")) & (F.col("y0") > F.col("hy")))
-    inside = above.groupBy(*keys, "hole", "hull", "size").count().filter("count % 2 = 1")
-    return inside.groupBy(*keys, "hole").agg(F.min_by("hull", "size").alias("hull"))
+    rays = rings.filter("area2 > 0").select(
+        *keys, F.col("ring").alias("hole"), F.col("anchor.x0").alias("x"), F.col("anchor.y0").alias("y"))
+    strip = floor_div(F.col("x") - 1, column)
+    # The x of rays in a strip are at most `column` numbers.
+    xs = rays.groupBy(*keys, strip.alias("s")).agg(F.collect_set("x").alias("xs"))
+    flat = ringed.filter("y0 = y1").select(*keys, "ring", F.least("x0", "x1").alias("xa"), F.greatest("x0", "x1").alias("xb"), F.col("y0").alias("y"))
+    flat = flat.withColumn("s", F.explode(F.sequence(floor_div("xa", column), floor_div(F.col("xb") - 1, column)))).join(xs, [*keys, "s"])
+    met = F.filter("xs", lambda x: (x > F.col("xa")) & (x <= F.col("xb")))
+    below = flat.select(*keys, F.explode(met).alias("x"), "y", "ring", F.lit(None).cast("long").alias("hole"))
+    both = below.unionByName(rays.select(*keys, "x", "y", F.lit(None).cast("long").alias("ring"), "hole"))
+    # Edges come before rays that start at their height.
+    w = W.partitionBy(*keys, "x").orderBy("y", F.col("hole").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    met = both.withColumn("met", F.last("ring", ignorenulls=True).over(w)).filter("hole is not null and met is not null")
+    up = met.select(*keys, "hole", F.col("met").alias("hull")).checkpoint()
+    while True:  # as many steps as the logarithm of the longest row of holes
+        over = up.select(*keys, F.col("hole").alias("hull"), F.col("hull").alias("_h"))
+        again = up.join(over, [*keys, "hull"], "left")
+        if again.filter("_h is not null").isEmpty():
+            return up
+        up = again.select(*keys, "hole", F.coalesce("_h", "hull").alias("hull")).checkpoint()
 
 
 def polygons(ringed: DataFrame, keys=("layer",)) -> DataFrame:
