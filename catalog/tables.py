@@ -215,3 +215,19 @@ PROBES = """, probes AS (SELECT vec_id AS image_id, vec_id * 8 + k AS probe_id,
  CAST(k AS DOUBLE) AS inner_x, CAST((vec_id + k) % 8 AS DOUBLE) AS inner_y,
  CAST(k + 1 AS DOUBLE) AS outer_x, CAST((vec_id + k) % 8 AS DOUBLE) AS outer_y
  FROM embeddings, range(0, 8) AS g(k))"""
+
+
+def diamonds(spark, sf_dir) -> DataFrame:
+    """Crowded diamonds (layer, polygon_id, side, rings) whose sides cross at grid points only."""
+    x, y = F.col("shape_id") * 4 + 4096, F.pmod(F.col("shape_id") * 1511, F.lit(1024)) * 2
+    r = 40 + F.pmod("shape_id", F.lit(20)) * 8
+    pts = [(x - r, y), (x, y + r), (x + r, y), (x, y - r)]
+    return solid(spark, sf_dir).select(
+        "layer", F.col("shape_id").alias("polygon_id"), F.pmod(floor_div("shape_id", 3), F.lit(2)).cast("int").alias("side"),
+        F.array(F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in pts])).alias("rings"))
+
+
+# In u = x + y and v = x - y a diamond is a box of twice its area.
+DIAMONDS = SOLID + """, sides AS (SELECT layer, CAST(shape_id // 3 % 2 AS INTEGER) AS side, u - r AS l, v - r AS b, u + r AS r, v + r AS t
+ FROM (SELECT layer, shape_id, shape_id * 4 + 4096 + shape_id * 1511 % 1024 * 2 AS u, shape_id * 4 + 4096 - shape_id * 1511 % 1024 * 2 AS v,
+ 40 + shape_id % 20 * 8 AS r FROM solid))"""
