@@ -205,7 +205,7 @@ def groups(docs: DataFrame, percent: int = 85, size: int = 5, doc_id: str = "doc
     more = saved(_close(pairs, classes).join(tried, ["a", "b"], "left_anti"), "pairs")
     tried = tried.unionByName(more)
     links = links.unionByName(saved(_confirmed(more, sets, percent), "links"))
-    members = _mixed(members, components(links, rounds=1))
+    members = _mixed(members, saved(components(links), "roots"))
     # The rest exactly: members of mixed keys in different components that share a rare shingle,
     # which may be the first they share, have close signatures and are not tried yet.
     left_over = members.select("node", "root").distinct().join(ranked, F.col("node") == F.col("n"))
