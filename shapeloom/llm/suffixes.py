@@ -256,10 +256,10 @@ def spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, memory: int = M
 
 
 def cleaned(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, memory: int = MEMORY, doc_id: str = "doc_id",
-            text: str = "text") -> DataFrame:
+            text: str = "text", shard: int = SHARD) -> DataFrame:
     """Each row of docs: its other columns as a struct `row`, whether the text `was_null`, the remaining
     bytes `kept`, n_bytes, n_removed, n_spans. Texts are shuffled once here, compressed."""
-    by = spans(docs, width, gram, memory, doc_id, text)
+    by = spans(docs, width, gram, memory, doc_id, text, shard)
     rows = identified(docs, doc_id, text, F.struct(*[c for c in docs.columns if c != text]).alias("row"), F.col(text).isNull().alias("was_null"))
     rows = rows.withColumn("packed", squeezed(F.col("text"))).drop("text").join(by, ["did", "h"], "left")
 
