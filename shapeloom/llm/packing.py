@@ -26,8 +26,8 @@ from .common import saved
 PIECES = "doc_id long, piece int, start long, length long, ids binary, part long, row long"
 
 
-def byte_ranks(tokenizer: str) -> dict[bytes, int] | None:
-    """Ranks of a tokenizer file, if it is plain byte-level BPE whose ids follow its merges."""
+def byte_ranks(tokenizer: str) -> tuple[dict[bytes, int], dict[str, int]] | None:
+    """Ranks and added tokens of a tokenizer file, if it is plain byte-level BPE whose ids follow its merges."""
     with open(tokenizer, encoding="utf-8") as f:
         spec = json.load(f)
     model, split = spec["model"], spec.get("pre_tokenizer") or {}
@@ -35,7 +35,8 @@ def byte_ranks(tokenizer: str) -> dict[bytes, int] | None:
         "dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
         and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
         and not spec.get("normalizer"))
-    if not plain:
+    added = spec.get("added_tokens") or []
+    if not plain or any(a.get(k) for a in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
         return None
     # Byte-level files write each byte as a printable character: itself, or one from 256 on.
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -45,24 +46,26 @@ def byte_ranks(tokenizer: str) -> dict[bytes, int] | None:
     ids = [model["vocab"]["".join(m)] for m in pairs]
     if ids != sorted(ids) or len(set(ids)) + 256 != len(model["vocab"]):
         return None
-    return {bytes(byte[c] for c in token): i for token, i in model["vocab"].items()}
+    return {bytes(byte[c] for c in token): i for token, i in model["vocab"].items()}, {a["content"]: a["id"] for a in added}
 
 
 def encoder(tokenizer: str, pattern: str | None):
-    """texts -> lists of ids, as the tokenizers library gives them without special tokens.
+    """texts -> lists of ids, as the tokenizers library gives them without adding special tokens; where a
+    text itself holds the literal of an added token, that is its id.
 
     Plain byte-level BPE runs in the tiktoken library with the file's own vocabulary, which gives
     the same ids five times faster; `pattern` is the split that such files imply. Any other file, or
     no pattern, runs in the tokenizers library.
     """
-    if pattern and (ranks := byte_ranks(tokenizer)) is not None:
+    if pattern and (found := byte_ranks(tokenizer)) is not None:
         import tiktoken
-        one = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        return lambda texts: [one(t) for t in texts]
+        ranks, added = found
+        made = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+        plain = made.encode_ordinary  # knows no added tokens
+        return lambda texts: [made.encode(t, allowed_special="all") if any(a in t for a in added) else plain(t) for t in texts]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     model = Tokenizer.from_file(tokenizer)
-    model.encode_special_tokens = True
     return lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
 
 
