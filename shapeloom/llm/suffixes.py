@@ -4,10 +4,10 @@ Every byte covered by a `width`-byte string that starts anywhere else too is rem
 whole input. Texts are cut into pieces first: consecutive windows of `width` bytes whose smallest
 hashed gram stands at the same place form a piece, and the gram's hash is its key. Equal windows
 have equal keys, so shards by key lose no match, and a key that occurs once holds none. Of all
-other pieces each different one goes to a shard once, or twice if it occurs again, so that its copy is there
-to be met. Pieces of one text that follow each other and whose keys have no other content travel as one string. In
-each shard external induced sorting (`induced`) gives suffix order and common prefixes; a window is repeated
-if the prefix it shares with a neighbour is `width` long. Spans return to all occurrences of their pieces.
+other pieces each different one goes to a shard once, with weight two if it occurs again. Pieces of one text that
+follow each other and whose keys have no other content travel as one string. In each shard external induced
+sorting (`induced`) gives suffix order and common prefixes; a window is repeated if the prefix it shares with a neighbour
+is `width` long or its own weight is two. Spans return to all occurrences of their pieces.
 
 Pieces are counted with partial aggregates of a few numbers each; a frequent passage is one piece. Strings
 travel packed, many to a row. A shard is streamed into a file-backed string and sorted with bounded memory; that
@@ -28,7 +28,7 @@ from . import induced, words
 from .common import dropped, expanded, identified, saved, squeezed
 
 WIDTH, GRAM, MEMORY = 200, 64, 128 << 20
-SHARD = 30_000  # different pieces of a shard, about
+SHARD = 8_000  # different pieces of a shard, about
 PLACE = np.uint64((1 << 30) - 1)
 
 
@@ -88,7 +88,7 @@ def _pieces(rows: DataFrame, width: int, gram: int) -> DataFrame:
     return rows.mapInArrow(task, "did long, h long, start long, windows int, key long, content long")
 
 
-# A string: the pieces in it, from which window on each begins, how many windows it has, whether all of them occur again.
+# A string: the pieces in it, from which window on each begins, how many windows it has, whether it occurs again.
 STRING = pa.schema([("keys", pa.list_(pa.int64())), ("contents", pa.list_(pa.int64())), ("at", pa.list_(pa.int64())),
                     ("windows", pa.list_(pa.int64())), ("again", pa.bool_()), ("text", pa.binary())])
 
@@ -177,26 +177,19 @@ def _repeats(strings: DataFrame, width: int, memory: int) -> DataFrame:
     """Repeated spans (k, c, spans) of the pieces of each shard, relative to the piece."""
     def of_shard(packed):
         tables = [pa.ipc.open_stream(p).read_all() for p in packed]
-        begin, again, total = [], [], 0
-
-        def flow():  # each string, twice if it occurs again
-            nonlocal total
-            for t in tables:
-                for x, twice in zip(t.column("text"), t.column("again").to_pylist()):
-                    begin.append(total)
-                    for _ in range(1 + twice):
-                        yield memoryview(x.as_buffer())
-                        total += len(x.as_buffer()) + 1
-
-        at, _ = repeated_windows(flow(), width, memory)
-        t = pa.concat_tables(tables).select(["keys", "contents", "at", "windows"]).combine_chunks()
+        t = pa.concat_tables(tables).combine_chunks()
+        twice = np.flatnonzero(t.column("again").to_numpy())
+        at, ends = repeated_windows((memoryview(x.as_buffer()) for x in t.column("text")), width, memory)
+        begin = np.concatenate([[0], ends[:-1] + 1])
+        # Weight two: all windows of the string occur in its copy too.
+        count = ends[twice] - begin[twice] - width + 1
+        weighted = np.arange(count.sum()) + np.repeat(begin[twice] - (np.cumsum(count) - count), count)
+        at = np.union1d(at, weighted)
         column = lambda name: t.column(name).combine_chunks()
         lengths = column("keys").value_lengths().to_numpy()
         keys, contents, inner, windows = (column(c).flatten().to_numpy() for c in ("keys", "contents", "at", "windows"))
-        start = np.repeat(np.array(begin, np.int64), lengths) + inner
+        start = np.repeat(begin, lengths) + inner
         piece = np.searchsorted(start, at, "right") - 1
-        ok = (piece >= 0) & (at < start[piece] + windows[piece])  # not in the second copy of a string
-        at, piece = at[ok], piece[ok]
         new = np.ones(len(at), bool)
         new[1:] = (piece[1:] != piece[:-1]) | (at[1:] != at[:-1] + 1)
         first = np.flatnonzero(new)
