@@ -81,10 +81,10 @@ def sampled(docs: DataFrame, labels: DataFrame, learn, sample: int, doc_id="doc_
     return rows.groupBy(F.md5("text").alias("m")).agg(F.first("text").alias("text"), F.max("y").alias("y")).select("text", "y")
 
 
-SIDE = 4096  # terms of one side of a grouped pair count
+SIDE = 2048  # terms of one side of a grouped pair count
 
 
-def _counts(y, a, b, m, step=1 << 21):
+def _counts(y, a, b, m, step=1 << 20):
     """Texts with term i on the left and j on the right, and toxic ones among them: yields i from, i to, both [., m], bad.
 
     `y` says which texts are toxic; `a` and `b` are (text, term) pairs in ascending order of texts.
@@ -100,7 +100,7 @@ def _counts(y, a, b, m, step=1 << 21):
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + step, "right")) - 1)
             n = count[at:to]
             right = np.arange(n.sum()) + np.repeat(first[rows[at:to]] - (np.cumsum(n) - n), n)
-            code = np.repeat(left[at:to] * m, n) + b[1][right]
+            code = np.repeat(left[at:to].astype(np.int64) * m, n) + b[1][right]
             both += np.bincount(code, minlength=len(both))
             bad += np.bincount(code[np.repeat(y[rows[at:to]], n)], minlength=len(both))
             at = to
@@ -147,8 +147,8 @@ def paired(marks: DataFrame, share, evidence: float = 20.0) -> DataFrame:
 
         def flat(name, side):
             parts = [np.frombuffer(x.as_buffer(), "<i4") for x in group.column(name)]
-            rows = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-            return rows, np.concatenate(parts).astype(np.int64) - SIDE * side
+            rows = np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts])
+            return rows, np.concatenate(parts) - np.int32(SIDE * side)
 
         left, right = share[SIDE * i:SIDE * (i + 1)], share[SIDE * j:SIDE * (j + 1)]
         found = np.zeros((2, SIDE), bool)
