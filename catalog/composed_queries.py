@@ -3,12 +3,13 @@ from pyspark.sql import functions as F
 
 from catalog import tables as T
 from catalog.region_queries import EDGE_SQL, ONE, area_sql, sweep_sql
-from catalog.registry import query
+from catalog.registry import query, scratch
 from catalog.segment_queries import EDGES, SEGS, SHIFT, edges, segments, shift
 from catalog.shape_queries import ROI, roi
-from shapeloom.operators import contours, filters, pixels, raster, region, segments as seg, tiling
+from shapeloom.operators import contours, filters, pixels, quality, raster, region, segments as seg, tiling
 from shapeloom.plans import prepare, rounds
 from shapeloom.schemas import SEGMENT_KEY
+from shapeloom.sources import archive, shapes
 
 
 
@@ -125,6 +126,43 @@ def prepared_problem(spark, sf_dir):
         F.count("*").alias("members"), F.count_if(F.col("owner_id") == F.col("core_id")).alias("owned"))
 
 
+@query("WITH " + T.SOLID + ", " + sweep_sql("sides AS (SELECT layer, 0 AS side, l, b, r, t FROM solid)", "ca > 0") + EDGE_SQL
+       + MERGED_SEGS + T.SEGMENTS + T.MEMBERS + """ SELECT layer, count(*) AS members, count(*) FILTER (WHERE owner_id = core_id) AS owned,
+ round(sum(sx + ex + 2 * (sy + ey)), 3) AS moment FROM membership GROUP BY 1""")
+def archived_problem(spark, sf_dir):
+    """The prepared problem by the same call from shapes and from its archive: what the archive gives back, per layer."""
+    g, path = T.grid(spark, sf_dir), scratch(spark, "problem")
+    prepare.write_problem(*prepare.problem(spark, T.solid(spark, sf_dir), g, T.CORNER, T.MAXIMUM, rings=False), path)
+    _, members = prepare.problem(spark, path, g, T.CORNER, T.MAXIMUM)
+    return members.groupBy("layer").agg(
+        F.count("*").alias("members"), F.count_if(F.col("owner_id") == F.col("core_id")).alias("owned"),
+        F.round(F.sum(F.col("sx") + F.col("ex") + 2 * (F.col("sy") + F.col("ey"))), 3).alias("moment"))
+
+
+@query(SEGS + T.MEMBERS + """ SELECT s.polygon_id, e.edges, s.segments, m.members, s.longest FROM
+ (SELECT polygon_id, count(*) AS segments, round(max(sqrt((ex - sx) * (ex - sx) + (ey - sy) * (ey - sy))), 6) AS longest FROM segments GROUP BY 1) s
+ JOIN (SELECT polygon_id, count(*) AS edges FROM edges GROUP BY 1) e ON e.polygon_id = s.polygon_id
+ JOIN (SELECT polygon_id, count(*) AS members FROM membership GROUP BY 1) m ON m.polygon_id = s.polygon_id""")
+def suite_report(spark, sf_dir):
+    """The geometry suite's report with every polygon as a case: edges, segments, memberships and the longest segment."""
+    s = segments(spark, sf_dir)
+    m = seg.memberships(s, T.grid(spark, sf_dir)).groupBy("polygon_id").agg(F.count("*").alias("members"))
+    cut = s.groupBy("polygon_id").agg(F.count("*").alias("segments"), F.round(F.max(
+        F.hypot(F.col("ex") - F.col("sx"), F.col("ey") - F.col("sy"))), 6).alias("longest"))
+    e = edges(spark, sf_dir).groupBy("polygon_id").agg(F.count("*").alias("edges"))
+    return e.join(cut, "polygon_id").join(m, "polygon_id")
+
+
+@query("WITH " + T.SOLID + T.EXTENT + """ SELECT * FROM (SELECT 'r' AS side, (ncols - 1) * 4096 AS found FROM grid
+ UNION ALL SELECT 't', least(2 * 4096, ye) FROM grid) WHERE (side = 'r') OR found <> (SELECT ye FROM grid)""")
+def region_bound_issues(spark, sf_dir):
+    """Borders at which a tiling without its last column and upper rows does not fill its region."""
+    g = T.grid(spark, sf_dir)
+    some = g.tiles(spark).filter((F.col("col") < g.columns - 1) & (F.col("row") < 2))
+    top = T.solid(spark, sf_dir).agg(F.max("r"), F.max("t")).first()
+    return quality.bound_issues(some, (0, 0, top[0], top[1]))
+
+
 @query("WITH " + T.SOLID + T.EXTENT + """, mac AS (SELECT ncols // 2 * 4096 AS ml, xe AS mr, CAST(4096 AS BIGINT) AS mt FROM grid), """
        + sweep_sql("sides AS (SELECT layer, 0 AS side, l, b, r, t FROM solid, mac WHERE l < mr + 300 AND r > ml - 300"
                    " AND b < mt + 300 AND t > -300)", "ca > 0") + EDGE_SQL + MERGED_SEGS + T.SEGMENTS
@@ -231,17 +269,18 @@ def zero_shift_reconstruction(spark, sf_dir):
         "polygon_id", "area", F.coalesce("xor_area", F.lit(0)).alias("xor_area"))
 
 
-@query("WITH " + T.SOLID + """, k AS (SELECT shape_id, (least(r - l, t - b) - 30 <= 20) AS small FROM solid WHERE shape_id % 4 = 0)
- SELECT shape_id AS polygon_id, CAST(1 AS INTEGER) AS ring_id, CASE WHEN w - 20 = 0 OR h - 20 = 0 THEN 'lost' WHEN (w - 20 < 0) <> (h - 20 < 0)
- THEN 'reversed_ring' END AS code FROM (SELECT shape_id, r - l - 30 AS w, t - b - 30 AS h FROM solid WHERE shape_id % 4 = 0)
- WHERE w - 20 <> 0 AND h - 20 <> 0 AND (w - 20 < 0) <> (h - 20 < 0)""")
+@query("WITH " + T.SOLID + """, h AS (SELECT shape_id, r - l - 50 AS w, t - b - 50 AS h FROM solid WHERE shape_id % 4 = 0)
+ SELECT shape_id AS polygon_id, CAST(1 AS INTEGER) AS ring_id, CASE WHEN shape_id % 5 = 0 THEN 'lost_ring' WHEN w = 0 OR h = 0 THEN 'zero_area_ring'
+ ELSE 'reversed_ring' END AS code FROM h WHERE shape_id % 5 = 0 OR w = 0 OR h = 0 OR (w < 0) <> (h < 0)
+ UNION ALL SELECT shape_id, CAST(2 AS INTEGER), 'new_ring' FROM h WHERE shape_id % 7 = 0""")
 def reversed_rings(spark, sf_dir):
-    """Holes shrunk by 10 on each side: opposite sides of thin holes pass each other."""
+    """Holes shrunk by 10 on each side: thin ones turn over or vanish; some are left out, some copied as a ring of their own."""
     e = edges(spark, sf_dir)
-    d = F.when(F.col("is_hole"), 10.0).otherwise(0.0)
-    s = segments(spark, sf_dir).withColumn("d", d)
-    after = seg.reconstruct(s, T.CORNER, T.MAXIMUM, 4.0)
-    return seg.ring_issues(e, after).filter("code = 'reversed_ring'").select("polygon_id", "ring_id", "code")
+    s = segments(spark, sf_dir).withColumn("d", F.when(F.col("is_hole"), 10.0).otherwise(0.0))
+    after = seg.reconstruct(s, T.CORNER, T.MAXIMUM, 4.0).select("polygon_id", "ring_id", "x0", "y0", "x1", "y1")
+    extra = e.filter("is_hole and polygon_id % 7 = 0").select("polygon_id", F.lit(2).alias("ring_id"), "x0", "y0", "x1", "y1")
+    after = after.filter("ring_id = 0 or polygon_id % 5 <> 0").unionByName(extra)
+    return seg.ring_issues(e, after).select("polygon_id", "ring_id", "code")
 
 
 @query("WITH " + T.SOLID + " SELECT shape_id AS polygon_id FROM solid WHERE shape_id % 4 = 0 AND shape_id % 3 = 0")
@@ -290,7 +329,37 @@ def ownership_patches(spark, sf_dir):
     s = reach.withColumn("patch_id", F.concat_ws("-", F.lit("t"), "core_id"))
     cut = filters.patches(s.drop("core_id"), ids.select("patch_id", "l", "b", "r", "t")).join(
         ids.select("patch_id", "name"), "patch_id")
-    return cut.select("layer", F.concat_ws("-", "layer", "name").alias("patch_id"), "shape_id", "l", "b", "r", "t")
+    path = scratch(spark, "patches")
+    shapes.write_patches(cut.select("layer", F.lit(0).alias("datatype"), F.concat_ws("-", "layer", "name").alias("patch_id"),
+                                    "shape_id", "l", "b", "r", "t"), path)
+    return spark.read.parquet(path).select("layer", "patch_id", "shape_id", "l", "b", "r", "t")
+
+
+@query("WITH " + T.SOLID + T.EXTENT + """, m AS (SELECT layer, shape_id, ix, iy, ncols, xe, ye FROM (SELECT *, unnest(range(l // 4096, (r - 1) // 4096 + 1)) AS ix
+ FROM (SELECT *, unnest(range(b // 4096, (t - 1) // 4096 + 1)) AS iy FROM solid, grid))),
+ p AS (SELECT DISTINCT layer, ix * 4096 AS ol, iy * 4096 AS ob, least((ix + 1) * 4096, xe) AS o_r, least((iy + 1) * 4096, ye) AS ot, 't-' || (iy * ncols + ix) AS patch_id FROM m)
+ SELECT row_number() OVER (ORDER BY layer, ol, ob, o_r, ot, patch_id) - 1 AS position, layer, patch_id FROM p""")
+def patches_in_order(spark, sf_dir):
+    """Non-empty patches per layer, numbered in the order of layer, ownership box and id."""
+    g = T.grid(spark, sf_dir)
+    flat = tiling.Grid(g.x, g.y, 0)
+    reach = tiling.membership(T.solid(spark, sf_dir).drop("kind"), flat).withColumn("patch_id", F.concat_ws("-", F.lit("t"), "core_id"))
+    own = g.tiles(spark).select(F.concat_ws("-", F.lit("t"), "core_id").alias("patch_id"), "l", "b", "r", "t")
+    cut = filters.patches(reach.drop("core_id"), own).withColumn("datatype", F.lit(0))
+    cut = cut.select("layer", "datatype", "ol", "ob", "o_r", "ot", "patch_id").distinct()
+    return filters.with_position(cut, filters.PATCH_ORDER).select("position", "layer", "patch_id")
+
+
+@query("WITH " + T.RECTS + """ SELECT layer, kind, count(*) AS shapes, CAST(sum(shape_id) AS BIGINT) AS ids FROM rects
+ WHERE l < 400000 AND r > 50000 AND b < 5000 AND t > 1000 AND kind <> 'text' AND layer <> 1 GROUP BY 1, 2""")
+def clustered_region_shapes(spark, sf_dir):
+    """Shapes written by layer and tile and read back for a region of two layers."""
+    path = scratch(spark, "shapes")
+    none = F.lit(None).cast("map<int,string>")
+    shapes.write_shapes(T.rects(spark, sf_dir).withColumn("datatype", F.lit(0)).withColumn("props", none), path)
+    found = shapes.read_shapes(spark, path).filter(F.col("layer").isin(0, 2))
+    return filters.candidates(found, (50_000, 1000, 400_000, 5000)).groupBy("layer", "kind").agg(
+        F.count("*").alias("shapes"), F.sum("shape_id").alias("ids"))
 
 
 PIXEL = 256
@@ -310,6 +379,11 @@ def tile_areas(spark, sf_dir):
     return raster.tile_coverage_area(rects, T.grid(spark, sf_dir), PIXEL)
 
 
+def tile_ink(spark, sf_dir):
+    """Coverage of every tile context, all layers together."""
+    return tile_areas(spark, sf_dir).groupBy("core_id", "y", "x").agg((F.sum("area") / float(PIXEL * PIXEL)).alias("value"))
+
+
 @query(TILE_SQL + " SELECT core_id, layer, count(*) AS pixels, CAST(sum(area) AS BIGINT) AS area, CAST(sum(area * (x + 2 * y)) AS BIGINT) AS moment FROM px GROUP BY 1, 2")
 def tile_rasters(spark, sf_dir):
     """Coverage pixels of every tile context, halo included."""
@@ -343,12 +417,10 @@ def stitched_tiles(spark, sf_dir):
  SELECT row * ncols + col AS core_id, l AS origin_x, b AS origin_y, CAST((t - b + 127) // 256 AS INTEGER) AS height, CAST((r - l + 127) // 256 AS INTEGER) AS width
  FROM c WHERE (t - b + 127) // 256 > 0 AND (r - l + 127) // 256 > 0""")
 def tile_manifest(spark, sf_dir):
-    """Origin and shape of the owned part of every tile."""
+    """Origin and shape of the owned part of every tile, from the tiles as they are written and read back."""
     g = T.grid(spark, sf_dir)
     t = g.tiles(spark)
-    full = rounds.dense(spark.range(0).select(F.col("id").alias("core_id"), F.lit(0).alias("y"), F.lit(0).alias("x"),
-                                              F.lit(0.0).alias("value")), g, PIXEL)
-    m = raster.tile_manifest(raster.owned_pixels(full, t, PIXEL), t, PIXEL)
+    m = archive.write_tiles(rounds.dense(tile_ink(spark, sf_dir), g, PIXEL), t, scratch(spark, "tiles"), PIXEL)
     return m.select("core_id", "origin_x", "origin_y", "height", "width")
 
 
@@ -357,8 +429,7 @@ def tile_manifest(spark, sf_dir):
 def owned_rectangles(spark, sf_dir):
     """Owned pixels of every tile form one full rectangle."""
     g = T.grid(spark, sf_dir)
-    full = rounds.dense(spark.range(0).select(F.col("id").alias("core_id"), F.lit(0).alias("y"), F.lit(0).alias("x"),
-                                              F.lit(0.0).alias("value")), g, PIXEL)
+    full = rounds.dense(tile_ink(spark, sf_dir), g, PIXEL)
     t = g.tiles(spark)
     bad = raster.owned_rectangle_issues(raster.owned_pixels(full, t, PIXEL))
     return t.join(bad.select("core_id", "pixels"), "core_id", "left").agg(
@@ -378,7 +449,10 @@ def oversized_tiles(spark, sf_dir):
 def archive_counts(spark, sf_dir):
     """Row counts as an archive of the prepared tables records them."""
     tables = {"edges": edges(spark, sf_dir), "segments": segments(spark, sf_dir), "polygons": T.rings(spark, sf_dir)}
-    out = [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows") for n, df in tables.items()]
+    path = scratch(spark, "archive")
+    archive.write_archive(tables, path, "prepared", 1)
+    found, _ = archive.read_archive(spark, path, "prepared", [1], {n: df.schema for n, df in tables.items()})
+    out = [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows") for n, df in found.items()]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
@@ -386,19 +460,22 @@ def archive_counts(spark, sf_dir):
  max(ncols * nrows) AS tiles, count(*) FILTER (WHERE core_id < 0) AS unowned FROM owners, (SELECT ncols, nrows FROM grid)""")
 def run_summary(spark, sf_dir):
     g = T.grid(spark, sf_dir)
-    return seg.owners(segments(spark, sf_dir), g).agg(
+    summary = seg.owners(segments(spark, sf_dir), g).agg(
         F.count_distinct("polygon_id").alias("polygons"), F.count("*").alias("segments"),
         F.count_distinct("core_id").alias("active_tiles"), F.lit(g.columns * g.rows).cast("long").alias("tiles"),
         F.count_if(F.col("core_id") < 0).alias("unowned"))
+    path = scratch(spark, "summary")
+    archive.write_summary(summary, path)
+    return spark.read.schema(summary.schema).json(path)
 
 
 @query("WITH " + T.SOLID + """ SELECT kind_of, layer, count(*) AS shapes FROM (SELECT 'reference' AS kind_of, layer FROM solid
  UNION ALL SELECT 'rebuilt', layer FROM solid) GROUP BY 1, 2""")
 def reference_and_rebuilt(spark, sf_dir):
     """Source polygons and polygons assembled from their edges, told apart by a column."""
-    source = T.rings(spark, sf_dir).withColumn("kind_of", F.lit("reference"))
-    back = contours.assemble_polygons(edges(spark, sf_dir), ("layer", "polygon_id")).withColumn("kind_of", F.lit("rebuilt"))
-    return source.unionByName(back).groupBy("kind_of", "layer").agg(F.count("*").alias("shapes"))
+    path = scratch(spark, "pair")
+    shapes.write_pair(T.rings(spark, sf_dir), contours.assemble_polygons(edges(spark, sf_dir), ("layer", "polygon_id")), path)
+    return spark.read.parquet(path).groupBy("kind_of", "layer").agg(F.count("*").alias("shapes"))
 
 
 # --- moved masks and rounds -----------------------------------------------------------------------------------

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from catalog import tables as T
 from catalog.registry import query
-from shapeloom.operators import metrics, pixels, raster
+from shapeloom.operators import filters, metrics, pixels, raster
 
 PIX = "WITH " + T.PIXELS
 PRI = "WITH " + T.PRINTED
@@ -29,11 +29,11 @@ def process_band(spark, sf_dir):
     return metrics.process_band(T.printed(spark, sf_dir), "dose_max", "defocus_min", 0.0)
 
 
-SCORED = PRI + NOMINAL + T.PROBES + """, either AS (SELECT image_id, y, x, coalesce(p.value, 0.0) AS a, coalesce(n.value, 0.0) AS c
- FROM pixels p FULL JOIN nominal n USING (image_id, y, x)),
-looked AS (SELECT q.*, i.a AS ti, o.a AS t_o, i.c AS pi, o.c AS po FROM probes q
- LEFT JOIN either i ON i.image_id = q.image_id AND i.x = inner_x AND i.y = inner_y
- LEFT JOIN either o ON o.image_id = q.image_id AND o.x = outer_x AND o.y = outer_y),
+SCORED = PRI + NOMINAL + T.PROBES + """, either AS MATERIALIZED (SELECT image_id, y, x, sum(a) AS a, sum(c) AS c FROM (
+ SELECT image_id, y, x, value AS a, 0.0::DOUBLE AS c FROM pixels UNION ALL SELECT image_id, y, x, 0.0::DOUBLE, value FROM nominal) GROUP BY 1, 2, 3),
+looked AS MATERIALIZED (SELECT q.*, i.a AS ti, o.a AS t_o, i.c AS pi, o.c AS po FROM probes q
+ LEFT JOIN either i ON i.image_id = q.image_id AND i.x = CAST(inner_x AS INTEGER) AND i.y = CAST(inner_y AS INTEGER)
+ LEFT JOIN either o ON o.image_id = q.image_id AND o.x = CAST(outer_x AS INTEGER) AND o.y = CAST(outer_y AS INTEGER)),
 judged AS (SELECT *, coalesce(ti >= 0.0 AND t_o < 0.0, FALSE) AS valid FROM looked),
 scored AS (SELECT probe_id, image_id, valid, valid AND pi < 0.0 AS i, valid AND po >= 0.0 AS o FROM judged)"""
 
@@ -205,9 +205,10 @@ def signed_distances(spark, sf_dir):
     return out.withColumn("value", F.round("value", 9))
 
 
-@query(PRI + NOMINAL + """ SELECT image_id, y, x, round(coalesce(p.value, 0.0) * coalesce(w, 0.0)
- + coalesce(n.value, 0.0) * (1.0 - coalesce(w, 0.0)), 9) AS value FROM
- (SELECT *, (x + y) % 5 / 4.0 AS w FROM pixels) p FULL JOIN nominal n USING (image_id, y, x)""")
+@query(PRI + NOMINAL + """, parts AS MATERIALIZED (SELECT image_id, y, x, sum(m) AS m, sum(f) AS f, sum(w) AS w FROM (
+ SELECT image_id, y, x, value AS m, 0.0::DOUBLE AS f, (x + y) % 5 / 4.0 AS w FROM pixels
+ UNION ALL SELECT image_id, y, x, 0.0::DOUBLE, value, 0.0::DOUBLE FROM nominal) GROUP BY 1, 2, 3)
+ SELECT image_id, y, x, round(m * w + f * (1.0 - w), 9) AS value FROM parts""")
 def blended_images(spark, sf_dir):
     """Movable pixels and fixed pixels mixed by a mask in [0, 1]."""
     p = T.pixels(spark, sf_dir)
@@ -224,6 +225,15 @@ def image_shape_issues(spark, sf_dir):
     return pixels.image_issues(p.filter(~hole))
 
 
+@query(PIX + """ SELECT DISTINCT image_id, CASE WHEN image_id % 17 = 0 THEN 'no_mask' ELSE 'other_shape' END AS code FROM pixels
+ WHERE image_id % 17 = 0 OR image_id % 19 = 0""")
+def mask_shape_issues(spark, sf_dir):
+    """Ownership masks that are missing or lack a row."""
+    p = T.pixels(spark, sf_dir)
+    whole = p.withColumn("value", F.lit(1.0)).filter("image_id % 17 <> 0 and (image_id % 19 <> 0 or y < 7)")
+    return pixels.mask_issues(p, whole)
+
+
 @query(PIX + """ SELECT image_id, y, x, coalesce(value, 0.0) AS value FROM (SELECT DISTINCT image_id,
  CAST(g.y AS INTEGER) AS y, CAST(h.x AS INTEGER) AS x FROM pixels p, range(0, 10) AS g(y), range(0, 10) AS h(x)) f
  LEFT JOIN (SELECT * FROM pixels WHERE value >= 0.0) USING (image_id, y, x)""")
@@ -251,8 +261,7 @@ def best_rounds(spark, sf_dir):
     """Per run the round of the smallest score, the earliest among equals."""
     r = T.read(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("run"), F.col("event_id").alias("iteration"),
                                                F.floor("value").cast("long").alias("epe"))
-    m = r.groupBy("run").agg(F.min(F.struct("epe", "iteration")).alias("m"))
-    return m.select("run", "m.epe", "m.iteration")
+    return metrics.best_round(r, keys=("run",))
 
 
 @query("""SELECT event_id AS iteration, CASE WHEN e = 0 THEN 'zero_epe' WHEN m = 0 AND event_id < n THEN 'no_legal_update'
@@ -266,15 +275,15 @@ def last_round_reason(spark, sf_dir):
     return metrics.stop_reason(r, limit)
 
 
-@query("""WITH n AS (SELECT count(*) AS n FROM events) SELECT CAST(CASE WHEN event_id < n // 2 THEN 0
- WHEN event_id < n // 2 + n // 3 THEN 1 ELSE 2 END AS INTEGER) AS stage_index, count(*) AS rounds,
- CAST(sum(event_id - CASE WHEN event_id < n // 2 THEN 0 WHEN event_id < n // 2 + n // 3 THEN n // 2
- ELSE n // 2 + n // 3 END) AS BIGINT) AS iterations FROM events, n WHERE event_id < n GROUP BY 1""")
+@query("""WITH r AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS k, count(*) OVER () AS n FROM events)
+ SELECT CAST(CASE WHEN k < n // 2 THEN 0 WHEN k < n // 2 + n // 3 THEN 1 ELSE 2 END AS INTEGER) AS stage_index, count(*) AS rounds,
+ CAST(sum(k - CASE WHEN k < n // 2 THEN 0 WHEN k < n // 2 + n // 3 THEN n // 2
+ ELSE n // 2 + n // 3 END) AS BIGINT) AS iterations FROM r GROUP BY 1""")
 def stage_positions(spark, sf_dir):
     """Stage and position in the stage of every round of a flat sequence."""
     ev = T.read(spark, sf_dir, "events")
     n = ev.count()
-    r = ev.select(F.col("event_id").alias("iteration")).filter(F.col("iteration") < n)
+    r = filters.with_position(ev.select("event_id"), ["event_id"]).select(F.col("position").alias("iteration"))
     s = metrics.stage_of_round(r, [n // 2, n // 3, n - n // 2 - n // 3])
     return s.groupBy("stage_index").agg(F.count("*").alias("rounds"), F.sum("stage_iteration").alias("iterations"))
 

@@ -1,5 +1,6 @@
 """A query function and its SQL are declared side by side."""
 import functools
+import uuid
 
 QUERIES, ORACLES = {}, {}
 
@@ -15,6 +16,13 @@ def ready(spark):
     context.setCheckpointDir(folder)
 
 
+def scratch(spark, name: str) -> str:
+    """A new folder for what a query writes and reads back, in the shared checkpoint folder."""
+    ready(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def query(sql=None):
     """Register a `(spark, sf_dir) -> DataFrame` function under its own name."""
     def register(fn):

@@ -131,11 +131,10 @@ def repeated_points_dropped(spark, sf_dir):
     return contours.drop_repeated_points(df.select("polygon_id", "p.*"), ("polygon_id",))
 
 
-@query(EDGES + """, w AS (SELECT polygon_id, ring_id, ord, x0, y0, count(*) OVER q AS n FROM edges
- WINDOW q AS (PARTITION BY polygon_id, ring_id))
- SELECT a.polygon_id, a.ring_id, a.ord, n.x0 AS qx, n.y0 AS qy, p.x0 AS px, p.y0 AS py FROM w a
- JOIN w n ON n.polygon_id = a.polygon_id AND n.ring_id = a.ring_id AND n.ord = (a.ord + 1) % a.n
- JOIN w p ON p.polygon_id = a.polygon_id AND p.ring_id = a.ring_id AND p.ord = (a.ord + a.n - 1) % a.n""")
+@query(EDGES + """, w AS MATERIALIZED (SELECT polygon_id, ring_id, list(x0 ORDER BY ord) AS xs, list(y0 ORDER BY ord) AS ys FROM edges GROUP BY 1, 2)
+ SELECT polygon_id, ring_id, CAST(k AS INTEGER) AS ord, xs[(k + 1) % len(xs) + 1] AS qx, ys[(k + 1) % len(xs) + 1] AS qy,
+ xs[(k + len(xs) - 1) % len(xs) + 1] AS px, ys[(k + len(xs) - 1) % len(xs) + 1] AS py
+ FROM (SELECT *, unnest(range(0, len(xs))) AS k FROM w)""")
 def ring_neighbours(spark, sf_dir):
     """Next and previous vertex on the closed ring."""
     return edges(spark, sf_dir).select("polygon_id", "ring_id", "ord", F.col("x1").alias("qx"),

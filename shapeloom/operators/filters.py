@@ -161,8 +161,11 @@ def patches(shapes: DataFrame, cores: DataFrame) -> DataFrame:
     return cut
 
 
+PATCH_ORDER = ["layer", "datatype", "ol", "ob", "o_r", "ot", "patch_id"]
+
+
 def patch_order(cut: DataFrame) -> DataFrame:
-    return cut.orderBy("layer", "datatype", "ol", "ob", "o_r", "ot", "patch_id")
+    return cut.orderBy(*PATCH_ORDER)
 
 
 def every_nth(df: DataFrame, order, limit: int, total: int | None = None) -> DataFrame:

@@ -146,9 +146,9 @@ def soft_probe_loss(samples: DataFrame, threshold: float, segments: int) -> Data
                         / F.lit(float(2 * max(segments, 1)))).alias("loss"))
 
 
-def best_round(rounds: DataFrame, score: str = "epe") -> DataFrame:
-    """The round of the smallest score, the earliest among equals."""
-    return rounds.agg(F.min(F.struct(score, "iteration")).alias("m")).select("m.*")
+def best_round(rounds: DataFrame, score: str = "epe", keys=()) -> DataFrame:
+    """The round of the smallest score, the earliest among equals; with keys, of each."""
+    return rounds.groupBy(*keys).agg(F.min(F.struct(score, "iteration")).alias("m")).select(*keys, "m.*")
 
 
 def stop_reason(rounds: DataFrame, limit: int) -> DataFrame:

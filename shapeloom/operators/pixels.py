@@ -132,6 +132,16 @@ def image_issues(pixels: DataFrame, keys=IMAGE, by: str = "condition") -> DataFr
         F.col("lo") != F.col("hi")).select(*keys)
 
 
+def mask_issues(images: DataFrame, masks: DataFrame, keys=IMAGE) -> DataFrame:
+    """Images without a mask, or with one of another extent or number of pixels; and masks without an image."""
+    def shape(df, name):
+        return df.groupBy(*keys).agg(F.struct(F.count("*").alias("n"), F.max("x").alias("mx"), F.max("y").alias("my")).alias(name))
+
+    both = shape(images, "i").join(shape(masks, "m"), list(keys), "full_outer")
+    code = F.when(F.col("m").isNull(), "no_mask").when(F.col("i").isNull(), "no_image").when(F.col("i") != F.col("m"), "other_shape")
+    return both.select(*keys, code.alias("code")).filter(F.col("code").isNotNull())
+
+
 def blend_images(movable: DataFrame, fixed: DataFrame, mask: DataFrame, keys=IMAGE) -> DataFrame:
     """Movable pixels where the mask is 1 and fixed ones where it is 0; absent pixels are 0."""
     from shapeloom.functions.scalars import blend

@@ -64,6 +64,15 @@ def context_issues(tiles: DataFrame) -> DataFrame:
                         (F.col("cr") < F.col("r")) | (F.col("ct") < F.col("t")))
 
 
+def bound_issues(tiles: DataFrame, box) -> DataFrame:
+    """Borders of a tiling (side, found) that are not those of the region it should fill."""
+    l, b, r, t = box
+    ends = tiles.agg(F.min("l").alias("l"), F.min("b").alias("b"), F.max("r").alias("r"), F.max("t").alias("t"))
+    sides = F.array(*[F.struct(F.lit(n).alias("side"), F.col(n).alias("found"), F.lit(v).cast("long").alias("wanted"))
+                      for n, v in (("l", l), ("b", b), ("r", r), ("t", t))])
+    return ends.select(F.explode(sides).alias("s")).select("s.*").filter(~F.col("found").eqNullSafe(F.col("wanted"))).select("side", "found")
+
+
 def cut_issues(cuts: DataFrame) -> DataFrame:
     """(axis, ord, cut) rows that do not increase, and axes with fewer than two cuts."""
     w = W.partitionBy("axis").orderBy("ord")

@@ -1,8 +1,12 @@
 """From shapes to owned segments: merge, outline, cut, own, and read-only memberships."""
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from shapeloom.operators import contours, filters, region, segments as seg, tiling
 from shapeloom.schemas import SEGMENT_KEY
+from shapeloom.sources import archive
+
+PROBLEM = "segment_problem"
+KNOWN = T.StructType([T.StructField(c, T.DoubleType()) for c in ("sx", "sy", "ex", "ey")])
 
 
 def merged_edges(boxes: DataFrame, keys=("layer",), rings: bool = True, **kw) -> DataFrame:
@@ -37,6 +41,23 @@ def prepare_problem(boxes: DataFrame, grid: tiling.Grid, corner: float, maximum:
     return seg.owners(cut, grid), seg.memberships(cut, grid, limit=limit)
 
 
+def write_problem(segments: DataFrame, members: DataFrame, path: str) -> None:
+    """Both tables as one versioned archive."""
+    archive.write_archive({"segments": segments, "members": members}, path, PROBLEM, 1)
+
+
+def problem(spark: SparkSession, source, grid: tiling.Grid, corner: float, maximum: float, schemas=None, **kw):
+    """(segments, memberships) from shapes, or, given a path, from the archive that `write_problem` made.
+
+    `schemas` names the fields an archive must have; by default those that its segments are known by.
+    """
+    if isinstance(source, DataFrame):
+        return prepare_problem(source, grid, corner, maximum, **kw)
+    fields = schemas or {"segments": KNOWN, "members": KNOWN}
+    tables, _ = archive.read_archive(spark, source, PROBLEM, [1], fields)
+    return tables["segments"], tables["members"]
+
+
 def prepare_macro(shapes: DataFrame, context, ownership, grid: tiling.Grid, corner: float,
                   maximum: float, keys=("layer",), polarity: str = "clear",
                   limit: int | None = None, **kw):

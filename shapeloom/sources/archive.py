@@ -54,7 +54,7 @@ def read_archive(spark: SparkSession, path: str, fmt: str, versions,
     for name, schema in schemas.items():
         found = spark.read.parquet(f"{path}/{name}")
         lost = [f.name for f in schema if f.name not in found.columns
-                or found.schema[f.name].dataType != f.dataType]
+                or found.schema[f.name].dataType.simpleString() != f.dataType.simpleString()]
         if lost:
             raise LayoutError(f"table {name} lacks the fields {', '.join(lost)}")
         if found.count() != meta["counts"][name]:
@@ -64,18 +64,27 @@ def read_archive(spark: SparkSession, path: str, fmt: str, versions,
 
 
 def write_tiles(pixels: DataFrame, tiles: DataFrame, path: str, pixel: int) -> DataFrame:
-    """Owned pixels partitioned by core_id plus a manifest; returns the manifest."""
+    """Owned pixels in ranges of core_id plus a manifest; returns the manifest.
+
+    Files are sorted by tile, so a reader of one tile skips all row groups but its own, and the number of
+    files follows the data and not the tiles.
+    """
     from shapeloom.operators.raster import owned_pixels, tile_manifest
     owned = owned_pixels(pixels, tiles, pixel)
-    (owned.repartition("core_id").write.mode("errorifexists")
-     .partitionBy("core_id").parquet(f"{path}/tiles"))
+    (owned.repartitionByRange("core_id", "y").sortWithinPartitions("core_id", "y", "x")
+     .write.mode("errorifexists").parquet(f"{path}/tiles"))
     spark = pixels.sparkSession
-    written = spark.read.parquet(f"{path}/tiles").withColumn("core_id", F.col("core_id").cast("long"))
-    manifest = tile_manifest(written, tiles, pixel)
+    manifest = tile_manifest(read_tiles(spark, path), tiles, pixel)
     manifest.write.mode("errorifexists").parquet(f"{path}/manifest")
     return spark.read.parquet(f"{path}/manifest")
 
 
+def read_tiles(spark: SparkSession, path: str, core_id: int | None = None) -> DataFrame:
+    """Pixels written by `write_tiles`, of all tiles or of one."""
+    found = spark.read.parquet(f"{path}/tiles")
+    return found if core_id is None else found.filter(F.col("core_id") == core_id)
+
+
 def write_summary(summary: DataFrame, path: str) -> None:
     """One JSON row; `summary` is already a one-row aggregate."""
     summary.coalesce(1).write.mode("errorifexists").json(path)
