@@ -203,6 +203,23 @@ def macros_equal_whole(spark, sf_dir):
         F.sum(F.greatest(F.col("p") - F.col("w"), F.lit(0))).alias("extra"), F.sum("o").alias("open"))
 
 
+WIRED = "WITH " + T.SOLID + ", " + sweep_sql("""sides AS (SELECT layer, 0 AS side, l, b, r, t FROM solid UNION ALL
+ SELECT layer, 0, l, b, least(l + 30000, (SELECT max(r) FROM solid)), b + 24 FROM solid WHERE shape_id % 40 = 0)""", "ca > 0")
+
+
+@query(WIRED + EDGE_SQL + MERGED_SEGS + T.SEGMENTS + T.OWNERS + """ SELECT layer, (core_id // ncols // 4) * ((ncols + 3) // 4) + core_id % ncols // 4 AS macro_id,
+ count(*) AS owned, round(sum(sx + ex + 2 * (sy + ey)), 3) AS moment FROM owners, grid WHERE core_id >= 0 GROUP BY 1, 2""")
+def long_wires_by_macro(spark, sf_dir):
+    """Macros of 4 x 4 tiles prepared apart, with wires that cross several of them and halos that widen as they need to."""
+    g, shapes_ = T.grid(spark, sf_dir), T.solid(spark, sf_dir).select("layer", "shape_id", "l", "b", "r", "t")
+    wires = shapes_.filter("shape_id % 40 = 0").select(
+        "layer", "shape_id", "l", "b", F.least(F.col("l") + 30_000, F.lit(g.x.end)).alias("r"), (F.col("b") + 24).alias("t"))
+    macros = tiling.Grid.even(g.bounds, 4 * T.TILE, 1024)
+    parts = prepare.closed_macros(shapes_.unionByName(wires), macros, g, T.CORNER, T.MAXIMUM, rings=False)
+    return parts.groupBy("layer", "macro_id").agg(
+        F.count("*").alias("owned"), F.round(F.sum(F.col("sx") + F.col("ex") + 2 * (F.col("sy") + F.col("ey"))), 3).alias("moment"))
+
+
 # --- reconstruction ------------------------------------------------------------------------------------
 
 REBUILT = SEGS + f""", st AS (SELECT *, {SHIFT} AS d FROM segments),

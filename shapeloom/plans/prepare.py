@@ -1,4 +1,6 @@
 """From shapes to owned segments: merge, outline, cut, own, and read-only memberships."""
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from shapeloom.operators import contours, filters, region, segments as seg, tiling
@@ -88,14 +90,16 @@ def macro_of(df: DataFrame, macros: tiling.Grid, grid: tiling.Grid, name="macro_
 
 
 def prepare_macros(shapes: DataFrame, macros: tiling.Grid, grid: tiling.Grid, corner: float, maximum: float,
-                   keys=("layer",), polarity: str = "clear", rings: bool = True, **kw) -> DataFrame:
-    """Owned segments of every macro, each prepared from the whole shapes that touch its context.
+                   keys=("layer",), polarity: str = "clear", rings: bool = True, only: DataFrame | None = None, **kw) -> DataFrame:
+    """Owned segments of every macro (of `only` some: macro_id), each prepared from the whole shapes that touch its context.
 
     `macros` is a grid of whole tiles; its halo is the context. A segment is as in the whole if its edge
     lies inside the context; `open` marks those whose edge reaches the context's border, where shapes that
     the macro does not see may change the edge, so that a wider halo is needed.
     """
     near = tiling.membership(shapes, macros, clamp=False).withColumnRenamed("core_id", "macro_id")
+    if only is not None:
+        near = near.join(only.select("macro_id"), "macro_id", "left_semi")
     cut = cut_edges(merged_edges(near, ("macro_id", *keys), rings, **kw), corner, maximum, polarity)
     owned = macro_of(seg.owners(cut, grid), macros, grid, "_macro").filter("_macro = macro_id").drop("_macro")
     n, h = F.lit(macros.columns), macros.halo
@@ -105,6 +109,24 @@ def prepare_macros(shapes: DataFrame, macros: tiling.Grid, grid: tiling.Grid, co
     return owned.withColumn("open", ~inside)
 
 
+def closed_macros(shapes: DataFrame, macros: tiling.Grid, grid: tiling.Grid, corner: float, maximum: float, **kw) -> DataFrame:
+    """Owned segments of every macro as in the whole, with the halo that each macro needs.
+
+    Macros with open segments are prepared again with twice the halo, until none is left; a macro whose context
+    holds all shapes has none. So steps number the logarithm of the longest edge over the first halo, and
+    only macros that long edges leave take part in the later ones. Adds `halo`, the one that was enough.
+    """
+    done, only, halo = [], None, max(macros.halo, 1)
+    while True:
+        wide = tiling.Grid(macros.x, macros.y, halo)
+        cut = prepare_macros(shapes, wide, grid, corner, maximum, only=only, **kw).checkpoint()
+        only = cut.filter("open").select("macro_id").distinct().checkpoint()
+        done.append(cut.join(only, "macro_id", "left_anti").drop("open").withColumn("halo", F.lit(halo).cast("long")))
+        if only.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        halo *= 2
+
+
 def _tiles_inside(grid: tiling.Grid, box):
     """Predicate on core_id: the tile lies in the box, whose borders must be tile cuts."""
     n = grid.columns

@@ -167,5 +167,9 @@ def test_all_macros_own_what_the_whole_owns(spark, boxes):
     assert sorted(map(tuple, wide.select(*cols).collect())) == want and wide.filter("open").count() == 0
     assert {r.macro_id for r in wide.select("macro_id").distinct().collect()} == {0, 1, 2, 3}
     # A narrow context keeps whole shapes, and marks the edges that leave it.
+    # Halos that are far too narrow widen until nothing is open.
+    closed = prepare.closed_macros(df, tiling.Grid.even((0, 0, 200, 200), 100, 3), grid, 5, 20)
+    assert sorted(map(tuple, closed.select(*cols).collect())) == want
+    assert closed.agg(F.max("halo")).first()[0] > 24
     narrow = prepare.prepare_macros(df, tiling.Grid.even((0, 0, 200, 200), 100, 24), grid, 5, 20).collect()
     assert {tuple(r[c] for c in cols) for r in narrow if not r.open} <= set(want) and any(r.open for r in narrow)
