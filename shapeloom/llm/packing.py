@@ -26,8 +26,15 @@ from .common import saved
 PIECES = "doc_id long, piece int, start long, length long, ids binary, part long, row long"
 
 
-def byte_ranks(tokenizer: str) -> tuple[dict[bytes, int], dict[str, int]] | None:
-    """Ranks and added tokens of a tokenizer file, if it is plain byte-level BPE whose ids follow its merges."""
+def added_tokens(tokenizer: str) -> dict[str, int]:
+    """Literals of the tokens that a tokenizer file adds to its vocabulary, with their ids."""
+    with open(tokenizer, encoding="utf-8") as f:
+        return {a["content"]: a["id"] for a in json.load(f).get("added_tokens") or []}
+
+
+def byte_ranks(tokenizer: str) -> dict[bytes, int] | None:
+    """Ranks of a tokenizer file, if it is plain byte-level BPE whose ids follow its merges and whose
+    added tokens take nothing but themselves."""
     with open(tokenizer, encoding="utf-8") as f:
         spec = json.load(f)
     model, split = spec["model"], spec.get("pre_tokenizer") or {}
@@ -46,7 +53,7 @@ def byte_ranks(tokenizer: str) -> tuple[dict[bytes, int], dict[str, int]] | None
     ids = [model["vocab"]["".join(m)] for m in pairs]
     if ids != sorted(ids) or len(set(ids)) + 256 != len(model["vocab"]):
         return None
-    return {bytes(byte[c] for c in token): i for token, i in model["vocab"].items()}, {a["content"]: a["id"] for a in added}
+    return {bytes(byte[c] for c in token): i for token, i in model["vocab"].items()}
 
 
 def encoder(tokenizer: str, pattern: str | None):
@@ -57,9 +64,9 @@ def encoder(tokenizer: str, pattern: str | None):
     the same ids five times faster; `pattern` is the split that such files imply. Any other file, or
     no pattern, runs in the tokenizers library.
     """
-    if pattern and (found := byte_ranks(tokenizer)) is not None:
+    if pattern and (ranks := byte_ranks(tokenizer)) is not None:
         import tiktoken
-        ranks, added = found
+        added = added_tokens(tokenizer)
         made = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
         plain = made.encode_ordinary  # knows no added tokens
         return lambda texts: [made.encode(t, allowed_special="all") if any(a in t for a in added) else plain(t) for t in texts]
