@@ -61,8 +61,11 @@ def squeezed(text):
     def pack(column):
         import pyarrow as pa
         import zstandard
-        z = zstandard.ZstdCompressor(level=3)
-        return pa.array([None if x is None else z.compress(x.encode()) for x in column.to_pylist()], pa.binary())
+        from .words import pieces
+        z, out = zstandard.ZstdCompressor(level=3), []
+        for some in pieces(pa.RecordBatch.from_arrays([column], names=["text"]), "text"):
+            out.append(pa.array([None if x is None else z.compress(x.encode()) for x in some.column("text").to_pylist()], pa.binary()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.binary())
 
     return F.arrow_udf(pack, "binary")(text.cast("string"))
 

@@ -209,7 +209,7 @@ def _factored(dealt: DataFrame, width: int) -> DataFrame:
                 if b != block and held:
                     yield of_block(held)
                     held = []
-                    pa.default_memory_pool().release_unused()
+                    words.give_back()
                 block = b
                 held.append(p.as_py())
         if held:

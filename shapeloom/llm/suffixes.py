@@ -208,7 +208,7 @@ def _repeats(strings: DataFrame, width: int, memory: int) -> DataFrame:
                 if s != shard and held:
                     yield of_shard(held)
                     held = []
-                    pa.default_memory_pool().release_unused()
+                    words.give_back()
                 shard = s
                 held.append(p.as_py())
         if held:

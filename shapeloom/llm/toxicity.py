@@ -161,6 +161,7 @@ def paired(marks: DataFrame, share, evidence: float = 20.0) -> DataFrame:
             found[0, lo:hi] |= hit.any(axis=1)
             found[1, :len(right)] |= hit.any(axis=0)
         at = np.union1d(np.flatnonzero(found[0]) + SIDE * i, np.flatnonzero(found[1]) + SIDE * j)
+        words.give_back()
         return pa.table({"at": pa.array(at.astype(np.int64))})
 
     return marks.mapInArrow(dealt, "pair int, y int, a binary, b binary").groupBy("pair").applyInArrow(verdicts, "at long").distinct()

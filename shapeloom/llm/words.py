@@ -3,6 +3,8 @@
 Texts of an Arrow batch lie in one byte buffer; boundaries, hashes and shingles of all its words
 are computed at once. Word separators are the ASCII blanks, so splitting bytes splits characters.
 """
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +18,7 @@ LOWER[ord("A"):ord("Z") + 1] += 32
 CHUNK = 1 << 19  # bytes of text at a time; the work arrays take about a hundred times as much
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -84,6 +87,13 @@ def buffer(col):
     return data[offs[0]:offs[-1]], offs - offs[0]
 
 
+def give_back():
+    """Return free memory to the system: workers live on between tasks and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def pieces(batch, name, limit=CHUNK):
     """Slices of a record batch with about `limit` bytes of text each, one row at least."""
     if not batch.num_rows:
@@ -94,8 +104,7 @@ def pieces(batch, name, limit=CHUNK):
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
         yield batch.slice(lo, min(hi, batch.num_rows) - lo)
         lo = min(hi, batch.num_rows)
-    # Workers live on between tasks and share an executor's memory, so they give back what is free.
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 class Words:
