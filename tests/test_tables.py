@@ -301,3 +301,26 @@ def test_absent_pixels_are_zero(spark):
     assert {r["image_id"]: r["total"] for r in metrics.loss_terms(target, printed, "nominal").collect()} == {0: 1.0, 1: 1.0}
     mix = {(r["image_id"], r["y"]): r["value"] for r in pixels.blend_images(target, shown, target.limit(0)).collect()}
     assert mix == {(0, 0): 1.0, (0, 3): 1.0, (1, 0): 1.0}
+
+
+def test_bounds_masks_and_one_input_path(spark, boxes, tmp_path):
+    from shapeloom.operators import pixels, quality, tiling
+    from shapeloom.plans import prepare
+    grid = tiling.Grid.even((0, 0, 100, 60), 50, 10)
+    tiles = grid.tiles(spark)
+    assert quality.bound_issues(tiles, (0, 0, 100, 60)).isEmpty()
+    got = {tuple(r) for r in quality.bound_issues(tiles.filter("col = 1"), (0, 0, 100, 70)).collect()}
+    assert got == {("l", 50), ("t", 60)}
+    assert quality.bound_issues(tiles.limit(0), (0, 0, 1, 1)).count() == 4
+
+    def image(*ids, n=2):
+        rows = [(i, y, x, 1.0) for i in ids for y in range(n) for x in range(n)]
+        return spark.createDataFrame(rows, "image_id long, y int, x int, value double")
+
+    bad = pixels.mask_issues(image(1, 2, 3), image(1, 4).unionByName(image(3, n=3)))
+    assert {tuple(r) for r in bad.collect()} == {(2, "no_mask"), (3, "other_shape"), (4, "no_image")}
+    shapes = boxes((0, 0, 70, 40), (60, 30, 100, 60))
+    direct = prepare.problem(spark, shapes, grid, 5, 20)
+    prepare.write_problem(*direct, str(tmp_path / "p"))
+    for a, b in zip(direct, prepare.problem(spark, str(tmp_path / "p"), grid, 5, 20)):
+        assert a.exceptAll(b.select(a.columns)).isEmpty() and a.count() == b.count()
