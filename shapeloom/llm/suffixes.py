@@ -28,7 +28,7 @@ from . import induced, words
 from .common import dropped, expanded, identified, saved, squeezed
 
 WIDTH, GRAM, MEMORY = 200, 64, 128 << 20
-SHARD = 8_000  # different pieces of a shard, about
+SHARD = 2_000  # different pieces of a shard, about
 PLACE = np.uint64((1 << 30) - 1)
 
 

@@ -15,7 +15,7 @@ SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
-CHUNK = 1 << 19  # bytes of text at a time; the work arrays take about a hundred times as much
+CHUNK = 1 << 18  # bytes of text at a time; the work arrays take about a hundred times as much
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
