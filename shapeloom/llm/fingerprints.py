@@ -23,7 +23,7 @@ from . import words
 LANES, DIMS, GRAM = 4, 256, 12
 WIDTH = 4  # bytes of a likeness word
 SIZE = LANES * 8 + DIMS * WIDTH
-NO_ID = -(1 << 63) + 1
+NO_ID = -(1 << 63)  # whose complement is the largest number, so no id overflows
 COMPARED = ("doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, "
             "near_edited double, near_next double")
 
@@ -135,7 +135,7 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     next document by descending id; after the last comes the first), fingerprints of text and edited
     text, and the likeness to the edited and to the next text.
 
-    A null id comes last; documents of one id follow each other by the hash of their texts; repeated
+    A null id comes last, with the lowest number; documents of one id follow each other by the hash of their texts; repeated
     rows are one document and get a row each. Texts are shuffled once, compressed, into ranges of ids
     whose bounds are quantiles; the first document of each range goes to the range before too.
     """
@@ -143,7 +143,7 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("text"))
-    base = base.withColumn("neg", -F.coalesce("doc_id", F.lit(NO_ID))).withColumn("h", F.xxhash64("text"))
+    base = base.withColumn("neg", F.bitwise_not(F.coalesce("doc_id", F.lit(NO_ID)))).withColumn("h", F.xxhash64("text"))
     # At most n numbers, and below one row per range.
     bounds = base.select("neg").agg(F.percentile_approx("neg", [i / n for i in range(1, n)], 1000 * n)).first()[0] or []
     cuts = np.unique(np.array(bounds, np.int64))

@@ -279,3 +279,12 @@ def test_one_frequent_key_with_many_contents(spark):
         t = dict(rows)[r.row.doc_id]
         drop = {k for i in range(len(t) - 199) if windows[t[i:i + 200]] > 1 for k in range(i, i + 200)}
         assert r.kept.decode() == "".join(c for k, c in enumerate(t) if k not in drop) and r.n_removed == len(drop)
+
+
+def test_fingerprints_of_the_lowest_id(spark):
+    rows = [(-(1 << 63), "lowest"), ((1 << 63) - 1, "highest"), (0, "zero")]
+    got = {r.doc_id: r for r in fingerprints.compare_with_next(docs_of(spark, rows)).collect()}
+    order = ["highest", "zero", "lowest"]
+    for (i, t), nxt in zip([(rows[1][0], "highest"), (0, "zero"), (rows[0][0], "lowest")], order[1:] + order[:1]):
+        edited = t[:len(t) - len(t) // 3] + nxt[:len(t) // 3]
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
