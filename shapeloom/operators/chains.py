@@ -6,7 +6,7 @@ enter from another block and leave to one. Only the chains' ends are left for th
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 from shapeloom.functions.scalars import floor_div
 
