@@ -150,7 +150,7 @@ def suite_report(spark, sf_dir):
     cut = s.groupBy("polygon_id").agg(F.count("*").alias("segments"), F.round(F.max(
         F.hypot(F.col("ex") - F.col("sx"), F.col("ey") - F.col("sy"))), 6).alias("longest"))
     e = edges(spark, sf_dir).groupBy("polygon_id").agg(F.count("*").alias("edges"))
-    return e.join(cut, "polygon_id").join(m, "polygon_id")
+    return e.join(cut.hint("merge"), "polygon_id").join(m.hint("merge"), "polygon_id")
 
 
 @query("WITH " + T.SOLID + T.EXTENT + """ SELECT * FROM (SELECT 'r' AS side, (ncols - 1) * 4096 AS found FROM grid
@@ -282,7 +282,7 @@ def zero_shift_reconstruction(spark, sf_dir):
     source = prepare.rebuilt_region(edges(spark, sf_dir), keys)
     cols = ["polygon_id", "l", "b", "r", "t"]
     xor = region.area(region.symmetric_difference(back.select(*cols), source.select(*cols), keys=keys), keys)
-    return region.area(source, keys).join(xor.withColumnRenamed("area", "xor_area"), "polygon_id", "left").select(
+    return region.area(source, keys).join(xor.withColumnRenamed("area", "xor_area").hint("merge"), "polygon_id", "left").select(
         "polygon_id", "area", F.coalesce("xor_area", F.lit(0)).alias("xor_area"))
 
 
@@ -449,7 +449,7 @@ def owned_rectangles(spark, sf_dir):
     full = rounds.dense(tile_ink(spark, sf_dir), g, PIXEL)
     t = g.tiles(spark)
     bad = raster.owned_rectangle_issues(raster.owned_pixels(full, t, PIXEL))
-    return t.join(bad.select("core_id", "pixels"), "core_id", "left").agg(
+    return t.join(bad.select("core_id", "pixels").hint("merge"), "core_id", "left").agg(
         F.count("pixels").alias("broken"), F.count("*").alias("tiles"))
 
 
@@ -520,7 +520,7 @@ def soft_edge_masks(spark, sf_dir):
     s = seg.memberships(segments(spark, sf_dir).withColumn("d", shift() / 4), g)
     none = spark.range(0).select(F.col("id").alias("core_id"), F.lit(0).alias("y"), F.lit(0).alias("x"), F.lit(0.0).alias("value"))
     corner = g.tiles(spark).select("core_id", "cl", "cb")
-    base = rounds.dense(none, g, PIXEL).withColumn("value", F.lit(0.5)).join(corner, "core_id")
+    base = rounds.dense(none, g, PIXEL).withColumn("value", F.lit(0.5)).hint("merge").join(corner, "core_id")
     out = pixels.soft_edge_raster(base, s, PIXEL, 8.0, 64.0)
     return out.filter(F.abs(F.col("value") - 0.5) > 1e-9).groupBy("core_id").agg(
         F.count("*").alias("changed"), F.round(F.sum("value"), 4).alias("total"))

@@ -89,7 +89,7 @@ def is_owned(pixel: int) -> Column:
 def owned_pixels(pixels: DataFrame, tiles: DataFrame, pixel: int) -> DataFrame:
     """Pixels of each tile that the tile owns; its halo is dropped."""
     box = tiles.select("core_id", "l", "b", "r", "t", "cl", "cb")
-    return pixels.join(box, "core_id").filter(is_owned(pixel)).select(*pixels.columns)
+    return pixels.hint("merge").join(box, "core_id").filter(is_owned(pixel)).select(*pixels.columns)
 
 
 def owned_rectangle_issues(owned: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def tile_manifest(owned: DataFrame, tiles: DataFrame, pixel: int) -> DataFrame:
     part = owned.groupBy("core_id").agg(
         F.min("x").alias("x0"), F.min("y").alias("y0"),
         (F.max("x") - F.min("x") + 1).alias("width"), (F.max("y") - F.min("y") + 1).alias("height"))
-    return part.join(tiles, "core_id").select(
+    return part.hint("merge").join(tiles, "core_id").select(
         "core_id", "name", "l", "b", "r", "t", "cl", "cb", "cr", "ct",
         (F.col("cl") + F.col("x0") * pixel).alias("origin_x"),
         (F.col("cb") + F.col("y0") * pixel).alias("origin_y"), "height", "width")
@@ -114,7 +114,7 @@ def tile_manifest(owned: DataFrame, tiles: DataFrame, pixel: int) -> DataFrame:
 def stitch(owned: DataFrame, tiles: DataFrame, pixel: int) -> DataFrame:
     """Owned pixels of all tiles in layout pixel coordinates."""
     at = tiles.select("core_id", "cl", "cb")
-    return owned.join(at, "core_id").select(
+    return owned.hint("merge").join(at, "core_id").select(
         floor_div(F.col("cb") + F.col("y") * pixel, pixel).alias("y"),
         floor_div(F.col("cl") + F.col("x") * pixel, pixel).alias("x"), "value")
 
@@ -128,8 +128,7 @@ def tile_coverage_area(rects: DataFrame, grid, pixel: int, keys=("layer",)) -> D
     from shapeloom.operators import tiling
     keys = list(keys)
     members = tiling.membership(rects.select(*keys, "l", "b", "r", "t"), grid)
-    ctx = grid.describe(members.select("core_id").distinct()).select("core_id", "cl", "cb", "cr", "ct")
-    cut = (members.join(ctx, "core_id")
+    cut = (grid.context(members)
            .withColumn("l", F.greatest("l", "cl") - F.col("cl"))
            .withColumn("b", F.greatest("b", "cb") - F.col("cb"))
            .withColumn("r", F.least("r", "cr") - F.col("cl"))

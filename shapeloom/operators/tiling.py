@@ -143,6 +143,12 @@ class Grid:
                          (F.col("l") - h).alias("cl"), (F.col("b") - h).alias("cb"),
                          (F.col("r") + h).alias("cr"), (F.col("t") + h).alias("ct"))
 
+    def context(self, df: DataFrame, core_id="core_id") -> DataFrame:
+        """Add the context (cl,cb,cr,ct) of a core id; arithmetic only, so nothing has to be joined."""
+        row, column = floor_div(core_id, self.columns), F.pmod(F.col(core_id), F.lit(self.columns))
+        return df.withColumns({"cl": self.x.low(column) - self.halo, "cb": self.y.low(row) - self.halo,
+                               "cr": self.x.high(column) + self.halo, "ct": self.y.high(row) + self.halo})
+
     def tiles(self, spark: SparkSession) -> DataFrame:
         """All tiles; generated by the executors, never listed on the driver."""
         return self.describe(spark.range(self.rows * self.columns).toDF("core_id"))
