@@ -37,7 +37,7 @@ def owner_issues(segments: DataFrame, members: DataFrame, cores: int) -> DataFra
     """Owners out of range, and segments not exactly once in the context of their owner."""
     own = members.filter(F.col("core_id") == F.col("owner_id")).groupBy(*SEGMENT_KEY).agg(
         F.count("*").alias("n"))
-    s = segments.select(*SEGMENT_KEY, "core_id").join(own, SEGMENT_KEY, "left")
+    s = segments.select(*SEGMENT_KEY, "core_id").join(own.hint("merge"), SEGMENT_KEY, "left")
     code = (F.when((F.col("core_id") < -1) | (F.col("core_id") >= cores), "owner_range")
             .when((F.col("core_id") >= 0) & (F.coalesce("n", F.lit(0)) != 1), "owner_membership"))
     return s.select(*SEGMENT_KEY, code.alias("code")).filter(F.col("code").isNotNull())
@@ -85,6 +85,6 @@ def cut_issues(cuts: DataFrame) -> DataFrame:
 def macro_issues(assigned: DataFrame, tiles: DataFrame) -> DataFrame:
     """Tiles that are in no macro or in several."""
     seen = assigned.groupBy("core_id").agg(F.count_distinct("macro_id").alias("n"))
-    both = tiles.select("core_id").join(seen, "core_id", "left")
+    both = tiles.select("core_id").join(seen.hint("merge"), "core_id", "left")
     return both.filter(F.coalesce("n", F.lit(0)) != 1).select("core_id", F.coalesce(
         "n", F.lit(0)).alias("macros"))
