@@ -521,7 +521,7 @@ def soft_edge_masks(spark, sf_dir):
     none = spark.range(0).select(F.col("id").alias("core_id"), F.lit(0).alias("y"), F.lit(0).alias("x"), F.lit(0.0).alias("value"))
     corner = g.tiles(spark).select("core_id", "cl", "cb")
     base = rounds.dense(none, g, PIXEL).withColumn("value", F.lit(0.5)).hint("merge").join(corner, "core_id")
-    out = pixels.soft_edge_raster(base, s, PIXEL, 8.0, 64.0)
+    out = pixels.soft_edge_raster(base, g.context(s), PIXEL, 8.0, 64.0)
     return out.filter(F.abs(F.col("value") - 0.5) > 1e-9).groupBy("core_id").agg(
         F.count("*").alias("changed"), F.round(F.sum("value"), 4).alias("total"))
 

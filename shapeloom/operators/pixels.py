@@ -95,7 +95,7 @@ def signed_distance(pixels: DataFrame, threshold: float, height: int, width: int
     on = F.col("value") >= threshold
     outside = _column_distance(pixels, on, height, width, keys).withColumnRenamed("d2", "fg")
     inside = _column_distance(pixels, ~on, height, width, keys).withColumnRenamed("d2", "bg")
-    both = outside.join(inside, [*keys, "y", "x"])
+    both = outside.join(inside.hint("merge"), [*keys, "y", "x"])
     whole = F.lit(float(max(height, width)))
     value = (F.when(F.col("fg").isNull(), whole).when(F.col("bg").isNull(), -whole)
              .when(F.col("fg") == 0, -F.sqrt(F.col("bg").cast("double")))
@@ -173,14 +173,14 @@ def neighbours(probes: DataFrame, x, y, keys=IMAGE, extra=()) -> DataFrame:
 
 
 def bilinear_values(points: DataFrame, pixels: DataFrame, group, keys=IMAGE) -> DataFrame:
-    hit = points.join(pixels, [*keys, "y", "x"], "left")
+    hit = points.join(pixels.hint("merge"), [*keys, "y", "x"], "left")
     return hit.groupBy(*group).agg(F.sum(F.col("k") * F.coalesce("value", F.lit(0.0))).alias("value"))
 
 
 def nearest_sample(probes: DataFrame, pixels: DataFrame, x="px", y="py", keys=IMAGE) -> DataFrame:
     """Add `value` of the pixel at the rounded point, 0 outside."""
     at = (probes.withColumn("x", F.rint(x).cast("int")).withColumn("y", F.rint(y).cast("int")))
-    return at.join(pixels, [*keys, "y", "x"], "left").select(
+    return at.join(pixels.hint("merge"), [*keys, "y", "x"], "left").select(
         "probe_id", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
@@ -194,8 +194,9 @@ def soft_edge_raster(base: DataFrame, segments: DataFrame, pixel: int, temperatu
 
     `base` has core_id, cl, cb (context corner), y, x, value; `segments` has core_id and
     sx, sy, ex, ey, nx, ny, d. Segments of shift 0 contribute exactly nothing and are not
-    joined. Each segment lists the pixel rows within `reach`, so pixels and segments meet
-    on (tile, row); without a reach all rows of the tile are listed and the sum is exact.
+    joined. Each segment lists the pixels within `reach` itself and changes are summed per pixel before
+    they meet the base; without a reach all rows of the tile are listed and the sum is exact. Segments
+    that carry the corner (cl, cb) of their tile need not look it up.
     """
     if pixel <= 0 or temperature <= 0:
         raise ValueError("pixel and temperature must be positive")
@@ -203,19 +204,24 @@ def soft_edge_raster(base: DataFrame, segments: DataFrame, pixel: int, temperatu
     moved = segments.filter("d <> 0")
     p = base.withColumn("gx", F.col("cl") + (F.col("x") + 0.5) * pixel).withColumn(
         "gy", F.col("cb") + (F.col("y") + 0.5) * pixel)
-    q = moved.select(*keys, "sx", "sy", "ex", "ey", "nx", "ny", "d")
+    known = [c for c in ("cl", "cb") if reach is not None and {"cl", "cb"} <= set(segments.columns)]
+    q = moved.select(*keys, *known, "sx", "sy", "ex", "ey", "nx", "ny", "d")
     if reach is None:
         rows = base.groupBy(*keys).agg(F.collect_set("y").alias("ys"))
-        q = q.join(rows, keys).select(*q.columns, F.explode("ys").alias("y"))
+        q = q.join(rows.hint("merge"), keys).select(*q.columns, F.explode("ys").alias("y"))
+        both = p.select(*keys, "y", "x", "gx", "gy").join(q.hint("merge"), [*keys, "y"])
     else:
-        corner = base.groupBy(*keys).agg(F.min("cb").alias("cb"), F.max("y").alias("my"))
-        q = q.join(corner, keys)
-        lo = F.greatest(F.floor((F.least("sy", "ey") - reach - F.col("cb")) / pixel), F.lit(0))
-        hi = F.least(F.floor((F.greatest("sy", "ey") + reach - F.col("cb")) / pixel), F.col("my"))
-        rows = F.when(lo <= hi, F.sequence(lo.cast("int"), hi.cast("int")))
-        q = q.withColumn("y", F.explode(rows)).drop("cb", "my")
-    both = p.select(*keys, "y", "x", "gx", "gy").join(q, [*keys, "y"])
-    if reach is not None:
+        if not known:
+            q = q.join(base.groupBy(*keys).agg(F.min("cl").alias("cl"), F.min("cb").alias("cb")).hint("merge"), keys)
+
+        def near(s, e, corner):
+            lo, hi = (F.floor((v - F.col(corner)) / pixel).cast("int") for v in (F.least(s, e) - reach, F.greatest(s, e) + reach))
+            lo = F.greatest(lo, F.lit(0))
+            return F.explode(F.when(lo <= hi, F.sequence(lo, hi)))
+
+        # Pixels that the base does not have are left out when the changes are joined to it.
+        both = q.withColumn("y", near("sy", "ey", "cb")).withColumn("x", near("sx", "ex", "cl")).withColumns(
+            {"gx": F.col("cl") + (F.col("x") + 0.5) * pixel, "gy": F.col("cb") + (F.col("y") + 0.5) * pixel})
         both = both.filter((F.col("gx") >= F.least("sx", "ex") - reach) &
                            (F.col("gx") <= F.greatest("sx", "ex") + reach))
     length = F.hypot(F.col("ex") - F.col("sx"), F.col("ey") - F.col("sy"))
@@ -225,6 +231,6 @@ def soft_edge_raster(base: DataFrame, segments: DataFrame, pixel: int, temperatu
     window = _s(along / temperature) * _s((length - along) / temperature)
     change = window * (_s((F.col("d") - off) / temperature) - _s(-off / temperature))
     total = both.groupBy(*keys, "y", "x").agg(F.sum(change).alias("change"))
-    out = base.join(total, [*keys, "y", "x"], "left")
+    out = base.join(total.hint("merge"), [*keys, "y", "x"], "left")
     v = F.col("value") + F.coalesce("change", F.lit(0.0))
     return out.select(*keys, "y", "x", F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)).alias("value"))
