@@ -2,11 +2,12 @@
 
 A file is one record of the corpus. Its statements are numbered, so that every rule about
 order ("after ENDMSG", "before EQUIV") compares positions: the first statement of a kind
-per file is found by an aggregate, and only the current CELL needs a running window.
+per file is found by a window over the file, and the current CELL by a running one.
 """
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from shapeloom.functions.scalars import trailing_layer
+from shapeloom.functions.scalars import pin, trailing_layer
+from shapeloom.operators.region import shuffle_partitions
 
 INTEGER = r"^[+-]?[0-9]+(_[0-9]+)*$"
 KNOWN = ("BEGIN", "EQUIV", "CNAME", "LEVEL", "CELL", "RECT", "PGON", "ENDMSG")
@@ -25,7 +26,7 @@ def statements(corpus: DataFrame) -> DataFrame:
     fields = F.split(F.trim(F.regexp_replace("raw", r"\s+", " ")), " ")
     return (lines.filter(F.trim(F.regexp_replace("raw", r"\s+", " ")) != "")
             .select("file", (F.col("i") + 1).alias("line"), fields.alias("f"))
-            .withColumn("kw", F.upper(F.col("f")[0])))
+            .transform(pin, f=F.col("f")).withColumn("kw", F.upper(F.col("f")[0])))
 
 
 def _field(i) -> Column:
@@ -54,7 +55,9 @@ def parse(corpus: DataFrame, layer_map: dict[str, tuple[int, int]] | None = None
     `reason` is null for accepted statements. Statements after the first rejected one of a
     file are judged as if that one had been fine, so one run lists every fault.
     """
-    s = statements(corpus)
+    # Dealt by file once, as texts; all that follows stays inside the file and needs no further shuffle. Texts
+    # become many rows, so these tasks must not be merged by size.
+    s = statements(corpus.repartition(shuffle_partitions(corpus), "file"))
     spec = F.lit(None).cast("struct<layer:int,datatype:int>")
     for name, (layer, datatype) in (layer_map or {}).items():
         spec = F.when(_field(2) == name, F.struct(
@@ -62,13 +65,13 @@ def parse(corpus: DataFrame, layer_map: dict[str, tuple[int, int]] | None = None
     shape = F.col("kw").isin("RECT", "PGON")
     auto = F.when(trailing_layer(_field(2)).isNotNull(), F.struct(
         trailing_layer(_field(2)).alias("layer"), F.lit(0).alias("datatype")))
-    s = s.withColumn("spec", F.when(shape, F.coalesce(spec, auto)))
-    s = s.withColumn("v", F.when(shape, _integers(3)).when(F.col("kw") == "EQUIV", F.transform(
-        F.slice("f", 2, 2), lambda v: F.when(v.rlike(INTEGER), v.try_cast("long")))))
-    s = s.withColumn("area2", F.when(F.col("kw") == "PGON", _polygon_area2()))
+    # Pinned: the windows and rules below use these several times.
+    s = pin(s, spec=F.when(shape, F.coalesce(spec, auto)), v=F.when(shape, _integers(3)).when(
+        F.col("kw") == "EQUIV", F.transform(F.slice("f", 2, 2), lambda v: F.when(v.rlike(INTEGER), v.try_cast("long")))),
+        lv=F.when(shape, _field(2)).when(F.col("kw") == "LEVEL", _field(1)), cn=F.when(F.col("kw") == "CELL", _field(1)))
 
-    def first(condition):
-        return F.min(F.when(condition, F.col("line")))
+    def first(condition, *within):
+        return F.min(F.when(condition, F.col("line"))).over(W.partitionBy("file", *within))
 
     n = F.size("f")
     equiv_ok = ((F.col("kw") == "EQUIV") & n.isin(4, 5) & (F.upper(_field(3)) == "MICRON") &
@@ -77,22 +80,13 @@ def parse(corpus: DataFrame, layer_map: dict[str, tuple[int, int]] | None = None
     cell_ok = (F.col("kw") == "CELL") & ((n == 2) | ((n == 3) & (F.upper(_field(2)) == "PRIME")))
     level_ok = (F.col("kw") == "LEVEL") & (n == 2)
     end_ok = (F.col("kw") == "ENDMSG") & (n == 1)
-    per_file = s.groupBy("file").agg(
-        first(equiv_ok).alias("equiv_at"), first(cell_ok).alias("cell_at"),
-        first(end_ok).alias("end_at"))
-    # First mention of each LEVEL and CELL name, and first use of each target layer.
-    names = s.filter(level_ok | cell_ok).groupBy(
-        "file", "kw", _field(1).alias("name")).agg(F.min("line").alias("named_at"))
-    levels = names.filter("kw = 'LEVEL'").select(
-        "file", F.col("name").alias("lv"), F.col("named_at").alias("level_at"))
-    uses = s.filter(shape & F.col("spec").isNotNull()).groupBy("file", "spec").agg(
-        F.min_by(_field(2), "line").alias("spec_owner"))
-    s = s.withColumn("lv", F.when(shape, _field(2)).when(F.col("kw") == "LEVEL", _field(1)))
-    s = s.withColumn("cn", F.when(F.col("kw") == "CELL", _field(1)))
-    cells = names.filter("kw = 'CELL'").select(
-        "file", F.col("name").alias("cn"), F.col("named_at").alias("cell_named_at"))
-    s = (s.join(per_file, "file").join(levels, ["file", "lv"], "left")
-         .join(cells, ["file", "cn"], "left").join(uses, ["file", "spec"], "left"))
+    s = pin(s, area2=F.when(F.col("kw") == "PGON", _polygon_area2()), equiv_ok=equiv_ok, cell_ok=cell_ok, level_ok=level_ok, end_ok=end_ok)
+    equiv_ok, cell_ok, level_ok, end_ok = (F.col(c) for c in ("equiv_ok", "cell_ok", "level_ok", "end_ok"))
+    used = F.when(F.col("spec").isNotNull(), F.col("line"))
+    # First statements of the file, first mention of each LEVEL and CELL name, first use of each target layer.
+    s = s.withColumns({"start_at": first(F.lit(True)), "equiv_at": first(equiv_ok), "cell_at": first(cell_ok), "end_at": first(end_ok)})
+    s = s.withColumn("level_at", first(level_ok, "lv")).withColumn("cell_named_at", first(cell_ok, "cn"))
+    s = s.withColumn("spec_owner", F.min_by(_field(2), used).over(W.partitionBy("file", "spec")))
     minimum = F.when(F.col("kw") == "RECT", 7).otherwise(9)
     nv = F.size("v")
     rect = F.col("kw") == "RECT"
@@ -119,7 +113,7 @@ def parse(corpus: DataFrame, layer_map: dict[str, tuple[int, int]] | None = None
               "bad_rect_size")
         .when(~rect & ((nv < 6) | (nv % 2 != 0)), "bad_coordinates")
         .when(~rect & (F.col("area2") == 0), "zero_area"))
-    s = s.withColumn("reason", reason)
+    s = s.withColumn("reason", reason).drop("equiv_ok", "cell_ok", "level_ok", "end_ok")
     return s.withColumn("cell", F.last("cn", ignorenulls=True).over(
         W.partitionBy("file").orderBy("line")))
 
@@ -150,15 +144,16 @@ def units(parsed: DataFrame) -> DataFrame:
 
 def issues(parsed: DataFrame) -> DataFrame:
     """Rejected statements, and per file (line null) what is missing altogether."""
-    bad = parsed.filter(F.col("reason").isNotNull()).select(
-        "file", "line", F.col("reason").alias("code"))
-    gone = parsed.groupBy("file").agg(*[F.max(c).alias(c) for c in ("equiv_at", "cell_at", "end_at")])
-    codes = F.array_compact(F.array(
-        F.when(F.col("equiv_at").isNull(), "missing_equiv"),
-        F.when(F.col("cell_at").isNull(), "missing_cell"),
-        F.when(F.col("end_at").isNull(), "missing_endmsg")))
-    return bad.unionByName(gone.select(
-        "file", F.lit(None).cast("int").alias("line"), F.explode(codes).alias("code")))
+    start = F.col("line") == F.col("start_at")
+
+    def issue(condition, line, code):
+        return F.when(condition, F.struct(line.cast("int").alias("line"), code.alias("code")))
+
+    # What a file lacks is told with its first statement.
+    found = F.array_compact(F.array(issue(F.col("reason").isNotNull(), F.col("line"), F.col("reason")), *[
+        issue(start & F.col(at).isNull(), F.lit(None), F.lit(code)) for at, code in (
+            ("equiv_at", "missing_equiv"), ("cell_at", "missing_cell"), ("end_at", "missing_endmsg"))]))
+    return parsed.select("file", F.explode(found).alias("i")).select("file", "i.line", "i.code")
 
 
 def shape_text(boxes: DataFrame) -> DataFrame:

@@ -64,3 +64,32 @@ def test_probes_of_a_tile_need_no_table_of_tiles(cut):
     probes = rounds.local_probes(seg.owners(cut, GRID), GRID, 10.0, 256)
     assert "Join" not in plan(probes)
     assert probes.count() == cut.count()
+
+
+def test_statements_are_dealt_once(spark):
+    from shapeloom.sources import glp
+    corpus = spark.createDataFrame([("a", "BEGIN\nCELL C PRIME\nRECT N M1 0 0 5 5"), ("b", "ENDMSG\n/* x */")], "file string, text string")
+    parsed = glp.parse(corpus, {"M1": (7, 2)})
+    found = glp.issues(parsed)
+    for df in (parsed, found):
+        assert plan(df).count("Exchange") == 1 and "Join" not in plan(df)
+    assert sorted((r["file"], r["line"] or 0, r["code"]) for r in found.collect()) == [
+        ("a", 0, "missing_endmsg"), ("a", 0, "missing_equiv"), ("a", 3, "shape_too_early"),
+        ("b", 0, "missing_cell"), ("b", 0, "missing_equiv")]
+
+
+def test_even_cuts_are_arithmetic(spark):
+    x, y = list(range(0, 40_000_000, 4096)) + [40_000_000], [0, 4096, 8192, 9000]
+    even, by_cuts = tiling.Grid.even((0, 0, 40_000_000, 9000), 4096), tiling.Grid.from_cuts(x, y)
+    assert by_cuts == even
+    assert len(plan(by_cuts.tiles(spark))) < 10_000  # no list of cuts in it
+    uneven = tiling.Grid.from_cuts([0, 10, 30, 40], [0, 5])
+    assert uneven.x.cuts == (0, 10, 30, 40)
+    assert [r["l"] for r in uneven.tiles(spark).orderBy("core_id").collect()] == [0, 10, 30]
+    # On cuts and by arithmetic, owners and memberships are the same, on borders and outside as well.
+    steps = tiling.Grid(tiling.Axis(0, 50, cuts=(0, 20, 40, 50)), tiling.Axis(0, 10, cuts=(0, 10)), 3)
+    boxes = spark.createDataFrame([(v, 0, v + w, 5) for v in range(-30, 90) for w in (1, 20)], "l long, b long, r long, t long")
+    for clamp in (True, False):
+        got = [sorted(tuple(r) for r in tiling.membership(tiling.owner(boxes, g, "l", "b", "o"), g, clamp=clamp).collect())
+               for g in (steps, tiling.Grid.from_cuts([0, 20, 40, 50], [0, 10], 3))]
+        assert got[0] == got[1]
