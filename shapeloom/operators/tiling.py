@@ -112,8 +112,14 @@ class Grid:
                 raise ValueError("cuts must be strictly increasing, two at least")
         if halo < 0:
             raise ValueError("halo must not be negative")
-        return Grid(Axis(x_cuts[0], x_cuts[-1], cuts=tuple(x_cuts)),
-                    Axis(y_cuts[0], y_cuts[-1], cuts=tuple(y_cuts)), halo)
+
+        def axis(cuts):
+            """Cuts at even steps, the last one shorter or not, are arithmetic like any even axis."""
+            step = cuts[1] - cuts[0]
+            even = all(q - p == step for p, q in pairwise(cuts[:-1])) and cuts[-1] - cuts[-2] <= step
+            return Axis(cuts[0], cuts[-1], step=step) if even else Axis(cuts[0], cuts[-1], cuts=tuple(cuts))
+
+        return Grid(axis(x_cuts), axis(y_cuts), halo)
 
     @property
     def columns(self) -> int:
