@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shapeloom.functions.scalars import floor_div, pin
 from shapeloom.operators.contours import ring_edges
-from shapeloom.operators.region import PREDICATES
+from shapeloom.operators.region import PREDICATES, shuffle_partitions
 
-CELL = 1024
+# Edges are compared in pairs inside a cell, so it is not much larger than most edges are.
+CELL = 256
 COLUMN = 128
 PIECE = ["lx", "ly", "hx", "hy"]
 
@@ -93,7 +94,7 @@ def _crossings(spread: DataFrame, keys, cell) -> DataFrame:
     s2 = _cross(bx - ax, by - ay, dx - ax, dy - ay)
     s3 = _cross(dx - cx, dy - cy, ax - cx, ay - cy)
     s4 = _cross(dx - cx, dy - cy, bx - cx, by - cy)
-    pairs = a.join(b, where).filter(
+    pairs = a.join(b.hint("merge"), where).filter(
         (ax <= dx) & (cx <= bx) & (F.struct(*PIECE) < F.struct(*[c + "2" for c in PIECE]))
         & (F.least(ay, by) <= F.greatest(cy, dy)) & (F.least(cy, dy) <= F.greatest(ay, by))
         & (F.signum(s1.cast("double")) * F.signum(s2.cast("double")) < 0) & (F.signum(s3.cast("double")) * F.signum(s4.cast("double")) < 0))
@@ -120,12 +121,13 @@ def _passes() -> Column:
 def snapped(pieces: DataFrame, keys=("layer",), cell: int = CELL) -> DataFrame:
     """Pieces (keys, lx, ly, hx, hy, wa, wb) cut so that they meet at ends only."""
     keys = list(keys)
-    spread = _in_cells(pieces, cell)
+    # Dealt by cell once for both joins; pairs multiply the rows, so these tasks must not be merged by size.
+    spread = _in_cells(pieces, cell).repartition(shuffle_partitions(pieces), *keys, "cx", "cy")
     ends = pieces.select(*keys, F.explode(F.array(F.struct(F.col("lx").alias("px"), F.col("ly").alias("py")),
                                                   F.struct(F.col("hx").alias("px"), F.col("hy").alias("py")))).alias("p")).select(*keys, "p.*")
     hot = ends.unionByName(_crossings(spread, keys, cell)).distinct()
     hot = hot.withColumn("cx", floor_div("px", cell)).withColumn("cy", floor_div("py", cell))
-    on = spread.join(hot, [*keys, "cx", "cy"]).filter(_passes()).drop("cx", "cy")
+    on = spread.join(hot.hint("merge"), [*keys, "cx", "cy"]).filter(_passes()).drop("cx", "cy")
     along = (F.col("px") - F.col("lx")) * (F.col("hx") - F.col("lx")) + (F.col("py") - F.col("ly")) * (F.col("hy") - F.col("ly"))
     w = W.partitionBy(*keys, *PIECE).orderBy(along)
     steps = on.select(*keys, "wa", "wb", F.col("px").alias("x0"), F.col("py").alias("y0"),
@@ -141,7 +143,7 @@ def _with_cover(pieces: DataFrame, keys, column: int) -> DataFrame:
     cuts = inner.groupBy(*keys, "c").agg(F.sort_array(F.collect_set("x")).alias("xs"))  # fewer than `column` of them
     first = floor_div(F.when(upright, F.col("lx") - 1).otherwise(F.col("lx")), column)
     rows = pieces.withColumn("c", F.explode(F.sequence(first, floor_div(F.col("hx") - 1, column))))
-    rows = rows.join(cuts, [*keys, "c"], "left")
+    rows = rows.join(cuts.hint("merge"), [*keys, "c"], "left")
     borders = F.array(F.col("c") * column), F.array((F.col("c") + 1) * column)
     marks = F.concat(borders[0], F.coalesce("xs", F.array().cast("array<bigint>")), borders[1])
     # Slabs that a piece crosses; of an upright one that to its left.
@@ -151,17 +153,25 @@ def _with_cover(pieces: DataFrame, keys, column: int) -> DataFrame:
     slabs = F.transform(F.slice("marks", F.lit(1), F.size("marks") - 1), lambda x, i: F.struct(x.alias("sl"), F.get("marks", i + 1).alias("sr")))
     rows = rows.drop("xs").withColumn("s", F.explode(slabs)).select(*keys, *PIECE, "wa", "wb", "s.sl", "s.sr")
 
-    def height(twice_x):  # of a piece at half of twice_x
-        part = ((F.col("hy") - F.col("ly")) * (twice_x - F.col("lx") * 2)).cast("decimal(19,0)") / (
-            F.greatest(F.col("hx") - F.col("lx"), F.lit(1)) * 2).cast("decimal(19,0)")
-        middle = (F.col("ly") + F.col("hy")).cast("decimal(19,0)") / F.lit(2).cast("decimal(19,0)")
-        return F.when(upright, middle).otherwise(F.col("ly").cast("decimal(19,0)") + part)
+    # Heights of pieces at half of a doubled x, in whole units and 64 bits below the point. Heights that differ do so by
+    # 2**-60 at least, so the order is exact.
+    run = F.when(upright, 2).otherwise((F.col("hx") - F.col("lx")) * 2)
 
-    rows = rows.withColumn("right", height(F.col("sr") * 2)).withColumn("middle", height(F.col("sl") + F.col("sr")))
-    below = W.partitionBy(*keys, "sl", "sr").orderBy("right", "middle").rowsBetween(W.unboundedPreceding, -1)
+    def rise(twice_x):
+        return F.when(upright, F.col("hy") - F.col("ly")).otherwise((F.col("hy") - F.col("ly")) * (twice_x - F.col("lx") * 2))
+
+    def height(name):
+        rest = F.pmod(name, "run")
+        upper, left = F.call_function("div", rest * (1 << 32), F.col("run")), F.pmod(rest * (1 << 32), "run")
+        return [(F.col("ly") + floor_div(name, F.col("run"))).alias(name + "_y"),
+                ((upper - (1 << 31)) * (1 << 32) + F.call_function("div", left * (1 << 32), F.col("run"))).alias(name + "_f")]
+
+    rows = rows.select("*", run.alias("run"), rise(F.col("sr") * 2).alias("right"), rise(F.col("sl") + F.col("sr")).alias("middle"))
+    rows = rows.select(*keys, *PIECE, "wa", "wb", "sl", "sr", *height("right"), *height("middle"))
+    below = W.partitionBy("sl", "sr", *keys).orderBy("right_y", "right_f", "middle_y", "middle_f").rowsBetween(W.unboundedPreceding, -1)
     inside = lambda c: F.coalesce(F.sum(F.when(upright, 0).otherwise(-F.col(c))).over(below), F.lit(0))
     rows = rows.withColumn("ca", inside("wa")).withColumn("cb", inside("wb"))
-    return rows.filter(upright | (F.col("sl") == F.col("lx"))).drop("sl", "sr", "right", "middle")
+    return rows.filter(upright | (F.col("sl") == F.col("lx"))).drop("sl", "sr", "right_y", "right_f", "middle_y", "middle_f")
 
 
 def overlay(a: DataFrame, b: DataFrame | None = None, op: str = "union", *, keys=("layer",), cell: int = CELL,

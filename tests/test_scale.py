@@ -93,3 +93,14 @@ def test_even_cuts_are_arithmetic(spark):
         got = [sorted(tuple(r) for r in tiling.membership(tiling.owner(boxes, g, "l", "b", "o"), g, clamp=clamp).collect())
                for g in (steps, tiling.Grid.from_cuts([0, 20, 40, 50], [0, 10], 3))]
         assert got[0] == got[1]
+
+
+def test_heights_in_a_slab_are_integers(spark):
+    """Pieces that differ by far less than a unit keep their order, and nothing is divided as a decimal."""
+    from shapeloom.operators import planar
+    n = (1 << 29) - 1
+    rows = [(1, 0, 0, n, 1, 1, 0), (1, 0, 0, n - 1, 1, -1, 0)]
+    pieces = spark.createDataFrame(rows, "layer int, lx long, ly long, hx long, hy long, wa long, wb long")
+    covered = planar._with_cover(pieces.withColumn("lx", F.col("lx") + n - 3).withColumn("hx", F.col("hx") + n - 3), ["layer"], 1 << 30)
+    assert "decimal" not in plan(covered)
+    assert {r["hx"] - n + 3: r["ca"] for r in covered.collect()} == {n: 0, n - 1: -1}
