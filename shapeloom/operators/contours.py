@@ -125,7 +125,7 @@ def topology_issues(edges: DataFrame) -> DataFrame:
                          F.pmod(F.col("ord") - 1, F.col("n")).alias("ord"),
                          F.col("x0").alias("qx"), F.col("y0").alias("qy"))
     wrong = (F.col("qx").isNull() | (F.col("qx") != F.col("x1")) | (F.col("qy") != F.col("y1")))
-    return edges.join(after, key, "left").filter(wrong).select(*key)
+    return edges.join(after.hint("merge"), key, "left").filter(wrong).select(*key)
 
 
 # --- ring assembly --------------------------------------------------------------------------
@@ -200,18 +200,18 @@ def assemble_rings(edges: DataFrame, keys=("layer",), block: int = 8192) -> Data
     ringed = _closed_chains(chains, keys, head, least, after)
     base = [*keys, "x0", "y0", "x1", "y1", "px", "py", "nx", "ny"]
     local = found.filter("n is not null").select(*base, *[F.col(h).alias(c) for h, c in zip(head, least)], F.col("pos").alias("ord"), "n")
-    far = found.filter("n is null").drop("n", "low", *least).join(ringed, [*keys, *head]).select(
+    far = found.filter("n is null").drop("n", "low", *least).join(ringed.hint("merge"), [*keys, *head]).select(
         *base, *least, F.pmod(F.col("pos") - F.col("dist"), F.col("n")).alias("ord"), "n")
     whole = local.unionByName(far)
     from shapeloom.operators.filters import with_position
     numbers = with_position(whole.filter("ord = 0").select(*keys, *least), [*keys, *least])
-    return whole.join(numbers.withColumnRenamed("position", "ring"), [*keys, *least]).select(*base, "ring", "ord", "n")
+    return whole.join(numbers.withColumnRenamed("position", "ring").hint("merge"), [*keys, *least]).select(*base, "ring", "ord", "n")
 
 
 def _closed_chains(chains: DataFrame, keys, head, least, after) -> DataFrame:
     """(keys, head, least edge of the ring, dist to it, n) of chains that form rings; the others are left out."""
     nexts = chains.select(*keys, *[F.col(h).alias(a) for h, a in zip(head, after)], F.col("id").alias("jump"))
-    state = chains.select(*keys, *after, "id", "len", "low", F.struct(*least).alias("edge")).join(nexts, [*keys, *after]).select(
+    state = chains.select(*keys, *after, "id", "len", "low", F.struct(*least).alias("edge")).join(nexts.hint("merge"), [*keys, *after]).select(
         "id", "jump", "edge", F.col("id").alias("of"), F.col("low").alias("dist"), F.col("len").alias("span"), F.lit(None).cast("long").alias("n"))
     done = []
     while True:
@@ -219,14 +219,14 @@ def _closed_chains(chains: DataFrame, keys, head, least, after) -> DataFrame:
             state = _double(state)
         state = state.checkpoint()
         rings = state.filter("n is not null").select(F.col("id").alias("ring"), F.col("n").alias("size"))
-        named = state.join(rings, state["of"] == rings["ring"], "left").checkpoint()
+        named = state.join(rings.hint("merge"), state["of"] == rings["ring"], "left").checkpoint()
         done.append(named.filter("ring is not null").select("id", "edge", "dist", F.col("size").alias("n")))
         left = named.filter("ring is null").drop("ring", "size")
         if left.isEmpty():
             break
         state = left
     known = reduce(DataFrame.unionByName, done)
-    return chains.select(*keys, *head, "id").join(known, "id").select(
+    return chains.select(*keys, *head, "id").join(known.hint("merge"), "id").select(
         *keys, *head, *[F.col("edge")[c].alias(c) for c in least], "dist", "n")
 
 
@@ -247,7 +247,7 @@ def _double(state: DataFrame) -> DataFrame:
                        F.col("of").alias("_o"), F.col("dist").alias("_d"), F.col("span").alias("_s"))
     less = F.col("_e") < F.col("edge")
     closed = (F.col("of") == F.col("id")) & (F.col("_o") == F.col("id"))
-    return state.join(far, "jump").select(
+    return state.join(far.hint("merge"), "jump").select(
         "id", F.col("_j").alias("jump"), F.least("_e", "edge").alias("edge"), F.when(less, F.col("_o")).otherwise(F.col("of")).alias("of"),
         F.when(less, F.col("_d") + F.col("span")).otherwise(F.col("dist")).alias("dist"), (F.col("span") + F.col("_s")).alias("span"),
         F.coalesce("n", F.when(closed, F.col("span") + F.col("_d") - F.col("dist"))).alias("n"))
@@ -278,7 +278,7 @@ def enclosing_hulls(ringed: DataFrame, keys=("layer",), column: int = 128) -> Da
     # The x of rays in a strip are at most `column` numbers.
     xs = rays.groupBy(*keys, strip.alias("s")).agg(F.collect_set("x").alias("xs"))
     flat = ringed.filter("y0 = y1").select(*keys, "ring", F.least("x0", "x1").alias("xa"), F.greatest("x0", "x1").alias("xb"), F.col("y0").alias("y"))
-    flat = flat.withColumn("s", F.explode(F.sequence(floor_div("xa", column), floor_div(F.col("xb") - 1, column)))).join(xs, [*keys, "s"])
+    flat = flat.withColumn("s", F.explode(F.sequence(floor_div("xa", column), floor_div(F.col("xb") - 1, column)))).join(xs.hint("merge"), [*keys, "s"])
     met = F.filter("xs", lambda x: (x > F.col("xa")) & (x <= F.col("xb")))
     below = flat.select(*keys, F.explode(met).alias("x"), "y", "ring", F.lit(None).cast("long").alias("hole"))
     both = below.unionByName(rays.select(*keys, "x", "y", F.lit(None).cast("long").alias("ring"), "hole"))
@@ -288,7 +288,7 @@ def enclosing_hulls(ringed: DataFrame, keys=("layer",), column: int = 128) -> Da
     up = met.select(*keys, "hole", F.col("met").alias("hull")).checkpoint()
     while True:  # as many steps as the logarithm of the longest row of holes
         over = up.select(*keys, F.col("hole").alias("hull"), F.col("hull").alias("_h"))
-        again = up.join(over, [*keys, "hull"], "left")
+        again = up.join(over.hint("merge"), [*keys, "hull"], "left")
         if again.filter("_h is not null").isEmpty():
             return up
         up = again.select(*keys, "hole", F.coalesce("_h", "hull").alias("hull")).checkpoint()
@@ -298,7 +298,7 @@ def polygons(ringed: DataFrame, keys=("layer",)) -> DataFrame:
     """Ringed edges with `polygon` (the hull's ring) and is_hole."""
     keys = list(keys)
     hulls = enclosing_hulls(ringed, keys).select(*keys, F.col("hole").alias("ring"), "hull")
-    return (ringed.join(hulls, [*keys, "ring"], "left")
+    return (ringed.join(hulls.hint("merge"), [*keys, "ring"], "left")
             .withColumn("is_hole", F.col("hull").isNotNull())
             .withColumn("polygon", F.coalesce("hull", "ring")).drop("hull"))
 

@@ -154,7 +154,7 @@ def patches(shapes: DataFrame, cores: DataFrame) -> DataFrame:
     """Shapes cut to the ownership box of their patch, in the order layer, box, id."""
     own = cores.select("patch_id", F.col("l").alias("ol"), F.col("b").alias("ob"),
                        F.col("r").alias("o_r"), F.col("t").alias("ot"))
-    cut = (shapes.join(own, "patch_id")
+    cut = (shapes.hint("merge").join(own, "patch_id")
            .withColumn("l", F.greatest("l", "ol")).withColumn("b", F.greatest("b", "ob"))
            .withColumn("r", F.least("r", "o_r")).withColumn("t", F.least("t", "ot"))
            .filter((F.col("l") < F.col("r")) & (F.col("b") < F.col("t"))))

@@ -43,7 +43,7 @@ def probe_values(probes: DataFrame, target: DataFrame, nominal: DataFrame, keys=
         *[F.struct(F.lit(s).alias("side"), F.rint(f"{s}_y").cast("int").alias("y"),
                    F.rint(f"{s}_x").cast("int").alias("x")) for s in ("inner", "outer")]))
     look = probes.select("probe_id", *keys, side.alias("p")).select("probe_id", *keys, "p.*")
-    hit = look.join(both, [*keys, "y", "x"], "left")
+    hit = look.join(both.hint("merge"), [*keys, "y", "x"], "left")
 
     def pick(c, s):
         return F.max(F.when(F.col("side") == s, F.col(c)))
@@ -96,7 +96,7 @@ def shot_count(pixels: DataFrame, threshold: float = 0.5, keys=IMAGE) -> DataFra
     """Rectangles needed when a run continues only an identical run of the row below."""
     runs = pixel_runs(pixels, threshold, keys)
     below = runs.withColumn("y", F.col("y") + 1)
-    fresh = runs.join(below, [*keys, "y", "x0", "x1"], "left_anti")
+    fresh = runs.join(below.hint("merge"), [*keys, "y", "x0", "x1"], "left_anti")
     return fresh.groupBy(*keys).agg(F.count("*").alias("shots"))
 
 

@@ -259,7 +259,7 @@ def touching_pairs(left: DataFrame, right: DataFrame, keys=("layer",), cell: int
                 .withColumn("_cy", F.explode(F.sequence(
                     floor_div("b", cell), floor_div(F.col("t") - 1, cell)))))
     other = cut(right.select(*cols)).toDF(*keys, "l2", "b2", "r2", "t2", "_cx", "_cy")
-    pairs = cut(left).join(other, [*keys, "_cx", "_cy"])
+    pairs = cut(left).join(other.hint("merge"), [*keys, "_cx", "_cy"])
     return pairs.filter((F.col("l") < F.col("r2")) & (F.col("r") > F.col("l2")) &
                         (F.col("b") < F.col("t2")) & (F.col("t") > F.col("b2"))
                         ).select(*left.columns).distinct()

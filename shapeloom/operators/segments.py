@@ -112,7 +112,7 @@ def rank_in_group(df: DataFrame, group: str, order, block: int = 4096) -> DataFr
     sizes = sizes.select(group, "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
                          F.sum("_n").over(over).alias("group_size"))
     local = W.partitionBy(group, "_blk").orderBy(*order)
-    return (df.withColumn("_rn", F.row_number().over(local) - 1).join(sizes, [group, "_blk"])
+    return (df.withColumn("_rn", F.row_number().over(local) - 1).join(sizes.hint("merge"), [group, "_blk"])
             .withColumn("rank", F.col("_rn") + F.col("_off")).drop("_rn", "_off", "_blk"))
 
 

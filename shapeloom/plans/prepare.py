@@ -99,7 +99,7 @@ def prepare_macros(shapes: DataFrame, macros: tiling.Grid, grid: tiling.Grid, co
     """
     near = tiling.membership(shapes, macros, clamp=False).withColumnRenamed("core_id", "macro_id")
     if only is not None:
-        near = near.join(only.select("macro_id"), "macro_id", "left_semi")
+        near = near.join(only.select("macro_id").hint("merge"), "macro_id", "left_semi")
     cut = cut_edges(merged_edges(near, ("macro_id", *keys), rings, **kw), corner, maximum, polarity)
     owned = macro_of(seg.owners(cut, grid), macros, grid, "_macro").filter("_macro = macro_id").drop("_macro")
     n, h = F.lit(macros.columns), macros.halo
@@ -121,7 +121,7 @@ def closed_macros(shapes: DataFrame, macros: tiling.Grid, grid: tiling.Grid, cor
         wide = tiling.Grid(macros.x, macros.y, halo)
         cut = prepare_macros(shapes, wide, grid, corner, maximum, only=only, **kw).checkpoint()
         only = cut.filter("open").select("macro_id").distinct().checkpoint()
-        done.append(cut.join(only, "macro_id", "left_anti").drop("open").withColumn("halo", F.lit(halo).cast("long")))
+        done.append(cut.join(only.hint("merge"), "macro_id", "left_anti").drop("open").withColumn("halo", F.lit(halo).cast("long")))
         if only.isEmpty():
             return reduce(DataFrame.unionByName, done)
         halo *= 2
@@ -150,19 +150,19 @@ def seen_polygons(members: DataFrame, cores: DataFrame | None = None) -> DataFra
 
 def subset_polygons(shapes: DataFrame, seen: DataFrame) -> DataFrame:
     """Whole polygons, holes included."""
-    return shapes.join(seen.select("polygon_id").distinct(), "polygon_id", "left_semi")
+    return shapes.join(seen.select("polygon_id").distinct().hint("merge"), "polygon_id", "left_semi")
 
 
 def moved_tiles(members: DataFrame, state: DataFrame) -> DataFrame:
     """Tiles that see a segment whose shift is not exactly 0."""
     moved = state.filter("d <> 0").select(*SEGMENT_KEY)
-    return members.select("core_id", *SEGMENT_KEY).join(moved, SEGMENT_KEY, "left_semi").select(
+    return members.select("core_id", *SEGMENT_KEY).join(moved.hint("merge"), SEGMENT_KEY, "left_semi").select(
         "core_id").distinct()
 
 
 def still_tiles(tiles: DataFrame, members: DataFrame, state: DataFrame) -> DataFrame:
     """Tiles that can reuse the reference raster."""
-    return tiles.join(moved_tiles(members, state), "core_id", "left_anti")
+    return tiles.join(moved_tiles(members, state).hint("merge"), "core_id", "left_anti")
 
 
 def ring_base(edges: DataFrame, margin: int = 0) -> DataFrame:
@@ -174,7 +174,7 @@ def ring_base(edges: DataFrame, margin: int = 0) -> DataFrame:
     if "low" in edges.columns:
         return edges.withColumn("base", F.col("low") - margin)
     low = edges.groupBy("polygon_id", "ring_id").agg(F.min(F.least("y0", "y1")).alias("base"))
-    return edges.join(low, ["polygon_id", "ring_id"])
+    return edges.join(low.hint("merge"), ["polygon_id", "ring_id"])
 
 
 def rebuilt_region(edges: DataFrame, keys=("layer",), margin: int = 0, **kw) -> DataFrame:
