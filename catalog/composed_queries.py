@@ -93,8 +93,7 @@ CORNERS = """, hv AS (SELECT layer, x, y, max(hs) AS hs, max(vd) AS vd, count(*)
  GROUP BY h.layer, e.edges, area2""")
 def merged_contours(spark, sf_dir):
     """Rings of the merged shapes per layer: edges, signed area, hulls minus holes."""
-    rects = region.union(T.boxes(spark, sf_dir))
-    ringed = contours.assemble_rings(region.directed_edges(region.boundary_edges(rects)))
+    ringed = contours.assemble_rings(region.directed_edges(region.outline(T.boxes(spark, sf_dir))))
     rings = contours.ring_summary(ringed)
     return rings.groupBy("layer").agg(
         F.sum("n").alias("edges"), F.sum("area2").alias("area2"),

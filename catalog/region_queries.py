@@ -80,4 +80,4 @@ boundary AS (SELECT layer, horizontal, coord, pos AS lo,
 @query("WITH " + sweep_sql(ONE, "ca > 0") + EDGE_SQL +
        " SELECT layer, horizontal, coord, lo, hi, s FROM boundary")
 def boundary_edges(spark, sf_dir):
-    return region.boundary_edges(region.union(T.boxes(spark, sf_dir)))
+    return region.outline(T.boxes(spark, sf_dir))

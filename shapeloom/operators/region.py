@@ -1,19 +1,24 @@
 """Exact set algebra on boxes: union, intersection, difference, symmetric difference.
 
-Shapes are clipped to sweep cells, so that the work of one task is bounded by a cell and not by
-the layout. Cells are narrow (an eighth of their height): inside a cell the distinct x coordinates,
-few by its width, form slabs; each shape emits +1/-1 events on y for the slabs it spans, and a
-running sum per side tells where the requested predicate holds. There is one plan for every
-input: copies of a box are merged on the map side, and one shuffle by cell serves all that follows.
+Shapes are clipped to blocks of the plane and dealt by block, so that the work of one task is bounded by
+blocks and not by the layout. Inside a block, strips an eighth to a sixteenth as wide hold few distinct x
+coordinates, which form slabs; each shape gives +1/-1 events on y for the slabs it spans, and a running sum
+per side tells where the requested predicate holds (`cells`, many blocks at a time). There is one plan for
+every input: copies of a box are merged on the map side, and one shuffle by block serves all that follows.
 """
-from pyspark.sql import DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from shapeloom.functions.scalars import floor_div
+from shapeloom.operators import cells
 
-CELL = 1024
-STRIPS = 8
-# Spans are joined in blocks of this many cells before they are joined over the layout.
-BLOCK = 256
+CELL = 2048
+STRIPS = 16
+# Spans are joined in stretches of this many cells before they are joined over the layout.
+BLOCK = 128
+# Clipped boxes that a task takes at a time, in whole cells.
+ROWS = 1 << 17
 
 PREDICATES = {
     "union": lambda a, b: a | b,
@@ -29,13 +34,12 @@ def shuffle_partitions(df: DataFrame) -> int:
 
 def _clip(boxes: DataFrame, cell: int) -> DataFrame:
     """One row per (box, cell) with the box clipped to the cell."""
-    wide = max(1, cell // STRIPS)
     hi = F.col("r") - 1, F.col("t") - 1
     return (boxes
-            .withColumn("cx", F.explode(F.sequence(floor_div("l", wide), floor_div(hi[0], wide))))
+            .withColumn("cx", F.explode(F.sequence(floor_div("l", cell), floor_div(hi[0], cell))))
             .withColumn("cy", F.explode(F.sequence(floor_div("b", cell), floor_div(hi[1], cell))))
-            .withColumn("l", F.greatest("l", F.col("cx") * wide))
-            .withColumn("r", F.least("r", (F.col("cx") + 1) * wide))
+            .withColumn("l", F.greatest("l", F.col("cx") * cell))
+            .withColumn("r", F.least("r", (F.col("cx") + 1) * cell))
             .withColumn("b", F.greatest("b", F.col("cy") * cell))
             .withColumn("t", F.least("t", (F.col("cy") + 1) * cell)))
 
@@ -78,45 +82,90 @@ def line_sweep(spans: DataFrame, part, keep, weights=("s",), predicate=None) ->
     return out.select(*keep, F.col("pos").alias("lo"), "hi", F.col("v").alias("s"))
 
 
+def _dealt(a: DataFrame, b: DataFrame | None, keys, cell: int, partitions) -> DataFrame:
+    """Boxes of both sides with weights wa and wb, clipped to cells; rows of a cell follow each other in one task."""
+    def rows(df, side):
+        weight = F.col("w") if "w" in df.columns else F.lit(1).cast("long")
+        return df.select(*keys, *[F.col(c).cast("long").alias(c) for c in "lbrt"], F.lit(side).alias("side"), weight.alias("w"))
+
+    both = rows(a, 0) if b is None else rows(a, 0).unionByName(rows(b, 1))
+    both = both.filter((F.col("l") < F.col("r")) & (F.col("b") < F.col("t")))
+    where = ["cx", "cy", *keys]
+    pieces = cell_pieces(both, keys, cell).select(
+        *where, "l", "b", "r", "t", F.when(F.col("side") == 0, F.col("w")).otherwise(0).cast("long").alias("wa"),
+        F.when(F.col("side") == 1, F.col("w")).otherwise(0).cast("long").alias("wb"))
+    return pieces.repartition(partitions or shuffle_partitions(a), *where).sortWithinPartitions(*where)
+
+
+def _by_cells(pieces: DataFrame, op: str, keys, cell: int, fields, solve) -> DataFrame:
+    """Sweep whole cells and give the key columns and what `solve` makes of the rectangles and the cells' corners."""
+    where, hit, strip = ["cx", "cy", *keys], PREDICATES[op], max(1, cell // STRIPS)
+    schema = T.StructType([*[pieces.schema[c] for c in where], *fields])
+
+    def task(batches):
+        for t, g in cells.whole_groups(batches, where, ROWS):
+            x, y = (t.column(c).to_numpy() * cell for c in ("cx", "cy"))
+            v = [t.column(c).to_numpy() for c in ("l", "b", "r", "t", "wa", "wb")]
+            rects = cells.swept(g, v[0] - x, v[1] - y, v[2] - x, v[3] - y, v[4], v[5], hit, cell, strip)
+            first = np.flatnonzero(np.diff(g, prepend=-1))
+            of, columns = solve(rects, x[first], y[first])
+            names = t.select(where).take(pa.array(first[of]))
+            out = pa.Table.from_arrays([*names.columns, *[pa.array(c) for c in columns]], names=schema.names)
+            yield from out.to_batches(max_chunksize=1 << 16)
+
+    return pieces.mapInArrow(task, schema)
+
+
 def sweep(a: DataFrame, b: DataFrame | None = None, op: str = "union", *,
           keys=("layer",), cell: int = CELL, partitions: int | None = None) -> DataFrame:
     """Disjoint rectangles (keys, cx, cy, l, b, r, t) where the set predicate holds.
 
     Inputs need the key columns and l, b, r, t; an integer column `w` gives signed boxes,
-    whose sum of weights must be positive exactly where the shape is. The result keeps its cell columns, so that
-    later per-cell steps reuse the partitioning.
+    whose sum of weights must be positive exactly where the shape is. The result keeps its cell columns.
     """
     keys = list(keys)
 
-    def rows(df, side):
-        weight = F.col("w") if "w" in df.columns else F.lit(1).cast("long")
-        return df.select(*keys, "l", "b", "r", "t", F.lit(side).alias("side"), weight.alias("w"))
+    def solve(rects, x, y):
+        g, l, b, r, t = rects
+        return g, (l + x[g], b + y[g], r + x[g], t + y[g])
+
+    found = _by_cells(_dealt(a, b, keys, cell, partitions), op, keys, cell, [T.StructField(c, T.LongType()) for c in "lbrt"], solve)
+    return found.select(*keys, "cx", "cy", "l", "b", "r", "t")
 
-    both = rows(a, 0) if b is None else rows(a, 0).unionByName(rows(b, 1))
-    both = both.filter((F.col("l") < F.col("r")) & (F.col("b") < F.col("t")))
-    # Exactly the keys of the windows below, so none of them shuffles again; slabs multiply the rows
-    # after this shuffle, so its tasks must not be merged by size.
-    cells = ["cx", "cy", *keys]
-    pieces = cell_pieces(both, keys, cell).repartition(partitions or shuffle_partitions(a), *cells)
-    # Sorts compare the first column fastest, so the most selective one leads everywhere.
-    w = W.partitionBy(*cells)
-    cuts = F.array_union(F.collect_set("l").over(w), F.collect_set("r").over(w))
-    pieces = pieces.withColumn("cuts", cuts)
-    inner = F.sort_array(F.filter(
-        "cuts", lambda x: (x >= F.col("l")) & (x <= F.col("r"))))
-    slabs = pieces.select(*cells, "side", "w", "b", "t", inner.alias("c")).select(
-        *cells, F.col("b").alias("lo"), F.col("t").alias("hi"),
-        F.when(F.col("side") == 0, F.col("w")).otherwise(0).alias("wa"),
-        F.when(F.col("side") == 1, F.col("w")).otherwise(0).alias("wb"),
-        F.explode(F.arrays_zip(
-            F.expr("slice(c, 1, size(c) - 1)").alias("x0"),
-            F.expr("slice(c, 2, size(c) - 1)").alias("x1"))).alias("z"))
-    slabs = slabs.select(*cells, "lo", "hi", "wa", "wb",
-                         F.col("z.x0").alias("l"), F.col("z.x1").alias("r"))
-    hit = PREDICATES[op]
-    out = line_sweep(slabs, ["l", *cells], [*cells, "l", "r"], ("wa", "wb"),
-                     lambda x, y: hit(x > 0, y > 0))
-    return out.select(*keys, "cx", "cy", "l", F.col("lo").alias("b"), "r", F.col("hi").alias("t"))
+
+def outline(a: DataFrame, b: DataFrame | None = None, op: str = "union", *,
+            keys=("layer",), cell: int = CELL, partitions: int | None = None) -> DataFrame:
+    """Maximal boundary edges (keys, horizontal, coord, lo, hi, s) of where the set predicate holds.
+
+    `s` is +1 on bottom and left edges, -1 on top and right edges. Sides of rectangles are summed inside
+    their cell, where most edges are complete; only spans that touch a cell's border are shuffled: they are
+    summed per line and stretch of cells, and then over the whole line.
+    """
+    keys = list(keys)
+
+    def solve(rects, x, y):
+        g, flat, coord, lo, hi, s = cells.outlined(*rects, cell)
+        inner = (coord > 0) & (coord < cell) & (lo > 0) & (hi < cell)
+        across, along = np.where(flat, y[g], x[g]), np.where(flat, x[g], y[g])
+        return g, (flat, coord + across, lo + along, hi + along, s, inner)
+
+    long = T.LongType()
+    fields = [T.StructField("horizontal", T.BooleanType()), *[T.StructField(c, long) for c in ("coord", "lo", "hi", "s")],
+              T.StructField("inner", T.BooleanType())]
+    # Both parts read the same shuffled cells; sweeping these twice is cheaper than a shuffle of all edges.
+    spans = _by_cells(_dealt(a, b, keys, cell, partitions), op, keys, cell, fields, solve)
+    line, cols = [*keys, "horizontal", "coord"], [*keys, "horizontal", "coord", "lo", "hi", "s"]
+    return spans.filter("inner").select(*cols).unionByName(
+        _joined(spans.filter("not inner").select(*cols), line, keys, cell * BLOCK).select(*cols))
+
+
+def _joined(spans: DataFrame, line, keys, width: int) -> DataFrame:
+    """Spans that lie in one stretch of `width` each, summed per line and stretch and then per line."""
+    spans = spans.withColumn("_blk", floor_div("lo", width)).repartition(shuffle_partitions(spans), *line, "_blk")
+    spans = line_sweep(spans, ["coord", "_blk", *keys, "horizontal"], line)
+    at_border = (F.pmod("lo", F.lit(width)) == 0) | (F.pmod("hi", F.lit(width)) == 0)
+    spans = spans.withColumn("_own", F.when(~at_border, F.col("lo")))
+    return line_sweep(spans, ["coord", "_own", *keys, "horizontal"], line)
 
 
 def union(boxes, **kw):
@@ -166,37 +215,8 @@ def is_empty(rects: DataFrame) -> bool:
 
 
 def boundary_edges(rects: DataFrame, *, keys=("layer",), cell: int = CELL) -> DataFrame:
-    """Maximal boundary edges (keys, horizontal, coord, lo, hi, s) of disjoint rectangles.
-
-    `s` is +1 on bottom and left edges, -1 on top and right edges. Each rectangle side is a
-    signed span; spans of neighbours cancel, which also removes every cell border. Spans
-    are summed inside the cell first (no shuffle), then per line and block of cells, and
-    only spans that reach a block border meet over the whole line.
-    """
-    keys = list(keys)
-    cells = [c for c in ("cx", "cy") if c in rects.columns]
-    sides = F.explode(F.array(*[
-        F.struct(F.lit(h).alias("horizontal"), F.col(coord).alias("coord"), F.col(lo).alias("lo"),
-                 F.col(hi).alias("hi"), F.lit(s).alias("s"))
-        for h, coord, lo, hi, s in [(True, "b", "l", "r", 1), (True, "t", "l", "r", -1),
-                                 (False, "l", "b", "t", 1), (False, "r", "b", "t", -1)]]))
-    spans = rects.select(*keys, *cells, sides.alias("e")).select(*keys, *cells, "e.*")
-    line = [*keys, "horizontal", "coord"]
-    if cells:
-        spans = line_sweep(spans, ["coord", *cells, *keys, "horizontal"], line)
-    width = cell * BLOCK
-    spans = (spans.withColumn("_blk", floor_div("lo", width))
-             .withColumn("_end", floor_div(F.col("hi") - 1, width)))
-    if not cells:
-        # Unclipped rectangles may span blocks; cut their spans at block borders.
-        spans = (spans.withColumn("_blk", F.explode(F.sequence("_blk", "_end")))
-                 .withColumn("lo", F.greatest("lo", F.col("_blk") * width))
-                 .withColumn("hi", F.least("hi", (F.col("_blk") + 1) * width)))
-    spans = spans.drop("_end").repartition(*line, "_blk")
-    spans = line_sweep(spans, ["coord", "_blk", *keys, "horizontal"], line)
-    at_border = (F.pmod("lo", F.lit(width)) == 0) | (F.pmod("hi", F.lit(width)) == 0)
-    spans = spans.withColumn("_own", F.when(~at_border, F.col("lo")))
-    return line_sweep(spans, ["coord", "_own", *keys, "horizontal"], line)
+    """Maximal boundary edges (keys, horizontal, coord, lo, hi, s) of disjoint rectangles, as `outline` gives them."""
+    return outline(rects, keys=keys, cell=cell)
 
 
 def directed_edges(edges: DataFrame, keys=("layer",)) -> DataFrame:

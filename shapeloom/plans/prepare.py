@@ -17,9 +17,7 @@ def merged_edges(boxes: DataFrame, keys=("layer",), rings: bool = True, **kw) ->
     With `rings`, adds polygon_id and ring_id (numbers of the hull and of the ring), is_hole, ord, n and the previous vertex; without, only the outline,
     which needs no ring assembly.
     """
-    rects = region.union(boxes, keys=keys, **kw)
-    edges = region.directed_edges(
-        region.boundary_edges(rects, keys=keys, cell=kw.get("cell", region.CELL)), keys)
+    edges = region.directed_edges(region.outline(boxes, keys=keys, **kw), keys)
     if not rings:
         return edges
     ringed = contours.polygons(contours.assemble_rings(edges, keys), keys)
