@@ -1,4 +1,5 @@
 """Polygons as nested arrays of rings, their edges, checks, and ring assembly."""
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -130,56 +131,6 @@ def topology_issues(edges: DataFrame) -> DataFrame:
 
 # --- ring assembly --------------------------------------------------------------------------
 
-def edge_successors(edges: DataFrame, keys=("layer",)) -> DataFrame:
-    """Directed Manhattan boundary edges with their neighbours on the ring.
-
-    Adds px, py (start of the edge before), qx, qy (end of the edge after) and the outward
-    normal. Each vertex gathers its one or two arriving and leaving edges by sign of their
-    direction in a plain aggregate. Where two regions touch at a corner, turning right
-    (towards the covered side) keeps them apart.
-    """
-    keys = list(keys)
-    up = (F.col("x1") - F.col("x0") + F.col("y1") - F.col("y0")) > 0
-    ends = edges.select(*keys, F.explode(F.array(
-        F.struct(F.col("x0").alias("vx"), F.col("y0").alias("vy"), F.lit(True).alias("leaves"),
-                 up.alias("up"), F.col("x1").alias("x"), F.col("y1").alias("y")),
-        F.struct(F.col("x1").alias("vx"), F.col("y1").alias("vy"), F.lit(False).alias("leaves"),
-                 up.alias("up"), F.col("x0").alias("x"), F.col("y0").alias("y")))).alias("e"))
-    ends = ends.select(*keys, "e.*")
-
-    def end(name, leaves, rising):
-        hit = (F.col("leaves") == leaves) & (F.col("up") == rising)
-        return [F.max(F.when(hit, F.col(c))).alias(name + c) for c in ("x", "y")]
-
-    vertex = ends.groupBy(*keys, "vx", "vy").agg(
-        F.count_if(F.col("leaves")).alias("n"), *end("iu", False, True), *end("id", False, False),
-        *end("ou", True, True), *end("od", True, False))
-
-    def pair(a, c):
-        return F.struct(*[F.coalesce(*[F.col(n + x) for n in names]).alias(to + x)
-                          for names, to in ((a, "p"), (c, "q")) for x in ("x", "y")])
-
-    flat = F.col("iuy") == F.col("vy")
-    pairs = (F.when(F.col("n") == 1, F.array(pair(("iu", "id"), ("ou", "od"))))
-             .when(flat, F.array(pair(("iu",), ("od",)), pair(("id",), ("ou",))))
-             .otherwise(F.array(pair(("iu",), ("ou",)), pair(("id",), ("od",)))))
-    turns = vertex.select(*keys, "vx", "vy", F.explode(pairs).alias("t")).select(*keys, "vx", "vy", "t.*")
-    none = F.lit(None).cast("long")
-
-    def fact(x0, y0, x1, y1, px, py, qx, qy):
-        names = ("x0", "y0", "x1", "y1", "px", "py", "qx", "qy")
-        return F.struct(*[(F.col(c) if c else none).alias(n)
-                          for n, c in zip(names, (x0, y0, x1, y1, px, py, qx, qy))])
-
-    facts = turns.select(*keys, F.explode(F.array(
-        fact("px", "py", "vx", "vy", None, None, "qx", "qy"),
-        fact("vx", "vy", "qx", "qy", "px", "py", None, None))).alias("f")).select(*keys, "f.*")
-    out = facts.groupBy(*keys, "x0", "y0", "x1", "y1").agg(
-        *[F.max(c).alias(c) for c in ("px", "py", "qx", "qy")])
-    return (out.withColumn("nx", -F.signum((F.col("y1") - F.col("y0")).cast("double")) + 0.0)
-            .withColumn("ny", F.signum((F.col("x1") - F.col("x0")).cast("double"))))
-
-
 def assemble_rings(edges: DataFrame, keys=("layer",), block: int = 8192) -> DataFrame:
     """Add ring (a BIGINT), ord and n to directed edges.
 
@@ -192,12 +143,12 @@ def assemble_rings(edges: DataFrame, keys=("layer",), block: int = 8192) -> Data
     Rings are numbered by the order of their smallest edges and start there, so numbers depend on the geometry alone.
     """
     keys = list(keys)
-    linked = edge_successors(edges, keys).filter("x0 is not null and x1 is not null")  # where a chain ends, one is missing
-    found = contracted(linked, keys, block).checkpoint()
-    head, least, after = (["hx0", "hy0", "hx1", "hy1"], ["lx0", "ly0", "lx1", "ly1"], ["ax0", "ay0", "ax1", "ay1"])
-    chains = found.filter("n is null and len is not null").select(*keys, *head, *least, *after, "len", "low").withColumn(
+    found = _written(contracted(edges, keys, block), "chains").withColumns(
+        {"nx": -F.signum((F.col("y1") - F.col("y0")).cast("double")) + 0.0, "ny": F.signum((F.col("x1") - F.col("x0")).cast("double"))})
+    head, least, last = (["hx0", "hy0", "hx1", "hy1"], ["lx0", "ly0", "lx1", "ly1"], ["tx0", "ty0", "tx1", "ty1"])
+    chains = found.filter("n is null and len is not null").select(*keys, *head, *least, *last, "px", "py", "len", "low").withColumn(
         "id", F.monotonically_increasing_id()).checkpoint()
-    ringed = _closed_chains(chains, keys, head, least, after)
+    ringed = _closed_chains(chains, keys, head, least, last)
     base = [*keys, "x0", "y0", "x1", "y1", "px", "py", "nx", "ny"]
     local = found.filter("n is not null").select(*base, *[F.col(h).alias(c) for h, c in zip(head, least)], F.col("pos").alias("ord"), "n")
     far = found.filter("n is null").drop("n", "low", *least).join(ringed.hint("merge"), [*keys, *head]).select(
@@ -208,10 +159,24 @@ def assemble_rings(edges: DataFrame, keys=("layer",), block: int = 8192) -> Data
     return whole.join(numbers.withColumnRenamed("position", "ring").hint("merge"), [*keys, *least]).select(*base, "ring", "ord", "n")
 
 
-def _closed_chains(chains: DataFrame, keys, head, least, after) -> DataFrame:
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the checkpoint folder and read back: columns of a file take less disk than a checkpoint's rows,
+    and later steps read those they need."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _closed_chains(chains: DataFrame, keys, head, least, last) -> DataFrame:
     """(keys, head, least edge of the ring, dist to it, n) of chains that form rings; the others are left out."""
-    nexts = chains.select(*keys, *[F.col(h).alias(a) for h, a in zip(head, after)], F.col("id").alias("jump"))
-    state = chains.select(*keys, *after, "id", "len", "low", F.struct(*least).alias("edge")).join(nexts.hint("merge"), [*keys, *after]).select(
+    # The edge before a chain ends where its first edge starts.
+    before = ["px", "py", *head[:2]]
+    nexts = chains.select(*keys, *[F.col(h).alias(a) for h, a in zip(before, last)], F.col("id").alias("jump"))
+    state = chains.select(*keys, *last, "id", "len", "low", F.struct(*least).alias("edge")).join(nexts.hint("merge"), [*keys, *last]).select(
         "id", "jump", "edge", F.col("id").alias("of"), F.col("low").alias("dist"), F.col("len").alias("span"), F.lit(None).cast("long").alias("n"))
     done = []
     while True:

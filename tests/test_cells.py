@@ -38,3 +38,19 @@ def test_outlines_shuffle_few_rows(boxes):
     whole = {tuple(r) for r in region.outline(df, cell=8192).collect()}
     assert {tuple(r) for r in edges.collect()} == whole == {tuple(r) for r in region.boundary_edges(rects, cell=32).collect()}
     assert (1, True, 10, 2000, 2100, 1) in whole and len(whole) == 16
+
+
+def test_edges_of_a_vertex_meet_in_one_shuffle(spark):
+    """Neighbours on a ring are found inside the blocks that hold both, also across a block's border."""
+    from shapeloom.operators import chains, contours
+    ring = [(1, 0, 0, 0, 9), (1, 0, 9, 12, 9), (1, 12, 9, 12, 0), (1, 12, 0, 0, 0)]
+    edges = spark.createDataFrame(ring, "layer int, x0 long, y0 long, x1 long, y1 long")
+    found = chains.contracted(edges, ["layer"], 8)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Aggregate" not in plan
+    before = {r[1:5]: (r["px"], r["py"]) for r in found.collect()}
+    assert before == {e[1:]: p[1:3] for e, p in zip(ring, [ring[-1], *ring])}
+    assert [r["n"] for r in contours.assemble_rings(edges, block=8).collect()] == [4] * 4
+    # Two in, two out: each turns right.
+    into, out = np.array([0, 2]), np.array([1, 3])
+    assert chains.successors(np.array([5, 5]), np.array([5, 5]), into, out).tolist() == [1, 0]
