@@ -191,7 +191,8 @@ def macros_equal_whole(spark, sf_dir):
     g, shapes = T.grid(spark, sf_dir), T.solid(spark, sf_dir)
     macros = tiling.Grid.even(g.bounds, 4 * T.TILE, 1024)
     cols = ["layer", "macro_id", "core_id", "sx", "sy", "ex", "ey", "nx", "ny"]
-    parts = prepare.prepare_macros(shapes, macros, g, T.CORNER, T.MAXIMUM).select(
+    # Segments are compared by place; they need no numbers of rings.
+    parts = prepare.prepare_macros(shapes, macros, g, T.CORNER, T.MAXIMUM, rings=False).select(
         *cols, F.lit(1).alias("p"), F.lit(0).alias("w"), F.col("open").cast("int").alias("o"))
     owned, _ = prepare.prepare_problem(shapes, g, T.CORNER, T.MAXIMUM, rings=False)
     whole = prepare.macro_of(owned, macros, g).filter("core_id >= 0").select(

@@ -3,6 +3,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from shapeloom.functions.scalars import pin
 from shapeloom.operators import contours, filters, region, segments as seg, tiling
 from shapeloom.schemas import SEGMENT_KEY
 from shapeloom.sources import archive
@@ -81,9 +82,10 @@ def prepare_macro(shapes: DataFrame, context, ownership, grid: tiling.Grid, corn
 
 def macro_of(df: DataFrame, macros: tiling.Grid, grid: tiling.Grid, name="macro_id") -> DataFrame:
     """Add the macro of each row's tile; -1 outside the grid."""
-    n = F.lit(grid.columns)
-    low = df.withColumn("_x", grid.x.low(F.pmod("core_id", n))).withColumn("_y", grid.y.low(tiling.floor_div("core_id", grid.columns)))
-    found = tiling.owner(low, macros, "_x", "_y", name).drop("_x", "_y")
+    # Each step names the columns of the one before several times, so they are pinned one by one.
+    tile = pin(df, core_id=F.col("core_id"))
+    low = pin(tile, _x=grid.x.low(F.pmod("core_id", F.lit(grid.columns))), _y=grid.y.low(tiling.floor_div("core_id", grid.columns)))
+    found = pin(tiling.owner(low, macros, "_x", "_y", name).drop("_x", "_y"), **{name: F.col(name)})
     return found.withColumn(name, F.when(F.col("core_id") >= 0, F.col(name)).otherwise(F.lit(-1).cast("long")))
 
 

@@ -54,3 +54,14 @@ def test_edges_of_a_vertex_meet_in_one_shuffle(spark):
     # Two in, two out: each turns right.
     into, out = np.array([0, 2]), np.array([1, 3])
     assert chains.successors(np.array([5, 5]), np.array([5, 5]), into, out).tolist() == [1, 0]
+
+
+def test_macros_of_owners_stay_short_expressions(spark):
+    """The macro of a tile names the tile's number once; its definition is not repeated inside."""
+    from shapeloom.operators import segments as seg, tiling
+    from shapeloom.plans import prepare
+    grid, macros = tiling.Grid.even((0, 0, 9000, 9000), 1000, 10), tiling.Grid.even((0, 0, 9000, 9000), 4000, 10)
+    cut = spark.createDataFrame([(8500.0, 100.0, 8600.0, 100.0), (-9.0, 0.0, -9.0, 9.0)], "sx double, sy double, ex double, ey double")
+    found = prepare.macro_of(seg.owners(cut, grid), macros, grid).filter("macro_id >= -1")
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 12_000
+    assert [(r["core_id"], r["macro_id"]) for r in found.orderBy("sx").collect()] == [(-1, -1), (8, 2)]
