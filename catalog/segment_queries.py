@@ -31,6 +31,12 @@ def members(spark, sf_dir):
     return seg.memberships(segments(spark, sf_dir), T.grid(spark, sf_dir))
 
 
+def parts(spark, sf_dir):
+    """Partitions in which segments are sorted, by their number, which edges tell without being cut."""
+    e = contours.with_length(edges(spark, sf_dir))
+    return tiling.parts_for(spark, e.agg(F.sum(seg.fragment_count("len", T.CORNER, T.MAXIMUM))).first()[0] or 0)
+
+
 def shift():
     """A deterministic displacement between -8 and 8."""
     return (F.pmod(F.col("polygon_id") * 7 + F.col("ring_id") * 5 + F.col("ord") * 3 +
@@ -285,10 +291,8 @@ def members_of_cores(spark, sf_dir):
  CAST(0 AS BIGINT) AS repeated FROM membership GROUP BY 1""")
 def ordered_memberships(spark, sf_dir):
     """Memberships sorted inside core partitions; no segment is listed twice."""
-    m = tiling.ordered_members(members(spark, sf_dir), SEGMENT_KEY)
-    per = m.groupBy("core_id", *SEGMENT_KEY).agg(F.count("*").alias("n"))
-    return per.groupBy("core_id").agg(F.sum("n").alias("rows"), F.count("*").alias("segments"),
-                                      F.count_if(F.col("n") > 1).alias("repeated"))
+    m = tiling.ordered_members(members(spark, sf_dir), SEGMENT_KEY, parts(spark, sf_dir))
+    return tiling.member_counts(m, SEGMENT_KEY)
 
 
 MACRO = """, mrows AS (SELECT *, CASE WHEN core_id < 0 THEN -1 ELSE 0 END AS neg FROM membership)"""

@@ -6,8 +6,9 @@ they are the caller's own argument).
 """
 from dataclasses import dataclass
 from itertools import pairwise
+from math import ceil
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from shapeloom.errors import CapacityError
 from shapeloom.functions.scalars import ceil_div, col, floor_div
@@ -221,9 +222,31 @@ def members_of(members: DataFrame, cores: DataFrame) -> DataFrame:
     return members.join(cores.select("core_id").distinct(), "core_id")
 
 
-def ordered_members(members: DataFrame, order) -> DataFrame:
-    """Memberships grouped by core and sorted inside each partition."""
-    return members.repartition("core_id").sortWithinPartitions("core_id", *order)
+def ordered_members(members: DataFrame, order, partitions: int | None = None) -> DataFrame:
+    """Memberships grouped by core and sorted inside each partition.
+
+    A task sorts one partition, so `partitions` should follow the number of rows (`parts_for`).
+    """
+    dealt = members.repartition(partitions, "core_id") if partitions else members.repartition("core_id")
+    return dealt.sortWithinPartitions("core_id", *order)
+
+
+def member_counts(ordered: DataFrame, order) -> DataFrame:
+    """Per core of `ordered_members`: rows, different values of `order` and how many of these are repeated.
+
+    Rows are compared with their neighbours, so nothing is shuffled, sorted or hashed again.
+    """
+    w = W.partitionBy("core_id").orderBy(*order)
+    here = F.struct(*order)
+    marked = ordered.select("core_id", (~here.eqNullSafe(F.lag(here).over(w))).alias("_first"),
+                            here.eqNullSafe(F.lead(here).over(w)).alias("_again"))
+    return marked.groupBy("core_id").agg(F.count("*").alias("rows"), F.count_if("_first").alias("segments"),
+                                         F.count_if(F.col("_first") & F.col("_again")).alias("repeated"))
+
+
+def parts_for(spark: SparkSession, rows: int, per_task: int = 1 << 20) -> int:
+    """Partitions for so many rows: those of the session, or more, so that a task's share does not grow with the input."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(rows / per_task))
 
 
 def tile_macro(grid: Grid, macro_x, macro_y, tiles: DataFrame) -> DataFrame:

@@ -104,3 +104,14 @@ def test_heights_in_a_slab_are_integers(spark):
     covered = planar._with_cover(pieces.withColumn("lx", F.col("lx") + n - 3).withColumn("hx", F.col("hx") + n - 3), ["layer"], 1 << 30)
     assert "decimal" not in plan(covered)
     assert {r["hx"] - n + 3: r["ca"] for r in covered.collect()} == {n: 0, n - 1: -1}
+
+
+def test_ordered_members_are_counted_in_their_order(spark):
+    rows = [(c, p, 0, 0, s) for c in range(3) for p in range(40) for s in range(5)] + [(1, 7, 0, 0, 2)] * 2 + [(2, 7, 0, 0, 2)]
+    members = spark.createDataFrame(rows[::-1], "core_id long, polygon_id long, ring_id int, ord int, seg_ord int")
+    found = tiling.member_counts(tiling.ordered_members(members, SEGMENT_KEY, 5), SEGMENT_KEY)
+    text = plan(found)
+    assert text.count("Exchange hashpartitioning(core_id") == 1 and text.count("Sort [") == 1 and "keys=[core_id#" in text
+    assert not any("polygon_id" in line for line in text.splitlines() if "HashAggregate" in line)
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 200, 200, 0), (1, 202, 200, 1), (2, 201, 200, 1)]
+    assert tiling.parts_for(spark, 10, 4) == 3 and tiling.parts_for(spark, 0) == 2
