@@ -2,22 +2,24 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shapeloom.functions.scalars import floor_div
+from shapeloom.operators import tiling
 from shapeloom.operators.tiling import Grid
 
 TILE, HALO = 4096, 256
 CORNER, MAXIMUM = 16, 32
 
 
-# Tables whose rows are expanded many times over, with the column they are spread by.
-SPREAD = {"lineitem": "l_orderkey", "orders": "o_orderkey", "embeddings": "vec_id"}
+# Tables whose rows are expanded many times over, with the column they are spread by and the rows of a task.
+SPREAD = {"lineitem": ("l_orderkey", 1 << 18), "orders": ("o_orderkey", 1 << 14), "embeddings": ("vec_id", 1 << 14)}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; those whose rows expand are dealt by key first."""
+    """A driver table; those whose rows expand are dealt by key first, to as many tasks as the rows need."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if name not in SPREAD:
         return df
-    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), SPREAD[name])
+    key, rows = SPREAD[name]
+    return df.repartition(tiling.parts_for(spark, df.count(), rows), key)
 
 
 def boxes(spark, sf_dir) -> DataFrame:

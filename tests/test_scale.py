@@ -115,3 +115,11 @@ def test_ordered_members_are_counted_in_their_order(spark):
     assert not any("polygon_id" in line for line in text.splitlines() if "HashAggregate" in line)
     assert sorted(tuple(r) for r in found.collect()) == [(0, 200, 200, 0), (1, 202, 200, 1), (2, 201, 200, 1)]
     assert tiling.parts_for(spark, 10, 4) == 3 and tiling.parts_for(spark, 0) == 2
+
+
+def test_tasks_of_a_table_follow_its_rows(spark, tmp_path, monkeypatch):
+    from catalog import tables
+    spark.range(1000).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    assert tables.read(spark, str(tmp_path), "orders").rdd.getNumPartitions() == 2
+    monkeypatch.setitem(tables.SPREAD, "orders", ("o_orderkey", 100))
+    assert tables.read(spark, str(tmp_path), "orders").rdd.getNumPartitions() == 10
