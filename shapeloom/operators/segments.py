@@ -199,13 +199,14 @@ def reconstruct(segments: DataFrame, corner: float, maximum: float, miter: float
 
 def displacement_issues(segments: DataFrame, state: DataFrame, limit: float) -> DataFrame:
     """Segments without a shift, and shifts that are repeated, not finite or too large."""
-    seen = state.groupBy(*SEGMENT_KEY).agg(
-        F.count("*").alias("n"), F.max(F.isnan("d") | (F.abs("d") > limit)).alias("bad"))
-    both = segments.select(*SEGMENT_KEY).withColumn("seg", F.lit(True)).join(
-        seen, SEGMENT_KEY, "full_outer")
-    code = (F.when(F.col("n").isNull(), "missing").when(F.col("seg").isNull(), "unknown_segment")
+    bad = F.isnan("d") | (F.abs("d") > limit)
+    both = segments.select(*SEGMENT_KEY, F.lit(True).alias("seg"), F.lit(0).alias("n"), F.lit(False).alias("bad")).unionByName(
+        state.select(*SEGMENT_KEY, F.lit(False).alias("seg"), F.lit(1).alias("n"), bad.alias("bad")))
+    # One aggregate of both, so that tables which are dealt by polygon alike are not shuffled again.
+    seen = both.groupBy(*SEGMENT_KEY).agg(F.max("seg").alias("seg"), F.sum("n").alias("n"), F.max("bad").alias("bad"))
+    code = (F.when(F.col("n") == 0, "missing").when(~F.col("seg"), "unknown_segment")
             .when(F.col("n") > 1, "repeated").when(F.col("bad"), "out_of_range"))
-    return both.select(*SEGMENT_KEY, code.alias("code")).filter(F.col("code").isNotNull())
+    return seen.select(*SEGMENT_KEY, code.alias("code")).filter(F.col("code").isNotNull())
 
 
 def ring_issues(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -117,6 +117,22 @@ def test_ordered_members_are_counted_in_their_order(spark):
     assert tiling.parts_for(spark, 10, 4) == 3 and tiling.parts_for(spark, 0) == 2
 
 
+def test_shifts_dealt_like_their_segments_are_not_shuffled(spark):
+    rows = [(p, 0, 0, s) for p in range(6) for s in range(3)]
+    s = spark.createDataFrame(rows, "polygon_id long, ring_id int, ord int, seg_ord int").repartition(3, "polygon_id")
+    d = F.when(F.col("polygon_id") == 1, 9.5).when(F.col("polygon_id") == 2, float("nan")).otherwise(1.0)
+    state = s.filter("polygon_id <> 0").withColumn("d", d)
+    state = state.unionByName(state.filter("polygon_id = 3")).withColumn("seg_ord", F.when(
+        (F.col("polygon_id") == 5) & (F.col("seg_ord") == 2), 7).otherwise(F.col("seg_ord")))
+    found = seg.displacement_issues(s, state, 9.0)
+    got = sorted((r["polygon_id"], r["seg_ord"], r["code"]) for r in found.collect())
+    assert got == [*[(p, i, c) for p, c in enumerate(["missing", "out_of_range", "out_of_range", "repeated"]) for i in range(3)],
+                   (5, 2, "missing"), (5, 7, "unknown_segment")]
+    same = seg.displacement_issues(s, s.withColumn("d", F.lit(0.0)), 9.0)
+    assert "Join" not in plan(same) and plan(same).count("Exchange hashpartitioning(polygon_id") == plan(same).count("REPARTITION_BY_NUM")
+    assert same.isEmpty()
+
+
 def test_tasks_of_a_table_follow_its_rows(spark, tmp_path, monkeypatch):
     from catalog import tables
     spark.range(1000).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
