@@ -124,6 +124,20 @@ def bounding_box(shapes: DataFrame, keys=()) -> DataFrame:
     return shapes.groupBy(*keys).agg(*aggs) if keys else shapes.agg(*aggs)
 
 
+def thinned(df: DataFrame, other: DataFrame, on, bits: int = 24) -> DataFrame:
+    """Rows of `df` without most of those that match no row of `other` in the columns `on`; those that match all stay.
+
+    Hashes of `other` mark places in a bitmap of 2**bits bits, whatever its size, which goes to all tasks in words of
+    64 bits. So the rows that an exact join then shuffles follow the smaller side.
+    """
+    place = F.pmod(F.xxhash64(*on), F.lit(1 << bits))
+    marks = other.select(place.alias("_place")).select(F.shiftrightunsigned("_place", 6).alias("_word"),
+                                                       F.expr("shiftleft(1L, cast(_place & 63 as int))").alias("_bit"))
+    words = marks.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    here = (F.shiftrightunsigned(place, 6) == F.col("_word")) & (F.getbit("_bits", place.bitwiseAND(63).cast("int")) == 1)
+    return df.join(F.broadcast(words), here, "left_semi")
+
+
 def patch_issues(patches: DataFrame, cell: int = 4096) -> DataFrame:
     """Repeated patch ids and same-layer ownership boxes that share area.
 

@@ -154,10 +154,13 @@ def subset_polygons(shapes: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def moved_tiles(members: DataFrame, state: DataFrame) -> DataFrame:
-    """Tiles that see a segment whose shift is not exactly 0."""
+    """Tiles that see a segment whose shift is not exactly 0.
+
+    Few segments may have moved, so members are thinned by those before the join.
+    """
     moved = state.filter("d <> 0").select(*SEGMENT_KEY)
-    return members.select("core_id", *SEGMENT_KEY).join(moved.hint("merge"), SEGMENT_KEY, "left_semi").select(
-        "core_id").distinct()
+    seen = filters.thinned(members.select("core_id", *SEGMENT_KEY), moved, SEGMENT_KEY)
+    return seen.join(moved.hint("merge"), SEGMENT_KEY, "left_semi").select("core_id").distinct()
 
 
 def still_tiles(tiles: DataFrame, members: DataFrame, state: DataFrame) -> DataFrame:

@@ -117,6 +117,26 @@ def test_ordered_members_are_counted_in_their_order(spark):
     assert tiling.parts_for(spark, 10, 4) == 3 and tiling.parts_for(spark, 0) == 2
 
 
+def test_members_are_thinned_before_they_are_joined(spark):
+    from shapeloom.operators import filters
+    from shapeloom.plans import prepare
+    members = spark.range(100_000).select((F.col("id") % 50).alias("core_id"), F.col("id").alias("polygon_id"),
+                                          F.lit(0).alias("ring_id"), F.lit(0).alias("ord"), F.lit(0).alias("seg_ord"))
+    state = members.select(*SEGMENT_KEY, F.when(F.col("polygon_id") % 10_007 == 3, 1.0).otherwise(0.0).alias("d"))
+    moved = state.filter("d <> 0")
+    left = filters.thinned(members, moved, SEGMENT_KEY)
+    assert left.columns == members.columns
+    assert {3 + i * 10_007 for i in range(10)} <= {r["polygon_id"] for r in left.collect()} and left.count() < 100
+    # A full or small bitmap only keeps more.
+    assert filters.thinned(members, members, SEGMENT_KEY).count() == 100_000
+    assert filters.thinned(members, moved, SEGMENT_KEY, bits=6).count() >= left.count()
+    text = plan(prepare.moved_tiles(members, state))
+    exact = text.index("SortMergeJoin")
+    assert "getbit" in text[exact:] and "getbit" not in text[:exact]
+    assert {r["core_id"] for r in prepare.moved_tiles(members, state).collect()} == {(3 + i * 10_007) % 50 for i in range(10)}
+    assert prepare.moved_tiles(members, state.withColumn("d", F.lit(0.0))).isEmpty()
+
+
 def test_shifts_dealt_like_their_segments_are_not_shuffled(spark):
     rows = [(p, 0, 0, s) for p in range(6) for s in range(3)]
     s = spark.createDataFrame(rows, "polygon_id long, ring_id int, ord int, seg_ord int").repartition(3, "polygon_id")
