@@ -120,7 +120,8 @@ MERGED_SEGS = """, edges AS (SELECT layer, CAST(lo AS BIGINT) AS polygon_id, 0 A
  count(*) FILTER (WHERE owner_id = core_id) AS owned FROM membership GROUP BY 1, 2""")
 def prepared_problem(spark, sf_dir):
     """Merge, outline, cut, own and list memberships, per layer and tile."""
-    _, members = prepare.prepare_problem(T.solid(spark, sf_dir), T.grid(spark, sf_dir), T.CORNER, T.MAXIMUM)
+    # Owners and memberships are by place; they need no numbers of rings.
+    _, members = prepare.prepare_problem(T.solid(spark, sf_dir), T.grid(spark, sf_dir), T.CORNER, T.MAXIMUM, rings=False)
     return members.groupBy("layer", "core_id").agg(
         F.count("*").alias("members"), F.count_if(F.col("owner_id") == F.col("core_id")).alias("owned"))
 

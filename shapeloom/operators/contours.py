@@ -143,7 +143,7 @@ def assemble_rings(edges: DataFrame, keys=("layer",), block: int = 8192) -> Data
     Rings are numbered by the order of their smallest edges and start there, so numbers depend on the geometry alone.
     """
     keys = list(keys)
-    found = _written(contracted(edges, keys, block), "chains").withColumns(
+    found = written(contracted(edges, keys, block), "chains").withColumns(
         {"nx": -F.signum((F.col("y1") - F.col("y0")).cast("double")) + 0.0, "ny": F.signum((F.col("x1") - F.col("x0")).cast("double"))})
     head, least, last = (["hx0", "hy0", "hx1", "hy1"], ["lx0", "ly0", "lx1", "ly1"], ["tx0", "ty0", "tx1", "ty1"])
     chains = found.filter("n is null and len is not null").select(*keys, *head, *least, *last, "px", "py", "len", "low").withColumn(
@@ -159,7 +159,7 @@ def assemble_rings(edges: DataFrame, keys=("layer",), block: int = 8192) -> Data
     return whole.join(numbers.withColumnRenamed("position", "ring").hint("merge"), [*keys, *least]).select(*base, "ring", "ord", "n")
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """The table written to the checkpoint folder and read back: columns of a file take less disk than a checkpoint's rows,
     and later steps read those they need."""
     spark = df.sparkSession

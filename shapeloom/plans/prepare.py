@@ -9,7 +9,11 @@ from shapeloom.schemas import SEGMENT_KEY
 from shapeloom.sources import archive
 
 PROBLEM = "segment_problem"
-KNOWN = T.StructType([T.StructField(c, T.DoubleType()) for c in ("sx", "sy", "ex", "ey")])
+# Edges of a task that cuts them.
+EDGES = 1 << 17
+# Columns that an archive leaves out, as they follow from the others.
+DERIVED = ("len", "sx", "sy", "ex", "ey", "l", "b", "r", "t")
+KNOWN = T.StructType([*[T.StructField(c, T.LongType()) for c in ("x0", "y0", "x1", "y1")], *[T.StructField(c, T.DoubleType()) for c in ("t0", "t1")]])
 
 
 def merged_edges(boxes: DataFrame, keys=("layer",), rings: bool = True, **kw) -> DataFrame:
@@ -37,14 +41,23 @@ def cut_edges(edges: DataFrame, corner: float, maximum: float, polarity: str = "
 def prepare_problem(boxes: DataFrame, grid: tiling.Grid, corner: float, maximum: float,
                     keys=("layer",), polarity: str = "clear", limit: int | None = None,
                     rings: bool = True, **kw):
-    """(segments with core_id, memberships) of the merged shapes."""
-    cut = cut_edges(merged_edges(boxes, keys, rings, **kw), corner, maximum, polarity)
+    """(segments with core_id, memberships) of the merged shapes.
+
+    Both start from the outline, which is written once to the checkpoint folder; an edge takes far less there than its segments.
+    """
+    outline = contours.written(merged_edges(boxes, keys, rings, **kw), "outline")
+    # A file of edges makes many segments, so its rows are dealt to as many tasks as these need.
+    outline = outline.repartition(tiling.parts_for(outline.sparkSession, outline.count(), EDGES), *keys, "x0", "y0")
+    cut = cut_edges(outline, corner, maximum, polarity)
     return seg.owners(cut, grid), seg.memberships(cut, grid, limit=limit)
 
 
 def write_problem(segments: DataFrame, members: DataFrame, path: str) -> None:
-    """Both tables as one versioned archive."""
-    archive.write_archive({"segments": segments, "members": members}, path, PROBLEM, 1)
+    """Both tables as one versioned archive.
+
+    An edge and a segment's place on it are stored, which repeat and take little; endpoints are computed from them again.
+    """
+    archive.write_archive({"segments": segments.drop(*DERIVED), "members": members.drop(*DERIVED)}, path, PROBLEM, 1)
 
 
 def problem(spark: SparkSession, source, grid: tiling.Grid, corner: float, maximum: float, schemas=None, **kw):
@@ -56,7 +69,8 @@ def problem(spark: SparkSession, source, grid: tiling.Grid, corner: float, maxim
         return prepare_problem(source, grid, corner, maximum, **kw)
     fields = schemas or {"segments": KNOWN, "members": KNOWN}
     tables, _ = archive.read_archive(spark, source, PROBLEM, [1], fields)
-    return tables["segments"], tables["members"]
+    segments, members = (seg.endpoints(contours.with_length(tables[n])) for n in ("segments", "members"))
+    return segments, seg.segment_box(members)
 
 
 def prepare_macro(shapes: DataFrame, context, ownership, grid: tiling.Grid, corner: float,
