@@ -466,7 +466,8 @@ def oversized_tiles(spark, sf_dir):
  UNION ALL SELECT 'polygons', count(*) FROM solid) SELECT name, rows FROM s""")
 def archive_counts(spark, sf_dir):
     """Row counts as an archive of the prepared tables records them."""
-    tables = {"edges": edges(spark, sf_dir), "segments": segments(spark, sf_dir), "polygons": T.rings(spark, sf_dir)}
+    # Endpoints and lengths follow from edges and places on them, as in `prepare.write_problem`.
+    tables = {"edges": edges(spark, sf_dir), "segments": segments(spark, sf_dir).drop(*prepare.DERIVED), "polygons": T.rings(spark, sf_dir)}
     path = scratch(spark, "archive")
     archive.write_archive(tables, path, "prepared", 1)
     found, _ = archive.read_archive(spark, path, "prepared", [1], {n: df.schema for n, df in tables.items()})
