@@ -103,42 +103,64 @@ def macro_of(df: DataFrame, macros: tiling.Grid, grid: tiling.Grid, name="macro_
     return found.withColumn(name, F.when(F.col("core_id") >= 0, F.col(name)).otherwise(F.lit(-1).cast("long")))
 
 
-def prepare_macros(shapes: DataFrame, macros: tiling.Grid, grid: tiling.Grid, corner: float, maximum: float,
-                   keys=("layer",), polarity: str = "clear", rings: bool = True, only: DataFrame | None = None, **kw) -> DataFrame:
-    """Owned segments of every macro (of `only` some: macro_id), each prepared from the whole shapes that touch its context.
+def macro_edges(shapes: DataFrame, macros: tiling.Grid, keys=("layer",), rings: bool = True, only: DataFrame | None = None, **kw) -> DataFrame:
+    """Merged edges (macro_id, keys, ...) of every macro (of `only` some: macro_id), each from the whole shapes that touch its context.
 
-    `macros` is a grid of whole tiles; its halo is the context. A segment is as in the whole if its edge
-    lies inside the context; `open` marks those whose edge reaches the context's border, where shapes that
-    the macro does not see may change the edge, so that a wider halo is needed.
+    An edge is as in the whole if it lies inside the context; `open` marks those that reach the context's border.
     """
     near = tiling.membership(shapes, macros, clamp=False).withColumnRenamed("core_id", "macro_id")
     if only is not None:
         near = near.join(only.select("macro_id").hint("merge"), "macro_id", "left_semi")
-    cut = cut_edges(merged_edges(near, ("macro_id", *keys), rings, **kw), corner, maximum, polarity)
-    owned = macro_of(seg.owners(cut, grid), macros, grid, "_macro").filter("_macro = macro_id").drop("_macro")
+    edges = merged_edges(near, ("macro_id", *keys), rings, **kw)
     n, h = F.lit(macros.columns), macros.halo
     row, column = tiling.floor_div("macro_id", macros.columns), F.pmod("macro_id", n)
     inside = ((F.least("x0", "x1") > macros.x.low(column) - h) & (F.greatest("x0", "x1") < macros.x.high(column) + h) &
               (F.least("y0", "y1") > macros.y.low(row) - h) & (F.greatest("y0", "y1") < macros.y.high(row) + h))
-    return owned.withColumn("open", ~inside)
+    return edges.withColumn("open", ~inside)
+
+
+def macro_segments(edges: DataFrame, macros: tiling.Grid, grid: tiling.Grid, corner: float, maximum: float, polarity: str = "clear") -> DataFrame:
+    """Segments of `macro_edges` that the edge's own macro owns."""
+    cut = seg.owners(cut_edges(edges, corner, maximum, polarity), grid)
+    return macro_of(cut, macros, grid, "_macro").filter("_macro = macro_id").drop("_macro")
 
 
-def closed_macros(shapes: DataFrame, macros: tiling.Grid, grid: tiling.Grid, corner: float, maximum: float, **kw) -> DataFrame:
+def prepare_macros(shapes: DataFrame, macros: tiling.Grid, grid: tiling.Grid, corner: float, maximum: float,
+                   keys=("layer",), polarity: str = "clear", rings: bool = True, only: DataFrame | None = None, **kw) -> DataFrame:
+    """Owned segments of every macro (of `only` some: macro_id), each prepared from the whole shapes that touch its context.
+
+    `macros` is a grid of whole tiles; its halo is the context. A segment is as in the whole if its edge
+    lies inside the context; `open` marks those whose edge reaches the context's border, where shapes that
+    the macro does not see may change the edge, so that a wider halo is needed.
+    """
+    edges = macro_edges(shapes, macros, keys, rings, only, **kw)
+    owned = macro_segments(edges.withColumnRenamed("open", "_open"), macros, grid, corner, maximum, polarity)
+    return owned.select("*", F.col("_open").alias("open")).drop("_open")
+
+
+def closed_macros(shapes: DataFrame, macros: tiling.Grid, grid: tiling.Grid, corner: float, maximum: float,
+                  keys=("layer",), polarity: str = "clear", rings: bool = True, **kw) -> DataFrame:
     """Owned segments of every macro as in the whole, with the halo that each macro needs.
 
     Macros with open segments are prepared again with twice the halo, until none is left; a macro whose context
     holds all shapes has none. So steps number the logarithm of the longest edge over the first halo, and
     only macros that long edges leave take part in the later ones. Adds `halo`, the one that was enough.
+
+    A step writes its edges, which take far less than their segments, and cuts only the open ones; the edges that
+    hold are cut once, after the last step.
     """
     done, only, halo = [], None, max(macros.halo, 1)
     while True:
         wide = tiling.Grid(macros.x, macros.y, halo)
-        cut = prepare_macros(shapes, wide, grid, corner, maximum, only=only, **kw).checkpoint()
-        only = cut.filter("open").select("macro_id").distinct().checkpoint()
-        done.append(cut.join(only.hint("merge"), "macro_id", "left_anti").drop("open").withColumn("halo", F.lit(halo).cast("long")))
+        edges = contours.written(macro_edges(shapes, wide, keys, rings, only, **kw), "macro_edges")
+        only = macro_segments(edges.filter("open"), macros, grid, corner, maximum, polarity).select("macro_id").distinct().checkpoint()
+        done.append(edges.drop("open").join(F.broadcast(only), "macro_id", "left_anti").withColumn("halo", F.lit(halo).cast("long")))
         if only.isEmpty():
-            return reduce(DataFrame.unionByName, done)
+            break
         halo *= 2
+    held = reduce(DataFrame.unionByName, done)
+    held = held.repartition(tiling.parts_for(held.sparkSession, held.count(), EDGES), "macro_id", *keys, "x0", "y0")
+    return macro_segments(held, macros, grid, corner, maximum, polarity)
 
 
 def _tiles_inside(grid: tiling.Grid, box):

@@ -31,3 +31,19 @@ def test_an_archive_stores_no_derived_columns(spark, boxes, tmp_path):
         assert sorted(b.columns) == cols
         assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
         assert [f.dataType for f in a.select(cols).schema] == [f.dataType for f in b.select(cols).schema]
+
+
+def test_widening_macros_write_edges_and_cut_the_open_ones_only(spark, boxes, monkeypatch):
+    columns, cut = [], []
+    written, cut_edges = contours.written, prepare.cut_edges
+    monkeypatch.setattr(contours, "written", lambda df, name: columns.append(set(df.columns)) or written(df, name))
+    monkeypatch.setattr(prepare, "cut_edges", lambda e, *a, **kw: cut.append(e.count()) or cut_edges(e, *a, **kw))
+    shapes = boxes((0, 0, 20, 20), (40, 40, 60, 60), (210, 10, 230, 30), (5, 310, 395, 318), (300, 300, 320, 320))
+    macros = tiling.Grid.even((0, 0, 400, 400), 100, 30)
+    closed = prepare.closed_macros(shapes, macros, GRID, 5, 20, rings=False)
+    assert all("seg_ord" not in c for c in columns) and len(columns) == len(cut) - 1 > 1
+    assert max(cut[:-1]) < cut[-1]
+    cols = ["layer", "core_id", "sx", "sy", "ex", "ey", "nx", "ny"]
+    whole, _ = prepare.prepare_problem(shapes, GRID, 5, 20, rings=False)
+    assert sorted(map(tuple, closed.select(cols).collect())) == sorted(map(tuple, whole.filter("core_id >= 0").select(cols).collect()))
+    assert closed.select("halo").distinct().count() > 1
