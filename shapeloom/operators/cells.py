@@ -45,6 +45,17 @@ def _runs(count):
     return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
 
 
+def ordered(key):
+    """(key in order, places): like argsort, by one sort of numbers that hold the key and the place, where both fit."""
+    n = len(key)
+    bits = max(1, n - 1).bit_length() if n else 1
+    if not n or int(key.min()) < 0 or int(key.max()) >> (63 - bits):
+        order = np.argsort(key, kind="stable")
+        return key[order], order
+    both = np.sort(key << bits | np.arange(n))
+    return both >> bits, both & ((1 << bits) - 1)
+
+
 def swept(g, l, b, r, t, wa, wb, hit, size: int, strip: int):
     """Disjoint rectangles (g, l, b, r, t) where `hit` holds of the two sums of weights.
 
@@ -57,7 +68,8 @@ def swept(g, l, b, r, t, wa, wb, hit, size: int, strip: int):
     left, right = np.maximum(l[row], c * strip), np.minimum(r[row], (c + 1) * strip)
     base = (g[row] * per + c) * (strip + 1)
     kl, kr = base + left - c * strip, base + right - c * strip
-    cuts = np.unique(np.concatenate([kl, kr]))
+    cuts = np.sort(np.concatenate([kl, kr]))
+    cuts = cuts[np.diff(cuts, prepend=-1) > 0]
     first, last = np.searchsorted(cuts, kl), np.searchsorted(cuts, kr)
     load = np.cumsum(np.bincount(first, minlength=len(cuts)) - np.bincount(last, minlength=len(cuts)))
     before, s0, found = np.concatenate([[0], np.cumsum(2 * load)]), 0, []
@@ -67,9 +79,7 @@ def swept(g, l, b, r, t, wa, wb, hit, size: int, strip: int):
         lo, of = np.maximum(first[some], s0), row[some]
         piece, at = _runs(np.minimum(last[some], s1) - lo)
         slab, of = lo[piece] + at, of[piece]
-        key = np.concatenate([slab * step + b[of], slab * step + t[of]])
-        order = np.argsort(key, kind="stable")
-        key = key[order]
+        key, order = ordered(np.concatenate([slab * step + b[of], slab * step + t[of]]))
         end = np.append(key[1:] != key[:-1], True) if len(key) else np.zeros(0, bool)
         sums = [np.cumsum(np.concatenate([w[of], -w[of]])[order])[end] for w in (wa, wb)]
         key, state = key[end], hit(sums[0] > 0, sums[1] > 0)
@@ -86,7 +96,7 @@ def swept(g, l, b, r, t, wa, wb, hit, size: int, strip: int):
 
 def _widened(g, l, b, r, t, step: int):
     """Disjoint rectangles with those of equal height that stand side by side made one."""
-    order = (np.argsort(((g * step + b) * step + t) * step + l) if len(g) and (int(g[-1]) + 1) * step ** 3 < 1 << 62
+    order = (ordered(((g * step + b) * step + t) * step + l)[1] if len(g) and (int(g[-1]) + 1) * step ** 3 < 1 << 62
              else np.lexsort((l, t, b, g)))
     g, l, b, r, t = (v[order] for v in (g, l, b, r, t))
     new = np.ones(len(g), bool)
@@ -98,8 +108,8 @@ def _widened(g, l, b, r, t, step: int):
 def summed(line, lo, hi, s, step: int):
     """Spans (line, lo, hi, sum) of constant sum other than 0 of signed spans on lines."""
     key = np.concatenate([line * step + lo, line * step + hi])
-    order = np.argsort(key, kind="stable")
-    key, total = key[order], np.cumsum(np.concatenate([s, -s])[order])
+    key, order = ordered(key)
+    total = np.cumsum(np.concatenate([s, -s])[order])
     end = np.append(key[1:] != key[:-1], True) if len(key) else np.zeros(0, bool)
     key, total = key[end], total[end]
     turn = np.append(True, total[1:] != total[:-1]) if len(key) else end

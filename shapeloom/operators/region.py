@@ -17,8 +17,8 @@ CELL = 2048
 STRIPS = 16
 # Spans are joined in stretches of this many cells before they are joined over the layout.
 BLOCK = 128
-# Clipped boxes that a task takes at a time, in whole cells.
-ROWS = 1 << 17
+# Clipped boxes that a task takes at a time, in whole cells: few enough that their events stay near the processor.
+ROWS = 1 << 14
 
 PREDICATES = {
     "union": lambda a, b: a | b,

@@ -65,3 +65,14 @@ def test_macros_of_owners_stay_short_expressions(spark):
     found = prepare.macro_of(seg.owners(cut, grid), macros, grid).filter("macro_id >= -1")
     assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 12_000
     assert [(r["core_id"], r["macro_id"]) for r in found.orderBy("sx").collect()] == [(-1, -1), (8, 2)]
+
+
+def test_ordered_keys_and_places_agree_with_argsort():
+    rng = np.random.default_rng(5)
+    for top in (1 << 30, 1 << 62):  # the second leaves no room for the places
+        key = np.concatenate([rng.integers(0, top, 500), rng.integers(0, 20, 500), [top - 1]])
+        got, at = cells.ordered(key)
+        assert np.array_equal(at, np.argsort(key, kind="stable")) and np.array_equal(got, key[at])
+    for key in (np.zeros(0, np.int64), np.array([-3, 5, -3])):
+        got, at = cells.ordered(key)
+        assert np.array_equal(got, np.sort(key)) and np.array_equal(key[at], got)
