@@ -6,6 +6,8 @@ coordinates, which form slabs; each shape gives +1/-1 events on y for the slabs
 per side tells where the requested predicate holds (`cells`, many blocks at a time). There is one plan for
 every input: copies of a box are merged on the map side, and one shuffle by block serves all that follows.
 """
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
@@ -82,31 +84,46 @@ def line_sweep(spans: DataFrame, part, keep, weights=("s",), predicate=None) ->
     return out.select(*keep, F.col("pos").alias("lo"), "hi", F.col("v").alias("s"))
 
 
-def _dealt(a: DataFrame, b: DataFrame | None, keys, cell: int, partitions) -> DataFrame:
-    """Boxes of both sides with weights wa and wb, clipped to cells; rows of a cell follow each other in one task."""
+def _dealt(sides, keys, cell: int, partitions) -> DataFrame:
+    """Boxes of all sides with their side's number and weight w, clipped to cells; rows of a cell follow each other in one task."""
     def rows(df, side):
         weight = F.col("w") if "w" in df.columns else F.lit(1).cast("long")
         return df.select(*keys, *[F.col(c).cast("long").alias(c) for c in "lbrt"], F.lit(side).alias("side"), weight.alias("w"))
 
-    both = rows(a, 0) if b is None else rows(a, 0).unionByName(rows(b, 1))
+    both = reduce(DataFrame.unionByName, [rows(df, i) for i, df in enumerate(sides)])
     both = both.filter((F.col("l") < F.col("r")) & (F.col("b") < F.col("t")))
     where = ["cx", "cy", *keys]
-    pieces = cell_pieces(both, keys, cell).select(
-        *where, "l", "b", "r", "t", F.when(F.col("side") == 0, F.col("w")).otherwise(0).cast("long").alias("wa"),
-        F.when(F.col("side") == 1, F.col("w")).otherwise(0).cast("long").alias("wb"))
-    return pieces.repartition(partitions or shuffle_partitions(a), *where).sortWithinPartitions(*where)
-
-
-def _by_cells(pieces: DataFrame, op: str, keys, cell: int, fields, solve) -> DataFrame:
+    pieces = cell_pieces(both, keys, cell).select(*where, "l", "b", "r", "t", "side", F.col("w").cast("long").alias("w"))
+    return pieces.repartition(partitions or shuffle_partitions(sides[0]), *where).sortWithinPartitions(*where)
+
+
+def _stepped(g, box, side, w, n: int, steps, cell: int, strip: int):
+    """Rectangles (g, l, b, r, t) of the last one of `steps` on boxes of `n` sides."""
+    made = []
+    for op, *of in steps:
+        parts = []
+        for place, i in enumerate(of):
+            if i < n:
+                rows = np.flatnonzero(side == i)
+                parts.append((g[rows], *[v[rows] for v in box], w[rows], place))
+            else:
+                parts.append((*made[i - n], np.ones(len(made[i - n][0]), np.int64), place))
+        at = [np.concatenate([p[k] for p in parts]) for k in range(6)]
+        place = np.repeat([p[6] for p in parts], [len(p[0]) for p in parts])
+        made.append(cells.swept(*at[:5], *[np.where(place == k, at[5], 0) for k in (0, 1)], PREDICATES[op], cell, strip))
+    return made[-1]
+
+
+def _by_cells(pieces: DataFrame, n: int, steps, keys, cell: int, fields, solve) -> DataFrame:
     """Sweep whole cells and give the key columns and what `solve` makes of the rectangles and the cells' corners."""
-    where, hit, strip = ["cx", "cy", *keys], PREDICATES[op], max(1, cell // STRIPS)
+    where, strip = ["cx", "cy", *keys], max(1, cell // STRIPS)
     schema = T.StructType([*[pieces.schema[c] for c in where], *fields])
 
     def task(batches):
         for t, g in cells.whole_groups(batches, where, ROWS):
             x, y = (t.column(c).to_numpy() * cell for c in ("cx", "cy"))
-            v = [t.column(c).to_numpy() for c in ("l", "b", "r", "t", "wa", "wb")]
-            rects = cells.swept(g, v[0] - x, v[1] - y, v[2] - x, v[3] - y, v[4], v[5], hit, cell, strip)
+            v = [t.column(c).to_numpy() for c in ("l", "b", "r", "t", "side", "w")]
+            rects = _stepped(g, (v[0] - x, v[1] - y, v[2] - x, v[3] - y), v[4], v[5], n, steps, cell, strip)
             first = np.flatnonzero(np.diff(g, prepend=-1))
             of, columns = solve(rects, x[first], y[first])
             names = t.select(where).take(pa.array(first[of]))
@@ -116,23 +133,41 @@ def _by_cells(pieces: DataFrame, op: str, keys, cell: int, fields, solve) -> Dat
     return pieces.mapInArrow(task, schema)
 
 
-def sweep(a: DataFrame, b: DataFrame | None = None, op: str = "union", *,
-          keys=("layer",), cell: int = CELL, partitions: int | None = None) -> DataFrame:
-    """Disjoint rectangles (keys, cx, cy, l, b, r, t) where the set predicate holds.
+def _two(a, b, op):
+    """Sides and steps of one operation."""
+    return ([a], [(op, 0)]) if b is None else ([a, b], [(op, 0, 1)])
 
-    Inputs need the key columns and l, b, r, t; an integer column `w` gives signed boxes,
-    whose sum of weights must be positive exactly where the shape is. The result keeps its cell columns.
+
+def chain(sides, steps, *, keys=("layer",), cell: int = CELL, partitions: int | None = None) -> DataFrame:
+    """Disjoint rectangles (keys, cx, cy, l, b, r, t) of set operations that follow each other, as `sweep` gives them one by one.
+
+    `steps` are tuples of a predicate and of one or two numbers: of `sides`, or from len(sides) on of the steps before. A set
+    operation needs no more of a side than its part of the cell, so every step is swept cell by cell, after one shuffle of the sides.
     """
-    keys = list(keys)
+    keys, sides, steps = list(keys), list(sides), [tuple(s) for s in steps]
+    for k, (op, *of) in enumerate(steps):
+        if op not in PREDICATES or not 1 <= len(of) <= 2 or any(not 0 <= i < len(sides) + k for i in of):
+            raise ValueError(f"step {k} needs a predicate and one or two sides or steps before it: {steps[k]}")
 
     def solve(rects, x, y):
         g, l, b, r, t = rects
         return g, (l + x[g], b + y[g], r + x[g], t + y[g])
 
-    found = _by_cells(_dealt(a, b, keys, cell, partitions), op, keys, cell, [T.StructField(c, T.LongType()) for c in "lbrt"], solve)
+    found = _by_cells(_dealt(sides, keys, cell, partitions), len(sides), steps, keys, cell,
+                      [T.StructField(c, T.LongType()) for c in "lbrt"], solve)
     return found.select(*keys, "cx", "cy", "l", "b", "r", "t")
 
 
+def sweep(a: DataFrame, b: DataFrame | None = None, op: str = "union", *,
+          keys=("layer",), cell: int = CELL, partitions: int | None = None) -> DataFrame:
+    """Disjoint rectangles (keys, cx, cy, l, b, r, t) where the set predicate holds.
+
+    Inputs need the key columns and l, b, r, t; an integer column `w` gives signed boxes,
+    whose sum of weights must be positive exactly where the shape is. The result keeps its cell columns.
+    """
+    return chain(*_two(a, b, op), keys=keys, cell=cell, partitions=partitions)
+
+
 def outline(a: DataFrame, b: DataFrame | None = None, op: str = "union", *,
             keys=("layer",), cell: int = CELL, partitions: int | None = None) -> DataFrame:
     """Maximal boundary edges (keys, horizontal, coord, lo, hi, s) of where the set predicate holds.
@@ -141,7 +176,7 @@ def outline(a: DataFrame, b: DataFrame | None = None, op: str = "union", *,
     their cell, where most edges are complete; only spans that touch a cell's border are shuffled: they are
     summed per line and stretch of cells, and then over the whole line.
     """
-    keys = list(keys)
+    keys, (sides, steps) = list(keys), _two(a, b, op)
 
     def solve(rects, x, y):
         g, flat, coord, lo, hi, s = cells.outlined(*rects, cell)
@@ -153,7 +188,7 @@ def outline(a: DataFrame, b: DataFrame | None = None, op: str = "union", *,
     fields = [T.StructField("horizontal", T.BooleanType()), *[T.StructField(c, long) for c in ("coord", "lo", "hi", "s")],
               T.StructField("inner", T.BooleanType())]
     # Both parts read the same shuffled cells; sweeping these twice is cheaper than a shuffle of all edges.
-    spans = _by_cells(_dealt(a, b, keys, cell, partitions), op, keys, cell, fields, solve)
+    spans = _by_cells(_dealt(sides, keys, cell, partitions), len(sides), steps, keys, cell, fields, solve)
     line, cols = [*keys, "horizontal", "coord"], [*keys, "horizontal", "coord", "lo", "hi", "s"]
     return spans.filter("inner").select(*cols).unionByName(
         _joined(spans.filter("not inner").select(*cols), line, keys, cell * BLOCK).select(*cols))
@@ -186,9 +221,7 @@ def symmetric_difference(a, b, **kw):
 
 def replace_local(target, reference, current, *, keys=("layer",), **kw):
     """`(target - reference) + current`."""
-    cols = [*keys, "l", "b", "r", "t"]
-    kept = difference(target, reference, keys=keys, **kw).select(*cols)
-    return union(kept.unionByName(current.select(*cols)), keys=keys, **kw)
+    return chain([target, reference, current], [("difference", 0, 1), ("union", 3, 2)], keys=keys, **kw)
 
 
 def polarity_complement(boxes, field, *, keys=("layer",), **kw):

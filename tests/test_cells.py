@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shapeloom.operators import cells, region
 
@@ -76,3 +77,40 @@ def test_ordered_keys_and_places_agree_with_argsort():
     for key in (np.zeros(0, np.int64), np.array([-3, 5, -3])):
         got, at = cells.ordered(key)
         assert np.array_equal(got, np.sort(key)) and np.array_equal(key[at], got)
+
+
+def test_chained_operations_equal_single_ones_after_one_shuffle(spark):
+    import random
+    from shapeloom.operators import region
+    rnd = random.Random(9)
+
+    def some(n):
+        rows = []
+        for _ in range(n):
+            l, b = rnd.randrange(-40, 120), rnd.randrange(-40, 120)
+            rows += [(rnd.choice([1, 2]), l, b, l + rnd.randrange(0, 50), b + rnd.randrange(1, 50))] * rnd.choice([1, 1, 3])
+        return spark.createDataFrame(rows, "layer int, l long, b long, r long, t long")
+
+    def points(df):
+        out = set()
+        for k, l, b, r, t in df.select("layer", "l", "b", "r", "t").collect():
+            new = {(k, x, y) for x in range(l, r) for y in range(b, t)}
+            assert not new & out  # rectangles are disjoint
+            out |= new
+        return out
+
+    a, b, c = some(25), some(25), some(8)
+    pa_, pb, pc = (points(region.union(df, cell=32)) for df in (a, b, c))
+    both = region.replace_local(a, b, c, cell=32)
+    assert points(both) == (pa_ - pb) | pc
+    assert both._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    # A side is used twice, and a step by two later ones.
+    steps = [("union", 0), ("xor", 3, 1), ("intersection", 4, 3), ("difference", 5, 2)]
+    assert points(region.chain([a, b, c], steps, cell=32)) == (pa_ - pb) - pc
+    assert region.chain([a], [("union", 0), ("xor", 1, 0)], cell=32).isEmpty()
+    # Signed boxes keep their weights in a chain.
+    signed = a.withColumn("w", F.lit(1)).unionByName(a.withColumn("w", F.lit(-1))).unionByName(c.withColumn("w", F.lit(2)))
+    assert points(region.chain([signed, b], [("union", 0), ("difference", 2, 1)], cell=32)) == pc - pb
+    for bad in ([("union", 1)], [("union", 0), ("xor", 0, 2)], [("nand", 0)], [("xor", 0, 0, 0)]):
+        with pytest.raises(ValueError):
+            region.chain([a], bad)
