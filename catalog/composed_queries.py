@@ -50,7 +50,7 @@ def polarity_complement_area(spark, sf_dir):
 def empty_differences(spark, sf_dir):
     """The merged shapes and the shapes themselves have no difference."""
     b = T.boxes(spark, sf_dir)
-    rest = region.symmetric_difference(region.union(b).select("layer", "l", "b", "r", "t"), b)
+    rest = region.chain([b], [("union", 0), ("xor", 1, 0)])
     count = rest.groupBy("layer").agg(F.count("*").alias("n"))
     return b.select("layer").distinct().join(count, "layer", "left").select(
         "layer", F.coalesce("n", F.lit(0)).alias("rectangles"))
