@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from shapeloom.functions.scalars import floor_div
-from shapeloom.operators.cells import whole_groups
+from shapeloom.operators.cells import ordered, whole_groups
 
 LONG = T.LongType()
+# Edges that a task takes at a time, in whole blocks.
+ROWS = 1 << 15
 # Of an edge: the first edge of its chain (of a ring: the smallest) and the number of edges from there;
 # of a ring: its size. On a chain's first edge also: its length, its smallest edge and where that is, and its last edge, if that leaves the block.
 CHAIN = ["hx0", "hy0", "hx1", "hy1", "pos", "n", "len", "lx0", "ly0", "lx1", "ly1", "low", "tx0", "ty0", "tx1", "ty1"]
@@ -29,8 +31,7 @@ def successors(arrives, leaves, into, out):
     side) keeps them apart; at most one edge leaves a vertex in each direction.
     """
     code = leaves * 4 + out
-    order = np.argsort(code)
-    code, ends = code[order], np.sort(arrives)
+    (code, order), ends = ordered(code), np.sort(arrives)
     if not len(code):
         return np.full(len(arrives), -1)
     first, last = np.searchsorted(code, arrives * 4), np.searchsorted(code, arrives * 4 + 4)
@@ -114,7 +115,7 @@ def _solved(x0, y0, x1, y1, group, left, low, block: int):
     return out, [px, py, *[columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c]) for c in CHAIN]]
 
 
-def contracted(edges: DataFrame, keys, block: int, rows: int = 1 << 18) -> DataFrame:
+def contracted(edges: DataFrame, keys, block: int, rows: int | None = None) -> DataFrame:
     """Edges (keys, x0, y0, x1, y1) with px, py and the CHAIN columns, by blocks of the plane: one shuffle."""
     where, names = [*keys, "_bx", "_by"], [*keys, "x0", "y0", "x1", "y1"]
     ends = [F.struct(floor_div(x, block).alias("x"), floor_div(y, block).alias("y")) for x, y in (("x0", "y0"), ("x1", "y1"))]
@@ -124,7 +125,7 @@ def contracted(edges: DataFrame, keys, block: int, rows: int = 1 << 18) -> DataF
     schema = T.StructType([*[placed.schema[c] for c in names], *[T.StructField(c, LONG) for c in ["px", "py", *CHAIN]]])
 
     def task(batches):
-        for t, g in whole_groups(batches, where, rows):
+        for t, g in whole_groups(batches, where, rows or ROWS):
             at = [t.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1")]
             own, columns = _solved(*at, g, *[t.column(c).to_numpy() * block for c in ("_bx", "_by")], block)
             kept = t.select(names).take(pa.array(own))

@@ -86,3 +86,15 @@ def test_followed_by_arrays():
     head, dist, size = chains.followed(after, np.arange(8))
     assert head.tolist() == [0, 0, 0, 3, 3, 5, 6, 6] and size.tolist() == [3, 3, 3, 0, 0, 1, 2, 2]
     assert dist.tolist() == [0, 1, 2, 0, 1, 0, 0, 1]
+
+
+def test_a_task_holds_few_edges_at_a_time(boxes):
+    """Memory of the workers follows the batch, so it has to stay small; rings do not depend on it."""
+    import pyarrow as pa
+    batches = [pa.record_batch({"k": np.repeat(np.arange(i, i + 1000), 10)}) for i in range(0, 200_000, 1000)]
+    sizes = [t.num_rows for t, _ in chains.whole_groups(iter(batches), ["k"], chains.ROWS)]
+    assert sum(sizes) == 2_000_000 and max(sizes) < 50_000
+    df = boxes(*[(x, y, x + 30, y + 30) for x in range(0, 400, 25) for y in range(0, 200, 40)])
+    edges = outline(df)
+    whole, one = (sorted(map(tuple, chains.contracted(edges, ["layer"], 64, rows).collect()), key=repr) for rows in (None, 1))
+    assert whole == one and len(whole) == edges.count()
