@@ -6,24 +6,34 @@ unit square around a hot point is led through that point. After that, pieces mee
 rounding), and no piece is further than half a unit in x and y from its edge. Results are edges between grid points
 again, so they can be used in turn.
 
-Crossings and hot points are looked for inside cells: an edge is a row in each cell it passes, and a
-crossing counts in the cell that holds it. Coverage is counted along columns: between two neighbouring x of
-piece ends, pieces lie above each other in a fixed order, and a running sum over their signs tells how many
-shapes cover the place below each. Copies of a piece are merged on the map side before that.
+Edges are dealt by cell, and whole cells are taken with arrays (`snap`): an edge is a row in each cell it passes, and a
+crossing counts in the cell that holds it. Coverage is counted in cells too: pieces above each other in a column have a
+fixed order, and what lies below the cell comes in as the cover of its corner, which is a sum over corners. So no row
+is made per column, and no task holds more than the pieces of its cells.
 
-Coordinates and differences must stay below 2**30 in size, so that products of two fit 64 bits; crossings are
-divided as decimals and are exact.
+Coordinates and differences must stay below 2**30 in size, so that products of two fit 64 bits; crossings are exact.
 """
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
-
-from shapeloom.functions.scalars import floor_div, pin
-from shapeloom.operators.contours import ring_edges
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+
+from shapeloom.functions.scalars import floor_div
+from shapeloom.operators import snap
+from shapeloom.operators.cells import whole_groups
+from shapeloom.operators.contours import ring_edges, written
 from shapeloom.operators.region import PREDICATES, shuffle_partitions
 
-# Edges are compared in pairs inside a cell, so it is not much larger than most edges are.
-CELL = 256
-COLUMN = 128
+# Edges are compared in pairs inside a cell, but every edge that crosses its border is a row more, twice.
+CELL = 1024
+COLUMN = 1024
+# Rows that a task takes at a time, in whole cells.
+ROWS = 1 << 14
 PIECE = ["lx", "ly", "hx", "hy"]
+ENDS = ["x0", "y0", "x1", "y1"]
+
+
+def _longs(*names):
+    return [T.StructField(c, T.LongType()) for c in names]
 
 
 def material_edges(shapes: DataFrame, keys=("layer",)) -> DataFrame:
@@ -43,150 +53,169 @@ def box_edges(boxes: DataFrame, keys=("layer",)) -> DataFrame:
     return solid.select(*keys, F.explode(F.array(*sides)).alias("e")).select(*keys, "e.*")
 
 
-def _pieces(edges: DataFrame, keys, wa: Column, wb: Column) -> DataFrame:
-    """Undirected pieces with summed signs: 1 for material below (or right of an upright piece)."""
+def _low_first(edges: DataFrame, keys, wa: Column, wb: Column) -> DataFrame:
+    """Undirected pieces with signs: 1 for material below (or right of an upright piece)."""
     low_first = (F.col("x0") < F.col("x1")) | ((F.col("x0") == F.col("x1")) & (F.col("y0") < F.col("y1")))
     sign = F.when(low_first, 1).otherwise(-1)
     ends = [F.when(low_first, F.col(a)).otherwise(F.col(b)).alias(c)
             for a, b, c in (("x0", "x1", "lx"), ("y0", "y1", "ly"), ("x1", "x0", "hx"), ("y1", "y0", "hy"))]
-    rows = edges.filter("x0 <> x1 or y0 <> y1").select(*keys, *ends, (wa * sign).alias("wa"), (wb * sign).alias("wb"))
+    return edges.filter("x0 <> x1 or y0 <> y1").select(*keys, *ends, (wa * sign).alias("wa"), (wb * sign).alias("wb"))
+
+
+def _summed(rows: DataFrame, keys) -> DataFrame:
+    """One row of each piece."""
     return (rows.groupBy(*keys, *PIECE).agg(F.sum("wa").alias("wa"), F.sum("wb").alias("wb"))
             .filter("wa <> 0 or wb <> 0"))
 
 
-def _in_cells(pieces: DataFrame, cell: int) -> DataFrame:
+def _pieces(edges: DataFrame, keys, wa: Column, wb: Column) -> DataFrame:
+    """Undirected pieces with summed signs."""
+    return _summed(_low_first(edges, keys, wa, wb), keys)
+
+
+def _arrays(batch):
+    """The numbers of a batch's snap."""
+    return [batch.column(c).to_numpy() for c in (*PIECE, "wa", "wb")]
+
+
+def _in_cells(rows: DataFrame, keys, cell: int) -> DataFrame:
     """A row per cell that a piece passes, with a margin of one unit."""
-    dx, dy = F.col("hx") - F.col("lx"), F.col("hy") - F.col("ly")
-    cols = pieces.withColumn("cx", F.explode(F.sequence(floor_div(F.col("lx") - 1, cell), floor_div(F.col("hx") + 1, cell))))
-    a = F.greatest("lx", F.col("cx") * cell - 1)
-    b = F.least("hx", (F.col("cx") + 1) * cell + 1)
-    at = lambda x: F.col("ly") + floor_div(dy * (F.greatest("lx", F.least("hx", x)) - F.col("lx")), F.greatest(dx, F.lit(1)))
-    flat = dx == 0
-    bottom = F.when(flat, F.col("ly")).otherwise(F.least(at(a), at(b)))
-    top = F.when(flat, F.col("hy")).otherwise(F.greatest(at(a), at(b)) + 1)
-    return cols.withColumn("cy", F.explode(F.sequence(floor_div(bottom - 1, cell), floor_div(top + 1, cell))))
+    schema = T.StructType([*[rows.schema[k] for k in keys], *_longs("cx", "cy", *PIECE, "wa", "wb")])
+
+    def task(batches):
+        for batch in batches:
+            lx, ly, hx, hy, *_ = _arrays(batch)
+            for s, e in snap.slices((hx - lx + np.abs(hy - ly)) // cell + 4):
+                row, cx, cy = snap.spread(*[v[s:e] for v in (lx, ly, hx, hy)], cell)
+                some = batch.slice(s, e - s).take(pa.array(row))
+                found = {"cx": pa.array(cx), "cy": pa.array(cy)}
+                yield from _batches([found[c] if c in found else some.column(c) for c in schema.names], schema)
+
+    return rows.select(*keys, *PIECE, "wa", "wb").mapInArrow(task, schema)
+
+
+def _batches(columns, schema):
+    return pa.Table.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=schema.names).to_batches(max_chunksize=1 << 16)
 
 
-def _cross(ax, ay, bx, by):
-    return ax * by - ay * bx
+def _by_cells(spread: DataFrame, keys, cell: int, schema, solve, parts) -> DataFrame:
+    """Whole cells at a time: `solve` gives rows of the table and columns for them."""
+    where = ["cx", "cy", *keys]
+    dealt = spread.repartition(parts, *where).sortWithinPartitions(*where)
 
+    def task(batches):
+        for t, g in whole_groups(batches, where, ROWS):
+            x, y = (t.column(c).to_numpy() * cell for c in ("cx", "cy"))
+            for row, columns in solve(g, x, y, t):
+                yield from _batches([*t.select(list(keys)).take(pa.array(row)).columns, *columns], schema)
 
-def _nearest(start, step, num, den) -> Column:
-    """start + step * num / den, rounded to the nearest integer; exact."""
-    wide = lambda c: c.cast("decimal(19,0)")
-    twice = wide(step) * wide(num) * 2 + wide(den)
-    below = twice - F.pmod(twice, wide(den) * 2)
-    return start + F.call_function("div", below, wide(den) * 2).cast("long")
+    return dealt.mapInArrow(task, schema)
 
 
-def crossings(pieces: DataFrame, keys=("layer",), cell: int = CELL) -> DataFrame:
+def crossings(rows: DataFrame, keys=("layer",), cell: int = CELL) -> DataFrame:
     """Grid points (keys, px, py) nearest to the places where two pieces cross inside both."""
-    return _crossings(_in_cells(pieces.select(*keys, *PIECE), cell), list(keys), cell).distinct()
+    keys = list(keys)
+    rows = rows.select(*keys, *PIECE, F.lit(0).cast("long").alias("wa"), F.lit(0).cast("long").alias("wb"))
+    schema = T.StructType([*[rows.schema[k] for k in keys], *_longs("px", "py")])
 
+    def solve(g, x, y, t):
+        at, px, py = snap.crossings(g, x, y, *_arrays(t)[:4], cell)
+        yield np.searchsorted(g, at), (px, py)
 
-def _crossings(spread: DataFrame, keys, cell) -> DataFrame:
-    where = [*keys, "cx", "cy"]
-    a = spread.select(*where, *PIECE)
-    b = spread.select(*where, *[F.col(c).alias(c + "2") for c in PIECE])
-    ax, ay, bx, by = (F.col(c) for c in PIECE)
-    cx, cy, dx, dy = (F.col(c + "2") for c in PIECE)
-    s1 = _cross(bx - ax, by - ay, cx - ax, cy - ay)
-    s2 = _cross(bx - ax, by - ay, dx - ax, dy - ay)
-    s3 = _cross(dx - cx, dy - cy, ax - cx, ay - cy)
-    s4 = _cross(dx - cx, dy - cy, bx - cx, by - cy)
-    pairs = a.join(b.hint("merge"), where).filter(
-        (ax <= dx) & (cx <= bx) & (F.struct(*PIECE) < F.struct(*[c + "2" for c in PIECE]))
-        & (F.least(ay, by) <= F.greatest(cy, dy)) & (F.least(cy, dy) <= F.greatest(ay, by))
-        & (F.signum(s1.cast("double")) * F.signum(s2.cast("double")) < 0) & (F.signum(s3.cast("double")) * F.signum(s4.cast("double")) < 0))
-    turn = F.when(s3 - s4 < 0, -1).otherwise(1)
-    # Pinned, so that nothing is divided before the pairs are known to cross.
-    points = pin(pairs, px=_nearest(ax, bx - ax, s3 * turn, (s3 - s4) * turn), py=_nearest(ay, by - ay, s3 * turn, (s3 - s4) * turn))
-    return points.filter((floor_div("px", cell) == F.col("cx")) & (floor_div("py", cell) == F.col("cy"))).select(*keys, "px", "py")
-
-
-def _passes() -> Column:
-    """Whether a piece meets the half-open unit square around (px, py): borders below and left belong to it.
-
-    In doubled coordinates corners are odd and ends even, so a piece that only touches does so at one
-    corner, and that counts if it is the lower left one.
+    return _by_cells(_in_cells(rows, keys, cell), keys, cell, schema, solve, shuffle_partitions(rows)).distinct()
+
+
+def _steps(rows: DataFrame, keys, cell: int) -> DataFrame:
+    """Pieces (keys, lx, ly, hx, hy, wa, wb) cut so that they meet at ends only; one may come from several.
+
+    Most steps lie inside a cell, where they are known at once. For the others, points next to a cell's border meet those of other cells
+    along the whole piece.
     """
-    lx, ly, hx, hy = (F.col(c) * 2 for c in PIECE)
-    px, py = F.col("px") * 2, F.col("py") * 2
-    side = [F.signum(_cross(hx - lx, hy - ly, px + i - lx, py + j - ly).cast("double")) for i, j in ((-1, -1), (-1, 1), (1, -1), (1, 1))]
-    both = (F.least(*side) < 0) & (F.greatest(*side) > 0)
-    near = (lx <= px + 1) & (hx >= px - 1) & (F.least(ly, hy) <= py + 1) & (F.greatest(ly, hy) >= py - 1)
-    return near & (both | (side[0] == 0))
+    schema = T.StructType([*[rows.schema[k] for k in keys], *_longs(*PIECE, "wa", "wb", "px", "py"), T.StructField("joined", T.BooleanType())])
+
+    def solve(g, x, y, t):
+        lx, ly, hx, hy, wa, wb = _arrays(t)
+        (i, *ends), (far, px, py, joined) = snap.steps(g, x, y, lx, ly, hx, hy, cell)
+        none = lambda kind: pa.nulls(len(i), kind)
+        yield i, (*ends, wa[i], wb[i], none(pa.int64()), none(pa.int64()), none(pa.bool_()))
+        yield far, (*[v[far] for v in (lx, ly, hx, hy, wa, wb)], px, py, joined)
+
+    if not 0 < cell <= 1 << 20:
+        raise ValueError("cells are of 1 to 2**20 units")
+    # Read twice, so it is written to the checkpoint folder.
+    cut = written(_by_cells(_in_cells(rows, keys, cell), keys, cell, schema, solve, shuffle_partitions(rows)), "steps")
+    along = (F.col("px") - F.col("lx")) * (F.col("hx") - F.col("lx")) + (F.col("py") - F.col("ly")) * (F.col("hy") - F.col("ly"))
+    w = W.partitionBy(*PIECE, *keys).orderBy(along)
+    far = cut.filter("joined is not null").withColumns({"x0": F.lag("px").over(w), "y0": F.lag("py").over(w)}).filter("not joined and x0 is not null")
+    far = written(far.select(*keys, "x0", "y0", F.col("px").alias("x1"), F.col("py").alias("y1"), "wa", "wb"), "far_steps")
+    near = cut.filter("joined is null").select(*keys, *[F.col(c).alias(a) for c, a in zip(PIECE, ENDS)], "wa", "wb")
+    return _low_first(near.unionByName(far), keys, F.col("wa"), F.col("wb"))
 
 
-def snapped(pieces: DataFrame, keys=("layer",), cell: int = CELL) -> DataFrame:
+def snapped(rows: DataFrame, keys=("layer",), cell: int = CELL) -> DataFrame:
     """Pieces (keys, lx, ly, hx, hy, wa, wb) cut so that they meet at ends only."""
     keys = list(keys)
-    # Dealt by cell once for both joins; pairs multiply the rows, so these tasks must not be merged by size.
-    spread = _in_cells(pieces, cell).repartition(shuffle_partitions(pieces), *keys, "cx", "cy")
-    ends = pieces.select(*keys, F.explode(F.array(F.struct(F.col("lx").alias("px"), F.col("ly").alias("py")),
-                                                  F.struct(F.col("hx").alias("px"), F.col("hy").alias("py")))).alias("p")).select(*keys, "p.*")
-    hot = ends.unionByName(_crossings(spread, keys, cell)).distinct()
-    hot = hot.withColumn("cx", floor_div("px", cell)).withColumn("cy", floor_div("py", cell))
-    on = spread.join(hot.hint("merge"), [*keys, "cx", "cy"]).filter(_passes()).drop("cx", "cy")
-    along = (F.col("px") - F.col("lx")) * (F.col("hx") - F.col("lx")) + (F.col("py") - F.col("ly")) * (F.col("hy") - F.col("ly"))
-    w = W.partitionBy(*keys, *PIECE).orderBy(along)
-    steps = on.select(*keys, "wa", "wb", F.col("px").alias("x0"), F.col("py").alias("y0"),
-                      F.lead("px").over(w).alias("x1"), F.lead("py").over(w).alias("y1")).filter("x1 is not null")
-    return _pieces(steps, keys, F.col("wa"), F.col("wb"))
-
-
-def _with_cover(pieces: DataFrame, keys, column: int) -> DataFrame:
-    """Snapped pieces with the numbers of shapes below them (left of upright ones): ca, cb."""
-    upright = F.col("lx") == F.col("hx")
-    points = pieces.select(*keys, F.explode(F.array("lx", "hx")).alias("x"))
-    inner = points.filter(F.pmod("x", F.lit(column)) != 0).withColumn("c", floor_div("x", column))
-    cuts = inner.groupBy(*keys, "c").agg(F.sort_array(F.collect_set("x")).alias("xs"))  # fewer than `column` of them
-    first = floor_div(F.when(upright, F.col("lx") - 1).otherwise(F.col("lx")), column)
-    rows = pieces.withColumn("c", F.explode(F.sequence(first, floor_div(F.col("hx") - 1, column))))
-    rows = rows.join(cuts.hint("merge"), [*keys, "c"], "left")
-    borders = F.array(F.col("c") * column), F.array((F.col("c") + 1) * column)
-    marks = F.concat(borders[0], F.coalesce("xs", F.array().cast("array<bigint>")), borders[1])
-    # Slabs that a piece crosses; of an upright one that to its left.
-    rows = rows.withColumn("marks", F.filter(marks, lambda x: F.when(upright, x <= F.col("lx")).otherwise(
-        (x >= F.col("lx")) & (x <= F.col("hx")))))
-    rows = rows.withColumn("marks", F.when(upright, F.slice("marks", -2, 2)).otherwise(F.col("marks")))
-    slabs = F.transform(F.slice("marks", F.lit(1), F.size("marks") - 1), lambda x, i: F.struct(x.alias("sl"), F.get("marks", i + 1).alias("sr")))
-    rows = rows.drop("xs").withColumn("s", F.explode(slabs)).select(*keys, *PIECE, "wa", "wb", "s.sl", "s.sr")
-
-    # Heights of pieces at half of a doubled x, in whole units and 64 bits below the point. Heights that differ do so by
-    # 2**-60 at least, so the order is exact.
-    run = F.when(upright, 2).otherwise((F.col("hx") - F.col("lx")) * 2)
-
-    def rise(twice_x):
-        return F.when(upright, F.col("hy") - F.col("ly")).otherwise((F.col("hy") - F.col("ly")) * (twice_x - F.col("lx") * 2))
-
-    def height(name):
-        rest = F.pmod(name, "run")
-        upper, left = F.call_function("div", rest * (1 << 32), F.col("run")), F.pmod(rest * (1 << 32), "run")
-        return [(F.col("ly") + floor_div(name, F.col("run"))).alias(name + "_y"),
-                ((upper - (1 << 31)) * (1 << 32) + F.call_function("div", left * (1 << 32), F.col("run"))).alias(name + "_f")]
-
-    rows = rows.select("*", run.alias("run"), rise(F.col("sr") * 2).alias("right"), rise(F.col("sl") + F.col("sr")).alias("middle"))
-    rows = rows.select(*keys, *PIECE, "wa", "wb", "sl", "sr", *height("right"), *height("middle"))
-    below = W.partitionBy("sl", "sr", *keys).orderBy("right_y", "right_f", "middle_y", "middle_f").rowsBetween(W.unboundedPreceding, -1)
-    inside = lambda c: F.coalesce(F.sum(F.when(upright, 0).otherwise(-F.col(c))).over(below), F.lit(0))
-    rows = rows.withColumn("ca", inside("wa")).withColumn("cb", inside("wb"))
-    return rows.filter(upright | (F.col("sl") == F.col("lx"))).drop("sl", "sr", "right_y", "right_f", "middle_y", "middle_f")
+    return _summed(_steps(rows, keys, cell), keys)
+
+
+def _seeds(rows: DataFrame, keys, cell: int) -> DataFrame:
+    """(keys, cx, cy, wa, wb): cover of the place half a unit left of and below the corner of each cell where a piece has its low end.
+
+    A piece counts in the lowest corner above it of each line between columns of cells that it crosses; corners are then added up from below.
+    """
+    where = [*keys, "cx", "cy"]
+    schema = T.StructType([*[rows.schema[k] for k in keys], *_longs("cx", "cy", "wa", "wb")])
+
+    def task(batches):
+        for batch in batches:
+            lx, ly, hx, hy, wa, wb = _arrays(batch)
+            for s, e in snap.slices(hx // cell - lx // cell + 1):
+                some = batch.slice(s, e - s)
+                row, *found = snap.seeds(*[v[s:e] for v in (lx, ly, hx, hy, wa, wb)], cell)
+                yield from _batches([*[some.column(k).take(pa.array(row)) for k in keys], *found], schema)
+
+    below = rows.select(*keys, *PIECE, "wa", "wb").mapInArrow(task, schema).groupBy(*where).agg(
+        F.sum("wa").alias("wa"), F.sum("wb").alias("wb"), F.max(F.lit(False)).alias("own"))
+    own = rows.groupBy(*keys, floor_div("lx", cell).alias("cx"), floor_div("ly", cell).alias("cy")).agg(
+        F.lit(0).cast("long").alias("wa"), F.lit(0).cast("long").alias("wb"), F.max(F.lit(True)).alias("own"))
+    w = W.partitionBy("cx", *keys).orderBy("cy")
+    sums = below.unionByName(own).select(*where, "own", *[F.sum(c).over(w).alias(c) for c in ("wa", "wb")])
+    return sums.filter("own and (wa <> 0 or wb <> 0)").drop("own")
+
+
+def _with_cover(rows: DataFrame, keys, cell: int) -> DataFrame:
+    """Snapped pieces with the numbers of shapes below them (left of upright ones): ca, cb. Copies of a piece are summed."""
+    keys = list(keys)
+    schema = T.StructType([*[rows.schema[k] for k in keys], *_longs(*PIECE, "wa", "wb", "ca", "cb")])
+
+    def solve(g, x, y, t):
+        corner = np.flatnonzero(np.diff(g, prepend=-1))
+        x0, y0, v = x[corner], y[corner], _arrays(t)
+        # A cell's seed stands among its pieces as a row without a place.
+        start = t.column("lx").is_null().to_numpy()
+        seeds = [np.bincount(g[start], w[start], len(corner)).astype(np.int64) for w in v[4:]]
+        g, lx, ly, hx, hy, wa, wb = snap.merged(g[~start], *[c[~start].astype(np.int64) for c in v])
+        own, ca, cb = snap.covers(g, x0[g], y0[g], lx, ly, hx, hy, wa, wb, seeds, cell)
+        yield corner[g[own]], (*[c[own] for c in (lx, ly, hx, hy, wa, wb)], ca, cb)
+
+    nowhere = [F.lit(None).cast("long").alias(c) for c in PIECE]
+    spread = _in_cells(rows, keys, cell).unionByName(_seeds(rows, keys, cell).select(*keys, "cx", "cy", *nowhere, "wa", "wb"))
+    return _by_cells(spread, keys, cell, schema, solve, shuffle_partitions(rows))
 
 
 def overlay(a: DataFrame, b: DataFrame | None = None, op: str = "union", *, keys=("layer",), cell: int = CELL,
             column: int = COLUMN) -> DataFrame:
     """Boundary edges (keys, x0, y0, x1, y1) of where the set predicate holds, material on the right.
 
-    `a` and `b` are edges with the material on the right; where an input covers a place more than once it counts once.
+    `a` and `b` are closed outlines as edges with the material on the right; where an input covers a place more than once it
+    counts once. `cell` is the size of the cells in which edges are cut, `column` that of those in which coverage is counted.
     """
     keys = list(keys)
     rows = lambda df, side: df.select(*keys, "x0", "y0", "x1", "y1", F.lit(side).alias("side"))
     both = rows(a, 0) if b is None else rows(a, 0).unionByName(rows(b, 1))
     first = F.when(F.col("side") == 0, 1).otherwise(0)
-    # Both tables are read several times, so they are written to the checkpoint folder.
-    pieces = _pieces(both, keys, first.cast("long"), (1 - first).cast("long")).checkpoint()
-    covered = _with_cover(snapped(pieces, keys, cell).checkpoint(), keys, column)
+    pieces = _pieces(both, keys, first.cast("long"), (1 - first).cast("long"))
+    covered = _with_cover(_steps(pieces, keys, cell), keys, column)
     hit, upright = PREDICATES[op], F.col("lx") == F.col("hx")
     here = hit(F.col("ca") > 0, F.col("cb") > 0)
     turn = F.when(upright, 1).otherwise(-1)
