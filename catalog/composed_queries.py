@@ -554,9 +554,9 @@ def macro_totals(spark, sf_dir):
 @query()
 def update_rounds(spark, sf_dir):
     """Two synchronised rounds over all polygons with an evaluator that prints the mask somewhat fainter."""
-    e = edges(spark, sf_dir).checkpoint()
+    e = edges(spark, sf_dir)
     g = T.grid(spark, sf_dir)
-    s = seg.owners(seg.prepare(e, T.CORNER, T.MAXIMUM), g).checkpoint()
+    s = seg.owners(seg.prepare(e, T.CORNER, T.MAXIMUM), g)
     conditions = F.explode(F.array(*[F.struct(F.lit(n).alias("condition"), F.lit(v).alias("shift")) for n, v in (
         ("nominal", 0.0), ("dose_max", 0.04), ("defocus_min", -0.04))]))
 
@@ -567,4 +567,4 @@ def update_rounds(spark, sf_dir):
     # Polygons of all layers are one mask here.
     e, s = (d.withColumn("layer", F.lit(0)) for d in (e, s))
     settings = rounds.Settings(1, 8.0, 4, 200.0, PIXEL, T.CORNER, T.MAXIMUM, 12.0)
-    return rounds.run(e, s, g, settings, evaluate).rounds
+    return rounds.run(e, s, g, settings, evaluate, parts=T.parts(spark, sf_dir, "orders")).rounds

@@ -18,8 +18,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if name not in SPREAD:
         return df
-    key, rows = SPREAD[name]
-    return df.repartition(tiling.parts_for(spark, df.count(), rows), key)
+    return df.repartition(parts(spark, sf_dir, name), SPREAD[name][0])
+
+
+def parts(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """The number of tasks that `read` deals a table to."""
+    return tiling.parts_for(spark, spark.read.parquet(f"{sf_dir}/{name}.parquet").count(), SPREAD[name][1])
 
 
 def boxes(spark, sf_dir) -> DataFrame:

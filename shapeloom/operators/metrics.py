@@ -1,6 +1,8 @@
 """Image scores: binary mismatch, process band, edge probes, shots, continuous losses."""
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from shapeloom.functions.scalars import pin
+
 IMAGE = ("image_id",)
 
 
@@ -73,6 +75,48 @@ def edge_probes(probes: DataFrame, target: DataFrame, nominal: DataFrame,
                     F.when(i & ~o, 1).when(o & ~i, -1).otherwise(0).alias("direction"))
 
 
+def _rows(pixels: DataFrame, keys) -> DataFrame:
+    """One row per row of an image: its pixels (x, value) in order, from x0 to x1."""
+    on = [*keys, "y"]
+    one = pixels.select(*on, "x", "value").repartition(*on).groupBy(*on, "x").agg(F.max("value").alias("value"))
+    return one.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("x", "value"))).alias("px"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+
+
+def _looked_up(probes: DataFrame, rows: DataFrame, keys, side: str) -> DataFrame:
+    """Add `at`, the value at the rounded inner or outer point; null where the image has no pixel."""
+    x = F.rint(f"{side}_x").cast("int")
+    hit = probes.withColumn("y", F.rint(f"{side}_y").cast("int")).join(rows.hint("merge"), [*keys, "y"], "left")
+    whole = F.get("px", x - F.col("x0"))["value"]
+    some = F.get(F.filter("px", lambda p: p["x"] == x), F.lit(0))["value"]
+    at = F.when(F.size("px") == F.col("x1") - F.col("x0") + 1, whole).otherwise(some)
+    return hit.select(*[hit[c] for c in probes.columns], at.alias("at"))
+
+
+def valid_probes(probes: DataFrame, target: DataFrame, threshold: float = 0.499, keys=IMAGE) -> DataFrame:
+    """Probes that `edge_probes` calls valid; these depend on the target alone.
+
+    A probe stays one row, which meets a row of pixels for each of its points; what the inner point rules out has no outer one looked up.
+    """
+    rows = _rows(target, keys)
+    # Pinned as whole pixels, so that filters do not compute the points again.
+    found = pin(probes, **{c: F.rint(c).cast("int") for c in ("inner_y", "inner_x", "outer_y", "outer_x")})
+    found = found.filter("inner_y <> outer_y or inner_x <> outer_x")
+    for side, hit in (("inner", F.col("at") >= threshold), ("outer", F.col("at") < threshold)):
+        found = _looked_up(found, rows, keys, side).filter(hit).drop("at")
+    return found
+
+
+def valid_scores(valid: DataFrame, nominal: DataFrame, threshold: float = 0.499, keys=IMAGE) -> DataFrame:
+    """What `edge_probes` gives for the probes of `valid_probes`, whose pixels the target has; pixels that are not printed are 0."""
+    rows = _rows(nominal, keys)
+    value = F.coalesce("at", F.lit(0.0))
+    v = _looked_up(valid, rows, keys, "inner").withColumn("inner_violation", value < threshold).drop("at")
+    v = _looked_up(v, rows, keys, "outer").withColumn("outer_violation", value >= threshold)
+    i, o = F.col("inner_violation"), F.col("outer_violation")
+    return v.select("probe_id", *keys, F.lit(True).alias("valid"), i, o, (i & o).alias("ambiguous"),
+                    F.when(i & ~o, 1).when(o & ~i, -1).otherwise(0).alias("direction"))
+
+
 def probe_totals(scored: DataFrame, by=()) -> DataFrame:
     aggs = [F.count_if(F.col("inner_violation") | F.col("outer_violation")).alias("epe"),
             F.count_if("valid").alias("valid"), F.count_if("ambiguous").alias("ambiguous")]

@@ -260,6 +260,37 @@ def test_rounds_reach_a_fixed_point_and_roll_back(spark, polygons):
     assert rows[0]["epe"] == rows[0]["valid"] and rows[0]["moved"] == rows[0]["epe"] and rows[0]["step"] == 4.0
 
 
+def test_valid_probes_are_those_of_edge_probes(spark):
+    k = F.col("id")
+    image = spark.range(2 * 6 * 7).select((k % 2).alias("core_id"), (F.floor(k / 2) % 6).cast("int").alias("y"), F.floor(k / 12).cast("int").alias("x"))
+    target = image.withColumn("value", F.pmod(F.hash("core_id", "y", "x"), F.lit(10)) / 10.0)
+    printed = image.withColumn("value", F.pmod(F.hash("x", "core_id", "y"), F.lit(10)) / 10.0)
+    holes = target.filter("core_id = 0 or x <> 3")  # rows of one image lack a pixel
+    at = [((F.pmod(F.hash(k, F.lit(i)), F.lit(100)) / 10.0) - 1).alias(c) for i, c in enumerate(("inner_x", "inner_y", "outer_x", "outer_y"))]
+    probes = spark.range(800).select(F.struct(k.alias("polygon_id")).alias("probe_id"), (k % 3).alias("core_id"), *at)
+    keys = ("core_id",)
+    for t in (target, holes):
+        want = metrics.edge_probes(probes, t, printed.join(t.select("core_id", "y", "x"), ["core_id", "y", "x"]), 0.5, keys).filter("valid")
+        got = metrics.valid_scores(metrics.valid_probes(probes, t, 0.5, keys), printed, 0.5, keys)
+        assert got.columns == want.columns
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 20
+
+
+def test_rounds_write_no_segments(spark, polygons):
+    """What a round writes follows edges and pixels: long edges make many segments, which are computed again, not stored or dealt."""
+    from shapeloom.schemas import SEGMENT_KEY
+    e = contours.ring_edges(polygons([[(0, 0), (0, 400), (4000, 400), (4000, 0)]]).repartition(3, "polygon_id"), ("layer",))
+    s = seg.owners(seg.prepare(e, 1, 4), tiling.Grid.from_cuts([0, 2000, 4000], [0, 400], 20))
+    moved = s.filter("seg_ord = 5").select(*SEGMENT_KEY, F.lit(2.0).alias("d"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (rounds.shifted(s, moved, 3), rounds.shifts_of(s, moved, 3)):
+        # The source and the shifts are dealt; their segments are not.
+        assert plan(df).count("Exchange") == 2 and plan(df).count("hashpartitioning(polygon_id") == 2 and "Join" not in plan(df)
+        assert df.count() == s.count() and df.filter("d = 2").count() == 4 and df.filter("d = 0").count() == s.count() - 4
+    same = rounds.shifted(s, moved, 3).drop("d")
+    assert same.exceptAll(s.select(*same.columns)).isEmpty()
+
+
 def test_outlines_and_properties_survive_the_hierarchy(spark):
     ring = [[(0, 0), (0, 100), (60, 100), (60, 0)], [(20, 20), (40, 20), (40, 80), (20, 80)]]
     s = spark.createDataFrame([("LEAF", 1, 0, 1, "polygon", 0, 0, 60, 100, ring, {1: "net"}), ("LEAF", 1, 0, 2, "box", 70, 0, 80, 10, None, None)],
