@@ -191,17 +191,9 @@ def macros_equal_whole(spark, sf_dir):
     """Every macro of 4 x 4 tiles prepared on its own: its owned segments are those of the whole."""
     g, shapes = T.grid(spark, sf_dir), T.solid(spark, sf_dir)
     macros = tiling.Grid.even(g.bounds, 4 * T.TILE, 1024)
-    cols = ["layer", "macro_id", "core_id", "sx", "sy", "ex", "ey", "nx", "ny"]
     # Segments are compared by place; they need no numbers of rings.
-    parts = prepare.prepare_macros(shapes, macros, g, T.CORNER, T.MAXIMUM, rings=False).select(
-        *cols, F.lit(1).alias("p"), F.lit(0).alias("w"), F.col("open").cast("int").alias("o"))
-    owned, _ = prepare.prepare_problem(shapes, g, T.CORNER, T.MAXIMUM, rings=False)
-    whole = prepare.macro_of(owned, macros, g).filter("core_id >= 0").select(
-        *cols, F.lit(0).alias("p"), F.lit(1).alias("w"), F.lit(0).alias("o"))
-    both = parts.unionByName(whole).groupBy(*cols).agg(*[F.sum(c).alias(c) for c in "pwo"])
-    return both.groupBy("layer", "macro_id").agg(
-        F.sum("w").alias("owned"), F.sum(F.greatest(F.col("w") - F.col("p"), F.lit(0))).alias("missing"),
-        F.sum(F.greatest(F.col("p") - F.col("w"), F.lit(0))).alias("extra"), F.sum("o").alias("open"))
+    parts, whole = prepare.macro_edges(shapes, macros, rings=False), prepare.merged_edges(shapes, rings=False)
+    return prepare.macro_balance(parts, whole, macros, g, T.CORNER, T.MAXIMUM, tasks=tiling.parts_for(spark, shapes.count(), prepare.EDGES))
 
 
 WIRED = "WITH " + T.SOLID + ", " + sweep_sql("""sides AS (SELECT layer, 0 AS side, l, b, r, t FROM solid UNION ALL

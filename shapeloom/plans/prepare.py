@@ -138,6 +138,36 @@ def prepare_macros(shapes: DataFrame, macros: tiling.Grid, grid: tiling.Grid, co
     return owned.select("*", F.col("_open").alias("open")).drop("_open")
 
 
+def macro_balance(parts: DataFrame, whole: DataFrame, macros: tiling.Grid, grid: tiling.Grid, corner: float, maximum: float,
+                  keys=("layer",), polarity: str = "clear", tasks: int | None = None) -> DataFrame:
+    """Per macro, the segments of `whole` it owns, those missing from or extra in its part, and the open ones (keys, macro_id, owned,
+    missing, extra, open).
+
+    `parts` are `macro_edges`, `whole` the merged edges of all shapes. Edges meet before they are cut: one that is alike in both has alike
+    segments, which are only counted. Segments of other edges are compared one by one, by place. `tasks` is the number that edges are dealt to.
+    """
+    keys, ends = list(keys), ["x0", "y0", "x1", "y1", "nx", "ny"]
+    bare = tiling.Grid(macros.x, macros.y)
+
+    def near(df):
+        """An edge in each macro that its box touches, and so in each that owns a segment of it."""
+        box = df.withColumns({"l": F.least("x0", "x1"), "b": F.least("y0", "y1"), "r": F.greatest("x0", "x1"), "t": F.greatest("y0", "y1")})
+        return tiling.membership(box, bare)
+
+    count = lambda p, w, o: [F.lit(p).alias("p"), F.lit(w).alias("w"), o.alias("o")]
+    own = near(parts).filter("core_id = macro_id").select("macro_id", *keys, *ends, *count(1, 0, F.col("open").cast("int")))
+    all_ = near(whole).select(F.col("core_id").alias("macro_id"), *keys, *ends, *count(0, 1, F.lit(0)))
+    both = own.unionByName(all_).repartition(tasks or region.shuffle_partitions(whole), *ends, "macro_id", *keys)
+    edges = both.groupBy("macro_id", *keys, *ends).agg(*[F.sum(c).alias(c) for c in "pwo"])
+    cut = macro_segments(edges, macros, grid, corner, maximum, polarity).filter("core_id >= 0")
+    place = ["core_id", "sx", "sy", "ex", "ey", "nx", "ny"]
+    unlike = cut.select("macro_id", *keys, *[F.when(F.col("p") != F.col("w"), F.col(c)).alias(c) for c in place], "p", "w", "o")
+    met = unlike.groupBy("macro_id", *keys, *place).agg(*[F.sum(c).alias(c) for c in "pwo"])
+    more = lambda a, b: F.sum(F.greatest(F.col(a) - F.col(b), F.lit(0)))
+    return met.groupBy(*keys, "macro_id").agg(F.sum("w").alias("owned"), more("w", "p").alias("missing"), more("p", "w").alias("extra"),
+                                              F.sum("o").alias("open"))
+
+
 def closed_macros(shapes: DataFrame, macros: tiling.Grid, grid: tiling.Grid, corner: float, maximum: float,
                   keys=("layer",), polarity: str = "clear", rings: bool = True, **kw) -> DataFrame:
     """Owned segments of every macro as in the whole, with the halo that each macro needs.
